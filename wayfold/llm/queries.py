@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import lines, secrets
+from wayfold.llm import lines, quality, secrets
 from wayfold.llm.packing import op6_packing
 from wayfold.llm.token_counts import op2_token_counts
 from wayfold.llm.token_orc import op5_token_orc
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_orc": op5_token_orc,
     "op6_packing": op6_packing,
     "op8_line_dedup": lines.op8_line_dedup,
+    "op9_quality": quality.op9_quality,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
 
