@@ -67,8 +67,9 @@ def _blocks(buckets: int, most: int):
             slots, sizes = [], []
             for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
                 words = data[a:b].split()
-                for w in set(words) - slot_of.keys():
-                    slot_of[w] = len(slot_of)
+                for w in words:
+                    if w not in slot_of:
+                        slot_of[w] = len(slot_of)
                 slots += map(slot_of.__getitem__, words)
                 sizes.append(len(words))
             kept.append((np.diff(off), batch.column("doc_id").to_pylist(), np.array(slots, np.int64), np.array(sizes, np.int64)))

@@ -62,8 +62,9 @@ class PieceCache:
         if len(self.words) >= self.most:
             self.words.clear()
         words = self.words
-        for w in set().union(*split) - words.keys():
-            words[w] = self.word(w)
+        for w in set().union(*split):
+            if w not in words:
+                words[w] = self.word(w)
         get = words.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 
