@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import lines, quality, secrets
+from wayfold.llm import jaccard, lines, quality, secrets
 from wayfold.llm.packing import op6_packing
 from wayfold.llm.token_counts import op2_token_counts
 from wayfold.llm.token_orc import op5_token_orc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op4_jaccard_join": jaccard.op4_jaccard_join,
     "op5_token_orc": op5_token_orc,
     "op6_packing": op6_packing,
     "op8_line_dedup": lines.op8_line_dedup,
