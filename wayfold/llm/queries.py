@@ -6,22 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import jaccard, lines, quality, secrets
+from wayfold.llm import jaccard, lines, pivots, quality, secrets, tiling
 from wayfold.llm.packing import op6_packing
 from wayfold.llm.token_counts import op2_token_counts
 from wayfold.llm.token_orc import op5_token_orc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_counts": op2_token_counts,
+    "op3_benchmark_leaks": tiling.op3_benchmark_leaks,
     "op4_jaccard_join": jaccard.op4_jaccard_join,
     "op5_token_orc": op5_token_orc,
     "op6_packing": op6_packing,
+    "op7_near_vectors": pivots.op7_near_vectors,
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_quality": quality.op9_quality,
     "op10_secret_scan": secrets.op10_secret_scan,
 }
 
 ORACLES: dict[str, str] = {
+    "op7_near_vectors": pivots.ORACLE,
     "op8_line_dedup": lines.ORACLE,
     "op10_secret_scan": secrets.ORACLE,
 }

@@ -22,6 +22,9 @@ _LOWER = _BYTE.copy()
 _LOWER[65:91] = _BYTE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Bytes between words that are made of letters and digits.
+_SIGN = np.ones(256, bool)
+_SIGN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -38,11 +41,16 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def alnum_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Like word_hashes, for runs of ASCII letters and digits and of non-ASCII bytes."""
+    return word_hashes(raw, offsets, _SIGN)
+
+
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word (runs of anything but ASCII white space, A-Z lower-cased), and the words of each text."""
     if not len(raw):
         return np.empty(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
-    word = ~_SPACE[raw]
+    word = ~between[raw]
     begin = word.copy()
     begin[1:] &= ~word[:-1]
     # A text starts a word of its own wherever the text before ends.
