@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import jaccard, lines, pivots, quality, secrets, tiling
+from wayfold.llm import jaccard, lines, pivots, quality, secrets, suffixes, tiling
 from wayfold.llm.packing import op6_packing
 from wayfold.llm.token_counts import op2_token_counts
 from wayfold.llm.token_orc import op5_token_orc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": suffixes.op1_suffix_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_benchmark_leaks": tiling.op3_benchmark_leaks,
     "op4_jaccard_join": jaccard.op4_jaccard_join,
