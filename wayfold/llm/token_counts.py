@@ -66,7 +66,8 @@ def _blocks(buckets: int, most: int):
             data = raw.tobytes()
             slots, sizes = [], []
             for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
-                words = data[a:b].split()
+                text = data[a:b]
+                words = (text if b"<|" in text else text.lower()).split()
                 for w in words:
                     if w not in slot_of:
                         slot_of[w] = len(slot_of)

@@ -20,12 +20,24 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in own else chr(next(rest)) for b in range(256)}
 
 
+class _Filled(dict):
+    """A dictionary that makes what it lacks."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
+
+
 class PieceCache:
     """Ids (unsigned 16-bit, little-endian) of white-space separated words.
 
     The tokenizer's pre-tokens never contain white space, composition never joins a character to white space, and the
     special strings contain none, so a text's ids are those of its words one after another. Words of plain Latin text go
-    to the model by pre-token; all others go through the whole library. Both caches are emptied when they are full.
+    to the model by pre-token; all others go through the whole library. ASCII capitals are lowered first, as the
+    tokenizer lowers them, but in texts where a special string could stand. Both caches are emptied when they are full.
     """
 
     def __init__(self, path: str, most: int = 600_000):
@@ -38,37 +50,31 @@ class PieceCache:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of over 16 bits")
         self.model, self.most, self.letters = self.tokenizer.model, most, _byte_letters()
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.words: dict[bytes, bytes] = _Filled(self.word)
+        self.pieces: dict[str, bytes] = _Filled(self._piece)
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            if len(self.pieces) >= self.most:
-                self.pieces.clear()
-            tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-            ids = self.pieces[piece] = array.array("H", [t.id for t in tokens]).tobytes()
-        return ids
+        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
+        return array.array("H", [t.id for t in tokens]).tobytes()
 
     def word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         if b"<|" not in word and _PLAIN.fullmatch(text):
-            piece = self._piece
-            return b"".join([piece(p) for p in _PRE.findall(text.lower())])
+            return b"".join(map(self.pieces.__getitem__, _PRE.findall(text.lower())))
         return array.array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _trim(self) -> None:
+        for held in (self.words, self.pieces):
+            if len(held) >= self.most:
+                held.clear()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        if len(self.words) >= self.most:
-            self.words.clear()
-        words = self.words
-        for w in set().union(*split):
-            if w not in words:
-                words[w] = self.word(w)
-        get = words.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+        self._trim()
+        get = self.words.__getitem__
+        return [b"".join(map(get, (t if b"<|" in t else t.lower()).split())) for t in texts]
 
     def count(self, word: bytes) -> int:
+        self._trim()
         return len(self.word(word)) // 2
 
 
