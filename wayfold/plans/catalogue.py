@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from wayfold.plans import geometry, reports, schedules, telemetry, timetable  # noqa: F401
+from wayfold.plans.registry import ORACLES, QUERIES
+from wayfold.plans.timetable import positions as flagship
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+__all__ = ["ORACLES", "QUERIES", "flagship"]
