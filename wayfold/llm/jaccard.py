@@ -211,7 +211,7 @@ def similar_sets(docs: DataFrame, *, width: int = 5, percent: int = 80) -> tuple
     routed = classes.select("set", F.explode("keys").alias("key"))
     shared = routed.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     kept = routed.join(shared, "key").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("key", "df"))).alias("keys"))
-    chosen = own.withColumnRenamed("doc_id", "set").join(kept, "set")
+    chosen = own.withColumnRenamed("doc_id", "set").join(kept.hint("shuffle_hash"), "set")
     sets = cut(with_sets(chosen.select("set", "keys", "text"), width), "sets")
     first = F.element_at("keys", 1)
     one = sets.select("set", "hashes", first["key"].alias("key"), F.pmod(F.xxhash64("set"), F.ceil(first["df"] / TILE)).cast("int").alias("tile"), F.lit(0).alias("side"), F.col("set").alias("component"))

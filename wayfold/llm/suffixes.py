@@ -409,12 +409,12 @@ def remove_repeats(docs: DataFrame, *, least: int = 50, with_text: bool = False,
     masks = cut(keys.groupBy("bucket").applyInArrow(_flag, "block long, bucket int, mask binary, n long"), "masks")
     by_block = masks.groupBy("block").agg(F.collect_list(F.struct("bucket", "mask", "n")).alias("masks"))
     small = (masks.agg(F.sum(F.octet_length("mask") + 24)).first()[0] or 0) <= most_broadcast_bytes
-    flagged = blocks.join(F.broadcast(by_block) if small else by_block, "block")
+    flagged = blocks.join(F.broadcast(by_block) if small else by_block.hint("shuffle_hash"), "block")
     segments = flagged.mapInArrow(_segment_rows(n, least), SEGMENTS)
     removed = cut(segments.groupBy("bucket").applyInArrow(_repeats(least, batch_bytes), "block long, removed binary"), "removed")
     per_block = removed.groupBy("block").agg(F.collect_list("removed").alias("removed"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return blocks.join(per_block, "block", "left").mapInArrow(_results(least, with_text), out)
+    return blocks.join(per_block.hint("shuffle_hash"), "block", "left").mapInArrow(_results(least, with_text), out)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
