@@ -1 +1,312 @@
-"""Queries."""
+"""Queries on polylines and points."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wayfold.functions import scalars as S
+from wayfold.operators import geometry as G
+from wayfold.operators import joins, relations as R
+from wayfold.plans.registry import query
+
+EDGES = R.POINTS + """,
+cums as (select s, k, x, y, sum(coalesce(sqrt(cast((x - px) * (x - px) + (y - py) * (y - py) as double)), 0)) over (partition by s order by k rows unbounded preceding) as cum
+  from (select *, lag(x) over w as px, lag(y) over w as py from points window w as (partition by s order by k))),
+edges as (select * from (select s, k, x as x0, y as y0, cum as c0, lead(x) over w as x1, lead(y) over w as y1, lead(cum) over w as c1 from cums window w as (partition by s order by k)) where c1 is not null)"""
+
+
+def samples_sql(step: int) -> str:
+    return EDGES + f""",
+samples as (select s, n as k, x0 + (x1 - x0) * (n * {step} - c0) / (c1 - c0) as x, y0 + (y1 - y0) * (n * {step} - c0) / (c1 - c0) as y
+  from edges, unnest(range(cast(ceil(c0 / {step}) as bigint), cast(ceil(c1 / {step}) as bigint))) as r(n) where c1 > c0)"""
+
+
+SPOTS = "spots as (select vec_id as id, cast(round(cast(embedding[1] as double) * 1000) as bigint) as x, cast(round(cast(embedding[2] as double) * 1000) as bigint) as y from embeddings where embedding is not null)"
+
+
+def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda k: F.round(F.get("embedding", F.lit(k)).cast("double") * 1000).cast("long")
+    return R.load(spark, sf_dir, "embeddings").where("embedding is not null").select(F.col("vec_id").alias("id"), part(0).alias("x"), part(1).alias("y"))
+
+
+@query("w2_arc_length", f"with {EDGES} select s, k, round(cum, 4) as cum from cums")
+def w2(spark, sf_dir):
+    return G.arc_lengths(R.shape_points(spark, sf_dir)).select("s", F.col("k").cast("long").alias("k"), F.round("cum", 4).alias("cum"))
+
+
+@query("k1_point_at", f"""with {EDGES}, p as (select s, cast(a as double) as pos, max(c1) as total, max(k) as last from edges, unnest([-50, 0, 777, 2222, 99999]) as r(a) group by s, a)
+select e.s, p.pos as "at", round(x0 + (x1 - x0) * (least(greatest(pos, 0), c1) - c0) / (case when c1 > c0 then c1 - c0 else 1 end), 3) as x, round(y0 + (y1 - y0) * (least(greatest(pos, 0), c1) - c0) / (case when c1 > c0 then c1 - c0 else 1 end), 3) as y
+from edges e join p on e.s = p.s and (pos >= c0 or k = 0) and (pos < c1 or k = last)""")
+def k1(spark, sf_dir):
+    pts = R.shape_points(spark, sf_dir)
+    probes = pts.select("s").distinct().select("s", F.explode(F.array(*[F.lit(float(a)) for a in (-50, 0, 777, 2222, 99999)])).alias("at"))
+    return G.point_at(pts, probes).select("s", "at", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+@query("k2_resample", f"with {samples_sql(50)} select s, k, round(x, 3) as x, round(y, 3) as y from samples")
+def k2(spark, sf_dir):
+    return G.resample(R.shape_points(spark, sf_dir), 50).select("s", "k", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+_FEET = f"""with {EDGES}, p as (select id, (id + 1) % (select count(*) from spots) as s, x, y from spots), {{more}}
+f as (select id, e.s, x, y, e.*, case when (x1-x0)*(x1-x0)+(y1-y0)*(y1-y0) > 0 then least(greatest(((x-x0)*(x1-x0)+(y-y0)*(y1-y0)) / ((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)), 0), 1) else 0 end as f from p join edges e on p.s = e.s)
+select id, s, round(min(sqrt((x-x0-f*(x1-x0))**2 + (y-y0-f*(y1-y0))**2)), 3) as dist from f group by id, s""".replace("with ", f"with {SPOTS}, ", 1).replace("{more}", "")
+
+
+@query("k8_foot", _FEET)
+def k8(spark, sf_dir):
+    p = spots(spark, sf_dir)
+    n = p.count()
+    probes = p.select("id", ((F.col("id") + 1) % n).alias("s"), "x", "y")
+    return G.feet(probes, G.edges(R.shape_points(spark, sf_dir))).select("id", "s", F.round("dist", 3).alias("dist"))
+
+
+_K9 = f"""with {samples_sql(100)}, q as (select s, k, x, y, s + 1 as other from samples where s % 5 = 0),
+f as (select q.s, q.k, x, y, x0, y0, x1, y1, case when (x1-x0)*(x1-x0)+(y1-y0)*(y1-y0) > 0 then least(greatest(((x-x0)*(x1-x0)+(y-y0)*(y1-y0)) / ((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)), 0), 1) else 0 end as f from q join edges e on q.other = e.s),
+d as (select s, k, min(sqrt((x-x0-f*(x1-x0))**2 + (y-y0-f*(y1-y0))**2)) as d from f group by s, k)
+select s, round(max(d), 3) as off, count(*) as n from d group by s"""
+
+
+@query("k9_corridor_error", _K9)
+def k9(spark, sf_dir):
+    """The largest distance of each fifth shape's samples from the next shape's line."""
+    pts = R.shape_points(spark, sf_dir)
+    q = G.resample(pts, 100).where("s % 5 = 0").select(F.struct("s", "k").alias("id"), (F.col("s") + 1).alias("s"), "x", "y")
+    return G.feet(q, G.edges(pts)).groupBy(F.col("id.s").alias("s")).agg(F.round(F.max("dist"), 3).alias("off"), F.count("*").alias("n"))
+
+
+_TURNS = samples_sql(20) + """,
+t as (select s, k, x - lag(x, 6) over w as ax, y - lag(y, 6) over w as ay, lead(x, 6) over w - x as bx, lead(y, 6) over w - y as qy,
+  lead(x, 6) over w - lag(x, 6) over w as gx, lead(y, 6) over w - lag(y, 6) over w as gy from samples window w as (partition by s order by k)),
+u as (select s, k, coalesce(case when sqrt(ax*ax+ay*ay) >= 1e-6 and sqrt(bx*bx+qy*qy) >= 1e-6 then degrees(atan2(ax*qy-ay*bx, ax*bx+ay*qy)) else 0 end, 0) as theta, sqrt(gx*gx+gy*gy) as back from t)"""
+
+
+@query("w7_turns", f"with {_TURNS} select s, k, round(theta, 3) as theta from u where s % 7 = 0")
+def w7(spark, sf_dir):
+    return G.turns(G.resample(R.shape_points(spark, sf_dir).where("s % 7 = 0"), 20), 6).select("s", "k", F.round("theta", 3).alias("theta"))
+
+
+@query("w7b_zigzag", f"with {_TURNS}, z as (select s, theta, lag(theta) over (partition by s order by k) as b from u) select s, round(sum(case when abs(theta) > 45 and abs(b) > 45 and sign(theta) <> sign(b) then least(abs(theta), abs(b)) - 45 else 0 end), 2) as zig from z group by s")
+def w7b(spark, sf_dir):
+    t = G.turns(G.resample(R.shape_points(spark, sf_dir), 20), 6).withColumn("b", F.lag("theta").over(G.by_shape()))
+    pay = F.when((F.abs("theta") > 45) & (F.abs("b") > 45) & (F.sign("theta") != F.sign("b")), F.least(F.abs("theta"), F.abs("b")) - 45).otherwise(0.0)
+    return t.groupBy("s").agg(F.round(F.sum(pay), 2).alias("zig"))
+
+
+@query("k11_roughness", f"""with {_TURNS}, z as (select s, abs(theta) as m, case when back < 120 then greatest(0, abs(theta) - 92) else 0 end as excess,
+  case when abs(theta) > 45 and abs(b) > 45 and sign(theta) <> sign(b) then least(abs(theta), abs(b)) - 45 else 0 end as zig from (select *, lag(theta) over (partition by s order by k) as b from u))
+select s, round(sum(excess) + sum(zig), 2) as score, count(*) filter (excess > 0) as kinks, round(coalesce(max(m) filter (excess > 0), 0), 2) as worst from z group by s""")
+def k11(spark, sf_dir):
+    r = G.roughness(G.resample(R.shape_points(spark, sf_dir), 20), retrace=120.0)
+    return r.select("s", F.round("score", 2).alias("score"), "kinks", F.round("worst", 2).alias("worst"))
+
+
+_K12 = f"""with {samples_sql(40)}, ink as (select x, y from points where s % 10 = 0),
+d as (select p.s, p.k, case when min((p.x-i.x)**2 + (p.y-i.y)**2) <= 3600 then sqrt(min((p.x-i.x)**2 + (p.y-i.y)**2)) end as d from samples p, ink i where p.s % 10 = 1 group by p.s, p.k)
+select s, (count(*) - 1) * 40 as arc, count(*) filter (d > 12) * 40 as drift, count(*) filter (d is null) * 40 as beyond, round(quantile_cont(d, 0.9), 3) as p90, round(median(d), 3) as median, round(max(d), 3) as worst
+from d group by s having count(d) >= 2 and (count(*) - 1) * 40 >= 80"""
+
+
+@query("k12_drift", _K12)
+def k12(spark, sf_dir):
+    pts = R.shape_points(spark, sf_dir)
+    ink = pts.where("s % 10 = 0").select(F.struct("s", "k").alias("id"), "x", "y")
+    d = G.drift(G.resample(pts.where("s % 10 = 1"), 40), ink, step=40, off=12, far=60)
+    return d.select("s", F.col("arc").cast("long").alias("arc"), F.col("drift").cast("long").alias("drift"), F.col("beyond").cast("long").alias("beyond"), *[F.round(c, 3).alias(c) for c in ("p90", "median", "worst")])
+
+
+_K10 = f"""with {samples_sql(40)}, q as (select * from samples where s % 10 = 1), o as (select s - 1 as s, x, y from samples where s % 10 = 2),
+a as (select q.s, q.k, sqrt(min((q.x-o.x)**2+(q.y-o.y)**2)) as d from q join o on q.s = o.s group by all),
+b as (select o.s, o.x, o.y, sqrt(min((q.x-o.x)**2+(q.y-o.y)**2)) as d from q join o on q.s = o.s group by all)
+select a.s, p50, p90, mx, cover from (select s, round(median(d), 3) as p50, round(quantile_cont(d, 0.9), 3) as p90, round(max(d), 3) as mx from a group by s) a
+join (select s, round(avg(case when d < 60 then 1.0 else 0.0 end), 4) as cover from b group by s) b on a.s = b.s"""
+
+
+@query("k10_corridor_score", _K10)
+def k10(spark, sf_dir):
+    """Samples of each tenth shape against the next shape's: an equi-join on the pair, bounded by two shapes' samples."""
+    r = G.resample(R.shape_points(spark, sf_dir), 40)
+    q = r.where("s % 10 = 1")
+    o = r.where("s % 10 = 2").select((F.col("s") - 1).alias("s"), F.col("k").alias("ok"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    d = q.join(o, "s").select("s", "k", "ok", F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")).alias("d"))
+    a = d.groupBy("s", "k").agg(F.min("d").alias("d")).groupBy("s").agg(F.round(F.expr("percentile(d, 0.5)"), 3).alias("p50"), F.round(F.expr("percentile(d, 0.9)"), 3).alias("p90"), F.round(F.max("d"), 3).alias("mx"))
+    b = d.groupBy("s", "ok").agg(F.min("d").alias("d")).groupBy("s").agg(F.round(F.avg((F.col("d") < 60).cast("double")), 4).alias("cover"))
+    return a.join(b, "s")
+
+
+@query("a4_bbox", f"with {R.POINTS} select s, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1 from points group by s")
+def a4(spark, sf_dir):
+    return R.shape_points(spark, sf_dir).groupBy("s").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+
+
+@query("k22_fly_to", f"with {R.POINTS} select s, round(least(3, 800 / greatest(max(x) - min(x), 1), 600 / greatest(max(y) - min(y), 1)), 5) as scale, (max(x) + min(x)) / 2 as cx, (max(y) + min(y)) / 2 as cy from points group by s")
+def k22(spark, sf_dir):
+    b = a4(spark, sf_dir)
+    scale = F.least(F.lit(3.0), 800 / F.greatest(F.col("x1") - F.col("x0"), F.lit(1)), 600 / F.greatest(F.col("y1") - F.col("y0"), F.lit(1)))
+    return b.select("s", F.round(scale, 5).alias("scale"), ((F.col("x1") + F.col("x0")) / 2).alias("cx"), ((F.col("y1") + F.col("y0")) / 2).alias("cy"))
+
+
+@query("p4_viewport", f"with {R.POINTS} select s, k from points where x between -124 and 224 and y between -124 and 124")
+def p4(spark, sf_dir):
+    return R.shape_points(spark, sf_dir).where(F.col("x").between(-124, 224) & F.col("y").between(-124, 124)).select("s", F.col("k").cast("long").alias("k"))
+
+
+RECTS = [(-50, -50, 50, 50), (100, 0, 150, 60), (-200, -100, -120, 0), (0, 100, 40, 200), (200, 200, 300, 300)]
+
+
+@query("p6_outside_rects", f"with {R.POINTS}, r(x0, y0, x1, y1) as (values {', '.join(map(str, RECTS))}) select s, k from points where not exists (select 1 from r where x >= x0 and x < x1 and y >= y0 and y < y1)")
+def p6(spark, sf_dir):
+    """Five fixed half-open rectangles: a predicate, so nothing is joined."""
+    inside = F.lit(False)
+    for x0, y0, x1, y1 in RECTS:
+        inside = inside | ((F.col("x") >= x0) & (F.col("x") < x1) & (F.col("y") >= y0) & (F.col("y") < y1))
+    return R.shape_points(spark, sf_dir).where(~inside).select("s", F.col("k").cast("long").alias("k"))
+
+
+@query("p7_inside_rect", f"with {R.POINTS} select s, count(*) as n from points where x between -50 and 50 and y between -50 and 50 group by s")
+def p7(spark, sf_dir):
+    return R.shape_points(spark, sf_dir).where(F.col("x").between(-50, 50) & F.col("y").between(-50, 50)).groupBy("s").agg(F.count("*").alias("n"))
+
+
+@query("j4_nearest", f"with {SPOTS}, d as (select a.id, min(struct_pack(d2 := cast((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) as double), id := b.id)) as m from spots a, spots b where a.id % 2 = 0 and b.id % 2 = 1 group by a.id) select id, m.id as nn_id, m.d2 as d2 from d")
+def j4(spark, sf_dir):
+    p = spots(spark, sf_dir)
+    return joins.nearest(p.where("id % 2 = 0"), p.where("id % 2 = 1"), 16.0)
+
+
+@query("j4_within_radius", f"with {SPOTS}, d as (select a.id, min(struct_pack(d2 := cast((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) as double), id := b.id)) as m from spots a, spots b where a.id % 2 = 0 and b.id % 2 = 1 and (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 225 group by a.id) select id, m.id as nn_id, m.d2 as d2 from d")
+def j4b(spark, sf_dir):
+    p = spots(spark, sf_dir)
+    return joins.nearest_within(p.where("id % 2 = 0"), p.where("id % 2 = 1"), 15.0)
+
+
+@query("j5_radius_pairs", f"with {SPOTS} select a.id as a, b.id as b, cast((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) as double) as d2 from spots a, spots b where a.id < b.id and (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 144")
+def j5(spark, sf_dir):
+    return joins.radius_pairs(spots(spark, sf_dir), 12.0)
+
+
+@query("f11_transform", f"with {SPOTS} select id, round(3 + 2 * (x - 5) - (y + 7) + 0.001 * (x - 5) * (x - 5) + 0.002 * (x - 5) * (y + 7) - 0.001 * (y + 7) * (y + 7), 4) as px, round(0.5 * x - 2 * y + 9, 4) as ax from spots")
+def f11(spark, sf_dir):
+    p = spots(spark, sf_dir)
+    px, _ = S.poly2(F.col("x"), F.col("y"), 5, -7, [3.0, 2.0, -1.0, 0.001, 0.002, -0.001], [0.0] * 6)
+    ax, _ = S.affine(F.col("x"), F.col("y"), [0.5, -2.0, 9.0, 0.0, 0.0, 0.0])
+    return p.select("id", F.round(px, 4).alias("px"), F.round(ax, 4).alias("ax"))
+
+
+@query("f12_through_points", f"with {SPOTS} select id, round(case when x < -50 then 10 + (x + 100) * 0.4 when x < 60 then 30 + (x + 50) * (90 - 30) / 110.0 else 90 + (x - 60) * 0.25 end, 4) as px from spots")
+def f12(spark, sf_dir):
+    return spots(spark, sf_dir).select("id", F.round(S.through_points(F.col("x"), [(-100, 10), (-50, 30), (60, 90), (100, 100)]), 4).alias("px"))
+
+
+@query("f13_grid_coordinates", f"with {SPOTS} select id, round((x - 3) * 0.83 * 0.6 + (y - 4) * 0.8, 4) as s, round((y - 4) * 0.6 - (x - 3) * 0.83 * 0.8, 4) as t from spots")
+def f13(spark, sf_dir):
+    s, t = S.grid_coordinates(F.col("x"), F.col("y"), 3, 4, 0.83, (0.6, 0.8))
+    return spots(spark, sf_dir).select("id", F.round(s, 4).alias("s"), F.round(t, 4).alias("t"))
+
+
+@query("f14_easing", f"with {SPOTS}, u as (select id, abs(x) % 100 / 100.0 as u from spots) select id, round(case when u < 0.5 then 4*u*u*u else 1 - pow(-2*u+2, 3)/2 end, 5) as e, round(120 * 0.3 * (1 - exp(-u / 0.3)), 5) as way from u")
+def f14(spark, sf_dir):
+    u = (F.abs(F.col("x")) % 100) / 100
+    return spots(spark, sf_dir).select("id", F.round(S.ease(u), 5).alias("e"), F.round(S.decay(F.lit(120.0), 0.3, u), 5).alias("way"))
+
+
+@query("f15_bezier", f"with {R.POINTS}, c as (select s, k // 4 as c, max(x) filter (k % 4 = 0) as p0, max(x) filter (k % 4 = 1) as p1, max(x) filter (k % 4 = 2) as p2, max(x) filter (k % 4 = 3) as p3 from points group by all) select s, c, j, round(pow(1-j/23.0,3)*p0 + 3*pow(1-j/23.0,2)*(j/23.0)*p1 + 3*(1-j/23.0)*pow(j/23.0,2)*p2 + pow(j/23.0,3)*p3, 3) as x from c, range(0, 24) as r(j)")
+def f15(spark, sf_dir):
+    at = lambda m: F.max(F.when(F.col("k") % 4 == m, F.col("x")))
+    c = R.shape_points(spark, sf_dir).groupBy("s", F.floor(F.col("k") / 4).alias("c")).agg(*[at(m).alias(f"p{m}") for m in range(4)])
+    c = c.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long"))))
+    return c.select("s", "c", "j", F.round(S.bezier(*[F.col(f"p{m}") for m in range(4)], F.col("j") / 23), 3).alias("x"))
+
+
+@query("f16_grey_ink", f"with {R.POINTS}, c as (select s, k, abs(x) % 256 as r, abs(y) % 256 as g, (abs(x) + abs(y)) % 256 as b from points) select s, k, (r-10)**2 + (g-20)**2 + (b-30)**2 as d2, (r+g+b)/3 between 130 and 215 and greatest(r,g,b) - least(r,g,b) < 90 as grey from c")
+def f16(spark, sf_dir):
+    r, g, b = F.abs("x") % 256, F.abs("y") % 256, (F.abs("x") + F.abs("y")) % 256
+    return R.shape_points(spark, sf_dir).select("s", F.col("k").cast("long").alias("k"), S.colour_distance2([r, g, b], [F.lit(10), F.lit(20), F.lit(30)]).alias("d2"), S.is_grey(r, g, b, spread=90).alias("grey"))
+
+
+@query("f21_tiles", f"with {R.POINTS}, b as (select s, min(x) + 500 as x0, max(x) + 500 as x1 from points group by s) select s, greatest(floor(x0 / 64), 0) as first, least(ceil(x1 / 64) - 1, 15) as last from b")
+def f21(spark, sf_dir):
+    b = R.shape_points(spark, sf_dir).groupBy("s").agg((F.min("x") + 500).alias("x0"), (F.max("x") + 500).alias("x1"))
+    first, last = S.tile_range(F.col("x0"), F.col("x1"), F.lit(64), F.lit(16))
+    return b.select("s", first.cast("double").alias("first"), last.cast("double").alias("last"))
+
+
+@query("j13_crossings", f"with {SPOTS} select a.id as a, b.id as b, round((a.x / 100.0 * b.y + a.y) / (1 - a.x / 100.0 * b.x / 100.0), 3) as y from spots a, spots b where a.id < 20 and b.id between 20 and 38 and abs(1 - a.x / 100.0 * b.x / 100.0) > 0.01")
+def j13(spark, sf_dir):
+    """Where a street y = m x + c and an avenue x = n y + e cross, in closed form; both sides are short lists of names."""
+    p = spots(spark, sf_dir)
+    a = p.where("id < 20").select(F.col("id").alias("a"), (F.col("x") / 100).alias("m"), F.col("y").alias("c"))
+    b = p.where("id between 20 and 38").select(F.col("id").alias("b"), (F.col("x") / 100).alias("n"), F.col("y").alias("e"))
+    return a.join(F.broadcast(b)).where(F.abs(1 - F.col("m") * F.col("n")) > 0.01).select("a", "b", F.round((F.col("m") * F.col("e") + F.col("c")) / (1 - F.col("m") * F.col("n")), 3).alias("y"))
+
+
+@query("k14_change_boxes")
+def k14(spark, sf_dir):
+    """Boxes of moved vertices for each shape between two versions; one shape is one group."""
+    pts = R.shape_points(spark, sf_dir)
+    moved = pts.where((F.col("s") * 31 + F.col("k") * 17) % 5 == 0).select("s", "x", "y")
+
+    def boxes(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        out = G.change_boxes(rows, cluster=120.0, least=2)
+        out.insert(0, "s", key[0])
+        return out
+
+    return moved.groupBy("s").applyInPandas(boxes, "s long, rank long, x0 double, y0 double, x1 double, y1 double")
+
+
+_K15 = f"""with recursive {R.POINTS}, e as (select a.s, a.k as a, b.k as b, sqrt(cast((a.x-b.x)**2 + (a.y-b.y)**2 as double)) * case when sqrt(cast((a.x-b.x)**2 + (a.y-b.y)**2 as double)) > 150 then 3 else 1 end as cost
+  from points a join points b on a.s = b.s and a.k <> b.k where a.s % 20 = 0 and a.k < 8 and b.k < 8),
+w(s, k, cost, seen) as (select distinct s, 0::bigint, 0::double, [0::bigint] from e union all select w.s, e.b, w.cost + e.cost, list_append(w.seen, e.b) from w join e on w.s = e.s and w.k = e.a where not list_contains(w.seen, e.b))
+select s, round(min(cost), 3) as cost from w where k = 7 group by s"""
+
+
+@query("k15_shortest_path", _K15)
+def k15(spark, sf_dir):
+    """The cheapest way from the first to the eighth vertex of each twentieth shape, long hops three times as dear."""
+    pts = R.shape_points(spark, sf_dir).where("s % 20 = 0 and k < 8")
+
+    def path(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        e = rows.merge(rows, how="cross", suffixes=("", "_b"))
+        e = e[e["k"] < e["k_b"]]
+        way = ((e["x"] - e["x_b"]) ** 2 + (e["y"] - e["y_b"]) ** 2) ** 0.5
+        found = G.shortest_path(pd.DataFrame({"a": e["k"], "b": e["k_b"], "cost": way.where(way <= 150, 3 * way)}), 0, 7)
+        return pd.DataFrame({"s": [key[0]], "cost": [round(found[0], 3) if found else None]})
+
+    return pts.groupBy("s").applyInPandas(path, "s long, cost double")
+
+
+@query("w6_islands", f"with {_TURNS}, f as (select s, k, abs(theta) > 30 as sharp from u), g as (select s, k, k - row_number() over (partition by s order by k) as g from f where sharp) select s, min(k) as first, max(k) as last, count(*) as n from g group by s, g")
+def w6(spark, sf_dir):
+    t = G.turns(G.resample(R.shape_points(spark, sf_dir), 20), 6).withColumn("sharp", F.abs("theta") > 30)
+    return G.islands(t, "s", "k", "sharp")
+
+
+@query("o6_suppressed_peaks")
+def o6(spark, sf_dir):
+    """Each shape's sharpest turns, skipping those within 24 units of a kept one: an ordered fold over one shape's samples."""
+    t = G.turns(G.resample(R.shape_points(spark, sf_dir), 20), 6).where(F.abs("theta") > 60)
+
+    def keep(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(m=rows["theta"].abs()).sort_values(["m", "k"], ascending=[False, True])
+        kept: list[tuple] = []
+        for x, y, k, m in zip(rows["x"], rows["y"], rows["k"], rows["m"]):
+            if all((x - a) ** 2 + (y - b) ** 2 > 24**2 for a, b, *_ in kept):
+                kept.append((x, y, k, m))
+        return pd.DataFrame({"s": [key[0]] * len(kept), "k": [c[2] for c in kept], "angle": [round(c[3], 2) for c in kept]})
+
+    return t.select("s", "k", "x", "y", "theta").groupBy("s").applyInPandas(keep, "s long, k long, angle double")
+
+
+@query("k19_grid_axis", f"with {R.POINTS}, c as (select s, covar_pop(x, y) as xy, var_pop(x) as xx, var_pop(y) as yy from points group by s) select s, round(degrees(0.5 * atan2(2 * xy, xx - yy)), 3) as angle from c")
+def k19(spark, sf_dir):
+    """Principal direction of each shape's vertices, in closed form from second moments."""
+    c = R.shape_points(spark, sf_dir).groupBy("s").agg(F.covar_pop("x", "y").alias("xy"), F.var_pop("x").alias("xx"), F.var_pop("y").alias("yy"))
+    return c.select("s", F.round(F.degrees(0.5 * F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy"))), 3).alias("angle"))
+
+
+@query("a18_normal_equations", f"with {SPOTS} select cast(count(*) as bigint) as n, cast(sum(x) as bigint) as sx, cast(sum(y) as bigint) as sy, cast(sum(x*x) as bigint) as sxx, cast(sum(x*y) as bigint) as sxy, cast(sum(y*y) as bigint) as syy from spots")
+def a18(spark, sf_dir):
+    s = F.sum
+    return spots(spark, sf_dir).agg(F.count("*").alias("n"), s("x").alias("sx"), s("y").alias("sy"), s(F.col("x") * F.col("x")).alias("sxx"), s(F.col("x") * F.col("y")).alias("sxy"), s(F.col("y") * F.col("y")).alias("syy"))
