@@ -16,7 +16,7 @@ from wayfold.llm.shingles import _BYTE, _powers, mix
 #: Bytes of the grams that route windows to tasks.
 GRAM = 20
 #: Bytes of text in a block of documents, and of segments in one transform.
-BLOCK_BYTES, BATCH_BYTES = 8 << 20, 3 << 20
+BLOCK_BYTES, BATCH_BYTES = 8 << 20, 3 << 19
 #: Size up to which the flags of repeated grams are broadcast; beyond it they are joined by a shuffle.
 MOST_BROADCAST_BYTES = 32 << 20
 #: No byte of UTF-8.
@@ -81,7 +81,7 @@ class Block:
         own = np.flatnonzero(self.stands & (self.sizes >= least))
         at = 0
         while at < len(own):
-            end = max(at + 1, int(np.searchsorted(np.cumsum(self.sizes[own[at:]]), 2 << 20, "right")) + at)
+            end = max(at + 1, int(np.searchsorted(np.cumsum(self.sizes[own[at:]]), 1 << 20, "right")) + at)
             take = own[at:end]
             at = end
             sizes = self.sizes[take]
@@ -227,8 +227,9 @@ def interval_classes(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarr
     """
     n = len(text)
     order, _ = suffix_order(text, least)
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+    order = order.astype(np.int32)
+    place = np.empty(n, np.int32)
+    place[order] = np.arange(n, dtype=np.int32)
     # Where each suffix's rest stands: the place of the suffix's first byte in the transform.
     rest = place[np.where(order + 1 < n, order + 1, 0)]
     head = text[order]
@@ -257,8 +258,8 @@ def least_holders(segments: np.ndarray, sizes: np.ndarray, holder: np.ndarray, l
     inside[end - 1] = False
     text[inside] = segments
     order, kind = interval_classes(text, least)
-    owner = np.repeat(np.arange(n), sizes + 1)
-    at = np.arange(len(text)) - np.repeat(end - sizes - 1, sizes + 1)
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes + 1)
+    at = np.arange(len(text), dtype=np.int32) - np.repeat((end - sizes - 1).astype(np.int32), sizes + 1)
     window = at <= (sizes - least)[owner]
     most = np.iinfo(np.int64).max
     value = np.where(window, holder[owner], most)[order]
@@ -268,6 +269,21 @@ def least_holders(segments: np.ndarray, sizes: np.ndarray, holder: np.ndarray, l
     return out[window]
 
 
+def segment_hashes(raw: np.ndarray, first: np.ndarray, size: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """A hash of each segment of raw, some megabytes at a time; segments lie one after another."""
+    out, at = np.empty(len(first), np.uint64), 0
+    while at < len(first):
+        end = max(at + 1, int(np.searchsorted(first, first[at] + most)))
+        part = raw[first[at] : first[end - 1] + size[end - 1]]
+        up, down = _powers(len(part))
+        begin = first[at:end] - first[at]
+        with np.errstate(over="ignore"):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[part] * up, dtype=np.uint64)])
+            out[at:end] = mix((total[begin + size[at:end]] - total[begin]) * down[begin] + size[at:end].astype(np.uint64))
+        at = end
+    return out
+
+
 def _repeats(least: int, batch_bytes: int):
     """For one bucket: (block, removed) runs of windows that stand in a document with a smaller id."""
 
@@ -280,11 +296,7 @@ def _repeats(least: int, batch_bytes: int):
         source = np.repeat(np.arange(len(rows)), [len(p) for p in parts[0]])
         del parts
         first = np.cumsum(size) - size
-        up, down = _powers(len(raw))
-        with np.errstate(over="ignore"):
-            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[raw] * up, dtype=np.uint64)])
-            print_ = mix((total[first + size] - total[first]) * down[first] + size.astype(np.uint64))
-        del total
+        print_ = segment_hashes(raw, first, size)
         # Equal segments are one, with the least id of their documents.
         order = np.lexsort((ids, print_, keys))
         k, p, z = keys[order], print_[order], size[order]
@@ -403,7 +415,7 @@ def remove_repeats(docs: DataFrame, *, least: int = 50, with_text: bool = False,
     if least < GRAM:
         raise ValueError(f"least is {GRAM} bytes or more")
     spark = docs.sparkSession
-    n = buckets or max(64, parallelism(spark))
+    n = buckets or max(128, parallelism(spark))
     blocks = cut(text_blocks(texts_of(docs), block_bytes), "blocks", codec="none")
     keys = blocks.mapInArrow(_key_rows(n, least), "block long, bucket int, keys binary, several binary")
     masks = cut(keys.groupBy("bucket").applyInArrow(_flag, "block long, bucket int, mask binary, n long"), "masks")
