@@ -1 +1,125 @@
-"""Queries."""
+"""Queries on event records of sessions, in batches and as streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from wayfold.operators import relations as R
+from wayfold.operators import telemetry as T
+from wayfold.plans.registry import query
+from wayfold.streaming import telemetry as stream
+
+HOUR = 3_600_000
+_REC = "rec as (select user_id as sid, event_id as n, event_type as kind, epoch_us(ts) // 1000 as at_ms, cast(round(value * 100) as bigint) as v from events)"
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.datediff(F.col("ts").cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86_400_000 + F.floor(R.micros_of_day() / 1000)
+    return R.load(spark, sf_dir, "events").select(F.col("user_id").alias("sid"), F.col("event_id").alias("n"), F.col("event_type").alias("kind"), at.alias("at"), F.round(F.col("value") * 100).cast("long").alias("v"))
+
+
+@query("w9_rates", f"with {_REC} select sid, n, coalesce(round((v - lag(v) over w) * 1000 / (at_ms - lag(at_ms) over w), 3), 0) as rate from rec window w as (partition by sid order by at_ms, n)")
+def w9(spark, sf_dir):
+    w = T.by_session()
+    rate = F.round((F.col("v") - F.lag("v").over(w)) * 1000 / (F.col("at") - F.lag("at").over(w)), 3)
+    return records(spark, sf_dir).select("sid", "n", F.coalesce(rate, F.lit(0.0)).alias("rate"))
+
+
+@query("w10_peak", f"with {_REC} select sid, n, max(v) over (partition by sid order by at_ms, n) as peak from rec")
+def w10(spark, sf_dir):
+    return records(spark, sf_dir).select("sid", "n", F.max("v").over(T.by_session().rowsBetween(Window.unboundedPreceding, 0)).alias("peak"))
+
+
+@query("w12_tail", f"with {_REC}, r as (select sid, n, row_number() over (partition by sid order by at_ms desc, n desc) as back from rec) select sid, n, back from r where back <= 24")
+def w12(spark, sf_dir):
+    back = F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("at"), F.desc("n"))).cast("long")
+    return records(spark, sf_dir).select("sid", "n", back.alias("back")).where("back <= 24")
+
+
+@query("w13_last_session", f"with {_REC}, f as (select sid, min(n) as first from rec group by sid) select arg_max(sid, first) as sid, max(first) as first from f")
+def w13(spark, sf_dir):
+    f = records(spark, sf_dir).groupBy("sid").agg(F.min("n").alias("first"))
+    return f.agg(F.max(F.struct("first", "sid")).alias("m")).select("m.sid", "m.first")
+
+
+@query("w14_skew", f"with {_REC} select sid, n, (at_ms - lag(at_ms) over w) - (v - lag(v) over w) as skew from rec window w as (partition by sid order by at_ms, n)")
+def w14(spark, sf_dir):
+    w = T.by_session()
+    return records(spark, sf_dir).select("sid", "n", ((F.col("at") - F.lag("at").over(w)) - (F.col("v") - F.lag("v").over(w))).alias("skew"))
+
+
+@query("w15_decaying_peak")
+def w15(spark, sf_dir):
+    """max(x, 0.99 * previous) of each session's last 240 values: a fold over a bounded, ordered array."""
+    back = F.row_number().over(Window.partitionBy("sid").orderBy(F.desc("at"), F.desc("n")))
+    tail = records(spark, sf_dir).withColumn("b", back).where("b <= 240")
+    s = tail.groupBy("sid").agg(F.array_sort(F.collect_list(F.struct("at", "n", "v"))).alias("r"))
+    return s.select("sid", F.aggregate("r", F.lit(0.0), lambda a, x: F.greatest(x["v"].cast("double"), a * 0.99)).alias("peak"))
+
+
+@query("a21_worst_per_type", f"with {_REC}, r as (select kind, n, v, row_number() over (partition by kind order by v desc, n) as rn, count(*) over (partition by kind) as records, row_number() over (partition by kind order by at_ms desc, n desc) as back from rec) select kind, max(records) as records, max(n) filter (rn = 1) as worst, max(v) as v, max(n) filter (back = 1) as last from r group by kind")
+def a21(spark, sf_dir):
+    r = records(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("records"), F.max(F.struct("v", (-F.col("n")).alias("m"))).alias("w"), F.max(F.struct("at", "n")).alias("l"))
+    return r.select("kind", "records", (-F.col("w.m")).alias("worst"), "w.v", F.col("l.n").alias("last"))
+
+
+_T2 = f"""with {_REC}, s as (select *, lag(case when kind = 'error' then false when kind = 'signup' then true end ignore nulls) over w as st, at_ms - lag(at_ms) over w as step from rec window w as (partition by sid order by at_ms, n)),
+v as (select *, sum(case when coalesce(st, true) then coalesce(step, 0) else 0 end) over (partition by sid order by at_ms, n) as vis from s),
+f as (select *, vis - lag(vis) over (partition by sid order by at_ms, n) as silent from v where kind in ('view', 'click', 'purchase', 'signup'))
+select sid, n, cast(silent as bigint) as silent_ms from f where kind <> 'signup' and silent >= {24 * HOUR}"""
+
+
+def _frames() -> dict:
+    kind = F.col("kind")
+    return {"frame": kind.isin("view", "click", "purchase"), "hidden": kind == "error", "visible": kind == "signup", "limit_ms": 24 * HOUR}
+
+
+@query("t2_watchdog", _T2)
+def t2(spark, sf_dir):
+    return T.stalls(records(spark, sf_dir), **_frames()).select("sid", "n", "silent_ms")
+
+
+@query("t2_watchdog_stream", _T2)
+def t2_stream(spark, sf_dir):
+    """The watchdog as a stateful stream over the same records, run until its input is used up."""
+    return stream.run_available(stream.watchdog(stream.records_stream(spark, f"{sf_dir}/events.parque[t]"), limit_ms=24 * HOUR), "watchdog").select("sid", "n", "silent_ms")
+
+
+_T4 = f"""with {_REC}, f as (select *, case when kind <> lag(kind) over w or at_ms - lag(at_ms) over w > {24 * HOUR} or lag(kind) over w is null then 1 else 0 end as fresh from rec window w as (partition by sid order by at_ms, n)),
+g as (select *, sum(fresh) over (partition by sid order by at_ms, n) as run from f),
+r as (select sid, cast(run as bigint) as run, min(kind) as kind, count(*) as n, min(at_ms) as t0, max(at_ms) as t1 from g group by sid, run), k as (select *, row_number() over (partition by sid order by run desc) as back from r)
+select sid, run, kind, n, t0, t1 from k where back <= 24"""
+
+
+@query("t4_coalesce", _T4)
+def t4(spark, sf_dir):
+    return T.coalesce_events(records(spark, sf_dir), join_ms=24 * HOUR, keep=24)
+
+
+_T8 = f"""with {_REC}, r as (select *, row_number() over (partition by sid order by at_ms, n) as k, count(*) over (partition by sid) as count from rec), f as (select sid, n, kind, at_ms, count from r where k = 1)
+select sid, n, kind, count, case when row_number() over (order by at_ms desc, sid desc) <= 2 then cast(row_number() over (order by at_ms desc, sid desc) - 1 as integer) end as slot from f"""
+
+
+@query("t8_first_record", _T8)
+def t8(spark, sf_dir):
+    return T.first_records(records(spark, sf_dir)).select("sid", "n", "kind", "count", "slot")
+
+
+_KIND = "case when v > 45000 then 'stall' when v > 40000 then 'throttled' when v < 3000 then 'final' else 'sample' end"
+
+
+@query("t15_triage", f"with {_REC}, k as (select sid, n, at_ms, {_KIND} as kind from rec), s as (select sid, count(*) filter (kind = 'stall') as stall, count(*) filter (kind = 'throttled') as thr, arg_max(kind, struct_pack(a := at_ms, n := n)) as last, max(at_ms) as at_last from k where n % 7 = 0 group by sid) select sid, case when stall > 0 then 'stalls' when thr > 0 then 'throttled' when last = 'final' then 'clean' when (select max(at_ms) from rec) - at_last < {72 * HOUR} then 'arriving' else 'died' end as verdict from s")
+def t15(spark, sf_dir):
+    r = records(spark, sf_dir)
+    now = r.agg(F.max("at")).first()[0] or 0
+    return T.triage(r.where("n % 7 = 0").select("sid", "n", "at", F.expr(_KIND).alias("kind")), now=now, alive_ms=72 * HOUR)
+
+
+@query("s6_malformed_lines", "select count(*) filter (event_id % 10 <> 0 and event_id % 15 <> 0) as kept, count(*) filter (event_id % 10 = 0 or event_id % 15 = 0) as dropped from events")
+def s6(spark, sf_dir):
+    """Lines that are blank or no JSON object are dropped."""
+    line = F.when(F.col("event_id") % 10 == 0, F.lit("")).when(F.col("event_id") % 15 == 0, F.concat(F.lit("{"), "props")).otherwise(F.col("props"))
+    parsed = R.load(spark, sf_dir, "events").select(F.trim(line).alias("line")).withColumn("r", F.from_json("line", "k int, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
+    good = (F.col("line") != "") & F.col("r").isNotNull() & F.col("r._bad").isNull()
+    return parsed.agg(F.count_if(good).alias("kept"), F.count_if(~good).alias("dropped"))
