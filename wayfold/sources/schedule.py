@@ -54,7 +54,7 @@ def read_schedule(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     pairs = lambda a: F.transform(F.sequence(F.lit(0), F.floor(F.size(a) / 2).cast("int") - 1), lambda k: F.struct(F.get(a, 2 * k).alias("x"), F.get(a, 2 * k + 1).alias("y")))
     rows = lambda c, *names: doc.select("version", F.posexplode(c).alias(*names))
     patterns = rows("patterns", "p", "v").select("version", "p", "v.*")
-    stops = patterns.where("s is not null").select("version", "p", F.posexplode(F.arrays_zip("d", "ir", "id", "u")).alias("i", "v")).select("version", "p", "i", "v.*")
+    stops = patterns.where("s is not null").select("version", "p", F.posexplode(F.arrays_zip("d", *[F.coalesce(c, F.array().cast(k)).alias(c) for c, k in (("ir", "array<int>"), ("id", "array<double>"), ("u", "array<double>"))])).alias("i", "v")).select("version", "p", "i", "v.*")
     trips = doc.select("version", F.posexplode(F.arrays_zip("trips", "tripDays")).alias("trip", "v"))
     trips = trips.select("version", "trip", F.get("v.trips", F.lit(0)).cast("int").alias("r"), F.get("v.trips", F.lit(1)).cast("int").alias("p"), F.slice("v.trips", 3, 100_000).alias("delta"), F.col("v.tripDays").alias("days"))
     upto = Window.partitionBy("version", "trip").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
