@@ -41,10 +41,10 @@ class Network:
 
 
 def lay_out(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts from block boundaries on with zero bytes behind (WIDTH at least), and the blocks of each text."""
+    """Texts in blocks of their own, behind WIDTH - 1 zero bytes so that no filter sees two texts, and the blocks of each."""
     sizes = np.diff(offsets)
-    blocks = (sizes + WIDTH + BLOCK - 1) // BLOCK
-    first = (np.cumsum(blocks) - blocks) * BLOCK
+    blocks = (sizes + WIDTH - 1 + BLOCK - 1) // BLOCK
+    first = (np.cumsum(blocks) - blocks) * BLOCK + WIDTH - 1
     padded = np.zeros(int(blocks.sum()) * BLOCK + WIDTH, np.uint8)
     padded[np.repeat(first - offsets[:-1], sizes) + np.arange(len(raw))] = raw
     return padded, blocks
@@ -120,12 +120,16 @@ def _step(net: Network, texts: list[bytes], labels: np.ndarray) -> list[np.ndarr
     return [g_conv, g_act.sum(axis=0), act.T @ g_hid, g_hid.sum(axis=0), g_out, g_bias]
 
 
-def fit(texts: list[bytes], labels: np.ndarray, *, epochs: int = 12, batch: int = 64, rate: float = 0.01, train_bytes: int = 8192, seed: int = 7) -> Network:
-    """Adam on whole texts, or on one random stretch of `train_bytes` of longer ones; scoring always takes whole texts."""
+def fit(texts: list[bytes], labels: np.ndarray, *, epochs: int = 24, least_steps: int = 400, batch: int = 32, rate: float = 0.01, train_bytes: int = 8192, seed: int = 7) -> Network:
+    """Adam on whole texts, or on one random stretch of `train_bytes` of longer ones; scoring always takes whole texts.
+
+    Few texts are gone over more often, so that there are `least_steps` steps at least.
+    """
     net, rng = Network.start(seed), np.random.default_rng(seed)
     if not texts:
         return net
     labels = np.asarray(labels, np.float32)
+    epochs = max(epochs, -(-least_steps // -(-len(texts) // batch)))
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
     t = 0
     for epoch in range(epochs):
@@ -151,7 +155,7 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, most_rows: int = 3000, epochs: int = 12, label: str = "quality") -> Network:
+def fit_quality(docs: DataFrame, labels: DataFrame, *, most_rows: int = 3000, epochs: int = 24, label: str = "quality") -> Network:
     """Fit on at most `most_rows` labelled documents that are not held out, chosen by a hash of their ids.
 
     The bound holds for the ids (a top-k by hash, never a full sort), so what is broadcast and what reaches the driver
