@@ -5,18 +5,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import components, cut, slices, texts_of, utf8
+from wayfold.llm.common import components, cut, parallelism, slices, texts_of, utf8
 from wayfold.llm.shingles import distinct_in_text, mix, shingle_hashes, word_hashes
 
 #: Documents of a group that meet in one task at most; larger groups are dealt in tiles.
 TILE = 1000
 #: Words of 64 bits of a signature, children of a tree node.
 SIGNATURE, FANOUT = 32, 16
+#: A set of n shingles sends one routing shingle more for every SPARE of them, and shares as many with each partner.
+SPARE = 40
 #: Most of the frequent shingles that the common order puts last (a broadcast of 8 bytes each).
 MOST_FREQUENT = 20_000
 _PART = 2 << 20
@@ -52,8 +53,10 @@ def frequent_shingles(docs: DataFrame, width: int, *, most: int = MOST_FREQUENT)
 def fingerprints(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
     """(doc_id, n, h1, h2, keys): the size of each set, its 128-bit hash and its routing shingles.
 
-    Two sets that reach the threshold share one of the first n - ceil(percent * n / 100) + 1 shingles of either, in any
-    order that all sets have in common: here by hash, the frequent ones last.
+    These are the first n - ceil(percent * n / 100) + needed(n) shingles in an order that all sets have in common: by hash,
+    the frequent ones last. Of two sets over the threshold take the one whose last routing shingle comes first: it lacks
+    n - ceil(percent * n / 100) shingles of the other at most, so needed(n) of its routing shingles at least are shared, and
+    they are routing shingles of the other too.
     """
     last = np.append(frequent, np.uint64(0))
 
@@ -71,7 +74,7 @@ def fingerprints(docs: DataFrame, width: int, percent: int, frequent: np.ndarray
             text = np.repeat(np.arange(len(n)), n)
             order = np.lexsort((h, often, text))
             rank = np.arange(len(h)) - np.repeat(at, n)
-            take = np.where(full, n - (-(-percent * n // 100)) + 1, 0)
+            take = np.where(full, n - (-(-percent * n // 100)) + 1 + n // SPARE, 0)
             first = rank < take[text]
             keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(h[order][first].view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums), keys], names=["doc_id", "n", "h1", "h2", "keys"])
@@ -90,7 +93,7 @@ def with_sets(chosen: DataFrame, width: int) -> DataFrame:
             hashes = pa.array([data[b - 8 * k : b] for b, k in zip(end.tolist(), n.tolist())], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("set"), batch.column("keys"), hashes], names=["set", "keys", "hashes"])
 
-    return chosen.mapInArrow(run, "set long, keys array<struct<key:bigint,df:bigint>>, hashes binary")
+    return chosen.mapInArrow(run, "set long, keys array<struct<df:bigint,key:bigint>>, hashes binary")
 
 
 class SignatureTree:
@@ -181,52 +184,90 @@ def forest(sets: list[np.ndarray], groups: list, percent: int, sides: np.ndarray
 
 
 def _links(percent: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates("set").sort_values("set")
-        sets = [np.frombuffer(h, np.uint64) for h in rows["hashes"]]
-        ids = rows["set"].tolist()
-        tile = key[-1]
-        sides = rows["side"].to_numpy() if tile and rows["side"].nunique() > 1 else None
-        found = forest(sets, rows["component"].tolist(), percent, sides)
-        return pd.DataFrame({"a": [ids[i] for i, _ in found], "b": [ids[j] for _, j in found]}, dtype="int64")
+    """Links of the groups (key, i, j) of a sorted partition, read as a stream; a group is a tile at most."""
+
+    def group(key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
+        rows = list({r[0]: r for r in rows}.values())
+        if len(rows) < 2 or len({r[1] for r in rows}) < 2:
+            return []
+        sides = [r[2] for r in rows] if key[1] != key[2] else None
+        ids = [r[0] for r in rows]
+        return [(ids[i], ids[j]) for i, j in forest([np.frombuffer(r[3], np.uint64) for r in rows], [r[1] for r in rows], percent, sides)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, out = None, [], []
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("key", "i", "j", "set", "component", "side", "hashes")]
+            for k, i, j, *row in zip(*cols):
+                if (k, i, j) != now:
+                    if rows:
+                        out += group(now, rows)
+                    now, rows = (k, i, j), []
+                rows.append(tuple(row))
+            yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
+            out = []
+        if rows:
+            out = group(now, rows)
+            yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
     return run
 
 
+def _linked(rows: DataFrame, percent: int) -> DataFrame:
+    dealt = rows.select("key", F.col("i").cast("int"), F.col("j").cast("int"), "set", "component", F.col("side").cast("int"), "hashes")
+    return dealt.repartition(parallelism(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "set").mapInArrow(_links(percent), "a long, b long")
+
+
+def plausible(routed: DataFrame) -> DataFrame:
+    """routed (set, key, need) with df: keys of two sets at least, of sets that have `need` such keys."""
+    by_key, by_set = Window.partitionBy("key"), Window.partitionBy("set")
+    shared = routed.withColumn("df", F.count("*").over(by_key)).where("df > 1")
+    left = shared.withColumn("_k", F.count("*").over(by_set)).where("_k >= need").drop("_k", "df").withColumn("df", F.count("*").over(by_key)).where("df > 1")
+    return left.select("set", "key", "df")
+
+
+def distinct_groups(routed: DataFrame) -> DataFrame:
+    """routed (set, key, df) with one key for each distinct group of up to TILE sets; two near-copies share dozens."""
+    few = routed.where(F.col("df") <= TILE).groupBy("key").agg(F.sort_array(F.collect_list("set")).alias("members"))
+    few = few.groupBy("members").agg(F.min("key").alias("key")).select(F.explode("members").alias("set"), "key", F.size("members").cast("long").alias("df"))
+    return few.unionByName(routed.where(F.col("df") > TILE))
+
+
 def similar_sets(docs: DataFrame, *, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(members (doc_id, n, h1, h2), classes (h1, h2, n, component)): components over the links of documents.
 
     1. Equal sets are one class with the least doc_id, found on hashes alone: copies never meet again.
-    2. Each class sends its routing shingles; those that one class has go.
-    3. A class joins others by its first routing shingle that is left, where most links are found.
+    2. Each class sends its routing shingles. Shingles of one class go, then classes that do not share as many as a link
+       needs: what they have in common with others is a passage, not the most of their text. Shingles
+       with one and the same group of classes count once.
+    3. A class joins others by the routing shingle that the fewest have, where most links are found.
     4. Routing shingles that still hold two components or more get a signature tree of their classes, so that every pair
        of classes over the threshold is either in one component already or compared: no link is lost.
 
     A shingle of many classes is dealt in tiles of TILE by hash, so no task has an unbounded group. Texts move once, for
-    the classes that share a routing shingle with another.
+    the classes that are left after step 2.
     """
     own = texts_of(docs)
     prints = cut(fingerprints(own, width, percent, frequent_shingles(own, width)), "prints")
     classes = prints.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("set"), F.first("keys").alias("keys"))
-    routed = classes.select("set", F.explode("keys").alias("key"))
-    shared = routed.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
-    kept = routed.join(shared, "key").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("key", "df"))).alias("keys"))
-    chosen = own.withColumnRenamed("doc_id", "set").join(kept.hint("shuffle_hash"), "set")
+    smaller = F.ceil(F.col("n") * percent / 100)
+    need = (F.floor(smaller / SPARE) + 1).cast("int")
+    left = cut(plausible(classes.select("set", need.alias("need"), F.explode("keys").alias("key"))), "routed")
+    kept = cut(distinct_groups(left), "groups")
+    keys = kept.groupBy("set").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys"))
+    chosen = own.withColumnRenamed("doc_id", "set").join(keys.hint("shuffle_hash"), "set")
     sets = cut(with_sets(chosen.select("set", "keys", "text"), width), "sets")
-    first = F.element_at("keys", 1)
-    one = sets.select("set", "hashes", first["key"].alias("key"), F.pmod(F.xxhash64("set"), F.ceil(first["df"] / TILE)).cast("int").alias("tile"), F.lit(0).alias("side"), F.col("set").alias("component"))
-    found = cut(one.groupBy("key", "tile").applyInPandas(lambda k, r: _links(percent)((*k, 0), r), "a long, b long"), "links")
-    joined = components(found)
-    named = sets.join(joined.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-    flat = named.select("set", "component", F.explode("keys").alias("k")).select("set", "component", F.col("k.key").alias("key"), F.col("k.df").alias("df"))
-    mixed = flat.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x < y").select("key", "m")
-    left = cut(flat.join(mixed, "key").select("key", "m", "set", "component"), "mixed")
+    first = F.get("keys", F.lit(0))
+    one = sets.select("set", "hashes", first["key"].alias("key"), F.pmod(F.xxhash64("set"), F.ceil(first["df"] / TILE)).alias("i"), F.col("set").alias("component"), F.lit(0).alias("side"))
+    found = cut(_linked(one.withColumn("j", F.col("i")), percent), "links")
+    joined = components(found).withColumnRenamed("node", "set")
+    flat = kept.join(joined, "set", "left").select("set", "key", F.coalesce("component", "set").alias("component"))
+    by_key = Window.partitionBy("key")
+    mixed = flat.withColumns({"x": F.min("component").over(by_key), "y": F.max("component").over(by_key), "m": F.count("*").over(by_key)}).where("x < y")
     tiles = F.ceil(F.col("m") / TILE).cast("int")
-    side = F.pmod(F.xxhash64("set"), tiles).cast("int")
-    dealt = left.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    dealt = mixed.withColumns({"side": F.pmod(F.xxhash64("set"), tiles).cast("int"), "other": F.explode(F.sequence(F.lit(0), tiles - 1))})
     dealt = dealt.select("set", "component", "key", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    ready = dealt.join(sets.select("set", "hashes"), "set")
-    more = ready.groupBy("key", "i", "j").applyInPandas(lambda k, r: _links(percent)((*k, int(k[1] != k[2])), r), "a long, b long")
+    more = _linked(dealt.join(sets.select("set", "hashes"), "set"), percent)
     both = components(found.union(cut(more, "links")))
     named = classes.select("n", "h1", "h2", "set").join(both.withColumnRenamed("node", "set"), "set", "left")
     return prints.select("doc_id", "n", "h1", "h2"), named.select("n", "h1", "h2", F.coalesce("component", "set").alias("component"))
