@@ -208,13 +208,14 @@ def test_tree_loses_no_pair():
             extra = rng.integers(0, 1 << 60, cut).astype(np.uint64)
             sets.append(np.unique(np.concatenate([b[cut:], extra])))
     found = set()
-    for a, b in jaccard.SignatureTree(sets).pairs(80):
+    for a, b in jaccard.SignatureTree([jaccard.bitmap(s) for s in sets], [len(s) for s in sets]).pairs(80):
         found |= {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())}
     for i in range(len(sets)):
         for j in range(i):
             both = len(np.intersect1d(sets[i], sets[j]))
             if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
                 assert (j, i) in found
+                assert jaccard.near_rows([jaccard.bitmap(sets[k]) for k in (i, j)], [len(sets[k]) for k in (i, j)], [0, 1], 80, None) == {0, 1}
     assert len(found) < len(sets) * (len(sets) - 1) / 4
 
 

@@ -82,32 +82,42 @@ def fingerprints(docs: DataFrame, width: int, percent: int, frequent: np.ndarray
     return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, keys array<long>")
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """Words of 64 bits, a power of two of them, with four bits or more for every hash."""
+    words = max(1, 1 << (4 * len(hashes) // 64).bit_length())
+    place = mix(hashes) % np.uint64(64 * words)
+    out = np.zeros(words, np.uint64)
+    np.bitwise_or.at(out, (place >> np.uint64(6)).astype(np.int64), np.uint64(1) << (place & np.uint64(63)))
+    return out
+
+
+def fold(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of the same set with fewer words: places are hashes modulo its size."""
+    return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
+
+
 def with_sets(chosen: DataFrame, width: int) -> DataFrame:
-    """chosen (set, n, keys, text) with `hashes` (binary, sorted distinct) in place of text."""
+    """chosen (set, key, df, near, text) with n, hashes (binary, sorted distinct) and bits (binary) in place of text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", _PART):
             h, n = _sets(batch, width)
-            data = h.tobytes()
-            end = np.cumsum(n) * 8
-            hashes = pa.array([data[b - 8 * k : b] for b, k in zip(end.tolist(), n.tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("set"), batch.column("keys"), hashes], names=["set", "keys", "hashes"])
+            end = np.cumsum(n)
+            sets = [h[b - k : b] for b, k in zip(end.tolist(), n.tolist())]
+            cols = [pa.array(n.astype(np.int64)), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([bitmap(x).tobytes() for x in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("set", "key", "df", "near")), *cols], names=["set", "key", "df", "near", "n", "hashes", "bits"])
 
-    return chosen.mapInArrow(run, "set long, keys array<struct<df:bigint,key:bigint>>, hashes binary")
+    return chosen.select("set", "key", "df", "near", "text").mapInArrow(run, "set long, key long, df long, near boolean, n long, hashes binary, bits binary")
 
 
 class SignatureTree:
-    """Nodes over sets that are sorted by size and least shingle: OR-combined bitmaps, size ranges, most collisions."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        n = np.array([len(s) for s in sets], np.int64)
-        least = np.array([s[0] for s in sets], np.uint64)
-        self.order = np.lexsort((least, n))
-        flat = np.concatenate([sets[i] for i in self.order])
-        row = np.repeat(np.arange(len(sets)), n[self.order])
-        bits = np.zeros((len(sets), SIGNATURE), np.uint64)
-        place = mix(flat) % np.uint64(64 * SIGNATURE)
-        np.bitwise_or.at(bits, (row, (place >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (place & np.uint64(63)))
+    """Nodes over sets that are sorted by size: OR-combined bitmaps, size ranges, most collisions."""
+
+    def __init__(self, bitmaps: list[np.ndarray], sizes: list[int]):
+        words = min(SIGNATURE, *(len(b) for b in bitmaps))
+        bits, n = np.stack([fold(b, words) for b in bitmaps]), np.array(sizes, np.int64)
+        self.order = np.lexsort((bits[:, 0], n))
+        bits = bits[self.order]
         low = high = n[self.order]
         slack = low - np.bitwise_count(bits).sum(axis=1).astype(np.int64)
         self.levels = [(bits, low, high, slack)]
@@ -166,7 +176,7 @@ def forest(sets: list[np.ndarray], groups: list, percent: int, sides: np.ndarray
         return g
 
     out = []
-    for a, b in SignatureTree(sets).pairs(percent):
+    for a, b in SignatureTree([bitmap(x) for x in sets], [len(x) for x in sets]).pairs(percent):
         for i, j in zip(a.tolist(), b.tolist()):
             if sides is not None and sides[i] == sides[j]:
                 continue
@@ -183,39 +193,69 @@ def forest(sets: list[np.ndarray], groups: list, percent: int, sides: np.ndarray
     return out
 
 
-def _links(percent: int):
-    """Links of the groups (key, i, j) of a sorted partition, read as a stream; a group is a tile at most."""
+def near_rows(bits: list[np.ndarray], sizes: list[int], groups: list, percent: int, sides: list | None) -> set[int]:
+    """Which sets may reach the threshold with one of another group, by their bitmaps: no set that does is missing.
+
+    Two bitmaps of one size differ in as many places at most as the sets have elements that the other one lacks.
+    """
+    out: set[int] = set()
+    for a, b in SignatureTree(bits, sizes).pairs(percent):
+        for i, j in zip(a.tolist(), b.tolist()):
+            if groups[i] == groups[j] or (sides is not None and sides[i] == sides[j]) or (i in out and j in out):
+                continue
+            words = min(len(bits[i]), len(bits[j]))
+            apart = int(np.bitwise_count(fold(bits[i], words) ^ fold(bits[j], words)).sum())
+            if (100 + percent) * apart <= (100 - percent) * (sizes[i] + sizes[j]):
+                out |= {i, j}
+    return out
 
-    def group(key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
-        rows = list({r[0]: r for r in rows}.values())
-        if len(rows) < 2 or len({r[1] for r in rows}) < 2:
-            return []
-        sides = [r[2] for r in rows] if key[1] != key[2] else None
-        ids = [r[0] for r in rows]
-        return [(ids[i], ids[j]) for i, j in forest([np.frombuffer(r[3], np.uint64) for r in rows], [r[1] for r in rows], percent, sides)]
+
+def _by_group(columns: tuple[str, ...], names: list[str], work):
+    """A function over a partition sorted by (key, i, j): work on the distinct sets of each group, read as a stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows, out = None, [], []
+
+        def done() -> list[tuple]:
+            own = list({r[0]: r for r in rows}.values())
+            return work(now, own) if len(own) > 1 and len({r[1] for r in own}) > 1 else []
+
+        def give() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[c] for p in out], pa.int64()) for c in range(len(names))], names=names)
+
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("key", "i", "j", "set", "component", "side", "hashes")]
-            for k, i, j, *row in zip(*cols):
+            for k, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "set", "component", "side", *columns))):
                 if (k, i, j) != now:
-                    if rows:
-                        out += group(now, rows)
+                    out += done()
                     now, rows = (k, i, j), []
                 rows.append(tuple(row))
-            yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
+            yield give()
             out = []
-        if rows:
-            out = group(now, rows)
-            yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
+        out = done()
+        yield give()
 
     return run
 
 
-def _linked(rows: DataFrame, percent: int) -> DataFrame:
-    dealt = rows.select("key", F.col("i").cast("int"), F.col("j").cast("int"), "set", "component", F.col("side").cast("int"), "hashes")
-    return dealt.repartition(parallelism(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "set").mapInArrow(_links(percent), "a long, b long")
+def _links(percent: int):
+    def work(key: tuple, rows: list[tuple]) -> list[tuple]:
+        sides = [r[2] for r in rows] if key[1] != key[2] else None
+        return [(rows[i][0], rows[j][0]) for i, j in forest([np.frombuffer(r[3], np.uint64) for r in rows], [r[1] for r in rows], percent, sides)]
+
+    return _by_group(("hashes",), ["a", "b"], work)
+
+
+def _near(percent: int):
+    def work(key: tuple, rows: list[tuple]) -> list[tuple]:
+        sides = [r[2] for r in rows] if key[1] != key[2] else None
+        kept = near_rows([np.frombuffer(r[3], np.uint64) for r in rows], [r[4] for r in rows], [r[1] for r in rows], percent, sides)
+        return [(*key, rows[i][0], rows[i][1], rows[i][2]) for i in sorted(kept)]
+
+    return _by_group(("bits", "n"), ["key", "i", "j", "set", "component", "side"], work)
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(parallelism(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "set")
 
 
 def plausible(routed: DataFrame) -> DataFrame:
@@ -241,8 +281,9 @@ def similar_sets(docs: DataFrame, *, width: int = 5, percent: int = 80) -> tuple
        needs: what they have in common with others is a passage, not the most of their text. Shingles
        with one and the same group of classes count once.
     3. A class joins others by the routing shingle that the fewest have, where most links are found.
-    4. Routing shingles that still hold two components or more get a signature tree of their classes, so that every pair
-       of classes over the threshold is either in one component already or compared: no link is lost.
+    4. Routing shingles that still hold two components or more get a signature tree of their classes' bitmaps, then one of
+       the sets that may have a link to another component: every pair of classes over the threshold is either in one
+       component already or compared, so no link is lost.
 
     A shingle of many classes is dealt in tiles of TILE by hash, so no task has an unbounded group. Texts move once, for
     the classes that are left after step 2.
@@ -254,20 +295,22 @@ def similar_sets(docs: DataFrame, *, width: int = 5, percent: int = 80) -> tuple
     need = (F.floor(smaller / SPARE) + 1).cast("int")
     left = cut(plausible(classes.select("set", need.alias("need"), F.explode("keys").alias("key"))), "routed")
     kept = cut(distinct_groups(left), "groups")
-    keys = kept.groupBy("set").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("keys"))
-    chosen = own.withColumnRenamed("doc_id", "set").join(keys.hint("shuffle_hash"), "set")
-    sets = cut(with_sets(chosen.select("set", "keys", "text"), width), "sets")
-    first = F.get("keys", F.lit(0))
-    one = sets.select("set", "hashes", first["key"].alias("key"), F.pmod(F.xxhash64("set"), F.ceil(first["df"] / TILE)).alias("i"), F.col("set").alias("component"), F.lit(0).alias("side"))
-    found = cut(_linked(one.withColumn("j", F.col("i")), percent), "links")
+    first = kept.groupBy("set").agg(F.min(F.struct("df", "key")).alias("k")).select("set", "k.key", "k.df", F.pmod(F.xxhash64("set"), F.ceil(F.col("k.df") / TILE)).alias("i"))
+    first = first.withColumn("near", F.count("*").over(Window.partitionBy("key", "i")) > 1).select("set", "key", "df", "near")
+    chosen = own.withColumnRenamed("doc_id", "set").join(first.hint("shuffle_hash"), "set")
+    sets = cut(with_sets(chosen, width), "sets")
+    tile = F.pmod(F.xxhash64("set"), F.ceil(F.col("df") / TILE))
+    one = sets.where("near").select("key", tile.alias("i"), tile.alias("j"), "set", F.col("set").alias("component"), F.lit(0).cast("long").alias("side"), "hashes")
+    found = cut(_dealt(one).mapInArrow(_links(percent), "a long, b long"), "links")
     joined = components(found).withColumnRenamed("node", "set")
     flat = kept.join(joined, "set", "left").select("set", "key", F.coalesce("component", "set").alias("component"))
     by_key = Window.partitionBy("key")
     mixed = flat.withColumns({"x": F.min("component").over(by_key), "y": F.max("component").over(by_key), "m": F.count("*").over(by_key)}).where("x < y")
-    tiles = F.ceil(F.col("m") / TILE).cast("int")
-    dealt = mixed.withColumns({"side": F.pmod(F.xxhash64("set"), tiles).cast("int"), "other": F.explode(F.sequence(F.lit(0), tiles - 1))})
-    dealt = dealt.select("set", "component", "key", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    more = _linked(dealt.join(sets.select("set", "hashes"), "set"), percent)
+    tiles = F.ceil(F.col("m") / TILE)
+    dealt = mixed.withColumns({"side": F.pmod(F.xxhash64("set"), tiles), "other": F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1))})
+    dealt = dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "set", "component", "side")
+    near = _dealt(dealt.join(sets.select("set", "bits", "n"), "set")).mapInArrow(_near(percent), "key long, i long, j long, set long, component long, side long")
+    more = _dealt(cut(near, "near").join(sets.select("set", "hashes"), "set")).mapInArrow(_links(percent), "a long, b long")
     both = components(found.union(cut(more, "links")))
     named = classes.select("n", "h1", "h2", "set").join(both.withColumnRenamed("node", "set"), "set", "left")
     return prints.select("doc_id", "n", "h1", "h2"), named.select("n", "h1", "h2", F.coalesce("component", "set").alias("component"))
