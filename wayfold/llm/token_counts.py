@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from wayfold.llm.common import cut, parallelism, slices, texts_of, utf8
 from wayfold.llm.wordpieces import cache, tokenizer_path
 
-BLOCKS = "kind int, block long, bucket int, payload binary, doc_ids binary, n_bytes binary, slots binary, offsets binary"
+BLOCKS = "kind int, block long, bucket int, payload binary, doc_ids binary, n_bytes binary, slots binary, times binary, offsets binary"
 _VOCAB, _DOCS = 0, 1
 
 
@@ -36,7 +36,7 @@ def _blocks(buckets: int, most: int):
         from pyspark import TaskContext
 
         part, number = TaskContext.get().partitionId(), 0
-        schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32())] + [(n, pa.binary()) for n in ("payload", "doc_ids", "n_bytes", "slots", "offsets")])
+        schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32())] + [(n, pa.binary()) for n in ("payload", "doc_ids", "n_bytes", "slots", "times", "offsets")])
         slot_of: dict[bytes, int] = {}
         kept: list[tuple[np.ndarray, list, np.ndarray, np.ndarray]] = []
         size = 0
@@ -51,11 +51,21 @@ def _blocks(buckets: int, most: int):
                 by_bucket.setdefault(b, []).append(w)
             # A slot is the pre-token's place when the block's buckets are laid one after another.
             place[np.argsort(np.array(bucket_of, np.int64), kind="stable")] = np.arange(len(slot_of))
-            rows = [(_VOCAB, block, b, zlib.compress(b"\n".join(by_bucket[b]), 1), None, None, None, None) for b in sorted(by_bucket)]
+            rows = [(_VOCAB, block, b, zlib.compress(b"\n".join(by_bucket[b]), 1), None, None, None, None, None) for b in sorted(by_bucket)]
             doc_ids = [d for x in kept for d in x[1]]
             ids = np.array([-(1 << 63) if d is None else d for d in doc_ids], np.int64)
-            slots = np.concatenate([x[2] for x in kept]) if kept else np.empty(0, np.int64)
-            rows.append((_DOCS, block, -1, None, ids.tobytes(), _pack(np.concatenate([x[0] for x in kept])), _pack(place[slots]) if len(slots) else _pack(slots), _pack(np.concatenate([x[3] for x in kept]))))
+            words = np.concatenate([x[3] for x in kept])
+            doc = np.repeat(np.arange(len(words)), words)
+            pair = np.sort(doc << 32 | place[np.concatenate([x[2] for x in kept])])
+            new = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.empty(0, np.int64)
+            times, pair = np.diff(np.append(new, len(pair))), pair[new]
+            distinct, slots = np.bincount(pair >> 32, minlength=len(words)), pair & 0xFFFFFFFF
+            # Each document's slots in ascending order, as steps.
+            steps = np.diff(slots, prepend=0)
+            first = (np.cumsum(distinct) - distinct)[distinct > 0]
+            steps[first] = slots[first]
+            sizes = np.concatenate([x[0] for x in kept])
+            rows.append((_DOCS, block, -1, None, ids.tobytes(), *map(_pack, (sizes, steps, times, distinct))))
             slot_of.clear()
             kept.clear()
             number, size = number + 1, 0
@@ -120,15 +130,17 @@ def token_counts(docs: DataFrame, *, tokenizer: str | None = None, limit: int =
         right = right.sort_values("bucket")
         pieces = np.concatenate([np.empty(0, np.int64), *map(_unpack, right["counts"])])
         out = []
-        for ids, sizes, slots, lengths in zip(left["doc_ids"], left["n_bytes"], left["slots"], left["offsets"]):
-            lengths = _unpack(lengths)
-            run = np.concatenate([[0], np.cumsum(pieces[_unpack(slots)])]).astype(np.int64)
-            end = np.cumsum(lengths)
+        for ids, sizes, steps, times, distinct in zip(left["doc_ids"], left["n_bytes"], left["slots"], left["times"], left["offsets"]):
+            steps, distinct = _unpack(steps), _unpack(distinct)
+            end = np.cumsum(distinct)
+            way = np.concatenate([[0], np.cumsum(steps)])
+            slots = way[1:] - np.repeat(way[end - distinct], distinct)
+            run = np.concatenate([[0], np.cumsum(pieces[slots] * _unpack(times))]).astype(np.int64)
             doc = pd.Series(np.frombuffer(ids, np.int64)).astype("Int64").replace(-(1 << 63), pd.NA)
-            out.append(pd.DataFrame({"doc_id": doc, "n_bytes": _unpack(sizes), "n_tokens": run[end] - run[end - lengths]}))
+            out.append(pd.DataFrame({"doc_id": doc, "n_bytes": _unpack(sizes), "n_tokens": run[end] - run[end - distinct]}))
         return pd.concat(out)
 
-    kept = blocks.where(F.col("kind") == _DOCS).select("block", "doc_ids", "n_bytes", "slots", "offsets")
+    kept = blocks.where(F.col("kind") == _DOCS).select("block", "doc_ids", "n_bytes", "slots", "times", "offsets")
     sums = kept.groupBy("block").cogroup(counted.groupBy("block")).applyInPandas(total, "doc_id long, n_bytes long, n_tokens long")
     return sums.withColumn("over_limit", F.col("n_tokens") > limit)
 
