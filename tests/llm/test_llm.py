@@ -45,7 +45,7 @@ def removed_bytes(rows, least=50):
     return sorted(out, key=key)
 
 
-@pytest.mark.parametrize("options", [{}, {"block_bytes": 3000, "batch_bytes": 400, "buckets": 7, "most_broadcast_bytes": 0}])
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 3000, "batch_bytes": 400, "buckets": 7, "most_broadcast_bytes": 0}, {"hot_documents": 3, "block_bytes": 5000}])
 def test_repeats(docs, options):
     got = suffixes.remove_repeats(docs, **options)
     assert sorted(map(tuple, got.collect()), key=key) == removed_bytes(ROWS)

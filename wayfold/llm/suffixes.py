@@ -19,6 +19,8 @@ GRAM = 20
 BLOCK_BYTES, BATCH_BYTES = 8 << 20, 3 << 19
 #: Size up to which the flags of repeated grams are broadcast; beyond it they are joined by a shuffle.
 MOST_BROADCAST_BYTES = 32 << 20
+#: Documents (to a factor of two) from which on a key's windows go to all buckets one by one.
+HOT_DOCUMENTS = 16_384
 #: No byte of UTF-8.
 SEPARATOR = 0xFF
 
@@ -130,43 +132,57 @@ def _key_rows(buckets: int, least: int):
                 keys, doc = keys[order], doc[order]
                 at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
                 uniq = keys[at]
-                several = np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at) if len(at) else np.empty(0, bool)
+                # Documents with the key, as a power of two at most as large.
+                fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])]) if len(keys) else np.empty(0, bool)
+                counts = np.add.reduceat(fresh.astype(np.int64), at) if len(at) else np.empty(0, np.int64)
+                docs = np.log2(counts).astype(np.uint8)
                 bucket = (uniq >> np.uint64(40)).astype(np.int64)
                 edges = np.searchsorted(bucket, np.arange(buckets + 1))
                 five = np.ascontiguousarray(uniq.view(np.uint8).reshape(-1, 8)[:, :5])
-                rows = [(row["block"], b, five[x:y].tobytes(), np.packbits(several[x:y]).tobytes()) for b, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if y > x]
+                rows = [(row["block"], b, five[x:y].tobytes(), docs[x:y].tobytes()) for b, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if y > x]
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "bucket", "keys", "several"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "bucket", "keys", "docs"])
 
     return run
 
 
-def _flag(table: pa.Table) -> pa.Table:
-    """For one bucket: which of each block's keys stand in several documents."""
-    blocks, parts, several = (table.column(c).to_pylist() for c in ("block", "keys", "several"))
-    sizes = [len(p) // 5 for p in parts]
-    wide = np.zeros((sum(sizes), 8), np.uint8)
-    wide[:, :5] = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 5)
-    keys = wide.view(np.uint64).ravel()
-    here = np.concatenate([np.unpackbits(np.frombuffer(s, np.uint8))[:n] for s, n in zip(several, sizes)]).astype(bool)
-    order = np.argsort(keys, kind="stable")
-    ranked = keys[order]
-    same = ranked[1:] == ranked[:-1]
-    more = np.zeros(len(keys), bool)
-    more[order[1:]] |= same
-    more[order[:-1]] |= same
-    group = np.concatenate([[0], np.cumsum(~same)])
-    any_here = np.zeros(group[-1] + 1, bool)
-    np.logical_or.at(any_here, group, here[order])
-    flags = more | here
-    edges = np.concatenate([[0], np.cumsum(sizes)])
-    masks = [np.packbits(flags[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:])]
-    return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": table.column("bucket"), "mask": pa.array(masks, pa.binary()), "n": pa.array(sizes, pa.int64())})
+def _flag(hot_documents: int):
+    def run(table: pa.Table) -> pa.Table:
+        """For one bucket: which of each block's keys stand in several documents, and which in very many."""
+        blocks, parts, docs = (table.column(c).to_pylist() for c in ("block", "keys", "docs"))
+        sizes = [len(p) // 5 for p in parts]
+        wide = np.zeros((sum(sizes), 8), np.uint8)
+        wide[:, :5] = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 5)
+        keys = wide.view(np.uint64).ravel()
+        count = np.int64(1) << np.frombuffer(b"".join(docs), np.uint8).astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
+        total = np.empty(len(keys), np.int64)
+        total[order] = np.add.reduceat(count[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+        edges = np.concatenate([[0], np.cumsum(sizes)])
+        masks = [np.packbits(total[a:b] > 1).tobytes() + np.packbits(total[a:b] >= hot_documents).tobytes() for a, b in zip(edges[:-1], edges[1:])]
+        return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": table.column("bucket"), "mask": pa.array(masks, pa.binary()), "n": pa.array(sizes, pa.int64())})
+
+    return run
 
 
 SEGMENTS = "bucket int, block long, n_bytes long, keys binary, doc binary, ids binary, start binary, size binary, bytes binary"
 
 
+def _windows_of(block: Block, doc: np.ndarray, start: np.ndarray, windows: np.ndarray, least: int, buckets: int) -> tuple[np.ndarray, ...]:
+    """(key, doc, start, size) of single windows, keyed by their own bytes: equal ones meet, in all buckets alike."""
+    line = np.repeat(np.arange(len(doc)), windows)
+    shift = np.arange(int(windows.sum())) - np.repeat(np.cumsum(windows) - windows, windows)
+    doc, start = doc[line], start[line] + shift
+    keys = np.empty(len(doc), np.uint64)
+    for at in range(0, len(doc), 20_000):
+        part = slice(at, at + 20_000)
+        raw = block.raw[(block.off[doc[part]] + start[part])[:, None] + np.arange(least)]
+        first = np.arange(len(raw)) * least
+        keys[part] = _routed(mix(segment_hashes(raw.ravel(), first, np.full(len(raw), least))), buckets)
+    return keys, doc, start, np.full(len(doc), least, np.int64)
+
+
 def _segment_rows(buckets: int, least: int):
     """The segments of keys that several documents have, by bucket."""
 
@@ -177,12 +193,18 @@ def _segment_rows(buckets: int, least: int):
                 keys, doc, start, windows = block.segments(least)
                 keys = _routed(keys, buckets)
                 uniq, place = np.unique(keys, return_inverse=True)
-                flags = np.concatenate([np.unpackbits(np.frombuffer(m["mask"], np.uint8))[: m["n"]] for m in sorted(row["masks"], key=lambda m: m["bucket"])] or [np.empty(0, np.uint8)]).astype(bool)
+                masks = sorted(row["masks"], key=lambda m: m["bucket"])
+                unpack = lambda half: np.concatenate([np.unpackbits(np.frombuffer(m["mask"], np.uint8).reshape(2, -1)[half])[: m["n"]] for m in masks] or [np.empty(0, np.uint8)]).astype(bool)
+                flags, hot = unpack(0), unpack(1)
                 if len(flags) != len(uniq):
                     raise RuntimeError("flags of another block")
                 keep = np.flatnonzero(flags[place]) if len(uniq) else np.empty(0, np.int64)
-                keep = keep[np.argsort(keys[keep], kind="stable")]
-                keys, doc, start, size = keys[keep], doc[keep], start[keep], windows[keep] + least - 1
+                very = hot[place[keep]] if len(keep) else np.empty(0, bool)
+                single = _windows_of(block, doc[keep[very]], start[keep[very]], windows[keep[very]], least, buckets)
+                keep = keep[~very]
+                keys, doc, start, size = (np.concatenate(x) for x in zip((keys[keep], doc[keep], start[keep], windows[keep] + least - 1), single))
+                order = np.argsort(keys, kind="stable")
+                keys, doc, start, size = keys[order], doc[order], start[order], size[order]
                 bucket = (keys >> np.uint64(40)).astype(np.int64)
                 edges = np.searchsorted(bucket, np.arange(buckets + 1))
                 for b, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
@@ -392,7 +414,7 @@ def _results(least: int, with_text: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, least: int = 50, with_text: bool = False, buckets: int | None = None, block_bytes: int = BLOCK_BYTES, batch_bytes: int = BATCH_BYTES, most_broadcast_bytes: int = MOST_BROADCAST_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, least: int = 50, with_text: bool = False, buckets: int | None = None, block_bytes: int = BLOCK_BYTES, batch_bytes: int = BATCH_BYTES, most_broadcast_bytes: int = MOST_BROADCAST_BYTES, hot_documents: int = HOT_DOCUMENTS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]): documents without what earlier ones hold.
 
     Every byte goes that a `least`-byte string covers which also starts in a document with a smaller doc_id. Texts are
@@ -406,7 +428,8 @@ def remove_repeats(docs: DataFrame, *, least: int = 50, with_text: bool = False,
     4. Windows with a smaller holder go back to their blocks as runs, and are cut out there.
 
     Keys are 40 bits and the bucket: equal ones only let more segments meet. A passage of a third of all documents is one
-    key a block in step 1 and equal segments in step 3.
+    key a block in step 1; from `hot_documents` on its windows are dealt to all buckets by their own hash, so that no bucket
+    has all the texts that such a passage stands in.
 
     Null texts are empty. Rows with a null id lose nothing and make nobody else lose anything. Rows of one id are not
     earlier than each other. Copies lose all (if they have `least` bytes). An empty table gives no rows; other columns are
@@ -417,8 +440,8 @@ def remove_repeats(docs: DataFrame, *, least: int = 50, with_text: bool = False,
     spark = docs.sparkSession
     n = buckets or max(128, parallelism(spark))
     blocks = cut(text_blocks(texts_of(docs), block_bytes), "blocks", codec="none")
-    keys = blocks.mapInArrow(_key_rows(n, least), "block long, bucket int, keys binary, several binary")
-    masks = cut(keys.groupBy("bucket").applyInArrow(_flag, "block long, bucket int, mask binary, n long"), "masks")
+    keys = blocks.mapInArrow(_key_rows(n, least), "block long, bucket int, keys binary, docs binary")
+    masks = cut(keys.groupBy("bucket").applyInArrow(_flag(hot_documents), "block long, bucket int, mask binary, n long"), "masks")
     by_block = masks.groupBy("block").agg(F.collect_list(F.struct("bucket", "mask", "n")).alias("masks"))
     small = (masks.agg(F.sum(F.octet_length("mask") + 24)).first()[0] or 0) <= most_broadcast_bytes
     flagged = blocks.join(F.broadcast(by_block) if small else by_block.hint("shuffle_hash"), "block")
