@@ -168,6 +168,7 @@ def forest(sets: list[np.ndarray], groups: list, percent: int, sides: np.ndarray
     if len(sets) < 2:
         return []
     parent = {g: g for g in groups}
+    group, side = np.unique(groups, return_inverse=True)[1], None if sides is None else np.array(sides)
 
     def root(g):
         while parent[g] != g:
@@ -177,9 +178,10 @@ def forest(sets: list[np.ndarray], groups: list, percent: int, sides: np.ndarray
 
     out = []
     for a, b in SignatureTree([bitmap(x) for x in sets], [len(x) for x in sets]).pairs(percent):
-        for i, j in zip(a.tolist(), b.tolist()):
-            if sides is not None and sides[i] == sides[j]:
-                continue
+        apart = group[a] != group[b]
+        if side is not None:
+            apart &= side[a] != side[b]
+        for i, j in zip(a[apart].tolist(), b[apart].tolist()):
             x, y = root(groups[i]), root(groups[j])
             if x == y:
                 continue
@@ -198,16 +200,20 @@ def near_rows(bits: list[np.ndarray], sizes: list[int], groups: list, percent: i
 
     Two bitmaps of one size differ in as many places at most as the sets have elements that the other one lacks.
     """
-    out: set[int] = set()
+    group, side = np.unique(groups, return_inverse=True)[1], np.array(sides if sides is not None else range(len(bits)))
+    flagged = np.zeros(len(bits), bool)
     for a, b in SignatureTree(bits, sizes).pairs(percent):
-        for i, j in zip(a.tolist(), b.tolist()):
-            if groups[i] == groups[j] or (sides is not None and sides[i] == sides[j]) or (i in out and j in out):
-                continue
-            words = min(len(bits[i]), len(bits[j]))
-            apart = int(np.bitwise_count(fold(bits[i], words) ^ fold(bits[j], words)).sum())
-            if (100 + percent) * apart <= (100 - percent) * (sizes[i] + sizes[j]):
-                out |= {i, j}
-    return out
+        for at in range(0, len(a), 4096):
+            x, y = a[at : at + 4096], b[at : at + 4096]
+            open_ = (group[x] != group[y]) & (side[x] != side[y]) & ~(flagged[x] & flagged[y])
+            for i, j in zip(x[open_].tolist(), y[open_].tolist()):
+                if flagged[i] and flagged[j]:
+                    continue
+                words = min(len(bits[i]), len(bits[j]))
+                apart = int(np.bitwise_count(fold(bits[i], words) ^ fold(bits[j], words)).sum())
+                if (100 + percent) * apart <= (100 - percent) * (sizes[i] + sizes[j]):
+                    flagged[[i, j]] = True
+    return set(np.flatnonzero(flagged).tolist())
 
 
 def _by_group(columns: tuple[str, ...], names: list[str], work):
