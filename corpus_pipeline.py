@@ -12,10 +12,6 @@ from wayfold.llm.packing import pack
 from wayfold.llm.quality import fit_quality, score_quality
 from wayfold.llm.tiling import benchmark_leaks
 
-#: A document goes if so much of its text stood in boilerplate lines that earlier documents keep.
-BOILERPLATE_SHARE = 0.8
-
-
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality network accepts."""
     net = fit_quality(docs, table(spark, sf_dir, "labels"))
@@ -23,10 +19,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without recurring lines; what was little else goes as a whole, its lines stay in the first document."""
+    """Texts without recurring lines; a document goes only if nothing is left of it: all it held stays in earlier ones."""
     out = drop_recurring_lines(docs)
-    whole = F.greatest(F.char_length(F.coalesce("text", F.lit(""))), F.lit(1))
-    gone = (F.col("n_dropped") > 0) & ((F.col("dropped_chars") >= BOILERPLATE_SHARE * whole) | (F.trim("text_kept") == ""))
+    gone = (F.col("n_dropped") > 0) & (F.trim(F.regexp_replace("text_kept", r"\s+", " ")) == "")
     kept = out.where(~gone).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text_kept").cast("long")).otherwise(F.col("n_chars")))
     return kept.withColumn("text", F.when(F.col("n_dropped") > 0, F.col("text_kept")).otherwise(F.col("text"))).select(docs.columns)
 
@@ -35,9 +30,12 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each group of near-duplicates (five words, a similarity of 0.8): the one with the least id."""
     named = jaccard_components(docs, width=5, percent=80)
     copies = cut(named.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    left = docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    left = docs.join(copies.hint("shuffle_hash"), "doc_id", "left_anti").select(docs.columns)
+    own = F.xxhash64("text").alias("_print")
+    if docs.groupBy("doc_id", own).count().where("count > 1").isEmpty():
+        return left
     # Rows that repeat an id with its text are copies too.
-    return left.withColumn("_print", F.xxhash64("text")).dropDuplicates(["doc_id", "_print"]).select(docs.columns)
+    return left.withColumn("_print", own).dropDuplicates(["doc_id", "_print"]).select(docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
