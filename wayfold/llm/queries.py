@@ -25,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_jaccard_join": jaccard.ORACLE,
     "op7_near_vectors": pivots.ORACLE,
     "op8_line_dedup": lines.ORACLE,
     "op10_secret_scan": secrets.ORACLE,
