@@ -18,6 +18,8 @@ TILE = 1000
 SIGNATURE, FANOUT = 32, 16
 #: A set of n shingles sends one routing shingle more for every SPARE of them, and shares as many with each partner.
 SPARE = 40
+#: Rounds in which each set that may have a link elsewhere is compared in one group, before all groups are.
+MERGES = 2
 #: Most of the frequent shingles that the common order puts last (a broadcast of 8 bytes each).
 MOST_FREQUENT = 20_000
 _PART = 2 << 20
@@ -316,7 +318,18 @@ def similar_sets(docs: DataFrame, *, width: int = 5, percent: int = 80) -> tuple
     dealt = mixed.withColumns({"side": F.pmod(F.xxhash64("set"), tiles), "other": F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1))})
     dealt = dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "set", "component", "side")
     near = _dealt(dealt.join(sets.select("set", "bits", "n"), "set")).mapInArrow(_near(percent), "key long, i long, j long, set long, component long, side long")
-    more = _dealt(cut(near, "near").join(sets.select("set", "hashes"), "set")).mapInArrow(_links(percent), "a long, b long")
+    near = cut(near, "near")
+    for turn in range(MERGES):
+        # One group for each set, the same for sets of like groups: most links that are left join their components here.
+        pick = F.min(F.struct(F.xxhash64("key", "i", "j", F.lit(turn)).alias("o"), "key", "i", "j", "component", "side")).alias("m")
+        one = near.groupBy("set").agg(pick).select("m.key", "m.i", "m.j", "set", "m.component", "m.side")
+        found = found.union(cut(_dealt(one.join(sets.select("set", "hashes"), "set")).mapInArrow(_links(percent), "a long, b long"), "links"))
+        joined = components(found).withColumnRenamed("node", "set")
+        group = Window.partitionBy("key", "i", "j")
+        named = near.drop("component").join(joined, "set", "left").withColumn("component", F.coalesce("component", "set"))
+        named = named.withColumns({"x": F.min("component").over(group), "y": F.max("component").over(group)}).where("x < y")
+        near = cut(named.select("key", "i", "j", "set", "component", "side"), "near")
+    more = _dealt(near.join(sets.select("set", "hashes"), "set")).mapInArrow(_links(percent), "a long, b long")
     both = components(found.union(cut(more, "links")))
     named = classes.select("n", "h1", "h2", "set").join(both.withColumnRenamed("node", "set"), "set", "left")
     return prints.select("doc_id", "n", "h1", "h2"), named.select("n", "h1", "h2", F.coalesce("component", "set").alias("component"))
