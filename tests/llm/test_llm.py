@@ -257,6 +257,28 @@ def test_vectors_recall_at_the_threshold(spark):
     assert sum(r.n_links for r in got) >= 0.9 * 3000
 
 
+@pytest.mark.parametrize(("n", "tile"), [(600, 100), (2000, 500), (6000, 6000)])
+def test_vectors_of_a_dense_group_are_brute_force(spark, monkeypatch, n, tile):
+    """A third of all rows in one group about the threshold, the others without a group, and a second small dimension."""
+    monkeypatch.setattr(pivots, "TILE", tile)
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64))
+    x[::3] = rng.normal(size=64) + 0.3 * rng.normal(size=(len(x[::3]), 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(n + i, [1.0, i * 0.1]) for i in range(30)]
+    near = []
+    for part in (x, np.array([v for _, v in rows[n:]])):
+        u = part / np.linalg.norm(part, axis=1, keepdims=True)
+        near.append(u @ u.T >= 0.9)
+    want = np.concatenate([m.sum(axis=1) - 1 for m in near])
+    got = {r.vec_id: r for r in pivots.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert [got[i].n_links for i in range(len(rows))] == want.tolist() and want[:n].sum() > n * n / 40
+    for base, m in ((0, near[0]), (n, near[1])):
+        label = np.arange(len(m))
+        while (new := np.where(m, label[None, :], len(m)).min(axis=1)).tolist() != label.tolist():
+            label = new
+        assert [got[base + i].component_id for i in range(len(m))] == (base + label).tolist()
+
+
 # --- 8: lines ---
 
 

@@ -1,4 +1,4 @@
-"""Near-duplicate vectors by a pivot-permutation index: ordered nearest reference points, inverted lists, exact checks."""
+"""Near-duplicate vectors by an exact pivot index: cells of nearest reference points in blocks, bounds by angle, exact checks."""
 
 from __future__ import annotations
 
@@ -6,15 +6,14 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import components, cut
 
-#: Vectors of an inverted list that meet in one task at most; longer lists are dealt in tiles.
-TILE = 1500
+#: Vectors of a block, of which two meet in a task; larger cells are dealt in tiles.
+TILE = 6000
 MOST_PIVOTS = 1 << 15
 
 
@@ -63,11 +62,8 @@ def choose_pivots(classes: DataFrame, count: int, *, most: int = MOST_PIVOTS) ->
     return {d: unit_rows(v, d) for d, v in by.items()}
 
 
-def index_vectors(classes: DataFrame, pivots: dict[int, np.ndarray], nearest: int) -> DataFrame:
-    """(pivot, class, size, dims, order binary, vector binary): a row in the inverted list of each of its `nearest` pivots.
-
-    Vectors of a number of dimensions that no pivot has get one list of their own.
-    """
+def place_vectors(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """(pivot, class, size, dims, vector binary): unit vectors with their nearest pivot, -1 where none has as many dimensions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -77,78 +73,135 @@ def index_vectors(classes: DataFrame, pivots: dict[int, np.ndarray], nearest: in
                 for d in np.unique(dims):
                     own = batch.filter(pa.array(dims == d))
                     x = unit_rows(own.column("vector").to_pylist(), int(d))
-                    if d in pivots:
-                        near = np.argsort(-(x @ pivots[d].T), axis=1, kind="stable")[:, :nearest].astype(np.int32)
-                    else:
-                        near = np.full((len(x), 1), -1, np.int32)
-                    k = near.shape[1]
-                    row = np.repeat(np.arange(len(x)), k)
-                    order = pa.array([r.tobytes() for r in near], pa.binary())
-                    take = pa.array(row)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(near.ravel()), own.column("class").take(take), own.column("size").take(take), own.column("dims").take(take), order.take(take), pa.array(x.astype(np.float64).view("V%d" % (8 * d)).ravel().tolist(), pa.binary()).take(take)],
-                        names=["pivot", "class", "size", "dims", "order", "vector"],
-                    )
-
-    return classes.mapInArrow(run, "pivot int, class long, size long, dims int, order binary, vector binary")
-
-
-def _verify(threshold: float, shared: int):
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        """Links of one tile of one pivot's list: sums for each class, and a forest with the links' components."""
-        pivot, dims, i, j = key
-        rows = rows.sort_values("class").reset_index(drop=True)
-        x = np.frombuffer(b"".join(rows["vector"]), np.float64).reshape(len(rows), dims)
-        order = np.frombuffer(b"".join(rows["order"]), np.int32).reshape(len(rows), -1)
-        local, column = np.unique(order, return_inverse=True)
-        hot = np.zeros((len(rows), len(local)), np.float32)
-        hot[np.repeat(np.arange(len(rows)), order.shape[1]), column.ravel()] = 1
-        before = hot[:, local < pivot]
-        ids, size, side = (rows[c].to_numpy() for c in ("class", "size", "side"))
-        links = np.zeros(len(rows), np.int64)
-        parent = list(range(len(rows)))
-
-        def root(a: int) -> int:
-            while parent[a] != a:
-                parent[a] = parent[parent[a]]
-                a = parent[a]
-            return a
-
-        edges = []
-        need = min(shared, order.shape[1])
-        for at in range(0, len(rows), 256):
-            to = slice(at, at + 256)
-            # A pair is looked at in the list of its least shared pivot alone.
-            ok = (hot[to] @ hot.T >= need) & (before[to] @ before.T == 0)
-            ok &= np.arange(len(rows))[None, :] > np.arange(at, min(at + 256, len(rows)))[:, None]
-            if i != j:
-                ok &= side[to, None] != side[None, :]
-            a, b = np.nonzero(ok)
-            if len(a):
-                a += at
-                near = np.einsum("nd,nd->n", x[a], x[b]) >= threshold if len(a) < len(rows) * 8 else (x[to] @ x.T)[a - at, b] >= threshold
-                a, b = a[near], b[near]
-                np.add.at(links, a, size[b])
-                np.add.at(links, b, size[a])
-                for p, q in zip(a.tolist(), b.tolist()):
-                    r, s = root(p), root(q)
-                    if r != s:
-                        parent[s] = r
-                        edges.append((p, q))
-        got = np.flatnonzero(links)
-        e = np.array(edges, np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": np.concatenate([ids[got], ids[e[:, 0]]]), "b": np.concatenate([ids[got], ids[e[:, 1]]]), "n": np.concatenate([links[got], np.zeros(len(e), np.int64)])})
+                    near = np.argmax(x @ pivots[d].T, axis=1).astype(np.int32) if d in pivots else np.full(len(x), -1, np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(near), own.column("class"), own.column("size"), own.column("dims"), pa.array([r.tobytes() for r in x], pa.binary())], names=["pivot", "class", "size", "dims", "vector"])
+
+    return classes.mapInArrow(run, "pivot int, class long, size long, dims int, vector binary")
+
+
+def deal_pivots(pivots: np.ndarray, counts: np.ndarray, most: int) -> list[list[int]]:
+    """Pivots in groups of neighbours with `most` vectors or fewer; a pivot with more is a group of its own."""
+    done, todo = [], [np.flatnonzero(counts)]
+    while todo:
+        own = todo.pop()
+        if len(own) < 2 or counts[own].sum() <= most:
+            done += [own.tolist()] if len(own) else []
+            continue
+        x = pivots[own]
+        far = x[np.argmin(x @ x[0])]
+        own = own[np.argsort(x @ (far - x[np.argmin(x @ far)]), kind="stable")]
+        half = int(np.searchsorted(np.cumsum(counts[own]), counts[own].sum() / 2))
+        half = min(max(half, 1), len(own) - 1)
+        todo += [own[half:], own[:half]]
+    return done
+
+
+def _block(key: tuple, rows: pa.Table) -> pa.Table:
+    """One row of a block: its vectors, and the cone that holds them as a direction and an angle."""
+    block, dims = (k.as_py() for k in key)
+    x = np.frombuffer(b"".join(rows.column("vector").to_pylist()), np.float64).reshape(-1, dims)
+    centre = x.sum(axis=0)
+    length = np.sqrt(centre @ centre)
+    centre = centre / length if length > 0 else x[0]
+    angle = float(np.arccos(np.clip(x @ centre, -1, 1)).max())
+    data = [rows.column(c).to_numpy().astype(np.int64).tobytes() for c in ("class", "size")]
+    return pa.table({"block": pa.array([block], pa.int32()), "dims": pa.array([dims], pa.int32()), "n": pa.array([len(x)], pa.int32()), "angle": [angle], "centre": pa.array([centre.tobytes()], pa.binary()), "ids": pa.array(data[:1], pa.binary()), "sizes": pa.array(data[1:], pa.binary()), "vectors": pa.array([x.tobytes()], pa.binary())})
+
+
+_BLOCK = "block int, dims int, n int, angle double, centre binary, ids binary, sizes binary, vectors binary"
+
+
+def block_pairs(cones: pa.Table, threshold: float) -> list[tuple[int, int, int]]:
+    """(i, j, block), twice for each pair i < j of blocks and once for i = j: pairs of cones that can hold a link."""
+    reach, out = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-6, []
+    dims = cones.column("dims").to_numpy()
+    for d in np.unique(dims).tolist():
+        own = cones.filter(pa.array(dims == d))
+        c, angle, name = np.frombuffer(b"".join(own.column("centre").to_pylist()), np.float64).reshape(-1, d), own.column("angle").to_numpy(), own.column("block").to_numpy()
+        for i in range(len(c)):
+            apart = np.arccos(np.clip(c[i:] @ c[i], -1, 1))
+            for j in (i + np.flatnonzero(apart <= angle[i] + angle[i:] + reach)).tolist():
+                p, q = int(name[i]), int(name[j])
+                out += [(p, q, k) for k in {p, q}]
+    return out
+
+
+def _verify(threshold: float):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        """All links of one pair of blocks: sums for each class, and a forest with the links' components."""
+        i, j = (k.as_py() for k in key)
+        parts = sorted(rows.to_pylist(), key=lambda r: r["block"])
+        dims, first = parts[0]["dims"], parts[0]["n"]
+        own = lambda c, kind: np.concatenate([np.frombuffer(r[c], kind) for r in parts])
+        x, ids, size = own("vectors", np.float64).reshape(-1, dims), own("ids", np.int64), own("sizes", np.int64)
+        low = x.astype(np.float32)
+        start = first if i != j else 0
+        # What single precision can be off by; nearer to the threshold the double product decides.
+        slack = 1e-6 + 2.4e-7 * dims
+        links, label, edges = np.zeros(len(x), np.int64), np.arange(len(x)), []
+        for at in range(0, first, 256):
+            to = min(at + 256, first)
+            begin = start if i != j else at
+            s = low[at:to] @ low[begin:].T
+            hit = s >= threshold + slack
+            a, b = np.nonzero(np.abs(s - threshold) <= slack)
+            for k in range(0, len(a), 1 << 16):
+                u, v = a[k : k + (1 << 16)], b[k : k + (1 << 16)]
+                hit[u, v] = np.einsum("nd,nd->n", x[at + u], x[begin + v]) >= threshold
+            if i == j:
+                hit[np.arange(to - at)[:, None] >= np.arange(len(x) - at)[None, :]] = False
+            some = np.flatnonzero(hit.any(axis=1))
+            if not len(some):
+                continue
+            links[at:to] += hit @ size[begin:]
+            links[begin:] += size[at:to] @ hit
+            for r in some.tolist():
+                p, q = at + r, begin + np.flatnonzero(hit[r])
+                q = q[label[q] != label[p]]
+                if len(q):
+                    other, where = np.unique(label[q], return_index=True)
+                    edges += [(p, w) for w in q[where].tolist()]
+                    label[np.isin(label, other)] = label[p]
+        got, e = np.flatnonzero(links), np.array(edges, np.int64).reshape(-1, 2)
+        return pa.table({"a": np.concatenate([ids[got], ids[e[:, 0]]]), "b": np.concatenate([ids[got], ids[e[:, 1]]]), "n": np.concatenate([links[got], np.zeros(len(e), np.int64)])})
 
     return run
 
 
-def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, nearest: int = 12, shared: int = 2) -> DataFrame:
+def near_links(classes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, n): n > 0 and a = b, a part of the links of class a; n = 0, a link of a spanning forest."""
+    spark = classes.sparkSession
+    pivots = choose_pivots(classes, classes.count())
+    placed = cut(place_vectors(classes, pivots), "placed")
+    held: dict[int, dict[int, int]] = {}
+    for r in placed.groupBy("dims", "pivot").count().toArrow().to_pylist():
+        held.setdefault(r["dims"], {})[r["pivot"]] = r["count"]
+    deal, name = [], 0
+    for d, own in sorted(held.items()):
+        counts = np.zeros(len(pivots[d]) if d in pivots else 1, np.int64)
+        for p, n in own.items():
+            counts[max(p, 0)] = n
+        for group in deal_pivots(pivots.get(d, np.zeros((1, d))), counts, TILE):
+            tiles = -(-int(counts[group].sum()) // TILE)
+            deal += [(d, p if d in pivots else -1, name, tiles) for p in group]
+            name += tiles
+    dealt = placed.join(F.broadcast(spark.createDataFrame(deal, "dims int, pivot int, base int, tiles int")), ["dims", "pivot"])
+    dealt = dealt.select((F.col("base") + F.pmod(F.xxhash64("class"), F.col("tiles"))).cast("int").alias("block"), "dims", "class", "size", "vector")
+    blocks = cut(dealt.groupBy("block", "dims").applyInArrow(_block, _BLOCK), "blocks")
+    pairs = spark.createDataFrame(block_pairs(blocks.select("block", "dims", "angle", "centre").toArrow(), threshold), "i int, j int, block int")
+    own = pairs.join(blocks, "block").select("i", "j", "block", "dims", "n", "ids", "sizes", "vectors")
+    return cut(own.groupBy("i", "j").applyInArrow(_verify(threshold), "a long, b long, n long"), "near")
+
+
+def near_vectors(vectors: DataFrame, *, threshold: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row.
 
-    Equal vectors are one class. Each class is described by its `nearest` reference points in order and stands in their
-    inverted lists; pairs of a list that share `shared` pivots are verified by cosine in double precision, so no link is
-    below the threshold. Lists of over TILE classes are dealt in tiles, and pairs are summed where they are found: no row
-    is made for a pair but those of a spanning forest. Every row is indexed, whatever its label.
+    Equal vectors are one class. Classes go to the cell of their nearest pivot; neighbouring cells make blocks of about TILE
+    classes, and a larger cell is dealt in several. A pair of blocks is left out only if the cones round them are too far
+    apart for any link, and all pairs of the others are verified by cosine in double precision (in single precision where
+    that is certain): the links are those of brute force, however many stand in one group. Pairs are summed where they are
+    found: no row is made for a pair but those of a spanning forest. Work grows with the square of a dense group, and with
+    the square of the table where vectors have no groups at all.
 
     Null, zero and non-finite vectors (or with null components) and rows with a null id link with nothing: n_links 0,
     component_id its own id. Only vectors of as many components compare. Rows that share an id count as vectors of their
@@ -156,13 +209,7 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.9, nearest: int = 1
     """
     members, first = vector_classes(vectors)
     classes = cut(first, "vectors")
-    pivots = choose_pivots(classes, classes.count())
-    listed = index_vectors(classes, pivots, nearest)
-    sizes = listed.groupBy("pivot", "dims").agg(F.ceil(F.count("*") / TILE).cast("int").alias("m"))
-    side = F.pmod(F.xxhash64("class"), F.col("m")).cast("int")
-    dealt = listed.join(sizes, ["pivot", "dims"]).withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
-    dealt = dealt.withColumns({"i": F.least("side", "other"), "j": F.greatest("side", "other")})
-    found = cut(dealt.groupBy("pivot", "dims", "i", "j").applyInPandas(_verify(threshold, shared), "a long, b long, n long"), "near")
+    found = near_links(classes, threshold)
     joined = components(found.where("n = 0").select("a", "b")).withColumnRenamed("node", "class")
     links = found.where("n > 0").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
     known = classes.select("class", "size").join(links, "class", "left").join(joined, "class", "left")
