@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -101,6 +102,46 @@ def drift(samples: DataFrame, ink: DataFrame, *, step: float, off: float, far: f
     return out.where((F.col("arc") >= least_arc) & (F.col("near") >= 2)).drop("near")
 
 
+def next_shapes(points: DataFrame) -> DataFrame:
+    """(s, other): every shape with the one of the next id; where there is none, with the shape of the least id."""
+    own = points.select("s").distinct()
+    ahead = own.select((F.col("s") - 1).alias("s"), F.col("s").alias("_next"))
+    return own.join(ahead, "s", "left").crossJoin(F.broadcast(own.agg(F.min("s").alias("_least")))).select("s", F.coalesce("_next", "_least").alias("other"))
+
+
+def by_pair(points: DataFrame, pairs: DataFrame, of: Callable[[np.ndarray, np.ndarray], tuple], schema: str) -> DataFrame:
+    """(s, *schema) of each pair (s, other): of(vertices of s, vertices of other), one row for each; a batch holds whole lines."""
+    line = points.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("k", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("p"))
+    flat = lambda name: [F.col(f"p.{c}").alias(f"{name}{c}") for c in "xy"]
+    both = pairs.join(line.select("s", *flat("a")), "s").join(line.select(F.col("s").alias("other"), *flat("b")), "other").select("s", "ax", "ay", "bx", "by")
+    names = ["s", *[part.split()[0] for part in schema.split(", ")]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield pd.DataFrame([(s, *of(np.stack([ax, ay], 1), np.stack([bx, by], 1))) for s, ax, ay, bx, by in rows.itertuples(index=False)], columns=names)
+
+    return both.mapInPandas(run, f"s long, {schema}")
+
+
+def sample_line(line: np.ndarray, step: float, *, ends: tuple[float, float] | None = None) -> np.ndarray:
+    """Points every `step` of way as `resample` makes them, or evenly from one arc to another with steps of `step` at most."""
+    cum = np.concatenate([[0.0], np.cumsum(np.hypot(*np.diff(line, axis=0).T))])
+    if ends is None:
+        at = np.arange(int(np.ceil(cum[-1] / step))) * float(step)
+    else:
+        at = np.linspace(*ends, max(1, int(np.ceil(abs(ends[1] - ends[0]) / step))) + 1)
+    return np.stack([np.interp(at, cum, line[:, 0]), np.interp(at, cum, line[:, 1])], 1)
+
+
+def pair_drift(samples: np.ndarray, ink: np.ndarray, *, step: float, off: float, far: float, least_arc: float = 80.0) -> tuple:
+    """(arc, drift, beyond, p90, median, worst) of `drift` for one shape's samples and the ink of one other; nulls where too little is near."""
+    d = np.hypot(samples[:, None, 0] - ink[None, :, 0], samples[:, None, 1] - ink[None, :, 1]).min(axis=1)
+    near, arc = d[d <= far], (len(d) - 1) * step
+    if len(near) < 2 or arc < least_arc:
+        return (None,) * 6
+    return arc, float((near > off).sum() * step), float((len(d) - len(near)) * step), *np.quantile(near, [0.9, 0.5]).tolist(), float(near.max())
+
+
 def islands(df: DataFrame, key: str, order: str, flag: str) -> DataFrame:
     """(key, first, last, n): maximal runs of rows of the key that have the flag."""
     w = Window.partitionBy(key).orderBy(order)

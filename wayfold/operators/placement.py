@@ -76,15 +76,22 @@ def measured_positions(shape: DataFrame, stops: DataFrame, *, most_metres: float
     return out.select("key", "i", F.when(F.col("a") & F.col("b") & ~F.col("bad"), F.col("_at") / F.col("total")).alias("u"))
 
 
-def rejoins(samples: DataFrame, ink: DataFrame, *, step: float, contact: float = 2.0, ride: float = 12.0, leave: float = 7.0, rejoin: float = 400.0) -> DataFrame:
+def rejoins(samples: DataFrame, ink: DataFrame, *, step: float, contact: float = 2.0, ride: float = 12.0, leave: float = 7.0, rejoin: float = 400.0, pairs: DataFrame | None = None) -> DataFrame:
     """(s, sid, k0, k1, off): stretches where a path that rode a stroke leaves it and comes back to it.
 
     samples: s, k, x, y every `step`; ink: sid, n, arc, x, y. A ride is `ride` of way within `contact` of the stroke; the
     stretch is `rejoin` long at most, and stands off by `leave` somewhere. Places far apart along the stroke are two visits.
+    With pairs (s, sid) each path is held against its own strokes alone, in grid cells of each stroke.
     """
     points = ink.select(F.struct("sid", "n").alias("id"), "x", "y")
     on = nearest_within(samples.select(F.struct("s", "k").alias("id"), "x", "y"), points, contact).where(F.col("d2") < contact * contact)
     on = on.select("id.s", "id.k", "nn_id.sid")
+    if pairs is not None:
+        cell = lambda c: F.floor(F.col(c) / contact)
+        around = lambda c: F.explode(F.array(*[cell(c) + n for n in (-1, 0, 1)]))
+        strokes = ink.select("sid", F.col("x").alias("_x"), F.col("y").alias("_y"), cell("x").alias("_cx"), cell("y").alias("_cy"))
+        own = samples.join(pairs, "s").withColumn("_cx", around("x")).withColumn("_cy", around("y")).join(strokes, ["sid", "_cx", "_cy"])
+        on = own.where(F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2) < contact * contact).select("s", "k", "sid").distinct()
     w = Window.partitionBy("s", "sid").orderBy("k")
     runs = on.withColumn("_g", F.col("k") - F.row_number().over(w)).groupBy("s", "sid", "_g").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count("*").alias("n"))
     runs = runs.where(F.col("n") >= math.ceil(ride / step))

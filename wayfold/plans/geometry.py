@@ -88,6 +88,12 @@ def w7(spark, sf_dir):
     return G.turns(G.resample(R.shape_points(spark, sf_dir).where("s % 7 = 0"), 20), 6).select("s", "k", F.round("theta", 3).alias("theta"))
 
 
+@query("w7_turns_all", f"with {_TURNS} select s, k, round(theta, 3) as theta from u")
+def w7_all(spark, sf_dir):
+    """Of every shape; `w7_turns` is a sample of it."""
+    return G.turns(G.resample(R.shape_points(spark, sf_dir), 20), 6).select("s", "k", F.round("theta", 3).alias("theta"))
+
+
 @query("w7b_zigzag", f"with {_TURNS}, z as (select s, theta, lag(theta) over (partition by s order by k) as b from u) select s, round(sum(case when abs(theta) > 45 and abs(b) > 45 and sign(theta) <> sign(b) then least(abs(theta), abs(b)) - 45 else 0 end), 2) as zig from z group by s")
 def w7b(spark, sf_dir):
     t = G.turns(G.resample(R.shape_points(spark, sf_dir), 20), 6).withColumn("b", F.lag("theta").over(G.by_shape()))
@@ -117,6 +123,18 @@ def k12(spark, sf_dir):
     return d.select("s", F.col("arc").cast("long").alias("arc"), F.col("drift").cast("long").alias("drift"), F.col("beyond").cast("long").alias("beyond"), *[F.round(c, 3).alias(c) for c in ("p90", "median", "worst")])
 
 
+@query("k12_drift_all")
+def k12_all(spark, sf_dir):
+    """The drift of every shape from the vertices of the next one; `k12_drift` takes a tenth against another tenth."""
+    pts = R.shape_points(spark, sf_dir)
+
+    def of(a, b):
+        return G.pair_drift(G.sample_line(a, 40), b, step=40, off=12, far=60)
+
+    d = G.by_pair(pts, G.next_shapes(pts), of, "arc double, drift double, beyond double, p90 double, median double, worst double").where("arc is not null")
+    return d.select("s", *[F.col(c).cast("long").alias(c) for c in ("arc", "drift", "beyond")], *[F.round(c, 3).alias(c) for c in ("p90", "median", "worst")])
+
+
 _K10 = f"""with {samples_sql(40)}, q as (select * from samples where s % 10 = 1), o as (select s - 1 as s, x, y from samples where s % 10 = 2),
 a as (select q.s, q.k, sqrt(min((q.x-o.x)**2+(q.y-o.y)**2)) as d from q join o on q.s = o.s group by all),
 b as (select o.s, o.x, o.y, sqrt(min((q.x-o.x)**2+(q.y-o.y)**2)) as d from q join o on q.s = o.s group by all)

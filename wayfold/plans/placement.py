@@ -38,10 +38,11 @@ def k7(spark, sf_dir):
 
 @query("k13_rejoins")
 def k13(spark, sf_dir):
-    """Stretches where a shape leaves the vertices of another one and comes back."""
+    """Stretches where a shape leaves the line of the next one and comes back, for every shape."""
     pts = R.shape_points(spark, sf_dir)
-    ink = G.resample(pts.where("s % 10 = 0"), 10).select(F.col("s").alias("sid"), F.col("k").alias("n"), (F.col("k") * 10.0).alias("arc"), "x", "y")
-    return placement.rejoins(G.resample(pts.where("s % 10 = 1"), 10), ink, step=10, contact=30, ride=20, leave=40, rejoin=400)
+    samples = G.resample(pts, 10)
+    ink = samples.select(F.col("s").alias("sid"), F.col("k").alias("n"), (F.col("k") * 10.0).alias("arc"), "x", "y")
+    return placement.rejoins(samples, ink, step=10, contact=30, ride=20, leave=40, rejoin=400, pairs=G.next_shapes(pts).withColumnRenamed("other", "sid"))
 
 
 _J14 = f"""with {samples_sql(100)}, a as (select * from samples where s % 25 = 1), b as (select s as other, k as j, x, y from samples where s % 25 = 2),
@@ -111,6 +112,13 @@ def p12(spark, sf_dir):
     return b.select("s", "k", F.expr("x0 < 100 and x1 > -100 and y0 < 50 and y1 > -50").alias("overlaps"), F.expr("x0 >= -100 and x1 <= 100 and y0 >= -50 and y1 <= 50").alias("inside"))
 
 
+@query("p12_occlusion_all", f"with {R.POINTS}, b as (select s, k, x - 12 as x0, x + 12 as x1, y - 12 as y0, y + 12 as y1 from points) select s, k, x0 < 100 and x1 > -100 and y0 < 50 and y1 > -50 as overlaps, x0 >= -100 and x1 <= 100 and y0 >= -50 and y1 <= 50 as inside from b")
+def p12_all(spark, sf_dir):
+    """Of every shape; `p12_occlusion` is a sample of it."""
+    b = R.shape_points(spark, sf_dir).select("s", F.col("k").cast("long").alias("k"), (F.col("x") - 12).alias("x0"), (F.col("x") + 12).alias("x1"), (F.col("y") - 12).alias("y0"), (F.col("y") + 12).alias("y1"))
+    return b.select("s", "k", F.expr("x0 < 100 and x1 > -100 and y0 < 50 and y1 > -50").alias("overlaps"), F.expr("x0 >= -100 and x1 <= 100 and y0 >= -50 and y1 <= 50").alias("inside"))
+
+
 @query("p10_open_bbox", f"with {R.POINTS} select s, k from points where x > -20 and x < 20 and y > -20 and y < 20")
 def p10(spark, sf_dir):
     return R.shape_points(spark, sf_dir).where("x > -20 and x < 20 and y > -20 and y < 20").select("s", F.col("k").cast("long").alias("k"))
