@@ -59,3 +59,38 @@ def test_all_shapes_and_records_take_part(spark):
         want = con.sql(entry.oracle_sql()[name])
         got = entry.queries()[name](spark, SF).select([d[0] for d in want.description])
         assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_corridor_windows():
+    """A route that runs on past both ends of its corridor: only the stretch between them counts."""
+    corridor = np.array([(0, 0), (100, 0)], float)
+    route = np.array([(0, 300), (0, 2), (50, 2), (50, 30), (60, 30), (60, 2), (100, 2), (100, 400)], float)
+    off, uncovered = G.corridor_error(route, corridor, gate=10, step=1)
+    assert abs(off - 30) < 1e-9 and abs(uncovered - 5.385) < 0.01
+    assert G.corridor_error(route[::-1], corridor, gate=10, step=1) == pytest.approx((off, uncovered))
+    assert G.corridor_error(route + [0, 50], corridor, gate=10, step=1) == (None, None)
+    assert G.corridor_error(np.array([(0, 0), (40, 0)], float), corridor, gate=10, step=1) == (None, None)
+    dense = G.sample_line(route, 2)
+    n, _, _, mx, cover = G.corridor_score(dense, G.sample_line(corridor, 2), reach=150, cover=3)
+    assert n < len(dense) / 4 and 29 < mx < 31 and 0.8 < cover < 1
+    assert G.corridor_score(dense + [0, 5000], G.sample_line(corridor, 2), reach=150, cover=3) == (None,) * 5
+
+
+def test_feet_of_lines_are_the_joins(spark):
+    pts, lines = shapes(spark)
+    probes = [(i, 1, float(x), float(y)) for i, (x, y) in enumerate(lines[0])]
+    want = G.feet(spark.createDataFrame(probes, "id int, s long, x double, y double"), G.edges(pts)).orderBy("id").collect()
+    dist, arc = G.line_feet(lines[0].astype(float), lines[1].astype(float))
+    assert np.allclose(dist, [r.dist for r in want]) and np.allclose(arc, [r.arc for r in want])
+
+
+def test_corridors_of_all_shapes(spark):
+    import __spark_entry__ as entry
+
+    if not os.path.isdir(SF):
+        pytest.skip("no test data")
+    q = entry.queries()
+    n = q["k22_fly_to"](spark, SF).count()
+    for name in ("k9_corridor_error_all", "k10_corridor_score_all"):
+        assert q[name](spark, SF).select("s").distinct().count() == n
+    assert q["k17_fit_robust"](spark, SF).count() == 6

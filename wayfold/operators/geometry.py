@@ -133,6 +133,41 @@ def sample_line(line: np.ndarray, step: float, *, ends: tuple[float, float] | No
     return np.stack([np.interp(at, cum, line[:, 0]), np.interp(at, cum, line[:, 1])], 1)
 
 
+def line_feet(points: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distance of each point from the line, and the arc of its foot: the first one on a tie."""
+    a, d = line[:-1], np.diff(line, axis=0)
+    long2 = (d * d).sum(axis=1)
+    f = np.clip(((points[:, None] - a) * d).sum(axis=2) / np.where(long2 > 0, long2, 1.0), 0, 1)
+    dist = np.hypot(*np.moveaxis(points[:, None] - a - f[..., None] * d, 2, 0))
+    best, rows = dist.argmin(axis=1), np.arange(len(points))
+    cum = np.concatenate([[0.0], np.cumsum(np.sqrt(long2))])
+    return dist[rows, best], cum[best] + f[rows, best] * np.sqrt(long2)[best]
+
+
+def corridor_error(line: np.ndarray, corridor: np.ndarray, *, gate: float, step: float) -> tuple:
+    """(off, uncovered): how far the line between the feet of the corridor's ends is from the corridor at most, and the
+    corridor from that stretch; samples every `step` at most. Nulls where a foot lies beyond the gate."""
+    dist, arc = line_feet(corridor[[0, -1]], line)
+    if dist.max() > gate:
+        return None, None
+    window = sample_line(line, step, ends=(float(arc.min()), float(arc.max())))
+    length = float(np.hypot(*np.diff(corridor, axis=0).T).sum())
+    return float(line_feet(window, corridor)[0].max()), float(line_feet(sample_line(corridor, step, ends=(0.0, length)), window)[0].max())
+
+
+def corridor_score(line: np.ndarray, corridor: np.ndarray, *, reach: float, cover: float) -> tuple:
+    """(n, p50, p90, mx, cover) of the points of a line between its closest ones to the corridor's ends; nulls where both
+    ends are beyond reach, or where there are not two points."""
+    way = np.hypot(line[:, None, 0] - corridor[None, [0, -1], 0], line[:, None, 1] - corridor[None, [0, -1], 1])
+    lo, hi = sorted(way.argmin(axis=0).tolist()) if len(line) else (0, 0)
+    if hi == lo or way.min() > reach:
+        return (None,) * 5
+    own = line[lo : hi + 1]
+    d = np.hypot(own[:, None, 0] - corridor[None, :, 0], own[:, None, 1] - corridor[None, :, 1])
+    off = d.min(axis=1)
+    return len(own), *np.quantile(off, [0.5, 0.9]).tolist(), float(off.max()), float((d.min(axis=0) < cover).mean())
+
+
 def pair_drift(samples: np.ndarray, ink: np.ndarray, *, step: float, off: float, far: float, least_arc: float = 80.0) -> tuple:
     """(arc, drift, beyond, p90, median, worst) of `drift` for one shape's samples and the ink of one other; nulls where too little is near."""
     d = np.hypot(samples[:, None, 0] - ink[None, :, 0], samples[:, None, 1] - ink[None, :, 1]).min(axis=1)

@@ -77,6 +77,14 @@ def k9(spark, sf_dir):
     return G.feet(q, G.edges(pts)).groupBy(F.col("id.s").alias("s")).agg(F.round(F.max("dist"), 3).alias("off"), F.count("*").alias("n"))
 
 
+@query("k9_corridor_error_all")
+def k9_all(spark, sf_dir):
+    """Every shape against the next one as its corridor, over the stretch between the feet of the corridor's ends."""
+    pts = R.shape_points(spark, sf_dir)
+    e = G.by_pair(pts, G.next_shapes(pts), lambda a, b: G.corridor_error(a, b, gate=150, step=100), "off double, uncovered double")
+    return e.select("s", F.round("off", 3).alias("off"), F.round("uncovered", 3).alias("uncovered"))
+
+
 _TURNS = samples_sql(20) + """,
 t as (select s, k, x - lag(x, 6) over w as ax, y - lag(y, 6) over w as ay, lead(x, 6) over w - x as bx, lead(y, 6) over w - y as qy,
   lead(x, 6) over w - lag(x, 6) over w as gx, lead(y, 6) over w - lag(y, 6) over w as gy from samples window w as (partition by s order by k)),
@@ -154,6 +162,18 @@ def k10(spark, sf_dir):
     return a.join(b, "s")
 
 
+@query("k10_corridor_score_all")
+def k10_all(spark, sf_dir):
+    """Samples of every shape against the next one's, between the closest ones to its ends."""
+    pts = R.shape_points(spark, sf_dir)
+
+    def of(a, b):
+        return G.corridor_score(G.sample_line(a, 40), G.sample_line(b, 40), reach=150, cover=60)
+
+    c = G.by_pair(pts, G.next_shapes(pts), of, "n double, p50 double, p90 double, mx double, cover double")
+    return c.select("s", F.col("n").cast("long").alias("n"), *[F.round(x, 3).alias(x) for x in ("p50", "p90", "mx")], F.round("cover", 4).alias("cover"))
+
+
 @query("a4_bbox", f"with {R.POINTS} select s, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1 from points group by s")
 def a4(spark, sf_dir):
     return R.shape_points(spark, sf_dir).groupBy("s").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))

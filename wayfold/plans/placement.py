@@ -61,6 +61,19 @@ def j14(spark, sf_dir):
     return means.groupBy("s").agg(F.min(F.struct("mean", "other")).alias("m")).select("s", "m.other", F.round("m.mean", 3).alias("mean"))
 
 
+def _behind(spark, sf_dir):
+    w = Window.partitionBy("s").orderBy("k")
+    p = R.shape_points(spark, sf_dir).withColumns({"tx": F.lead("x").over(w), "ty": F.lead("y").over(w)}).where("tx is not null")
+    return p.select((F.col("x") / 100).alias("lon"), (F.col("y") / 100).alias("lat"), "tx", "ty")
+
+
+@query("k17_fit_robust")
+def k17_robust(spark, sf_dir):
+    """The fit of `k17_fit` with soft-L1 weights, over all vertices in each round."""
+    cx, cy = fitting.fit_robust(_behind(spark, sf_dir), 0.0, 0.0)
+    return spark.createDataFrame([(i, round(a, 6), round(b, 6)) for i, (a, b) in enumerate(zip(cx, cy))], "term int, cx double, cy double")
+
+
 @query("k17_fit")
 def k17(spark, sf_dir):
     """Second-order fit of each vertex to the one behind it: sums over all vertices, one small solve."""
