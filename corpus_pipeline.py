@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.common import cut, table
 from wayfold.llm.jaccard import jaccard_components
-from wayfold.llm.lines import drop_recurring_lines
+from wayfold.llm.lines import LONG_WORDS, drop_recurring_lines
 from wayfold.llm.packing import pack
 from wayfold.llm.quality import fit_quality, score_quality
 from wayfold.llm.tiling import benchmark_leaks
@@ -20,7 +20,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without recurring lines; a document goes only if nothing is left of it: all it held stays in earlier ones."""
-    out = drop_recurring_lines(docs)
+    out = drop_recurring_lines(docs, long_words=LONG_WORDS)
     gone = (F.col("n_dropped") > 0) & (F.trim(F.regexp_replace("text_kept", r"\s+", " ")) == "")
     kept = out.where(~gone).withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.char_length("text_kept").cast("long")).otherwise(F.col("n_chars")))
     return kept.withColumn("text", F.when(F.col("n_dropped") > 0, F.col("text_kept")).otherwise(F.col("text"))).select(docs.columns)

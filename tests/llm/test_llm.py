@@ -376,6 +376,25 @@ def test_secrets(spark, empty):
     assert secrets.scan_secrets(empty)[0].count() == 0
 
 
+@pytest.mark.parametrize("texts", [2, 3, 7])
+def test_long_lines_of_few_texts(spark, texts):
+    """A line of 50 words goes from two texts on, a short one only from eight; the pipeline's stage does so."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline as pipe
+    from .conftest import WORDS
+
+    rng = random.Random(texts)
+    long, short = " ".join(f"{rng.choice(WORDS)}" for _ in range(50)), "see you next week"
+    own = [" ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(30)) for _ in range(texts)]
+    df = spark.createDataFrame([(i, f"{o}\n{long}\n{short}", 0) for i, o in enumerate(own)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in pipe.drop_lines(spark, df, "").collect()}
+    assert got == {i: f"{o}\n{long}\n{short}" if i == 0 else f"{o}\n{short}" for i, o in enumerate(own)}
+    assert lines.drop_recurring_lines(df).agg(F.sum("n_dropped")).first()[0] == 0
+
+
 @pytest.mark.parametrize("name", ["op7_near_vectors", "op8_line_dedup", "op10_secret_scan"])
 def test_oracles(spark, name):
     import os
