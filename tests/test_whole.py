@@ -55,7 +55,7 @@ def test_all_shapes_and_records_take_part(spark):
     con = duckdb.connect()
     for f in os.listdir(SF):
         con.execute(f"create view {f.split('.')[0]} as select * from '{SF}/{f}'")
-    for name in ("w7_turns_all", "p12_occlusion_all", "t15_triage_all"):
+    for name in ("w7_turns_all", "p12_occlusion_all", "t15_triage_all", "j13_crossings_all"):
         want = con.sql(entry.oracle_sql()[name])
         got = entry.queries()[name](spark, SF).select([d[0] for d in want.description])
         assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
@@ -94,3 +94,19 @@ def test_corridors_of_all_shapes(spark):
     for name in ("k9_corridor_error_all", "k10_corridor_score_all"):
         assert q[name](spark, SF).select("s").distinct().count() == n
     assert q["k17_fit_robust"](spark, SF).count() == 6
+
+
+def test_cheapest_way_is_the_least_of_all(spark):
+    import itertools
+
+    import __spark_entry__ as entry
+
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        p = rng.integers(-200, 200, (7, 2)).astype(float)
+        hop = lambda a, b: (w := float(np.hypot(*(p[a] - p[b])))) * (3 if w > 150 else 1)
+        ways = [(0, *mid, 6) for n in range(6) for mid in itertools.permutations(range(1, 6), n)]
+        assert abs(G.cheapest_way(p, long=150, times=3) - min(sum(map(hop, w, w[1:])) for w in ways)) < 1e-6
+    if os.path.isdir(SF):
+        q = entry.queries()
+        assert q["k15_shortest_path_all"](spark, SF).count() == q["k22_fly_to"](spark, SF).count()

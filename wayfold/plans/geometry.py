@@ -280,6 +280,17 @@ def j13(spark, sf_dir):
     return a.join(F.broadcast(b)).where(F.abs(1 - F.col("m") * F.col("n")) > 0.01).select("a", "b", F.round((F.col("m") * F.col("e") + F.col("c")) / (1 - F.col("m") * F.col("n")), 3).alias("y"))
 
 
+@query("j13_crossings_all", f"with {SPOTS}, g as (select *, floor(x / 10.0) as gx, floor(y / 10.0) as gy from spots) select a.id as a, b.id as b, round((a.x / 100.0 * b.y + a.y) / (1 - a.x / 100.0 * b.x / 100.0), 3) as y from g a join g b on a.gx = b.gx and a.gy = b.gy and a.id <> b.id and abs(1 - a.x / 100.0 * b.x / 100.0) > 0.01")
+def j13_all(spark, sf_dir):
+    """Every spot as a street and as an avenue, joined within grid cells of ten units."""
+    cell = [F.floor(F.col(c) / 10).alias(f"g{c}") for c in "xy"]
+    p = spots(spark, sf_dir)
+    a = p.select(F.col("id").alias("a"), (F.col("x") / 100).alias("m"), F.col("y").alias("c"), *cell)
+    b = p.select(F.col("id").alias("b"), (F.col("x") / 100).alias("n"), F.col("y").alias("e"), *cell)
+    met = a.join(b, ["gx", "gy"]).where((F.col("a") != F.col("b")) & (F.abs(1 - F.col("m") * F.col("n")) > 0.01))
+    return met.select("a", "b", F.round((F.col("m") * F.col("e") + F.col("c")) / (1 - F.col("m") * F.col("n")), 3).alias("y"))
+
+
 @query("k14_change_boxes")
 def k14(spark, sf_dir):
     """Boxes of moved vertices for each shape between two versions; one shape is one group."""
@@ -315,6 +326,14 @@ def k15(spark, sf_dir):
     return pts.groupBy("s").applyInPandas(path, "s long, cost double")
 
 
+@query("k15_shortest_path_all")
+def k15_all(spark, sf_dir):
+    """The cheapest way from the first to the last vertex of every shape over all its vertices."""
+    pts = R.shape_points(spark, sf_dir)
+    own = pts.select("s", F.col("s").alias("other")).distinct()
+    return G.by_pair(pts, own, lambda a, _: (G.cheapest_way(a, long=150, times=3),), "cost double").select("s", F.round("cost", 3).alias("cost"))
+
+
 @query("w6_islands", f"with {_TURNS}, f as (select s, k, abs(theta) > 30 as sharp from u), g as (select s, k, k - row_number() over (partition by s order by k) as g from f where sharp) select s, min(k) as first, max(k) as last, count(*) as n from g group by s, g")
 def w6(spark, sf_dir):
     t = G.turns(G.resample(R.shape_points(spark, sf_dir), 20), 6).withColumn("sharp", F.abs("theta") > 30)
