@@ -30,7 +30,7 @@ def test_drift_of_all_is_drift_of_each(spark):
     pts, _ = shapes(spark)
     pairs = {r.s: r.other for r in G.next_shapes(pts).collect()}
     got = G.by_pair(pts, G.next_shapes(pts), lambda a, b: G.pair_drift(G.sample_line(a, 40), b, step=40, off=12, far=60), "arc double, drift double, beyond double, p90 double, median double, worst double")
-    got = {r.s: tuple(r)[1:] for r in got.collect()}
+    got = {r.s: tuple(r)[2:] for r in got.collect()}
     assert set(got) == set(pairs)
     for s, other in list(pairs.items())[:3]:
         ink = pts.where(F.col("s") == other).select(F.struct("s", "k").alias("id"), "x", "y")
@@ -110,3 +110,13 @@ def test_cheapest_way_is_the_least_of_all(spark):
     if os.path.isdir(SF):
         q = entry.queries()
         assert q["k15_shortest_path_all"](spark, SF).count() == q["k22_fly_to"](spark, SF).count()
+
+
+def test_matches_of_all_shapes_are_brute_force(spark):
+    pts, lines = shapes(spark, n=14)
+    got = {r.s: (r.other, r.score) for r in G.match_shapes(pts, step=30, radius=20).collect()}
+    assert set(got) == set(lines)
+    for s, p in lines.items():
+        score, other = min((G.match_score(p.astype(float), q.astype(float), step=30)[1], o) for o, q in lines.items() if o != s)
+        assert got[s][0] == other and abs(got[s][1] - score) < 1e-9
+    assert G.match_shapes(pts.where("s = 1"), step=30, radius=20).count() == 0

@@ -110,17 +110,17 @@ def next_shapes(points: DataFrame) -> DataFrame:
 
 
 def by_pair(points: DataFrame, pairs: DataFrame, of: Callable[[np.ndarray, np.ndarray], tuple], schema: str) -> DataFrame:
-    """(s, *schema) of each pair (s, other): of(vertices of s, vertices of other), one row for each; a batch holds whole lines."""
+    """(s, other, *schema) of each pair (s, other): of(vertices of s, vertices of other), one row for each; a batch holds whole lines."""
     line = points.groupBy("s").agg(F.array_sort(F.collect_list(F.struct("k", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))).alias("p"))
     flat = lambda name: [F.col(f"p.{c}").alias(f"{name}{c}") for c in "xy"]
-    both = pairs.join(line.select("s", *flat("a")), "s").join(line.select(F.col("s").alias("other"), *flat("b")), "other").select("s", "ax", "ay", "bx", "by")
-    names = ["s", *[part.split()[0] for part in schema.split(", ")]]
+    both = pairs.join(line.select("s", *flat("a")), "s").join(line.select(F.col("s").alias("other"), *flat("b")), "other").select("s", F.col("other").cast("long").alias("other"), "ax", "ay", "bx", "by")
+    names = ["s", "other", *[part.split()[0] for part in schema.split(", ")]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            yield pd.DataFrame([(s, *of(np.stack([ax, ay], 1), np.stack([bx, by], 1))) for s, ax, ay, bx, by in rows.itertuples(index=False)], columns=names)
+            yield pd.DataFrame([(s, other, *of(np.stack([ax, ay], 1), np.stack([bx, by], 1))) for s, other, ax, ay, bx, by in rows.itertuples(index=False)], columns=names)
 
-    return both.mapInPandas(run, f"s long, {schema}")
+    return both.mapInPandas(run, f"s long, other long, {schema}")
 
 
 def cheapest_way(line: np.ndarray, *, long: float, times: float) -> float:
@@ -181,6 +181,37 @@ def corridor_score(line: np.ndarray, corridor: np.ndarray, *, reach: float, cove
     return len(own), *np.quantile(off, [0.5, 0.9]).tolist(), float(off.max()), float((d.min(axis=0) < cover).mean())
 
 
+def match_score(line: np.ndarray, other: np.ndarray, *, step: float) -> tuple[float, float]:
+    """(mean, score): mean distance of the line's samples from the other's, and with the distances of both ends added."""
+    a, b = (sample_line(p, step) if (p != p[0]).any() else p[:1] for p in (line, other))
+    mean = float(np.hypot(a[:, None, 0] - b[None, :, 0], a[:, None, 1] - b[None, :, 1]).min(axis=1).mean())
+    return mean, mean + float(np.hypot(*(line[0] - other[0])) + np.hypot(*(line[-1] - other[-1])))
+
+
+def match_shapes(points: DataFrame, *, step: float, radius: float) -> DataFrame:
+    """(s, other, mean, score): the other shape of the least `match_score` for every shape; the least id wins ties.
+
+    Candidates share grid cells of their first vertices and have ends no farther apart, in sum, than the radius. As a score
+    is never below that sum, a best score within the radius is the least of all; other shapes go on with a wider radius.
+    """
+    end = points.groupBy("s").agg(F.min(F.struct("k", "x", "y")).alias("p"), F.max(F.struct("k", "x", "y")).alias("q")).select("s", *[F.col(f"{e}.{c}").alias(f"{e}{c}") for e in "pq" for c in "xy"]).persist()
+    done, left = None, end
+    if end.count() < 2:
+        left = end.limit(0)
+    while done is None or not left.isEmpty():
+        cell = lambda c: F.floor(F.col(c) / radius)
+        around = lambda c: F.explode(F.array(*[cell(c) + n for n in (-1, 0, 1)]))
+        to = end.select(F.col("s").alias("other"), *[F.col(c).alias(f"o{c}") for c in ("px", "py", "qx", "qy")], cell("px").alias("gx"), cell("py").alias("gy"))
+        apart = F.hypot(F.col("px") - F.col("opx"), F.col("py") - F.col("opy")) + F.hypot(F.col("qx") - F.col("oqx"), F.col("qy") - F.col("oqy"))
+        near = left.withColumn("gx", around("px")).withColumn("gy", around("py")).join(to, ["gx", "gy"]).where((F.col("s") != F.col("other")) & (apart <= radius))
+        scored = by_pair(points, near.select("s", "other"), lambda a, b: match_score(a, b, step=step), "mean double, score double")
+        best = scored.groupBy("s").agg(F.min(F.struct("score", "other", "mean")).alias("m")).select("s", "m.other", "m.mean", "m.score")
+        found = best.where(F.col("score") <= radius).persist()
+        done = found if done is None else done.unionByName(found)
+        left, radius = left.join(found.select("s"), "s", "left_anti"), radius * 1.5
+    return done
+
+
 def pair_drift(samples: np.ndarray, ink: np.ndarray, *, step: float, off: float, far: float, least_arc: float = 80.0) -> tuple:
     """(arc, drift, beyond, p90, median, worst) of `drift` for one shape's samples and the ink of one other; nulls where too little is near."""
     d = np.hypot(samples[:, None, 0] - ink[None, :, 0], samples[:, None, 1] - ink[None, :, 1]).min(axis=1)

@@ -67,6 +67,13 @@ def _behind(spark, sf_dir):
     return p.select((F.col("x") / 100).alias("lon"), (F.col("y") / 100).alias("lat"), "tx", "ty")
 
 
+@query("j14_shape_match_all")
+def j14_all(spark, sf_dir):
+    """Every shape with the other one that is least away by mean distance and both ends; `j14_shape_match` takes a sample."""
+    m = G.match_shapes(R.shape_points(spark, sf_dir), step=100, radius=64)
+    return m.select("s", "other", F.round("mean", 3).alias("mean"), F.round("score", 3).alias("score"))
+
+
 @query("k17_fit_robust")
 def k17_robust(spark, sf_dir):
     """The fit of `k17_fit` with soft-L1 weights, over all vertices in each round."""
