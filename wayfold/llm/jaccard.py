@@ -1,4 +1,4 @@
-"""Similarity join of documents on word shingles: shared rare shingles route documents, signature trees join them."""
+"""Similarity join of documents on word shingles: rare shared shingles route documents, signature trees join them."""
 
 from __future__ import annotations
 
@@ -6,82 +6,203 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import components, cut, parallelism, slices, texts_of, utf8
+from wayfold.llm.keyblocks import buckets_for, level_of_each, spread, squeeze, with_levels
 from wayfold.llm.shingles import distinct_in_text, mix, shingle_hashes, word_hashes
 
-#: Documents of a group that meet in one task at most; larger groups are dealt in tiles.
-TILE = 1000
+#: Sets, and bytes of sets, of a group that meet in one task at most; larger groups are dealt in tiles.
+TILE, TILE_BYTES = 1000, 32 << 20
 #: Words of 64 bits of a signature, children of a tree node.
 SIGNATURE, FANOUT = 32, 16
-#: A set of n shingles sends one routing shingle more for every SPARE of them, and shares as many with each partner.
+#: In the first order a set of n shingles looks at one more for every SPARE of them, and shares as many with each partner.
 SPARE = 40
-#: Rounds in which each set that may have a link elsewhere is compared in one group, before all groups are.
-MERGES = 2
-#: Most of the frequent shingles that the common order puts last (a broadcast of 8 bytes each).
-MOST_FREQUENT = 20_000
-_PART = 2 << 20
+#: Rounds in which each set is compared in one group and tile, before all groups that still hold several components are.
+MERGES = 3
+#: Parts in which the classes of copies are given their component, so that no class of copies lands in one task.
+SALTS = 16
+_PART, _BLOCK = 2 << 20, 8 << 20
 
 
-def _sets(batch: pa.RecordBatch, width: int) -> tuple[np.ndarray, np.ndarray]:
-    return distinct_in_text(*shingle_hashes(*word_hashes(*utf8(batch.column("text"))), width))
+def _sets(raw: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    return distinct_in_text(*shingle_hashes(*word_hashes(raw, off), width))
 
 
-def frequent_shingles(docs: DataFrame, width: int, *, most: int = MOST_FREQUENT) -> np.ndarray:
-    """Up to `most` shingles of many documents, as sorted hashes. They only change the order, never the result."""
+def _in_parts(raw: np.ndarray, off: np.ndarray, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The sets of many texts, a few megabytes of text at a time."""
+    at = 0
+    while at < len(off) - 1:
+        end = max(at + 1, int(np.searchsorted(off, off[at] + _PART, "right")) - 1)
+        yield _sets(raw[off[at] : off[end]], off[at : end + 1] - off[at], width)
+        at = end
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n_docs = [], 0
-        for batch in slices(batches, "text", _PART):
-            n_docs += batch.num_rows
-            seen.append(_sets(batch, width)[0])
-            if sum(map(len, seen)) > 6_000_000:
-                yield from give(seen, n_docs)
-                seen, n_docs = [], 0
-        yield from give(seen, n_docs)
 
-    def give(seen: list[np.ndarray], n_docs: int) -> Iterator[pa.RecordBatch]:
-        if seen:
-            h, c = np.unique(np.concatenate(seen), return_counts=True)
-            many = c >= max(8, n_docs // 1000)
-            yield pa.RecordBatch.from_arrays([pa.array(h[many].view(np.int64)), pa.array(c[many].astype(np.int64))], names=["h", "c"])
+def _lacking(n: np.ndarray, percent: int) -> np.ndarray:
+    """How many shingles of a set of n a partner over the threshold may lack."""
+    return n - -(-percent * n // 100)
 
-    found = docs.select("text").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).orderBy(F.desc("c"), "h").limit(most).toArrow()
-    return np.sort(found.column("h").to_numpy().view(np.uint64))
 
+def _prints(h: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit hashes of each set."""
+    at, full = np.cumsum(n) - n, n > 0
+    sums = [np.zeros(len(n), np.uint64) for _ in range(2)]
+    if len(h):
+        with np.errstate(over="ignore"):
+            for s, salt in zip(sums, (0x1B873593, 0x85EBCA6B)):
+                s[full] = np.add.reduceat(mix(h ^ np.uint64(salt)), at[full])
+    return sums
 
-def fingerprints(docs: DataFrame, width: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """(doc_id, n, h1, h2, keys): the size of each set, its 128-bit hash and its routing shingles.
 
-    These are the first n - ceil(percent * n / 100) + needed(n) shingles in an order that all sets have in common: by hash,
-    the frequent ones last. Of two sets over the threshold take the one whose last routing shingle comes first: it lacks
-    n - ceil(percent * n / 100) shingles of the other at most, so needed(n) of its routing shingles at least are shared, and
-    they are routing shingles of the other too.
+PRINTS = "block long, n_keys long, doc_ids binary, known binary, n binary, h1 binary, h2 binary, keys binary"
+
+
+def print_blocks(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Blocks of documents: the size of each set, its 128-bit hash and its first shingles in the order of their hashes.
+
+    Of two sets over the threshold take the one whose last such shingle comes first. It lacks `_lacking(n)` shingles of
+    the other at most, so of its n_lacking + 1 + n // SPARE first ones 1 + n // SPARE at least are the other's too, and
+    stand among the other's first ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        base = TaskContext.get().partitionId() << 32
+        for number, batch in enumerate(slices(batches, "text", _BLOCK)):
+            cols = []
+            for h, n in _in_parts(*utf8(batch.column("text")), width):
+                rank = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+                take = np.where(n > 0, _lacking(n, percent) + 1 + n // SPARE, 0)
+                cols.append((n, *_prints(h, n), h[rank < np.repeat(take, n)]))
+            n, h1, h2, keys = (np.concatenate(c) for c in zip(*cols))
+            ids = batch.column("doc_id")
+            row = [base + number, len(keys), ids.fill_null(0).to_numpy().tobytes(), ids.is_valid().to_numpy(zero_copy_only=False).tobytes(), *(x.tobytes() for x in (n, h1, h2, keys))]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int64(), pa.int64(), *[pa.binary()] * 6))], names=[c.split()[0] for c in PRINTS.split(", ")])
+
+    return docs.mapInArrow(run, PRINTS)
+
+
+def _print_rows(row: dict) -> tuple[np.ndarray, ...]:
+    return tuple(np.frombuffer(row[c], k) for c, k in (("doc_ids", np.int64), ("known", bool), ("n", np.int64), ("h1", np.int64), ("h2", np.int64)))
+
+
+def documents_of(blocks: DataFrame) -> DataFrame:
+    """(doc_id, n, h1, h2) of every document of the blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, known, *rest = _print_rows(row)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, mask=~known), *map(pa.array, rest)], names=["doc_id", "n", "h1", "h2"])
+
+    return blocks.select("doc_ids", "known", "n", "h1", "h2").mapInArrow(run, "doc_id long, n long, h1 long, h2 long")
+
+
+def sharing_classes(blocks: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, n, h1, h2): one document of each class of equal sets whose first shingles others have often enough."""
+    spark = blocks.sparkSession
+    buckets = buckets_for(spark, blocks.agg(F.sum("n_keys")).first()[0] or 0)
+
+    def of(row: dict) -> tuple[np.ndarray, ...]:
+        """The row's documents, those that stand for their copies in it, and all keys with their document."""
+        ids, known, n, h1, h2 = _print_rows(row)
+        _, first = np.unique(np.stack([n, h1, h2], 1), axis=0, return_index=True) if len(n) else (None, np.empty(0, np.int64))
+        stands = np.zeros(len(n), bool)
+        stands[first] = True
+        # A copy without an id stands for nobody: those with an id come first.
+        for i in np.flatnonzero(stands & ~known).tolist():
+            same = np.flatnonzero(known & (n == n[i]) & (h1 == h1[i]) & (h2 == h2[i]))
+            stands[i] = False
+            stands[same[:1]] = True
+        stands &= n > 0
+        take = np.where(n > 0, _lacking(n, percent) + 1 + n // SPARE, 0)
+        owner = np.repeat(np.arange(len(n)), take)
+        keys = np.frombuffer(row["keys"], np.uint64)
+        return ids, n, h1, h2, stands, keys, owner
+
+    def keys_of(row: dict) -> np.ndarray:
+        *_, stands, keys, owner = of(row)
+        return mix(keys[stands[owner]])
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, n, h1, h2, stands, keys, owner = of(row)
+                owner, keys = owner[stands[owner]], keys[stands[owner]]
+                shared = np.bincount(owner[level_of_each(row, mix(keys), buckets) > 0], minlength=len(n))
+                # The smaller of two sets over the threshold has this many shingles at least.
+                left = np.flatnonzero(stands & (shared >= -(-percent * n // 100) // SPARE + 1))
+                yield pa.RecordBatch.from_arrays([pa.array(x[left]) for x in (ids, n, h1, h2)], names=["doc_id", "n", "h1", "h2"])
+
+    found = with_levels(blocks, keys_of, buckets).mapInArrow(keep, "doc_id long, n long, h1 long, h2 long")
+    return found.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("doc_id"))
+
+
+TEXTS = "block long, n_keys long, sets binary, sizes binary, text binary"
+
+
+def class_texts(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """Blocks of the texts of classes (set, doc_id, n, h1, h2), taken from any row with that doc_id and that set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        base = TaskContext.get().partitionId() << 32
+        for number, batch in enumerate(slices(batches, "text", _BLOCK)):
+            raw, off = utf8(batch.column("text"))
+            got = [(n, *_prints(h, n)) for h, n in _in_parts(raw, off, width)]
+            n, h1, h2 = (np.concatenate(x) for x in zip(*got))
+            same = (n == batch.column("n").to_numpy()) & (h1.view(np.int64) == batch.column("h1").to_numpy()) & (h2.view(np.int64) == batch.column("h2").to_numpy())
+            sizes = np.diff(off)
+            row = [base + number, int(n[same].sum()), batch.column("set").to_numpy()[same].tobytes(), sizes[same].tobytes(), squeeze(raw[np.repeat(same, sizes)])]
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int64(), pa.int64(), *[pa.binary()] * 3))], names=[c.split()[0] for c in TEXTS.split(", ")])
+
+    # Spark broadcasts the classes only if their table is under its own threshold.
+    return docs.where("doc_id is not null").join(classes, "doc_id").select("set", "n", "h1", "h2", "text").mapInArrow(run, TEXTS)
+
+
+ROUTES = "set long, n long, keys array<long>, hashes binary, bits binary"
+
+
+def routes(blocks: DataFrame, width: int, percent: int) -> DataFrame:
+    """(set, n, keys, hashes, bits): sets that may have a partner, with the shared ones of their rarest shingles.
+
+    All sets have one order of shingles in common: by the logarithm of the number of sets that hold them, then by hash. A
+    set lacks `_lacking(n)` shingles of a partner at most, so two sets over the threshold share one of their
+    lacking + 1 first. Shingles that one set alone has lead nowhere: a set that has enough of those has no partner.
     """
-    last = np.append(frequent, np.uint64(0))
+    buckets = buckets_for(blocks.sparkSession, blocks.agg(F.sum("n_keys")).first()[0] or 0)
+
+    def sets_of(row: dict) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        return _in_parts(spread(row["text"]), np.concatenate([[0], np.cumsum(np.frombuffer(row["sizes"], np.int64))]), width)
+
+    def keys_of(row: dict) -> np.ndarray:
+        return np.concatenate([np.empty(0, np.uint64), *(mix(h) for h, _ in sets_of(row))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", _PART):
-            h, n = _sets(batch, width)
-            at = np.cumsum(n) - n
-            full = n > 0
-            with np.errstate(over="ignore"):
-                sums = [np.zeros(len(n), np.uint64) for _ in range(2)]
-                for s, salt in zip(sums, (0x1B873593, 0x85EBCA6B)):
-                    if len(h):
-                        s[full] = np.add.reduceat(mix(h ^ np.uint64(salt)), at[full])
-            often = last[np.searchsorted(frequent, h)] == h if len(frequent) else np.zeros(len(h), bool)
-            text = np.repeat(np.arange(len(n)), n)
-            order = np.lexsort((h, often, text))
-            rank = np.arange(len(h)) - np.repeat(at, n)
-            take = np.where(full, n - (-(-percent * n // 100)) + 1 + n // SPARE, 0)
-            first = rank < take[text]
-            keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(take)]).astype(np.int32)), pa.array(h[order][first].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), *(pa.array(s.view(np.int64)) for s in sums), keys], names=["doc_id", "n", "h1", "h2", "keys"])
-
-    return docs.mapInArrow(run, "doc_id long, n long, h1 long, h2 long, keys array<long>")
+        for batch in batches:
+            for row in batch.to_pylist():
+                sets = np.frombuffer(row["sets"], np.int64)
+                levels, at, done = level_of_each(row, keys_of(row), buckets), 0, 0
+                for h, n in sets_of(row):
+                    level = levels[done : done + len(h)]
+                    text = np.repeat(np.arange(len(n)), n)
+                    order = np.lexsort((h, level, text))
+                    rank = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+                    first = order[(rank < (_lacking(n, percent) + 1)[text]) & (level[order] > 0)]
+                    many = np.bincount(text[first], minlength=len(n))
+                    end, stop = np.cumsum(n), np.cumsum(many)
+                    keys, rows = h[first].view(np.int64), []
+                    for i in np.flatnonzero(many).tolist():
+                        own = h[end[i] - n[i] : end[i]]
+                        rows.append((sets[at + i], n[i], keys[stop[i] - many[i] : stop[i]], own.tobytes(), bitmap(own).tobytes()))
+                    kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=[c.split()[0] for c in ROUTES.split(", ")])
+                    at, done = at + len(n), done + len(h)
+
+    return with_levels(blocks, keys_of, buckets).mapInArrow(run, ROUTES)
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
@@ -98,20 +219,6 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
     return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
 
 
-def with_sets(chosen: DataFrame, width: int) -> DataFrame:
-    """chosen (set, key, df, near, text) with n, hashes (binary, sorted distinct) and bits (binary) in place of text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", _PART):
-            h, n = _sets(batch, width)
-            end = np.cumsum(n)
-            sets = [h[b - k : b] for b, k in zip(end.tolist(), n.tolist())]
-            cols = [pa.array(n.astype(np.int64)), pa.array([x.tobytes() for x in sets], pa.binary()), pa.array([bitmap(x).tobytes() for x in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("set", "key", "df", "near")), *cols], names=["set", "key", "df", "near", "n", "hashes", "bits"])
-
-    return chosen.select("set", "key", "df", "near", "text").mapInArrow(run, "set long, key long, df long, near boolean, n long, hashes binary, bits binary")
-
-
 class SignatureTree:
     """Nodes over sets that are sorted by size: OR-combined bitmaps, size ranges, most collisions."""
 
@@ -266,73 +373,92 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(parallelism(rows.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j", "set")
 
 
-def plausible(routed: DataFrame) -> DataFrame:
-    """routed (set, key, need) with df: keys of two sets at least, of sets that have `need` such keys."""
-    by_key, by_set = Window.partitionBy("key"), Window.partitionBy("set")
-    shared = routed.withColumn("df", F.count("*").over(by_key)).where("df > 1")
-    left = shared.withColumn("_k", F.count("*").over(by_set)).where("_k >= need").drop("_k", "df").withColumn("df", F.count("*").over(by_key)).where("df > 1")
-    return left.select("set", "key", "df")
+def shared_groups(routed: DataFrame) -> DataFrame:
+    """(set, key, tiles): keys that two sets or more have, one for each group of sets that is the same for several keys.
+
+    Two near copies share dozens of keys. Only groups of one tile are compared whole; larger ones stay as they are.
+    """
+    rows = routed.select("set", "n", F.explode("keys").alias("key"))
+    sizes = rows.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("shingles")).where("c > 1")
+    tiles = F.greatest(F.ceil(F.col("c") / TILE), F.ceil(8 * F.col("shingles") / TILE_BYTES))
+    kept = rows.join(sizes.select("key", tiles.alias("tiles")), "key").select("set", "key", "tiles")
+    few = kept.where("tiles = 1").groupBy("key").agg(F.sort_array(F.collect_list("set")).alias("members"))
+    few = few.groupBy("members").agg(F.min("key").alias("key")).select(F.explode("members").alias("set"), "key", F.lit(1).cast("long").alias("tiles"))
+    return few.unionByName(kept.where("tiles > 1"))
+
 
+def mixed_groups(groups: DataFrame, stars: DataFrame) -> DataFrame:
+    """groups (set, key, tiles) of two components or more, with component."""
+    named = groups.join(stars.withColumnRenamed("node", "set"), "set", "left").select("set", "key", "tiles", F.coalesce("component", "set").alias("component"))
+    mixed = named.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y")
+    return named.join(mixed.select("key"), "key")
 
-def distinct_groups(routed: DataFrame) -> DataFrame:
-    """routed (set, key, df) with one key for each distinct group of up to TILE sets; two near-copies share dozens."""
-    few = routed.where(F.col("df") <= TILE).groupBy("key").agg(F.sort_array(F.collect_list("set")).alias("members"))
-    few = few.groupBy("members").agg(F.min("key").alias("key")).select(F.explode("members").alias("set"), "key", F.size("members").cast("long").alias("df"))
-    return few.unionByName(routed.where(F.col("df") > TILE))
+
+def _once(groups: DataFrame, turn: int) -> DataFrame:
+    """One group and one of its tiles for each set: the smallest group first, later any; sets of like groups choose alike."""
+    order = F.col("tiles") if turn == 0 else F.lit(0)
+    one = groups.groupBy("set").agg(F.min(F.struct(order.alias("t"), F.xxhash64("key", F.lit(turn)).alias("o"), "key", "tiles", "component")).alias("m"))
+    tile = F.pmod(F.xxhash64("set", F.lit(turn)), F.col("m.tiles"))
+    return one.select("m.key", tile.alias("i"), tile.alias("j"), "set", "m.component", F.lit(0).cast("long").alias("side"))
+
+
+def _pairs_of_tiles(groups: DataFrame) -> DataFrame:
+    """(key, i, j, set, component, side): every two sets of one group and of two components meet under some (i, j).
+
+    The largest component of a group need not meet itself: its tiles meet only those of the others, which also meet each
+    other. So a group of many linked sets and a few others costs little more than one reading of it.
+    """
+    sizes = groups.groupBy("key", "component").agg(F.count("*").alias("c"), F.first("tiles").alias("tiles"))
+    largest = sizes.groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("large"), F.max("c").alias("most"), F.sum("c").alias("all"), F.first("tiles").alias("tiles"))
+    own = F.ceil(F.col("tiles") * F.col("most") / F.col("all"))
+    rest = F.ceil(F.col("tiles") * (F.col("all") - F.col("most")) / F.col("all"))
+    known = groups.join(largest.select("key", "large", own.alias("a"), rest.alias("b")), "key")
+    in_large = F.col("component") == F.col("large")
+    alone = F.col("tiles") == 1
+    side = F.when(alone, F.lit(0)).when(in_large, F.pmod(F.xxhash64("set"), "a")).otherwise(F.col("a") + F.pmod(F.xxhash64("set"), "b"))
+    none = F.lit(0).cast("long")
+    others = F.when(alone, F.array(none)).when(in_large, F.sequence(F.col("a"), F.col("a") + F.col("b") - 1)).otherwise(F.sequence(none, F.col("a") + F.col("b") - 1))
+    dealt = known.withColumns({"side": side.cast("long"), "other": F.explode(others)})
+    return dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "set", "component", "side")
 
 
 def similar_sets(docs: DataFrame, *, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(members (doc_id, n, h1, h2), classes (h1, h2, n, component)): components over the links of documents.
 
-    1. Equal sets are one class with the least doc_id, found on hashes alone: copies never meet again.
-    2. Each class sends its routing shingles. Shingles of one class go, then classes that do not share as many as a link
-       needs: what they have in common with others is a passage, not the most of their text. Shingles
-       with one and the same group of classes count once.
-    3. A class joins others by the routing shingle that the fewest have, where most links are found.
-    4. Routing shingles that still hold two components or more get a signature tree of their classes' bitmaps, then one of
-       the sets that may have a link to another component: every pair of classes over the threshold is either in one
-       component already or compared, so no link is lost.
-
-    A shingle of many classes is dealt in tiles of TILE by hash, so no task has an unbounded group. Texts move once, for
-    the classes that are left after step 2.
+    1. Equal sets are one class, found on hashes alone: copies never meet again. component is null where a class has no
+       links and no copies, and else the least doc_id.
+    2. Classes whose first shingles by hash are not often enough other classes' leave (`sharing_classes`): most of a corpus.
+    3. Of the others, the number of sets that hold each shingle gives the order in which shingles route (`routes`): a passage
+       of many texts comes last, and a text that is for the most part its own routes nowhere.
+    4. Some rounds compare each set in one group of its routing shingles, by a signature tree of bitmaps.
+    5. Groups that still hold two components get a tree of their sets' bitmaps, then one of the sets that may have a link to
+       another component: every pair over the threshold is in one component already or compared, so no link is lost.
+
+    A shingle of many sets, or of very long ones, is dealt in tiles by hash, so no task has an unbounded group. Only the texts
+    of step 3 move, once.
     """
     own = texts_of(docs)
-    prints = cut(fingerprints(own, width, percent, frequent_shingles(own, width)), "prints")
-    classes = prints.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("set"), F.first("keys").alias("keys"))
-    smaller = F.ceil(F.col("n") * percent / 100)
-    need = (F.floor(smaller / SPARE) + 1).cast("int")
-    left = cut(plausible(classes.select("set", need.alias("need"), F.explode("keys").alias("key"))), "routed")
-    kept = cut(distinct_groups(left), "groups")
-    first = kept.groupBy("set").agg(F.min(F.struct("df", "key")).alias("k")).select("set", "k.key", "k.df", F.pmod(F.xxhash64("set"), F.ceil(F.col("k.df") / TILE)).alias("i"))
-    first = first.withColumn("near", F.count("*").over(Window.partitionBy("key", "i")) > 1).select("set", "key", "df", "near")
-    chosen = own.withColumnRenamed("doc_id", "set").join(first.hint("shuffle_hash"), "set")
-    sets = cut(with_sets(chosen, width), "sets")
-    tile = F.pmod(F.xxhash64("set"), F.ceil(F.col("df") / TILE))
-    one = sets.where("near").select("key", tile.alias("i"), tile.alias("j"), "set", F.col("set").alias("component"), F.lit(0).cast("long").alias("side"), "hashes")
-    found = cut(_dealt(one).mapInArrow(_links(percent), "a long, b long"), "links")
-    joined = components(found).withColumnRenamed("node", "set")
-    flat = kept.join(joined, "set", "left").select("set", "key", F.coalesce("component", "set").alias("component"))
-    by_key = Window.partitionBy("key")
-    mixed = flat.withColumns({"x": F.min("component").over(by_key), "y": F.max("component").over(by_key), "m": F.count("*").over(by_key)}).where("x < y")
-    tiles = F.ceil(F.col("m") / TILE)
-    dealt = mixed.withColumns({"side": F.pmod(F.xxhash64("set"), tiles), "other": F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1))})
-    dealt = dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "set", "component", "side")
-    near = _dealt(dealt.join(sets.select("set", "bits", "n"), "set")).mapInArrow(_near(percent), "key long, i long, j long, set long, component long, side long")
-    near = cut(near, "near")
+    blocks = cut(print_blocks(own, width, percent), "prints", codec="none")
+    members = documents_of(blocks)
+    classes = cut(sharing_classes(blocks, percent).withColumn("set", F.monotonically_increasing_id()), "classes")
+    texts = cut(class_texts(own, classes, width), "texts", codec="none")
+    routed = cut(routes(texts, width, percent), "routes")
+    groups = cut(shared_groups(routed), "groups")
+    hashes = routed.select("set", "hashes")
+    open_, stars = groups.withColumn("component", F.col("set")), None
     for turn in range(MERGES):
-        # One group for each set, the same for sets of like groups: most links that are left join their components here.
-        pick = F.min(F.struct(F.xxhash64("key", "i", "j", F.lit(turn)).alias("o"), "key", "i", "j", "component", "side")).alias("m")
-        one = near.groupBy("set").agg(pick).select("m.key", "m.i", "m.j", "set", "m.component", "m.side")
-        found = found.union(cut(_dealt(one.join(sets.select("set", "hashes"), "set")).mapInArrow(_links(percent), "a long, b long"), "links"))
-        joined = components(found).withColumnRenamed("node", "set")
-        group = Window.partitionBy("key", "i", "j")
-        named = near.drop("component").join(joined, "set", "left").withColumn("component", F.coalesce("component", "set"))
-        named = named.withColumns({"x": F.min("component").over(group), "y": F.max("component").over(group)}).where("x < y")
-        near = cut(named.select("key", "i", "j", "set", "component", "side"), "near")
-    more = _dealt(near.join(sets.select("set", "hashes"), "set")).mapInArrow(_links(percent), "a long, b long")
-    both = components(found.union(cut(more, "links")))
-    named = classes.select("n", "h1", "h2", "set").join(both.withColumnRenamed("node", "set"), "set", "left")
-    return prints.select("doc_id", "n", "h1", "h2"), named.select("n", "h1", "h2", F.coalesce("component", "set").alias("component"))
+        found = cut(_dealt(_once(open_, turn).join(hashes, "set")).mapInArrow(_links(percent), "a long, b long"), "links")
+        stars = components(found if stars is None else found.union(stars.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        open_ = cut(mixed_groups(open_.select("set", "key", "tiles"), stars), "open")
+    near = cut(_dealt(_pairs_of_tiles(open_).join(routed.select("set", "bits", "n"), "set")).mapInArrow(_near(percent), "key long, i long, j long, set long, component long, side long"), "near")
+    more = cut(_dealt(near.join(hashes, "set")).mapInArrow(_links(percent), "a long, b long"), "links")
+    stars = components(more.union(stars.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    linked = classes.select("n", "h1", "h2", "set").join(stars.withColumnRenamed("node", "set"), "set")
+    copies = members.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
+    several = cut(copies.join(linked, ["n", "h1", "h2"], "left").where("copies > 1 or component is not null"), "several")
+    lowest = several.where("component is not null").groupBy("component").agg(F.min("least").alias("low"))
+    named = several.join(lowest, "component", "left").select("n", "h1", "h2", F.coalesce("low", "least").alias("component"))
+    return members, cut(named, "named")
 
 
 def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80) -> DataFrame:
@@ -344,7 +470,9 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, percent: int = 80) ->
     component is null. Repeated rows keep their rows. An empty table gives no rows. Other columns are ignored.
     """
     members, classes = similar_sets(docs, width=width, percent=percent)
-    named = members.join(classes, ["n", "h1", "h2"], "left")
+    # Each class stands once for every part of its copies.
+    parted = classes.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = members.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(parted, ["n", "h1", "h2", "part"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return named.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
