@@ -213,3 +213,22 @@ def test_registry():
 
     q, o = entry.queries(), entry.oracle_sql()
     assert set(o) <= set(q) and len(q) > 100
+
+
+def test_registry_without_the_corpus_operators(tmp_path):
+    """A copy without the optional subpackage imports and registers the other queries, with and without the pipeline's file."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parent.parent
+    shutil.copytree(root / "wayfold", tmp_path / "wayfold", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    ask = "import __spark_entry__ as e; q = e.queries(); print(len(q), sum(n.startswith('op') or n == 'pipeline' for n in q), set(e.oracle_sql()) <= set(q))"
+    for pipeline in (True, False):
+        if pipeline and (root / "corpus_pipeline.py").exists():
+            shutil.copy(root / "corpus_pipeline.py", tmp_path)
+        said = subprocess.run([sys.executable, "-c", ask], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.split()
+        assert int(said[0]) > 100 and said[1:] == ["0", "True"]
+        (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
