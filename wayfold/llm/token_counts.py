@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import cut, parallelism, slices, texts_of, utf8
-from wayfold.llm.wordpieces import cache, tokenizer_path
+from wayfold.llm.wordpieces import cache, tokenizer_path, words_of
 
 BLOCKS = "kind int, block long, bucket int, payload binary, doc_ids binary, n_bytes binary, slots binary, times binary, offsets binary"
 _VOCAB, _DOCS = 0, 1
@@ -29,7 +30,7 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(wide.T).view("<i8").ravel()
 
 
-def _blocks(buckets: int, most: int):
+def _blocks(name: str, buckets: int, most: int):
     """Dictionary-encode blocks of documents: vocabulary rows by bucket of the pre-token, and one row of frequencies."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -37,7 +38,9 @@ def _blocks(buckets: int, most: int):
 
         part, number = TaskContext.get().partitionId(), 0
         schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32())] + [(n, pa.binary()) for n in ("payload", "doc_ids", "n_bytes", "slots", "times", "offsets")])
+        pieces = cache(name)
         slot_of: dict[bytes, int] = {}
+        slots_of: dict[bytes, list[int]] = {}
         kept: list[tuple[np.ndarray, list, np.ndarray, np.ndarray]] = []
         size = 0
 
@@ -67,6 +70,7 @@ def _blocks(buckets: int, most: int):
             sizes = np.concatenate([x[0] for x in kept])
             rows.append((_DOCS, block, -1, None, ids.tobytes(), *map(_pack, (sizes, steps, times, distinct))))
             slot_of.clear()
+            slots_of.clear()
             kept.clear()
             number, size = number + 1, 0
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
@@ -76,13 +80,13 @@ def _blocks(buckets: int, most: int):
             data = raw.tobytes()
             slots, sizes = [], []
             for a, b in zip(off[:-1].tolist(), off[1:].tolist()):
-                text = data[a:b]
-                words = (text if b"<|" in text else text.lower()).split()
+                words = words_of(data[a:b])
                 for w in words:
-                    if w not in slot_of:
-                        slot_of[w] = len(slot_of)
-                slots += map(slot_of.__getitem__, words)
-                sizes.append(len(words))
+                    if w not in slots_of:
+                        slots_of[w] = [slot_of.setdefault(p, len(slot_of)) for p in pieces.pre_tokens(w)]
+                own = list(chain.from_iterable(map(slots_of.__getitem__, words)))
+                slots += own
+                sizes.append(len(own))
             kept.append((np.diff(off), batch.column("doc_id").to_pylist(), np.array(slots, np.int64), np.array(sizes, np.int64)))
             size += len(data)
             if size >= most:
@@ -96,7 +100,7 @@ def _blocks(buckets: int, most: int):
 def token_counts(docs: DataFrame, *, tokenizer: str | None = None, limit: int = 2048, block_bytes: int = 24 << 20, buckets: int | None = None) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every document; ids are never kept.
 
-    Pre-tokens are the white-space separated words, which the tokenizer's own pre-tokens never cross. Documents are
+    Pre-tokens are those of the tokenizer (a word that may hold a special string stands whole). Documents are
     dictionary-encoded in blocks of about `block_bytes`: a block's distinct pre-tokens leave by bucket, every bucket
     counts the pieces of each pre-token once, and the counts come back to the block, where they are joined to the
     documents' pre-token occurrences and summed. A pre-token that all documents hold is one entry a block, so there are
@@ -107,7 +111,7 @@ def token_counts(docs: DataFrame, *, tokenizer: str | None = None, limit: int =
     """
     spark = docs.sparkSession
     name = tokenizer or tokenizer_path()
-    blocks = cut(texts_of(docs).mapInArrow(_blocks(buckets or max(64, parallelism(spark)), block_bytes), BLOCKS), "blocks", codec="none")
+    blocks = cut(texts_of(docs).mapInArrow(_blocks(name, buckets or max(64, parallelism(spark)), block_bytes), BLOCKS), "blocks", codec="none")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = cache(name)

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import array
+import json
 import os
 import re
 
+#: Fixed values of word_bpe_49k.json, on which the word-wise way below rests.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Letters that lower-casing and composition leave alone once they are lower-case, besides a-z.
 _LATIN = "a-zß-öø-ÿ"
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]*")
@@ -31,19 +35,35 @@ class _Filled(dict):
         return value
 
 
+def words_of(text: bytes) -> list[bytes]:
+    """The white-space separated words of a text, ASCII capitals lowered where that can't change an id.
+
+    The tokenizer composes characters before it lowers them. Some capitals have no composed form with a mark where the
+    lower-case letter has one; all such marks are among U+0300 to U+037F, in UTF-8 those that begin with CC or CD.
+    """
+    keep = b"<|" in text or not text.isascii() and (b"\xcc" in text or b"\xcd" in text)
+    return (text if keep else text.lower()).split()
+
+
 class PieceCache:
-    """Ids (unsigned 16-bit, little-endian) of white-space separated words.
+    """Ids (unsigned 16-bit, little-endian) of white-space separated words, and the pre-tokens of words.
 
     The tokenizer's pre-tokens never contain white space, composition never joins a character to white space, and the
     special strings contain none, so a text's ids are those of its words one after another. Words of plain Latin text go
-    to the model by pre-token; all others go through the whole library. ASCII capitals are lowered first, as the
-    tokenizer lowers them, but in texts where a special string could stand. Both caches are emptied when they are full.
+    to the model by pre-token; all others go through the whole library. Both caches are emptied when they are full.
+    A file with another normaliser or pre-tokenizer is refused: its words might not stand alone.
     """
 
     def __init__(self, path: str, most: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            form = json.load(f)
+        parts = (form.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        known = form.get("normalizer") == NORMALIZER and parts[0].get("pattern") == {"Regex": SPLIT} and [p.get("type") for p in parts] == ["Split", "ByteLevel"]
+        if not known or any("<|" not in t["content"] or re.search(r"\s", t["content"]) for t in form["added_tokens"]):
+            raise ValueError(f"{path}: another normaliser, pre-tokenizer or other special strings than those of word_bpe_49k.json")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
@@ -53,9 +73,11 @@ class PieceCache:
         self.words: dict[bytes, bytes] = _Filled(self.word)
         self.pieces: dict[str, bytes] = _Filled(self._piece)
 
+    def _level(self, piece: str) -> str:
+        return piece.encode().decode("latin-1").translate(self.letters)
+
     def _piece(self, piece: str) -> bytes:
-        tokens = self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))
-        return array.array("H", [t.id for t in tokens]).tobytes()
+        return array.array("H", [t.id for t in self.model.tokenize(self._level(piece))]).tobytes()
 
     def word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
@@ -71,11 +93,22 @@ class PieceCache:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         self._trim()
         get = self.words.__getitem__
-        return [b"".join(map(get, (t if b"<|" in t else t.lower()).split())) for t in texts]
+        return [b"".join(map(get, words_of(t))) for t in texts]
 
-    def count(self, word: bytes) -> int:
-        self._trim()
-        return len(self.word(word)) // 2
+    def pre_tokens(self, word: bytes) -> list[bytes]:
+        """The pre-tokens of a word in the byte-level alphabet; a word that may hold a special string is one, marked by a space."""
+        text = word.decode("utf-8", "replace")
+        if b"<|" in word:
+            return [b" " + word]
+        if _PLAIN.fullmatch(text):
+            return [self._level(p).encode() for p in _PRE.findall(text.lower())]
+        return [p.encode() for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(text))]
+
+    def count(self, pre_token: bytes) -> int:
+        """The number of pieces of a pre-token."""
+        if pre_token.startswith(b" "):
+            return len(self.word(pre_token[1:])) // 2
+        return len(self.model.tokenize(pre_token.decode()))
 
 
 _OPEN: dict[str, PieceCache] = {}
