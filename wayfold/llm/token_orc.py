@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from wayfold.llm.common import parallelism, shared_dir, slices, texts_of, utf8
 from wayfold.llm.wordpieces import cache, tokenizer_path
 
-FILE_SCHEMA = "part int, doc_id long, n_tokens long, ids array<int>"
+FILE_SCHEMA = "part int, row long, doc_id long, n_tokens long, ids array<int>"
 
 
 def write_token_orc(
@@ -28,7 +28,7 @@ def write_token_orc(
     false_positives: float = 0.01,
     partitions: int | None = None,
 ) -> None:
-    """Write (part, doc_id, n_tokens, ids) in ascending doc_id order over part and row.
+    """Write (part, row, doc_id, n_tokens, ids) in ascending doc_id order over part and row.
 
     Range-partitioned by doc_id, so every file and stripe covers a range of ids that its statistics tell. Integer
     lists are stored by ORC's run-length encodings; `index_stride` rows make one entry of the row index, and a Bloom
@@ -44,7 +44,7 @@ def write_token_orc(
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        pieces = cache(name)
+        pieces, row = cache(name), 0
         for batch in slices(batches, "text", 4 << 20):
             raw, off = utf8(batch.column("text"))
             data = raw.tobytes()
@@ -53,7 +53,9 @@ def write_token_orc(
             sizes = np.array([len(x) // 2 + 1 for x in ids], np.int64)
             flat = np.frombuffer(b"".join(y for x in ids for y in (x, end)), np.uint16).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), batch.column("doc_id"), pa.array(sizes), lists], names=["part", "doc_id", "n_tokens", "ids"])
+            rows = pa.array(np.arange(row, row + len(ids)))
+            row += len(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), part, np.int32)), rows, batch.column("doc_id"), pa.array(sizes), lists], names=["part", "row", "doc_id", "n_tokens", "ids"])
 
     ordered = texts_of(docs).repartitionByRange(partitions or parallelism(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     (
@@ -85,12 +87,12 @@ def describe_token_orc(stored: DataFrame) -> DataFrame:
             flat = np.asarray(ids.values).astype("<u4")
             view = memoryview(flat).cast("B")
             sums = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("part"), batch.column("doc_id"), batch.column("n_tokens"), pa.array(sums, pa.int64())], names=["part", "doc_id", "n_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("part", "row", "doc_id", "n_tokens")), pa.array(sums, pa.int64())], names=["part", "row", "doc_id", "n_tokens", "ids_crc32"])
 
-    sums = stored.mapInArrow(crc, "part int, doc_id long, n_tokens long, ids_crc32 long")
+    sums = stored.mapInArrow(crc, "part int, row long, doc_id long, n_tokens long, ids_crc32 long")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = stored.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("part").orderBy("doc_id", "n_tokens", "ids_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("part").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     return (
         sums.withColumn("ahead", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
         .join(parts, "part")
