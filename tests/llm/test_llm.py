@@ -6,10 +6,11 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from .conftest import corpus, sentence  # noqa: F401
 from wayfold.llm import jaccard, lines, packing, pivots, quality, secrets, suffixes, tiling, token_counts, token_orc
-from wayfold.llm.wordpieces import PieceCache, tokenizer_path
+from wayfold.llm.wordpieces import PieceCache, tokenizer_path, words_of
 
 ROWS = corpus()
 key = lambda r: tuple((x is None, x if x is not None else 0) for x in r)
@@ -71,7 +72,7 @@ def test_interval_classes_are_shared_prefixes():
 
 # --- 2, 5, 6: tokens ---
 
-ODD = ["a\x1cb c\x85d e\xa0f", "<|endoftext|>x <|endoftext|> y<|startoftext|>", "<|ENDOFTEXT|> A", "İstanbul ΣΑΣ ς", "it's I'LL we'VE'S 's", "á ẹ́ ́x", "１２３ ½ ² Ⅷ 12a3", "A\r\nB\tC\x0bD\x0cE", "ﬁ Å Å", "가나 각", "ªº µ ¼ ×÷ ß ÿ Ÿ", "''''s !!'s!! a'b'c", "x" * 3000, "", " "]
+ODD = ["a\x1cb c\x85d e\xa0f", "<|endoftext|>x <|endoftext|> y<|startoftext|>", "<|ENDOFTEXT|> A", "İstanbul ΣΑΣ ς", "it's I'LL we'VE'S 's", "á ẹ́ ́x", "１２３ ½ ² Ⅷ 12a3", "A\r\nB\tC\x0bD\x0cE", "ﬁ Å Å", "가나 각", "ªº µ ¼ ×÷ ß ÿ Ÿ", "''''s !!'s!! a'b'c", "H\u0331 T\u0308 W\u030a Y\u030a J\u030c", "xH\u0331y \u212b A\u030aB \u0344", "x" * 3000, "", " "]
 
 
 def test_word_pieces_are_the_librarys(tokenizer):
@@ -82,6 +83,26 @@ def test_word_pieces_are_the_librarys(tokenizer):
     assert [pieces.encode([t.encode()])[0] for t in texts] == want
 
 
+def test_word_pieces_of_random_letters(tokenizer):
+    """Capitals, marks, letters of other scripts, signs and white space at random, against the library."""
+    import random
+
+    rng = random.Random(12)
+    marks = map(chr, (0x300, 0x301, 0x307, 0x308, 0x30A, 0x30C, 0x323, 0x331, 0x345, 0x37A, 0xC5, 0xDF, 0x130, 0x1E9E, 0x3A3, 0x3C2, 0x416, 0x5D0, 0x5BC, 0x905, 0x93C, 0x1100, 0x1161, 0x212A, 0x4E2D, 0xA0, 0x2003, 0x85, 0x1F600, 0x200D))
+    signs = [*"AHTWYJaehtwyj'12 .-", *marks, "'ll", "<|endoftext|>", "<|"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(1, 12))) for _ in range(6000)]
+    pieces = PieceCache(tokenizer_path())
+    want = [np.array(e.ids, np.uint16).tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert pieces.encode([t.encode() for t in texts]) == want
+    counts = [sum(pieces.count(p) for w in words_of(t.encode()) for p in pieces.pre_tokens(w)) for t in texts]
+    assert counts == [len(w) // 2 for w in want]
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        PieceCache(tokenizer_path("byte_bpe_50k.json"))
+
+
 def test_counts(spark, docs, empty, tokenizer):
     got = token_counts.token_counts(docs, limit=60, block_bytes=2000, buckets=3)
     ids = [len(e.ids) for e in tokenizer.encode_batch([t or "" for _, t, _ in ROWS], add_special_tokens=False)]
@@ -107,6 +128,41 @@ def test_token_files(spark, docs, empty, tokenizer, tmp_path):
     assert token_orc.describe_token_orc(token_orc.read_token_orc(spark, str(tmp_path / "b"))).count() == 0
 
 
+def test_token_files_of_repeated_ids(spark, tokenizer, tmp_path):
+    """Rows of one id with different texts are described where they lie."""
+    texts = ["b c d e f g h i j", "a b c d e f", "z", "a longer text of many more words than that"]
+    d = spark.createDataFrame([(1, t) for t in texts] + [(2, "x")], "doc_id long, text string")
+    token_orc.write_token_orc(d, str(tmp_path / "a"), partitions=2)
+    stored = token_orc.read_token_orc(spark, str(tmp_path / "a"))
+    rows = stored.orderBy("part", "row").collect()
+    want, at = set(), 0
+    for r in rows:
+        want.add((r.doc_id, at, len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes())))
+        at += len(r.ids)
+    assert set(map(tuple, token_orc.describe_token_orc(stored).collect())) == want and len(want) == 5
+
+
+def test_token_files_have_indexes_and_prune(spark, tmp_path):
+    """Row index and Bloom filter on doc_id stand in each stripe, and filters on ids reach the reader."""
+    path = str(tmp_path / "a")
+    d = spark.range(5000).select((F.col("id") * 3).alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    token_orc.write_token_orc(d, path, partitions=2, index_stride=1000)
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    files = [f for f in tmp_path.rglob("*.orc")]
+    assert len(files) == 2
+    for f in files:
+        reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(f"file://{f}"), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        assert reader.getRowIndexStride() == 1000
+        column = reader.getSchema().getFieldNames().indexOf("doc_id") + 1
+        for stripe in reader.getStripes():
+            streams = reader.rows().readStripeFooter(stripe).getStreamsList()
+            kinds = {str(s.getKind()) for s in streams if s.getColumn() == column}
+            assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds
+    one = token_orc.read_token_orc(spark, path).where("doc_id = 6000").select("n_tokens")
+    assert "EqualTo(doc_id,6000)" in one._jdf.queryExecution().executedPlan().toString() and one.count() == 1
+    assert token_orc.read_token_orc(spark, path).where("doc_id = 6001").count() == 0
+
+
 def test_packing(docs, empty, tokenizer):
     rows = packing.pack(docs, length=64, partitions=2).collect()
     by_doc, by_seq = defaultdict(list), defaultdict(list)
@@ -243,6 +299,14 @@ def test_vectors(spark):
     assert pivots.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_repeated_ids(spark):
+    """Each row of an id has its own vector, links and component."""
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.01]), (4, [0.0, 1.0]), (3, [0.01, 1.0]), (None, [1.0, 0.0])]
+    got = pivots.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = [(1, 1, 1, True), (2, 2, 2, True), (3, 1, 1, False), (3, 2, 2, False), (4, 2, 2, False), (None, 0, None, True)]
+    assert sorted(map(tuple, got), key=key) == want[-1:] + want[:-1] or sorted(map(tuple, got), key=key) == want
+
+
 def test_vectors_recall_at_the_threshold(spark):
     """Pairs of a cosine just over 0.9 among 3,000 vectors: at least nine of ten are found, and none below."""
     rng = np.random.default_rng(6)
@@ -381,8 +445,6 @@ def test_long_lines_of_few_texts(spark, texts):
     """A line of 50 words goes from two texts on, a short one only from eight; the pipeline's stage does so."""
     import random
 
-    from pyspark.sql import functions as F
-
     import corpus_pipeline as pipe
     from .conftest import WORDS
 

@@ -30,15 +30,19 @@ def unit_rows(column: pa.Array | list, dims: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def _own(vectors: DataFrame) -> DataFrame:
+    v = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))
+    return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("embedding")).withColumn("usable", _usable("embedding") & F.col("vec_id").isNotNull())
+
+
 def vector_classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members (vec_id, class), classes (class, size, dims, vector binary)): equal usable vectors are one class.
+    """(members (vec_id, class), classes (class, least, size, dims, vector binary)): equal usable vectors are one class.
 
-    Classes are keyed by two 64-bit hashes of the components (minus zero as zero); class is the least vec_id in it.
+    Classes are told by two 64-bit hashes of the components (minus zero as zero) and numbered; least is the least vec_id.
     """
-    v = F.transform(F.col("embedding").cast("array<double>"), lambda x: F.when(x == 0, F.lit(0.0)).otherwise(x))
-    own = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("embedding"))
-    usable = own.where(_usable("embedding") & F.col("vec_id").isNotNull()).withColumns({"k1": F.xxhash64("embedding"), "k2": F.xxhash64(F.lit(11), "embedding")})
-    sizes = usable.groupBy("k1", "k2").agg(F.min("vec_id").alias("class"), F.count("*").alias("size"))
+    usable = _own(vectors).where("usable").withColumns({"k1": F.xxhash64("embedding"), "k2": F.xxhash64(F.lit(11), "embedding")})
+    sizes = usable.groupBy("k1", "k2").agg(F.min("vec_id").alias("least"), F.count("*").alias("size"))
+    sizes = cut(sizes.withColumn("class", F.monotonically_increasing_id()), "classes")
     named = usable.join(sizes, ["k1", "k2"])
 
     def binary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,9 +50,9 @@ def vector_classes(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
             lists = batch.column("embedding")
             off, flat = np.asarray(lists.offsets), np.asarray(lists.values)
             data = [flat[a:b].tobytes() for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("size"), pa.array(np.diff(off).astype(np.int32)), pa.array(data, pa.binary())], names=["class", "size", "dims", "vector"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("class", "least", "size")), pa.array(np.diff(off).astype(np.int32)), pa.array(data, pa.binary())], names=["class", "least", "size", "dims", "vector"])
 
-    first = named.where("vec_id = class").select("class", "size", "embedding").mapInArrow(binary, "class long, size long, dims int, vector binary")
+    first = named.where("vec_id = least").select("class", "least", "size", "embedding").mapInArrow(binary, "class long, least long, size long, dims int, vector binary")
     return named.select("vec_id", "class"), first.dropDuplicates(["class"])
 
 
@@ -204,20 +208,20 @@ def near_vectors(vectors: DataFrame, *, threshold: float = 0.9) -> DataFrame:
     the square of the table where vectors have no groups at all.
 
     Null, zero and non-finite vectors (or with null components) and rows with a null id link with nothing: n_links 0,
-    component_id its own id. Only vectors of as many components compare. Rows that share an id count as vectors of their
-    own in n_links. An empty table gives no rows; other columns are ignored.
+    component_id its own id. Only vectors of as many components compare. Rows that share an id are vectors of their own, with
+    links, component and count of their own. An empty table gives no rows; other columns are ignored.
     """
     members, first = vector_classes(vectors)
     classes = cut(first, "vectors")
     found = near_links(classes, threshold)
     joined = components(found.where("n = 0").select("a", "b")).withColumnRenamed("node", "class")
+    lowest = joined.join(classes.select("class", "least"), "class").groupBy("component").agg(F.min("least").alias("low"))
     links = found.where("n > 0").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n"))
-    known = classes.select("class", "size").join(links, "class", "left").join(joined, "class", "left")
-    known = known.select("class", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "class").alias("component_id"))
-    linked = members.join(known, "class").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
-    out = vectors.select(F.col("vec_id").cast("long").alias("vec_id")).join(linked, "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    known = classes.select("class", "least", "size").join(links, "class", "left").join(joined.join(lowest, "component").select("class", "low"), "class", "left")
+    known = known.select("class", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("low", "least").alias("component_id"))
+    linked = members.join(known, "class").select("vec_id", "n_links", "component_id")
+    rest = _own(vectors).where("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    return linked.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
