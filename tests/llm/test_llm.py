@@ -346,25 +346,72 @@ def test_vectors_of_a_dense_group_are_brute_force(spark, monkeypatch, n, tile):
 # --- 8: lines ---
 
 
-def test_lines(docs, empty):
-    got = lines.drop_recurring_lines(docs, least_texts=4)
-    template = lambda s: re.sub(r"[ \t\r]+", " ", re.sub(r"[^ \t\r]*[0-9][^ \t\r]*", "<*>", s)).strip(" ")
+def line_templates(texts):
+    """Brute force: the template of every line, with the words in which eight templates of a leaf differ alone left out."""
+    mask = lambda s: re.sub(r"[ \t\r]+", " ", re.sub(r"[^ \t\r]*[0-9][^ \t\r]*", "<*>", s)).strip(" ")
+    masked = {mask(s) for t in texts for s in (t or "").split("\n")}
+    forms = defaultdict(set)
+    leave = lambda w, ks: " ".join("<*>" if k in ks else x for k, x in enumerate(w))
+    for m in masked:
+        w = m.split(" ")
+        if len(w) <= lines.MOST_WORDS and sum(x != "<*>" for x in w) >= lines.FEWEST_FIXED:
+            for k in range(2, len(w)):
+                if w[k] != "<*>":
+                    forms[leave(w, {k})].add((m, k))
+    found = defaultdict(set)
+    for members in forms.values():
+        if len({m for m, _ in members}) >= 8:
+            for m, k in members:
+                found[m].add(k)
+    merged = {m: leave(m.split(" "), found[m]) for m in masked}
+    return lambda s: merged[mask(s)]
+
+
+def without_lines(rows, least):
+    """Brute force: (doc_id, kept text, lines dropped)."""
+    template = line_templates([t for _, t, *_ in rows])
     texts, first = defaultdict(set), {}
-    for d, t, _ in ROWS:
+    for d, t, *_ in rows:
         for k, s in enumerate((t or "").split("\n")):
             if template(s):
                 texts[template(s)].add(t)
                 at = (d is not None, d or 0, k)
                 first[template(s)] = min(first.get(template(s), at), at)
-    want = []
-    for d, t, _ in ROWS:
-        keep = [s for k, s in enumerate((t or "").split("\n")) if not template(s) or len(texts[template(s)]) < 4 or first[template(s)] == (d is not None, d or 0, k)]
-        want.append((d, "\n".join(keep), len((t or "").split("\n")) - len(keep)))
-    assert sorted(((r.doc_id, r.text_kept, r.n_dropped) for r in got.collect()), key=key) == sorted(want, key=key)
+    out = []
+    for d, t, *_ in rows:
+        keep = [s for k, s in enumerate((t or "").split("\n")) if not template(s) or len(texts[template(s)]) < least or first[template(s)] == (d is not None, d or 0, k)]
+        out.append((d, "\n".join(keep), len((t or "").split("\n")) - len(keep)))
+    return sorted(out, key=key)
+
+
+def test_lines(docs, empty):
+    got = lines.drop_recurring_lines(docs, least_texts=4)
+    want = without_lines(ROWS, 4)
+    assert sorted(((r.doc_id, r.text_kept, r.n_dropped) for r in got.collect()), key=key) == want
     assert sum(w[2] for w in want) >= 10
     assert lines.drop_recurring_lines(empty).count() == 0
 
 
+def test_lines_of_a_leaf_become_one_template(spark):
+    """Lines that share all but a name, or a name and a place, are one template; few of them, or with another start, aren't."""
+    names = ["Ada", "Bea", "Cyd", "Dan", "Eve", "Fay", "Gus", "Hal", "Ida"]
+    rows = []
+    for i, n in enumerate(names):
+        rows.append((i, f"own text number {n} x\nPosted by {n} in the old town hall of Rome\nkept {n} as it has another first word here"))
+        rows.append((20 + i, f"other {n}\nWritten on the day for {n} by the staff of this house" if i < 6 else f"alone {n} {i}"))
+    for i, n in enumerate(names * 9):
+        rows.append((100 + i, f"{n} {names[i // 9]}\nSeen near the bridge with {n} and the dog of {names[i // 9]} at night"))
+    rows += [(300, "of the town\nPosted by 1234 in the old town hall of Rome\r"), (300, "x\n\nPosted by Zoe in the old town hall of Rome"), (None, "Posted by Zoe in the old town hall of Rome"), (301, None)]
+    rows.append((302, "\n".join(f"line {i}" if i % 2 else f"a b c d e f {'xyz'[i % 3]}" for i in range(3000))))
+    d = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, _gone int, of int, found int")
+    got = lines.drop_recurring_lines(d)
+    want = without_lines(rows, 8)
+    assert sorted(((r.doc_id, r.text_kept, r.n_dropped) for r in got.collect()), key=key) == want
+    assert got.columns[:5] == d.columns and sum(w[2] for w in want if w[0] is not None and w[0] < 20) == 9 and sum(w[2] for w in want if w[0] is not None and 100 <= w[0] < 200) == 80
+    plain = lines.drop_recurring_lines(d, least_values=1 << 30)
+    assert plain.where("doc_id < 20 or doc_id between 100 and 200").agg(F.sum("n_dropped")).first()[0] == 0
+
+
 # --- 9: quality ---
 
 
