@@ -16,6 +16,8 @@ EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, valu
 
 def shared_folder(spark: SparkSession) -> str:
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (where or f"file://{tempfile.mkdtemp(prefix='spark-')}").rstrip("/")
 
 
