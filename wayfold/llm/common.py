@@ -17,16 +17,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one of our own only where none is set."""
+    """The folder that driver and executors share; a temporary one of our own only where none is set and all run on one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         where = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, or one like it that no column has."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def cut(df: DataFrame, tag: str, *, codec: str = "zstd") -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back.
 
@@ -82,6 +91,8 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     Edges are never collected.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
+    if now.isEmpty():
+        return now.select(F.col("hi").alias("node"), F.col("lo").alias("component"))
     for _ in range(most_rounds):
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select(F.col("lo"), F.col("hi")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import slices, utf8
+from wayfold.llm.common import free_name, slices, utf8
 
 #: Bytes of a block; a chunk is four blocks, and the next chunk starts three blocks on, so neighbours share one.
 BLOCK, SPAN, STEP = 64, 4, 3
@@ -74,6 +74,16 @@ def responses(padded: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
     return got.reshape(-1, BLOCK, got.shape[1])
 
 
+def _largest(padded: np.ndarray, blocks: int, tables: list[np.ndarray], where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """The largest response of each filter in each block (and its byte), some blocks at a time."""
+    best, place = [], []
+    for a in range(0, blocks, 2048):
+        got = responses(padded[a * BLOCK : min(a + 2048, blocks) * BLOCK + WIDTH], tables)
+        best.append(got.max(axis=1))
+        place += [got.argmax(axis=1)] if where else []
+    return np.concatenate(best), np.concatenate(place) if where else None
+
+
 def _head(net: Network, pooled: np.ndarray, chunks: np.ndarray) -> tuple[np.ndarray, ...]:
     act = np.maximum(pooled + net.bias, 0)
     hid = np.maximum(act @ net.mix + net.mix_bias, 0)
@@ -88,7 +98,7 @@ def score(net: Network, raw: np.ndarray, offsets: np.ndarray, tables: list[np.nd
         return np.empty(0)
     tables = tables or _pairs(net.conv)
     padded, blocks = lay_out(raw, offsets)
-    best = np.concatenate([responses(padded[a * BLOCK : min(b, int(blocks.sum())) * BLOCK + WIDTH], tables).max(axis=1) for a, b in ((a, a + 2048) for a in range(0, int(blocks.sum()), 2048))])
+    best, _ = _largest(padded, int(blocks.sum()), tables)
     rows, chunks = chunk_rows(blocks)
     return _head(net, best[rows].max(axis=1), chunks)[-1].astype(np.float64)
 
@@ -97,8 +107,7 @@ def _step(net: Network, texts: list[bytes], labels: np.ndarray) -> list[np.ndarr
     """Gradients of the mean cross-entropy; the maximum sends a chunk's gradient to the bytes that made it."""
     offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
     padded, blocks = lay_out(np.frombuffer(b"".join(texts), np.uint8), offsets)
-    resp = responses(padded, _pairs(net.conv))
-    where, best = resp.argmax(axis=1), resp.max(axis=1)
+    best, where = _largest(padded, int(blocks.sum()), _pairs(net.conv), where=True)
     rows, chunks = chunk_rows(blocks)
     inside = best[rows].argmax(axis=1)
     block = np.take_along_axis(rows, inside, axis=1)
@@ -120,34 +129,47 @@ def _step(net: Network, texts: list[bytes], labels: np.ndarray) -> list[np.ndarr
     return [g_conv, g_act.sum(axis=0), act.T @ g_hid, g_hid.sum(axis=0), g_out, g_bias]
 
 
-def fit(texts: list[bytes], labels: np.ndarray, *, epochs: int = 24, least_steps: int = 400, batch: int = 32, rate: float = 0.01, train_bytes: int = 8192, seed: int = 7) -> Network:
-    """Adam on whole texts, or on one random stretch of `train_bytes` of longer ones; scoring always takes whole texts.
+def _loss(net: Network, texts: list[bytes], labels: np.ndarray) -> float:
+    p = np.clip(score(net, np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)), 1e-6, 1 - 1e-6)
+    return float(-np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p)))
+
+
+def fit(texts: list[bytes], labels: np.ndarray, *, epochs: int = 24, least_steps: int = 400, batch: int = 32, rate: float = 0.01, patience: int = 6, seed: int = 7) -> Network:
+    """Adam on whole texts. Few texts are gone over more often, so that there are `least_steps` steps at least.
 
-    Few texts are gone over more often, so that there are `least_steps` steps at least.
+    From 500 texts on every tenth is held back; the round with the least loss on these is taken, and rounds end when
+    `patience` of them brought nothing.
     """
     net, rng = Network.start(seed), np.random.default_rng(seed)
     if not texts:
         return net
     labels = np.asarray(labels, np.float32)
-    epochs = max(epochs, -(-least_steps // -(-len(texts) // batch)))
+    back = np.arange(len(texts)) % 10 == 9 if len(texts) >= 500 else np.zeros(len(texts), bool)
+    own, asked = np.flatnonzero(~back), np.flatnonzero(back)
+    epochs = max(epochs, -(-least_steps // -(-len(own) // batch)))
     state = [(np.zeros_like(p), np.zeros_like(p)) for p in net.parameters()]
-    t = 0
+    t, least, since, kept = 0, np.inf, 0, None
     for epoch in range(epochs):
-        order = rng.permutation(len(texts))
+        order = own[rng.permutation(len(own))]
         for at in range(0, len(order), batch):
-            own = order[at : at + batch]
-            part = []
-            for i in own:
-                start = int(rng.integers(0, max(1, len(texts[i]) - train_bytes + 1)))
-                part.append(texts[i][start : start + train_bytes])
+            some = order[at : at + batch]
             t += 1
             speed = rate * (1 - 0.9 * epoch / epochs)
-            for p, g, (m, v) in zip(net.parameters(), _step(net, part, labels[own]), state):
+            for p, g, (m, v) in zip(net.parameters(), _step(net, [texts[i] for i in some], labels[some]), state):
                 m *= 0.9
                 m += 0.1 * g
                 v *= 0.99
                 v += 0.01 * g * g
                 p -= speed * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-6)
+        if len(asked):
+            now = _loss(net, [texts[i] for i in asked], labels[asked])
+            since = 0 if now < least else since + 1
+            if now < least:
+                least, kept = now, [p.copy() for p in net.parameters()]
+            if since >= patience:
+                break
+    for p, q in zip(net.parameters(), kept or []):
+        p[:] = q
     return net
 
 
@@ -155,40 +177,42 @@ def held_out(doc_id) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, most_rows: int = 3000, epochs: int = 24, label: str = "quality") -> Network:
-    """Fit on at most `most_rows` labelled documents that are not held out, chosen by a hash of their ids.
+def fit_quality(docs: DataFrame, labels: DataFrame, *, most_rows: int = 3000, most_bytes: int = 1 << 16, epochs: int = 24, label: str = "quality") -> Network:
+    """Fit on a bounded sample: at most `most_rows` labelled documents that are not held out, chosen by a hash of their ids,
+    and of these the ones of `most_bytes` bytes or fewer, as whole texts.
 
-    The bound holds for the ids (a top-k by hash, never a full sort), so what is broadcast and what reaches the driver
-    is bounded too. Rows whose label or id is null, and ids with two labels, teach nothing.
+    The bound holds for the ids (a top-k by hash, never a full sort) and for the bytes, so what is broadcast and what
+    reaches the driver is bounded too. Scoring is not: it takes every text whole. Rows whose label or id is null, and ids with two labels, teach nothing.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y is not null")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).where("y = other")
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows).select("doc_id", "y")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text")).orderBy("doc_id").toArrow()
+    rows = text.where(F.octet_length("text") <= most_bytes).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.first("y").alias("y"), F.min("text").alias("text")).orderBy("doc_id").toArrow()
     return fit([t.encode() for t in rows.column("text").to_pylist()], np.array(rows.column("y").to_pylist(), np.float32), epochs=epochs)
 
 
-def score_quality(docs: DataFrame, net: Network, *, threshold: float = 0.3) -> DataFrame:
+def score_quality(docs: DataFrame, net: Network, *, threshold: float = 0.3, score_name: str = "score", predicted_name: str = "predicted") -> DataFrame:
     """docs with score (double, 0 to 1, higher: label 1 is likelier) and predicted (int): score >= threshold.
 
     Only the bytes of the whole text are read; a null text counts as empty and is scored like one. All rows and all other
-    columns pass through, but for own columns named score or predicted, which are replaced. Tasks work on slices of a few
+    columns pass through, but for own columns of these two names, which are replaced. Tasks work on slices of a few
     hundred kilobytes and on filters of fixed size, so memory does not depend on the input.
     """
     tables: list[np.ndarray] = []
-    own = docs.drop("score", "predicted")
+    own = docs.drop(score_name, predicted_name)
+    text = free_name("text_bytes", [*own.columns, score_name])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = tables or _pairs(net.conv)
-        for batch in slices(batches, "_text", 1 << 18):
-            p = score(net, *utf8(batch.column("_text")), made)
-            rest = batch.drop_columns(["_text"])
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(p)], names=[*rest.schema.names, "score"])
-
-    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in own.schema), "score double"])
-    scored = own.withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(run, schema)
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+        for batch in slices(batches, text, 1 << 18):
+            p = score(net, *utf8(batch.column(text)), made)
+            rest = batch.drop_columns([text])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(p)], names=[*rest.schema.names, score_name])
+
+    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in own.schema), f"`{score_name}` double"])
+    scored = own.withColumn(text, F.coalesce(F.col("text").cast("string"), F.lit(""))).mapInArrow(run, schema)
+    return scored.withColumn(predicted_name, (F.col(f"`{score_name}`") >= threshold).cast("int"))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
