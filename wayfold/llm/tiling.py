@@ -41,8 +41,9 @@ def greedy_tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[in
 
     Running Karp-Rabin: windows of the search length s of unmarked words are matched by rolling hashes, compared word by
     word and extended as far as they go; the search length jumps up where a longer match turns up, and is halved down
-    to `least` as tiles are marked.
+    to `least` as tiles are marked. A shorter item is one run.
     """
+    least = min(least, len(item))
     mark_i, mark_d = np.zeros(len(item), bool), np.zeros(len(doc), bool)
     tiles: list[tuple[int, int, int]] = []
     s = max(least, min(len(item), 32))
@@ -81,14 +82,14 @@ def greedy_tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[in
 
 
 def item_words(benchmark: DataFrame, least: int) -> DataFrame:
-    """(item_id, words binary, seeds array<long>) of the items of `least` words or more."""
+    """(item_id, words binary, seeds array<long>) of the items that have words; a shorter item is one seed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             words, counts = alnum_hashes(*utf8(batch.column("text")))
             end = np.cumsum(counts)
             rows = [words[e - c : e] for e, c in zip(end, counts)]
-            seeds = [np.unique(shingle_hashes(w, np.array([len(w)]), least)[0]).view(np.int64) if len(w) >= least else np.empty(0, np.int64) for w in rows]
+            seeds = [np.unique(shingle_hashes(w, np.array([len(w)]), least)[0]).view(np.int64) for w in rows]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([w.tobytes() for w in rows], pa.binary()), pa.array(seeds, pa.list_(pa.int64()))], names=["item_id", "words", "seeds"])
 
     return benchmark.mapInArrow(run, "item_id long, words binary, seeds array<long>").where(F.size("seeds") > 0)
@@ -133,12 +134,10 @@ def _leaks_by_join(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             words, counts = alnum_hashes(*utf8(batch.column("text")))
-            end, ids = np.cumsum(counts), batch.column("doc_id").to_pylist()
-            for d, e, c in zip(ids, end.tolist(), counts.tolist()):
-                if c >= least:
-                    own = words[e - c : e]
-                    got = np.unique(shingle_hashes(own, np.array([c]), least)[0]).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([d], pa.int64()), pa.array([own.tobytes()], pa.binary()), pa.array([got], pa.list_(pa.int64()))], names=["doc_id", "words", "seeds"])
+            end = np.cumsum(counts)
+            own = [words[e - c : e] for e, c in zip(end.tolist(), counts.tolist())]
+            got = [np.unique(shingle_hashes(w, np.array([len(w)]), least)[0]).view(np.int64) for w in own]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([w.tobytes() for w in own], pa.binary()), pa.array(got, pa.list_(pa.int64()))], names=["doc_id", "words", "seeds"])
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +149,7 @@ def _leaks_by_join(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
             cols = list(zip(*rows)) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "n_tiles", "covered", "item_words"])
 
-    rows = docs.mapInArrow(seeds, "doc_id long, words binary, seeds array<long>").withColumn("row", F.xxhash64("doc_id", "words"))
+    rows = docs.mapInArrow(seeds, "doc_id long, words binary, seeds array<long>").withColumn("row", F.struct(F.xxhash64("doc_id", "words").alias("a"), F.xxhash64(F.lit(1), "doc_id", "words").alias("b")))
     by_seed = items.select("item_id", F.explode("seeds").alias("seed"))
     pairs = rows.select("row", F.explode("seeds").alias("seed")).join(by_seed, "seed").select("row", "item_id").distinct()
     both = rows.select("row", "doc_id", "words").join(pairs, "row").join(items.select("item_id", F.col("words").alias("item")), "item_id")
@@ -163,7 +162,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, *, least_words: int =
     Words are runs of ASCII letters and digits and of any non-ASCII characters, A-Z in lower case. Documents and items
     that share a run of `least_words` words are tiled: the longest common runs that are still free are marked again and
     again, so passages that were put in another order still count, and no word counts twice. A document leaks an item if
-    tiles cover `coverage` of its words. Items of fewer than `least_words` words can't be told from chance and never leak.
+    tiles cover `coverage` of its words. An item of fewer than `least_words` words leaks where it is all that a document holds.
 
     Benchmarks of up to `most_broadcast_words` words are broadcast; larger ones are joined by a shuffle, with the same
     result. Null texts count as empty; rows with null ids are compared too; repeated rows give repeated rows; empty
