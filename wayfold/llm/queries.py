@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": lines.op8_line_dedup,
     "op9_quality": quality.op9_quality,
     "op10_secret_scan": secrets.op10_secret_scan,
+    "op10_conversation_ledger": secrets.op10_conversation_ledger,
 }
 
 ORACLES: dict[str, str] = {

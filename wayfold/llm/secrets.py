@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import cut
@@ -72,7 +72,7 @@ def scan_unseen(paths: DataFrame, ledger: DataFrame | None = None, *, rule_versi
 
 def findings(paths: DataFrame, ledger: DataFrame, *, rule_version: str = RULE_VERSION) -> DataFrame:
     """(doc_id, blob, spans): the ledger's findings at every path that holds the blob, none as an empty list."""
-    own = ledger.where(F.col("rule_version") == rule_version).select("blob", "spans")
+    own = ledger.where(F.col("rule_version") == rule_version).groupBy("blob").agg(F.first("spans").alias("spans"))
     return paths.select("doc_id", "blob").join(own, "blob", "left").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
 
 
@@ -91,10 +91,34 @@ def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, *, rule_versi
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
-    text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    text = _digest("spans")
     return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(text, 256).alias("base_sha256"), text.alias("spans"))
 
 
+def op10_conversation_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, turn, rule_version, spans, n_new): a conversation's turns as versions that come in one after another.
+
+    First every conversation's first turn is scanned; then all turns against that ledger, so only unseen blobs are; then
+    all of them by a new rule version. spans are the findings at each path by each version, n_new the blobs its last scan took.
+    """
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id is not null and turn is not null")
+    paths = cut(turns.select(F.struct("conv_id", "turn").alias("path"), (F.col("turn") == F.min("turn").over(Window.partitionBy("conv_id"))).alias("is_first"), "text"), "turns")
+    number = F.xxhash64("path.conv_id", "path.turn")
+    rows = paths.select(number.alias("doc_id"), "text", "path", "is_first")
+    _, ledger = scan_secrets(rows.where("is_first"))
+    _, grown = scan_secrets(rows, ledger)
+    n_old = grown.join(ledger.select("blob"), "blob", "left_anti").count()
+    n_new = versions(rows).select("blob").distinct().count()
+    _, both = scan_secrets(rows, grown, rule_version="base-2")
+    own = paths.select("path.conv_id", "path.turn", F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob"))
+    marked = lambda v, n: own.join(both.where(F.col("rule_version") == v).groupBy("blob").agg(F.first("spans").alias("s")), "blob").select("conv_id", "turn", F.lit(v).alias("rule_version"), _digest("s").alias("spans"), F.lit(n).cast("long").alias("n_new"))
+    return marked(RULE_VERSION, n_old).unionByName(marked("base-2", n_new))
+
+
+def _digest(spans: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+
+
 def _one(kind: str, pattern: str, group: int, least: int, rank: int) -> str:
     p = pattern.replace("'", "''")
     return f"""
