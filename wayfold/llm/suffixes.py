@@ -10,15 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import cut, parallelism, slices, texts_of, utf8
+from wayfold.llm.common import cut, slices, texts_of, utf8
+from wayfold.llm.keyblocks import LOW, MOST_BROADCAST_BYTES, buckets_for, level_of_each, routed, spread, squeeze, with_levels
 from wayfold.llm.shingles import _BYTE, _powers, mix
 
 #: Bytes of the grams that route windows to tasks.
 GRAM = 20
 #: Bytes of text in a block of documents, and of segments in one transform.
 BLOCK_BYTES, BATCH_BYTES = 8 << 20, 3 << 19
-#: Size up to which the flags of repeated grams are broadcast; beyond it they are joined by a shuffle.
-MOST_BROADCAST_BYTES = 32 << 20
+#: Bytes of text for each key, about: with the bytes that are counted, this gives the number of buckets.
+BYTES_A_KEY = 16
 #: Documents (to a factor of two) from which on a key's windows go to all buckets one by one.
 HOT_DOCUMENTS = 16_384
 #: No byte of UTF-8.
@@ -27,16 +28,6 @@ SEPARATOR = 0xFF
 BLOCKS = "block long, doc_ids binary, sizes binary, known binary, text binary, raw_bytes long"
 
 
-def _squeeze(data: bytes | np.ndarray) -> bytes:
-    data = data.tobytes() if isinstance(data, np.ndarray) else data
-    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True) if data else (0).to_bytes(8, "little")
-
-
-def _spread(data: bytes, kind=np.uint8) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    return np.frombuffer(pa.decompress(data[8:], n, "zstd"), kind) if n else np.empty(0, kind)
-
-
 def text_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
     """Documents in blocks: a row holds some megabytes of texts, compressed, with their ids and sizes."""
 
@@ -47,7 +38,7 @@ def text_blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
         for number, batch in enumerate(slices(batches, "text", block_bytes)):
             raw, off = utf8(batch.column("text"))
             ids = batch.column("doc_id")
-            row = [(part << 32) + number, ids.fill_null(0).to_numpy().tobytes(), np.diff(off).tobytes(), ids.is_valid().to_numpy(zero_copy_only=False).tobytes(), _squeeze(raw), len(raw)]
+            row = [(part << 32) + number, ids.fill_null(0).to_numpy().tobytes(), np.diff(off).tobytes(), ids.is_valid().to_numpy(zero_copy_only=False).tobytes(), squeeze(raw), len(raw)]
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int64(), *[pa.binary()] * 4, pa.int64()))], names=[c.split()[0] for c in BLOCKS.split(", ")])
 
     return docs.mapInArrow(run, BLOCKS)
@@ -57,7 +48,7 @@ class Block:
     """The texts of a row of text_blocks. Copies inside a block are told apart: the least doc_id stands for them."""
 
     def __init__(self, row: dict):
-        self.raw = _spread(row["text"])
+        self.raw = spread(row["text"])
         self.ids, sizes = np.frombuffer(row["doc_ids"], np.int64), np.frombuffer(row["sizes"], np.int64)
         self.known = np.frombuffer(row["known"], bool)
         self.sizes, self.off = sizes, np.concatenate([[0], np.cumsum(sizes)])
@@ -114,61 +105,21 @@ class Block:
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
-_ID = np.uint64((1 << 40) - 1)
-
-
-def _routed(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket above 40 bits of the key: the order in which keys and their flags travel."""
-    return ((keys >> np.uint64(40)) % np.uint64(buckets)) << np.uint64(40) | (keys & _ID)
-
-
-def _key_rows(buckets: int, least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                keys, doc, _, _ = Block(row).segments(least)
-                keys = _routed(keys, buckets)
-                order = np.argsort(keys, kind="stable")
-                keys, doc = keys[order], doc[order]
-                at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
-                uniq = keys[at]
-                # Documents with the key, as a power of two at most as large.
-                fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])]) if len(keys) else np.empty(0, bool)
-                counts = np.add.reduceat(fresh.astype(np.int64), at) if len(at) else np.empty(0, np.int64)
-                docs = np.log2(counts).astype(np.uint8)
-                bucket = (uniq >> np.uint64(40)).astype(np.int64)
-                edges = np.searchsorted(bucket, np.arange(buckets + 1))
-                five = np.ascontiguousarray(uniq.view(np.uint8).reshape(-1, 8)[:, :5])
-                rows = [(row["block"], b, five[x:y].tobytes(), docs[x:y].tobytes()) for b, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())) if y > x]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "bucket", "keys", "docs"])
+SEGMENTS = "bucket int, block long, n_bytes long, keys binary, doc binary, ids binary, start binary, size binary, bytes binary"
 
-    return run
 
+def _keys_of(least: int):
+    """The keys of a block's row, once for each document that has them."""
 
-def _flag(hot_documents: int):
-    def run(table: pa.Table) -> pa.Table:
-        """For one bucket: which of each block's keys stand in several documents, and which in very many."""
-        blocks, parts, docs = (table.column(c).to_pylist() for c in ("block", "keys", "docs"))
-        sizes = [len(p) // 5 for p in parts]
-        wide = np.zeros((sum(sizes), 8), np.uint8)
-        wide[:, :5] = np.frombuffer(b"".join(parts), np.uint8).reshape(-1, 5)
-        keys = wide.view(np.uint64).ravel()
-        count = np.int64(1) << np.frombuffer(b"".join(docs), np.uint8).astype(np.int64)
-        order = np.argsort(keys, kind="stable")
-        new = np.concatenate([[True], keys[order][1:] != keys[order][:-1]])
-        total = np.empty(len(keys), np.int64)
-        total[order] = np.add.reduceat(count[order], np.flatnonzero(new))[np.cumsum(new) - 1]
-        edges = np.concatenate([[0], np.cumsum(sizes)])
-        masks = [np.packbits(total[a:b] > 1).tobytes() + np.packbits(total[a:b] >= hot_documents).tobytes() for a, b in zip(edges[:-1], edges[1:])]
-        return pa.table({"block": pa.array(blocks, pa.int64()), "bucket": table.column("bucket"), "mask": pa.array(masks, pa.binary()), "n": pa.array(sizes, pa.int64())})
+    def run(row: dict) -> np.ndarray:
+        keys, doc, _, _ = Block(row).segments(least)
+        order = np.lexsort((doc, keys))
+        keys, doc = keys[order], doc[order]
+        return keys[np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])]))] if len(keys) else keys
 
     return run
 
 
-SEGMENTS = "bucket int, block long, n_bytes long, keys binary, doc binary, ids binary, start binary, size binary, bytes binary"
-
-
 def _windows_of(block: Block, doc: np.ndarray, start: np.ndarray, windows: np.ndarray, least: int, buckets: int) -> tuple[np.ndarray, ...]:
     """(key, doc, start, size) of single windows, keyed by their own bytes: equal ones meet, in all buckets alike."""
     line = np.repeat(np.arange(len(doc)), windows)
@@ -179,11 +130,11 @@ def _windows_of(block: Block, doc: np.ndarray, start: np.ndarray, windows: np.nd
         part = slice(at, at + 20_000)
         raw = block.raw[(block.off[doc[part]] + start[part])[:, None] + np.arange(least)]
         first = np.arange(len(raw)) * least
-        keys[part] = _routed(mix(segment_hashes(raw.ravel(), first, np.full(len(raw), least))), buckets)
+        keys[part] = routed(mix(segment_hashes(raw.ravel(), first, np.full(len(raw), least))), buckets)
     return keys, doc, start, np.full(len(doc), least, np.int64)
 
 
-def _segment_rows(buckets: int, least: int):
+def _segment_rows(buckets: int, least: int, hot_level: int):
     """The segments of keys that several documents have, by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,15 +142,10 @@ def _segment_rows(buckets: int, least: int):
             for row in batch.to_pylist():
                 block = Block(row)
                 keys, doc, start, windows = block.segments(least)
-                keys = _routed(keys, buckets)
-                uniq, place = np.unique(keys, return_inverse=True)
-                masks = sorted(row["masks"], key=lambda m: m["bucket"])
-                unpack = lambda half: np.concatenate([np.unpackbits(np.frombuffer(m["mask"], np.uint8).reshape(2, -1)[half])[: m["n"]] for m in masks] or [np.empty(0, np.uint8)]).astype(bool)
-                flags, hot = unpack(0), unpack(1)
-                if len(flags) != len(uniq):
-                    raise RuntimeError("flags of another block")
-                keep = np.flatnonzero(flags[place]) if len(uniq) else np.empty(0, np.int64)
-                very = hot[place[keep]] if len(keep) else np.empty(0, bool)
+                levels = level_of_each(row, keys, buckets)
+                keys = routed(keys, buckets)
+                keep = np.flatnonzero(levels)
+                very = levels[keep] >= hot_level
                 single = _windows_of(block, doc[keep[very]], start[keep[very]], windows[keep[very]], least, buckets)
                 keep = keep[~very]
                 keys, doc, start, size = (np.concatenate(x) for x in zip((keys[keep], doc[keep], start[keep], windows[keep] + least - 1), single))
@@ -211,20 +157,21 @@ def _segment_rows(buckets: int, least: int):
                     if y > x:
                         n = size[x:y]
                         at = np.repeat(block.off[doc[x:y]] + start[x:y] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-                        cols = [b, row["block"], int(n.sum()), *map(_squeeze, (keys[x:y] & _ID, doc[x:y].astype(np.int32), block.ids[doc[x:y]], start[x:y], n.astype(np.int32), block.raw[at]))]
+                        cols = [b, row["block"], int(n.sum()), *map(squeeze, (keys[x:y] & LOW, doc[x:y].astype(np.int32), block.ids[doc[x:y]], start[x:y], n.astype(np.int32), block.raw[at]))]
                         yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6))], names=[c.split()[0] for c in SEGMENTS.split(", ")])
 
     return run
 
 
 def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, rank) of all suffixes by their first `depth` bytes at least (prefix doubling)."""
+    """(order, rank) of all suffixes by their first `depth` bytes at least: ranks of two or three stretches make one key."""
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key = (key << np.uint64(8)) | padded[k : k + n]
-    done = 8
+    done, parts = 8, 3 if n < 1 << 21 else 2
+    bits = np.uint64(64 // parts)
     while True:
         order = np.argsort(key)
         ranked = key[order]
@@ -233,9 +180,11 @@ def suffix_order(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         rank[order] = np.cumsum(new).astype(np.uint64)
         if done >= depth or new.all():
             return order, rank
-        key = rank << np.uint64(32)
-        key[: n - done] |= rank[done:]
-        done *= 2
+        key = rank.copy()
+        for k in range(1, parts):
+            key <<= bits
+            key[: max(0, n - k * done)] |= rank[k * done :]
+        done *= parts
 
 
 def interval_classes(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -259,15 +208,24 @@ def interval_classes(text: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarr
     edge[1:] = head[1:] != head[:-1]
     edge |= (order + 1 >= n) | np.concatenate([[False], order[:-1] + 1 >= n])
     open_ = np.flatnonzero(~edge)
-    left, right = rest[open_ - 1], rest[open_]
+    left, right = rest[open_ - 1].astype(np.intp), rest[open_].astype(np.intp)
+    # Most rests are neighbours: one boundary lies between them. For the others boundaries are counted.
+    next_ = right - left == 1
+    pair, between = open_[next_], right[next_]
+    wide, left, right = open_[~next_], left[~next_], right[~next_]
     for _ in range(least - 1):
-        if not len(open_):
+        if not len(pair) and not len(wide):
             break
-        interval = np.cumsum(edge, dtype=np.int32)
-        apart = interval[left] != interval[right]
-        edge[open_[apart]] = True
-        stay = ~apart
-        open_, left, right = open_[stay], left[stay], right[stay]
+        apart = edge[between]
+        if len(wide):
+            interval = np.cumsum(edge, dtype=np.int32)
+            split = interval[left] != interval[right]
+            edge[wide[split]] = True
+            if split.any():
+                wide, left, right = wide[~split], left[~split], right[~split]
+        edge[pair[apart]] = True
+        if np.count_nonzero(apart) > len(apart) >> 3:
+            pair, between = pair[~apart], between[~apart]
     return order, np.cumsum(edge) - 1
 
 
@@ -311,7 +269,7 @@ def _repeats(least: int, batch_bytes: int):
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        parts = [[_spread(r[c], k) for r in rows] for c, k in (("keys", np.uint64), ("doc", np.int32), ("ids", np.int64), ("start", np.int64), ("size", np.int32), ("bytes", np.uint8))]
+        parts = [[spread(r[c], k) for r in rows] for c, k in (("keys", np.uint64), ("doc", np.int32), ("ids", np.int64), ("start", np.int64), ("size", np.int32), ("bytes", np.uint8))]
         keys, doc, ids, start, size = (np.concatenate(p) for p in parts[:5])
         size = size.astype(np.int64)
         raw = np.concatenate(parts[5])
@@ -324,8 +282,15 @@ def _repeats(least: int, batch_bytes: int):
         k, p, z = keys[order], print_[order], size[order]
         new = np.concatenate([[True], (k[1:] != k[:-1]) | (p[1:] != p[:-1]) | (z[1:] != z[:-1])])
         stand, same = order[new], np.cumsum(new) - 1
-        found = []
-        bound = np.flatnonzero(np.concatenate([[True], keys[stand][1:] != keys[stand][:-1]]))
+        # A segment whose key no other one has meets copies of itself alone: all its windows have the same least holder.
+        _, group, times = np.unique(keys[stand], return_inverse=True, return_counts=True)
+        alone = (times == 1)[group][same]
+        later = alone & (ids[order] > ids[stand[same]])
+        m = order[later]
+        found = [np.stack([source[m], doc[m], start[m], start[m] + size[m]], 1)]
+        order, new = order[~alone], new[~alone]
+        stand, same = order[new], np.cumsum(new) - 1
+        bound = np.flatnonzero(np.concatenate([[True], keys[stand][1:] != keys[stand][:-1]])) if len(stand) else stand
         cost = np.cumsum(size[stand] + 1)
         at = 0
         while at < len(stand):
@@ -358,10 +323,10 @@ def _repeats(least: int, batch_bytes: int):
                     mm = m[line[b]]
                     found.append(np.stack([source[mm], doc[mm], start[mm] + shift[b], start[mm] + shift[e] + least], 1))
             at = end
-        out = np.concatenate(found) if found else np.empty((0, 4), np.int64)
+        out = np.concatenate(found)
         out = out[np.argsort(out[:, 0], kind="stable")]
         edges = np.searchsorted(out[:, 0], np.arange(len(rows) + 1))
-        given = [(r["block"], _squeeze(np.ascontiguousarray(out[a:b, 1:]))) for r, a, b in zip(rows, edges[:-1].tolist(), edges[1:].tolist()) if b > a]
+        given = [(r["block"], squeeze(np.ascontiguousarray(out[a:b, 1:]))) for r, a, b in zip(rows, edges[:-1].tolist(), edges[1:].tolist()) if b > a]
         return pa.table({"block": pa.array([g[0] for g in given], pa.int64()), "removed": pa.array([g[1] for g in given], pa.binary())})
 
     return run
@@ -371,7 +336,7 @@ def _cover(block: Block, removed: list[bytes], least: int) -> np.ndarray:
     """Which bytes of the block's texts go."""
     change = np.zeros(len(block.raw) + 1, np.int32)
     for part in removed:
-        doc, start, end = _spread(part, np.int64).reshape(-1, 3).T
+        doc, start, end = spread(part, np.int64).reshape(-1, 3).T
         np.add.at(change, block.off[doc] + start, 1)
         np.add.at(change, block.off[doc] + end, -1)
     gone = np.cumsum(change[:-1]) > 0
@@ -423,8 +388,8 @@ def remove_repeats(docs: DataFrame, *, least: int = 50, with_text: bool = False,
     1. Documents are put in blocks. A window's routing gram (see Block.segments) gives its key; blocks send their
        distinct keys by bucket, and get back which of them several documents have.
     2. Segments of such keys go to their buckets: some 65 bytes for 16 windows, and for repeated text alone.
-    3. A bucket keeps each distinct segment once with the least id that has it, and finds classes of equal windows by
-       interval expansion on the Burrows-Wheeler transform of a batch of segments (`interval_classes`).
+    3. A bucket keeps each distinct segment once with the least id that has it. Where a key has several, it finds classes of
+       equal windows by interval expansion on the Burrows-Wheeler transform of a batch of segments (`interval_classes`).
     4. Windows with a smaller holder go back to their blocks as runs, and are cut out there.
 
     Keys are 40 bits and the bucket: equal ones only let more segments meet. A passage of a third of all documents is one
@@ -438,14 +403,11 @@ def remove_repeats(docs: DataFrame, *, least: int = 50, with_text: bool = False,
     if least < GRAM:
         raise ValueError(f"least is {GRAM} bytes or more")
     spark = docs.sparkSession
-    n = buckets or max(128, parallelism(spark))
     blocks = cut(text_blocks(texts_of(docs), block_bytes), "blocks", codec="none")
-    keys = blocks.mapInArrow(_key_rows(n, least), "block long, bucket int, keys binary, docs binary")
-    masks = cut(keys.groupBy("bucket").applyInArrow(_flag(hot_documents), "block long, bucket int, mask binary, n long"), "masks")
-    by_block = masks.groupBy("block").agg(F.collect_list(F.struct("bucket", "mask", "n")).alias("masks"))
-    small = (masks.agg(F.sum(F.octet_length("mask") + 24)).first()[0] or 0) <= most_broadcast_bytes
-    flagged = blocks.join(F.broadcast(by_block) if small else by_block.hint("shuffle_hash"), "block")
-    segments = flagged.mapInArrow(_segment_rows(n, least), SEGMENTS)
+    size = blocks.agg(F.sum("raw_bytes")).first()[0] or 0
+    n = buckets or buckets_for(spark, size // BYTES_A_KEY)
+    flagged = with_levels(blocks, _keys_of(least), n, most_broadcast_bytes=most_broadcast_bytes)
+    segments = flagged.mapInArrow(_segment_rows(n, least, max(1, int(hot_documents).bit_length() - 1)), SEGMENTS)
     removed = cut(segments.groupBy("bucket").applyInArrow(_repeats(least, batch_bytes), "block long, removed binary"), "removed")
     per_block = removed.groupBy("block").agg(F.collect_list("removed").alias("removed"))
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
