@@ -355,7 +355,13 @@ def _by_group(columns: tuple[str, ...], names: list[str], work):
 def _links(percent: int):
     def work(key: tuple, rows: list[tuple]) -> list[tuple]:
         sides = [r[2] for r in rows] if key[1] != key[2] else None
-        return [(rows[i][0], rows[j][0]) for i, j in forest([np.frombuffer(r[3], np.uint64) for r in rows], [r[1] for r in rows], percent, sides)]
+        pairs = forest([np.frombuffer(r[3], np.uint64) for r in rows], [r[1] for r in rows], percent, sides)
+        # As stars round the least component, which settle sooner than chains.
+        near: dict[int, set[int]] = {}
+        for i, j in pairs:
+            own = near.get(rows[i][1], {rows[i][1]}) | near.get(rows[j][1], {rows[j][1]})
+            near.update(dict.fromkeys(own, own))
+        return [(c, min(own)) for c, own in near.items() if c != min(own)]
 
     return _by_group(("hashes",), ["a", "b"], work)
 
@@ -422,6 +428,14 @@ def _pairs_of_tiles(groups: DataFrame) -> DataFrame:
     return dealt.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "set", "component", "side")
 
 
+def _rest(groups: DataFrame, routed: DataFrame, stars: DataFrame, percent: int) -> DataFrame:
+    """stars with the links between the components that groups still hold: by bitmaps, then by whole sets."""
+    near = _dealt(_pairs_of_tiles(groups).join(routed.select("set", "bits", "n"), "set"))
+    near = cut(near.mapInArrow(_near(percent), "key long, i long, j long, set long, component long, side long"), "near")
+    more = cut(_dealt(near.join(routed.select("set", "hashes"), "set")).mapInArrow(_links(percent), "a long, b long"), "links")
+    return components(more.union(stars.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+
+
 def similar_sets(docs: DataFrame, *, width: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """(members (doc_id, n, h1, h2), classes (h1, h2, n, component)): components over the links of documents.
 
@@ -450,9 +464,10 @@ def similar_sets(docs: DataFrame, *, width: int = 5, percent: int = 80) -> tuple
         found = cut(_dealt(_once(open_, turn).join(hashes, "set")).mapInArrow(_links(percent), "a long, b long"), "links")
         stars = components(found if stars is None else found.union(stars.select(F.col("node").alias("a"), F.col("component").alias("b"))))
         open_ = cut(mixed_groups(open_.select("set", "key", "tiles"), stars), "open")
-    near = cut(_dealt(_pairs_of_tiles(open_).join(routed.select("set", "bits", "n"), "set")).mapInArrow(_near(percent), "key long, i long, j long, set long, component long, side long"), "near")
-    more = cut(_dealt(near.join(hashes, "set")).mapInArrow(_links(percent), "a long, b long"), "links")
-    stars = components(more.union(stars.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+        if open_.isEmpty():
+            break
+    else:
+        stars = _rest(open_, routed, stars, percent)
     linked = classes.select("n", "h1", "h2", "set").join(stars.withColumnRenamed("node", "set"), "set")
     copies = members.where("n > 0 and doc_id is not null").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     several = cut(copies.join(linked, ["n", "h1", "h2"], "left").where("copies > 1 or component is not null"), "several")
