@@ -14,6 +14,8 @@ from wayfold.llm.common import cut, parallelism, slices, texts_of, utf8
 from wayfold.llm.wordpieces import cache, tokenizer_path
 
 DIMS, BITS = 4, 15
+#: Tokens of a range partition, about, so that tasks stay as large as they are on larger inputs.
+PART_TOKENS = 32 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -125,7 +127,7 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, end_id: int = 1, leng
 
     if partitions is None:  # a short last sequence each: partitions of 128 sequences at least keep padding under one per cent
         total = encoded.agg(F.sum("n")).first()[0] or 0
-        partitions = max(1, min(parallelism(spark), total // (128 * length)))
+        partitions = max(1, min(parallelism(spark), total // (128 * length)), -(-total // PART_TOKENS))
     ordered = encoded.repartitionByRange(partitions, "key", "doc_id").sortWithinPartitions("key", "doc_id", "ids")
     return ordered.mapInArrow(lay, PIECES)
 
