@@ -127,6 +127,41 @@ def test_sound_schedule_has_no_violations(spark):
     assert {r[0] for r in rows(schedule.violations(d))} == {"V7", "V8", "V9"}
 
 
+def test_counts_of_a_document(spark):
+    mk = spark.createDataFrame
+    ok = dict(systems=mk([(0,)], "sy int"), routes=mk([(0, 0)], "r int, sy int"), shapes=mk([(0, 0, 0.0, 0.0), (0, 1, 100.0, 0.0)], "s int, k int, x double, y double"), patterns=mk([(0, 0)], "p int, s int"), pattern_stops=mk([(0, 0, 0.0), (0, 1, 50.0)], "p int, i int, d double"), trips=mk([(0, 0, 0, 127)], "trip int, r int, p int, days int"), stop_times=mk([(0, 0, 0.0), (0, 1, 9.0)], "trip int, i int, t double"), inset_runs=mk([(0, 0, 10.0, 0.1, 0.7)], "s int, run int, length double, u0 double, u1 double"))
+    doc = lambda *r: mk([r], "native long, insets int, ranges int")
+    counts = lambda n: mk([(0, n)], "s int, n int")
+    ask = lambda **more: [r[0] for r in rows(schedule.violations(schedule.Schedule(**(ok | more))))]
+    assert ask(document=doc(1, 1, 1), range_counts=counts(1)) == [] and ask(document=doc(None, 1, None)) == []
+    assert ask(document=doc(2, 1, None)) == ["V3"] and ask(document=doc(-1, 0, 3)) == ["V3", "V4", "V4"] and ask(range_counts=counts(2)) == ["V4"]
+    none = mk([], "r int, sy int"), mk([], "trip int, r int, p int, days int")
+    assert ask(routes=none[0])[0] == "V1" and "V1" in ask(trips=none[1])
+    assert "V2" in ask(shapes=mk([(0, 0, 0.0, 0.0), (0, 1, float("nan"), 0.0)], "s int, k int, x double, y double"))
+    short = mk([(0, 0, 0.0, 0, 1.0, 0.1), (0, 1, 50.0, 0, 5.0, 0.6)], "p int, i int, d double, ir int, id double, u double")
+    assert ask(pattern_stops=short, inset_runs=mk([(0, 0, 10.0, 0.7, 0.1)], "s int, run int, length double, u0 double, u1 double")) == ["V5"]
+
+
+def test_fixtures(spark, tmp_path):
+    from wayfold.operators import fixtures
+
+    mk = spark.createDataFrame
+    d = schedule.Schedule(
+        mk([(0, "Metro")], "sy int, name string"), mk([(0, 0, "A"), (1, 0, "B")], "r int, sy int, n string"),
+        mk([(s, k, 100.0 * k, 10.0 * s) for s in range(3) for k in range(4)], "s int, k int, x double, y double"),
+        mk([(0, 0), (1, 1), (2, 2), (3, None)], "p int, s int"), mk([(p, i, 150.0 * i) for p in range(3) for i in range(3)], "p int, i int, d double"),
+        mk([(0, 0, 0, 127), (1, 0, 1, 127), (2, 1, 2, 127)], "trip int, r int, p int, days int"), mk([], "trip int, i int, t double"),
+    )
+    base = {"system": "Metro", "route": "A", "tolerance": 12, "min_matches": 2}
+    cases = [
+        base | {"name": "end", "terminus": [300, 5]}, base | {"name": "no end", "terminus": [200, 5]}, base | {"name": "stop", "stop": [150, 5], "max_y": 0, "min_y": 0}, base | {"name": "far stop", "platform": [100, 5]},
+        base | {"name": "way", "path": [50, 0, 250, 0], "gate": 20}, base | {"name": "off", "path": [50, -5, 250, -5], "gate": 20}, base | {"name": "gone", "path": [50, 900, 250, 900], "gate": 20}, base | {"name": "other", "route": "C", "stop": [0, 0], "tolerance": 1}, base | {"name": "south", "route": "B", "stop": [0, 20], "min_matches": 1, "max_y": 7, "min_y": 33},
+    ]
+    (tmp_path / "f.json").write_text(json.dumps(cases))
+    got = rows(fixtures.fixture_failures(d, fixtures.read_fixtures(spark, str(tmp_path / "f.json")), step=10.0).select("name", "rule", F.coalesce("s", F.lit(-1)), "hits"))
+    assert got == [("far stop", "stop", -1, 0), ("gone", "corridor", -1, 0), ("no end", "terminus", -1, 0), ("off", "corridor", 1, 2), ("other", "stop", -1, 0), ("south", "max_y", 2, 0), ("south", "min_y", 2, 0)]
+
+
 def test_read_schedule(spark, tmp_path):
     from wayfold.sources.schedule import read_schedule
 

@@ -11,7 +11,11 @@ from pyspark.sql import functions as F
 
 @dataclass
 class Schedule:
-    """Tables of a schedule. pattern_stops (p, i, d[, ir, id, u]); trips (trip, r, p, days); stop_times (trip, i, t)."""
+    """Tables of a schedule. pattern_stops (p, i, d[, ir, id, u]); trips (trip, r, p, days); stop_times (trip, i, t).
+
+    document (native, insets, ranges): the stated number of supplied shapes, and how long the two lists by shape are (null:
+    not there); range_counts (s, n): call-out ranges of each shape.
+    """
 
     systems: DataFrame
     routes: DataFrame
@@ -21,6 +25,8 @@ class Schedule:
     trips: DataFrame
     stop_times: DataFrame
     inset_runs: DataFrame | None = None
+    document: DataFrame | None = None
+    range_counts: DataFrame | None = None
 
 
 def _lines(df: DataFrame, rule: str, idx: Column, detail: str) -> DataFrame:
@@ -65,6 +71,18 @@ def violations(d: Schedule) -> DataFrame:
         _lines(behind, "V10", F.col("trip"), "backward times"),
         _lines(d.trips.where("days is null or days <= 0 or days >= 128"), "V10", F.col("trip"), "days"),
     ]
+    if d.document is not None:
+        sizes = d.document.crossJoin(F.broadcast(lengths.agg(F.count("*").alias("n_shapes"))))
+        zero = F.lit(0)
+        found += [
+            _lines(sizes.where("native < 0 or native > n_shapes or native <> floor(native)"), "V3", zero, "native shapes"),
+            _lines(sizes.where("insets is null or insets <> n_shapes"), "V4", zero, "insets"),
+            _lines(sizes.where("ranges <> n_shapes"), "V4", zero, "ranges"),
+        ]
+    if d.range_counts is not None:
+        runs = d.inset_runs.groupBy("s").agg(F.count("*").alias("runs"))
+        both = d.range_counts.join(runs, "s", "full")
+        found.append(_lines(both.where("coalesce(n, 0) <> coalesce(runs, 0)"), "V4", F.col("s"), "ranges and runs"))
     if "ir" in d.pattern_stops.columns:
         runs = d.inset_runs
         s = d.pattern_stops.join(d.patterns, "p").join(runs.select("s", F.col("run").alias("ir"), F.col("length").alias("run_length")), ["s", "ir"], "left")

@@ -48,7 +48,7 @@ def shape_points(spark: SparkSession, folder: str, *, every: int = 4, places: in
 def read_schedule(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of schedule documents, with ids that are places in the document; `version` is the file's path.
 
-    Trips come decoded: stop_times holds absolute seconds, summed over the deltas.
+    document and range_counts are what `violations` asks for. Trips come decoded: stop_times holds absolute seconds, summed over the deltas.
     """
     doc = spark.read.schema(SCHEDULE).option("multiLine", True).json(path).withColumn("version", F.input_file_name())
     pairs = lambda a: F.transform(F.sequence(F.lit(0), F.floor(F.size(a) / 2).cast("int") - 1), lambda k: F.struct(F.get(a, 2 * k).alias("x"), F.get(a, 2 * k + 1).alias("y")))
@@ -56,11 +56,14 @@ def read_schedule(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     patterns = rows("patterns", "p", "v").select("version", "p", "v.*")
     stops = patterns.where("s is not null").select("version", "p", F.posexplode(F.arrays_zip("d", *[F.coalesce(c, F.array().cast(k)).alias(c) for c, k in (("ir", "array<int>"), ("id", "array<double>"), ("u", "array<double>"))])).alias("i", "v")).select("version", "p", "i", "v.*")
     trips = doc.select("version", F.posexplode(F.arrays_zip("trips", "tripDays")).alias("trip", "v"))
-    trips = trips.select("version", "trip", F.get("v.trips", F.lit(0)).cast("int").alias("r"), F.get("v.trips", F.lit(1)).cast("int").alias("p"), F.slice("v.trips", 3, 100_000).alias("delta"), F.col("v.tripDays").alias("days"))
+    trips = trips.select("version", "trip", F.get("v.trips", F.lit(0)).cast("int").alias("r"), F.get("v.trips", F.lit(1)).cast("int").alias("p"), F.slice("v.trips", F.lit(3), F.greatest(F.size("v.trips") - 2, F.lit(0))).alias("delta"), F.col("v.tripDays").alias("days"))
     upto = Window.partitionBy("version", "trip").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     times = trips.select("version", "trip", F.posexplode("delta").alias("i", "step")).select("version", "trip", "i", F.sum("step").over(upto).alias("t"))
     insets = rows("insets", "s", "runs").select("version", "s", F.posexplode("runs").alias("run", "a"))
+    length = lambda c: F.when(F.col(c).isNotNull(), F.size(c))
     return {
+        "document": doc.select("version", F.col("_nativeShapes").alias("native"), length("insets").alias("insets"), length("insetRanges").alias("ranges")),
+        "range_counts": rows("insetRanges", "s", "a").select("version", "s", F.coalesce(F.size("a"), F.lit(0)).alias("n")),
         "systems": rows("systems", "sy", "name"),
         "groups": doc.select("version", F.explode("groups").alias("g")).select("version", "g.n", "g.sy"),
         "routes": rows("routes", "r", "v").select("version", "r", "v.*"),
