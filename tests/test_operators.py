@@ -60,6 +60,13 @@ def test_resample_ends(spark):
     assert [r.x for r in G.resample(line, 5).orderBy("k").collect()] == [0, 5]
 
 
+def test_trimmed_lead(spark):
+    pts = spark.createDataFrame([(1, 0, 0.0, 0.0), (1, 1, 200.0, 0.0), (2, 0, 0.0, 0.0), (2, 1, 5.0, 0.0), (3, 0, 0.0, 0.0), (3, 1, 5.0, 0.0)], "s int, k int, x double, y double")
+    anchors = spark.createDataFrame([(9, 1, 40.0, 0.0), (8, 1, 90.0, 3.0), (7, 3, 6.0, 0.0)], "id int, s int, x double, y double")
+    assert rows(G.trim_lead(pts, anchors)) == [(1, 0, 40.0, 0.0, 40.0), (1, 1, 200.0, 0.0, 40.0), (2, 0, 0.0, 0.0, 0.0), (2, 1, 5.0, 0.0, 0.0), (3, 0, 5.0, 0.0, 5.0)]
+    assert rows(G.trim_lead(pts.limit(0), anchors)) == []
+
+
 def test_corridor(spark):
     ref = [(0, 0), (0, 20), (20, 20), (20, 0)]
     line = lambda pts: spark.createDataFrame([(0, k, float(x), float(y)) for k, (x, y) in enumerate(pts)], "s int, k int, x double, y double")
@@ -108,6 +115,13 @@ def test_watchdog_batch(spark):
     assert [(x.n, x.silent_ms) for x in out.orderBy("n").collect()] == [(2, 20_000), (6, 5_990)]
 
 
+def test_stall_records(spark):
+    r = spark.createDataFrame([("a", 1, 0, 5, "x"), ("a", 2, 10, 5, "x"), ("a", 3, 20, 6, "x"), ("a", 4, 30, 6, "x"), ("b", 1, 40, None, "x"), ("c", 1, 50, 1, "x"), ("c", 2, 60, 2, "x"), ("c", 3, 70, 3, "up")], "sid string, n int, at int, v int, kind string")
+    stalled = spark.createDataFrame([("a", 2, 10), ("a", 4, 30), ("b", 1, 40), ("c", 2, 60)], "sid string, n int, at int")
+    kept = telemetry.stall_records(r, stalled, clock=F.col("v"), recovered=F.col("kind") == "up").select("sid", "n", "stalls", "last_at", "at_stall", "verdict", "slot")
+    assert rows(kept) == [("a", 2, 2, 30, False, True, None), ("b", 1, 1, 40, None, None, 1), ("c", 2, 1, 60, True, None, 0)]
+
+
 def test_coalescing(spark):
     ev = [(0, "wheel")] * 300 + [(2000, "wheel")]
     r = spark.createDataFrame([(1, i, k, at) for i, (at, k) in enumerate(ev)], "sid long, n long, kind string, at long")
@@ -201,6 +215,12 @@ def test_results(spark, tmp_path):
     store, made = Results(spark, str(tmp_path / "r")), []
     make = lambda: made.append(1) or spark.range(3).toDF("id")
     assert store.get("a", "k1", make).count() == 3 and store.get("a", "k1", make).count() == 3 and len(made) == 1
+    damaged = sorted((tmp_path / "r/group=a/key=k1").glob("part-*.parquet"))[-1]  # partitions without rows come first
+    kept = damaged.read_bytes()
+    damaged.unlink()
+    assert store.read("a", "k1") is None
+    damaged.write_bytes(kept)
+    assert store.read("a", "k1").count() == 3
     (tmp_path / "r/group=a/key=k1/_SUCCESS").unlink()
     assert store.read("a", "k1") is None and store.read("a", "k2") is None
 
@@ -223,7 +243,7 @@ def test_ingest_stream(spark, tmp_path):
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["k3_positions", "j2_as_of", "a2_fastest_segment", "k4_detie", "k11_roughness", "j4_nearest", "u3_merge_rebase", "t2_watchdog_stream", "w6b_pile"])
+@pytest.mark.parametrize("name", ["k3_positions", "j2_as_of", "a2_fastest_segment", "k4_detie", "k11_roughness", "j4_nearest", "u3_merge_rebase", "t2_watchdog_stream", "w6b_pile", "t7_stall_verdicts", "k25_trim_lead", "f10_speed", "f23_getters"])
 def test_oracles(spark, name):
     import os
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,6 +71,25 @@ def poly2(lon: Column, lat: Column, lon0: float, lat0: float, cx: list[float], c
     return dot(cx), dot(cy)
 
 
+#: Fixed value: km of a degree of latitude.
+DEGREE_KM = 111.32
+
+
+def units_per_km(transform: Callable[[Column, Column], tuple[Column, Column]], lon: float, lat: float, step: float = 0.005) -> Column:
+    """Map units of a km at one point, from the way that the transform moves by `step` degrees of latitude."""
+    (x0, y0), (x1, y1) = transform(F.lit(lon), F.lit(lat)), transform(F.lit(lon), F.lit(lat + step))
+    return F.hypot(x1 - x0, y1 - y0) / (step * DEGREE_KM)
+
+
+def kmh(units_per_s: Column, scale: Column) -> Column:
+    return units_per_s / scale * 3600
+
+
+def getter(doc: Column, path: str, kind: str, default: object) -> Column:
+    """A value of a JSON text in the type of SQL named kind; the default where it is missing, null or no such value."""
+    return F.coalesce(F.get_json_object(doc, path).try_cast(kind), F.lit(default).cast(kind))
+
+
 def through_points(v: Column, table: list[tuple[float, float]]) -> Column:
     """Piecewise linear through sorted (coordinate, pixel) points, carried on straight beyond both ends."""
     line = lambda p, q: F.lit(p[1]) + (v - p[0]) * ((q[1] - p[1]) / (q[0] - p[0]))

@@ -67,6 +67,18 @@ def feet(probes: DataFrame, shape_edges: DataFrame) -> DataFrame:
     return j.groupBy("id", "s").agg(F.min(F.struct(dist.alias("dist"), arc.alias("arc"))).alias("m")).select("id", "s", "m.dist", "m.arc")
 
 
+def trim_lead(points: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(s, k, x, y, lead): shapes from the first foot of their anchors (id, s, x, y) on, numbered anew; lead is the way cut off.
+
+    The rest is not moved. A shape without anchors stays whole; one whose only anchor is its end keeps that vertex.
+    """
+    lead = feet(anchors, edges(points)).groupBy("s").agg(F.min("arc").alias("lead"))
+    start = point_at(points, lead.select("s", F.col("lead").alias("at"))).select("s", F.lit(-1).cast("long").alias("k"), "x", "y", F.col("at").alias("lead"))
+    rest = arc_lengths(points).join(lead, "s", "left").where("lead is null or cum > lead + 1e-6")
+    rest = rest.select("s", F.col("k").cast("long").alias("k"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.coalesce("lead", F.lit(0.0)).alias("lead"))
+    return start.unionByName(rest).withColumn("k", F.row_number().over(by_shape()).cast("long") - 1)
+
+
 def turns(samples: DataFrame, width: int) -> DataFrame:
     """samples with theta (degrees, left is positive; 0 at ends and where an arm has no length) and back (the way from the
     sample `width` before to the one `width` behind)."""

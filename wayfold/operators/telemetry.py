@@ -41,11 +41,27 @@ def first_records(records: DataFrame) -> DataFrame:
     """(sid, at, n, kind, count, slot): each session's first record and its count; slot 0 is the newest session, 1 the one
     before it, null the others."""
     first = records.groupBy("sid").agg(F.min(F.struct("at", "n", "kind")).alias("m"), F.count("*").alias("count"))
-    out = first.select("sid", "m.at", "m.n", "m.kind", "count")
+    return newest_slots(first.select("sid", "m.at", "m.n", "m.kind", "count"))
+
+
+def newest_slots(out: DataFrame) -> DataFrame:
+    """out, of one row for each session, with slot: 0 for the session with the last `at`, 1 for the one before it, else null."""
     newest = out.orderBy(F.desc("at"), F.desc("sid")).limit(2).withColumn("slot", F.row_number().over(Window.orderBy(F.desc("at"), F.desc("sid"))) - 1).select("sid", "slot")
     return out.join(F.broadcast(newest), "sid", "left")
 
 
+def stall_records(records: DataFrame, stalled: DataFrame, *, clock: Column, recovered: Column) -> DataFrame:
+    """(sid, n, at, stalls, last_at, at_stall, verdict, slot): the first stall of each session; later ones are only counted.
+
+    at_stall: did the clock advance from the record before to the stall; verdict: does it from there to the next record
+    (null where that is missing or has recovered; both null for records without a clock). slot as in `newest_slots`.
+    """
+    w = by_session()
+    seen = records.select("sid", "n", (clock > F.lag(clock).over(w)).alias("at_stall"), F.when(~F.lead(recovered).over(w), F.lead(clock).over(w) > clock).alias("verdict"))
+    first = stalled.groupBy("sid").agg(F.min(F.struct("at", "n")).alias("m"), F.count("*").alias("stalls"), F.max("at").alias("last_at"))
+    return newest_slots(first.select("sid", "m.n", "m.at", "stalls", "last_at").join(seen, ["sid", "n"]))
+
+
 def triage(records: DataFrame, *, now: int, alive_ms: int) -> DataFrame:
     """(sid, verdict): stalls before throttling before a clean end before still arriving before died."""
     s = records.groupBy("sid").agg(F.count_if(F.col("kind") == "stall").alias("stall"), F.count_if(F.col("kind") == "throttled").alias("throttled"), F.max(F.struct("at", "n", "kind")).alias("last"))

@@ -225,6 +225,26 @@ def j5(spark, sf_dir):
     return joins.radius_pairs(spots(spark, sf_dir), 12.0)
 
 
+@query("k25_trim_lead", _FEET.replace("select id, s, round(min(sqrt((x-x0-f*(x1-x0))**2 + (y-y0-f*(y1-y0))**2)), 3) as dist from f group by id, s", """, g as (select id, s, sqrt((x-x0-f*(x1-x0))**2 + (y-y0-f*(y1-y0))**2) as dist, c0+f*(c1-c0) as arc from f),
+a as (select id, s, arg_min(arc, struct_pack(d := dist, a := arc)) as arc from g group by id, s), l as (select s, min(arc) as lead from a group by s)
+select c.s, count(*) filter (lead is null or cum > lead + 1e-6) + count(distinct lead) as n, round(coalesce(max(lead), 0), 3) as lead from cums c left join l on c.s = l.s group by c.s"""))
+def k25(spark, sf_dir):
+    """Every shape from the foot of the next spot on."""
+    p = spots(spark, sf_dir)
+    count = p.agg(F.count("*").alias("_n"))
+    anchors = p.join(F.broadcast(count)).select("id", ((F.col("id") + 1) % F.col("_n")).alias("s"), "x", "y")
+    return G.trim_lead(R.shape_points(spark, sf_dir), anchors).groupBy("s").agg(F.count("*").alias("n"), F.round(F.max("lead"), 3).alias("lead"))
+
+
+@query("f10_speed", f"with {R.SEGMENTS} select trip, i, round((db - da) / 100 / ((tb - ta) / 1000000) / (sqrt((2 * 0.005) ** 2 + (2 * 0.005 + 0.005 ** 2) ** 2) / (0.005 * 111.32)) * 3600, 4) as kmh from segments where tb > ta")
+def f10(spark, sf_dir):
+    """Map units a second as km/h, by the scale of the transform at one point."""
+    scale = S.units_per_km(lambda lon, lat: S.poly2(lon, lat, 5, -7, [3.0, 1.0, 2.0, 0.0, 0.0, 0.0], [1.0, 0.0, 2.0, 0.0, 0.0, 1.0]), 5.0, -7.0)
+    rate = (F.col("db") - F.col("da")) / 100 / ((F.col("tb") - F.col("ta")) / 1_000_000)
+    seg = R.segments(R.stops(spark, sf_dir)).where("tb > ta")
+    return seg.select("trip", F.col("i").cast("long").alias("i"), F.round(S.kmh(rate, scale), 4).alias("kmh"))
+
+
 @query("f11_transform", f"with {SPOTS} select id, round(3 + 2 * (x - 5) - (y + 7) + 0.001 * (x - 5) * (x - 5) + 0.002 * (x - 5) * (y + 7) - 0.001 * (y + 7) * (y + 7), 4) as px, round(0.5 * x - 2 * y + 9, 4) as ax from spots")
 def f11(spark, sf_dir):
     p = spots(spark, sf_dir)

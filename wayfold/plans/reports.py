@@ -269,6 +269,13 @@ def f18(spark, sf_dir):
     return R.load(spark, sf_dir, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
 
 
+@query("f23_getters", "select event_id, coalesce(try_cast(json_extract_string(d, '$.k') as bigint), -1) as k, coalesce(try_cast(json_extract_string(d, '$.rate') as double), 1.5) as rate from (select event_id, case when event_id % 3 = 0 then '{}' when event_id % 3 = 1 then props else '{\"k\": \"?\", \"rate\": 2}' end as d from events)")
+def f23(spark, sf_dir):
+    """Typed values with defaults, of documents that lack some or hold others."""
+    doc = F.when(F.col("event_id") % 3 == 0, "{}").when(F.col("event_id") % 3 == 1, F.col("props")).otherwise('{"k": "?", "rate": 2}')
+    return R.load(spark, sf_dir, "events").select("event_id", S.getter(doc, "$.k", "bigint", -1).alias("k"), S.getter(doc, "$.rate", "double", 1.5).alias("rate"))
+
+
 @query("f22_flags", "select event_id, case when value > 400 then 'off-map' when user_id % 7 = 0 then 'downtown' when event_type = 'error' then 'terminus' when value < 5 then 'stalled' when value / 100 > 1.6 then 'detour' else 'direct' end as flag from events")
 def f22(spark, sf_dir):
     v = F.col("value")

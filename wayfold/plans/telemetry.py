@@ -64,10 +64,10 @@ def a21(spark, sf_dir):
     return r.select("kind", "records", (-F.col("w.m")).alias("worst"), "w.v", F.col("l.n").alias("last"))
 
 
-_T2 = f"""with {_REC}, s as (select *, lag(case when kind = 'error' then false when kind = 'signup' then true end ignore nulls) over w as st, at_ms - lag(at_ms) over w as step from rec window w as (partition by sid order by at_ms, n)),
+_STALLED = f"""with {_REC}, s as (select *, lag(case when kind = 'error' then false when kind = 'signup' then true end ignore nulls) over w as st, at_ms - lag(at_ms) over w as step from rec window w as (partition by sid order by at_ms, n)),
 v as (select *, sum(case when coalesce(st, true) then coalesce(step, 0) else 0 end) over (partition by sid order by at_ms, n) as vis from s),
-f as (select *, vis - lag(vis) over (partition by sid order by at_ms, n) as silent from v where kind in ('view', 'click', 'purchase', 'signup'))
-select sid, n, cast(silent as bigint) as silent_ms from f where kind <> 'signup' and silent >= {24 * HOUR}"""
+f as (select *, vis - lag(vis) over (partition by sid order by at_ms, n) as silent from v where kind in ('view', 'click', 'purchase', 'signup'))"""
+_T2 = f"""{_STALLED} select sid, n, cast(silent as bigint) as silent_ms from f where kind <> 'signup' and silent >= {24 * HOUR}"""
 
 
 def _frames() -> dict:
@@ -106,6 +106,18 @@ def t8(spark, sf_dir):
     return T.first_records(records(spark, sf_dir)).select("sid", "n", "kind", "count", "slot")
 
 
+@query("t7_stall_verdicts", f"""{_STALLED},
+o as (select sid, arg_min(n, struct_pack(a := at_ms, n := n)) as n, count(*) as stalls, max(at_ms) as last_ms, min(at_ms) as first_ms from f where kind <> 'signup' and silent >= {24 * HOUR} group by sid),
+seen as (select sid, n, v > lag(v) over w as at_stall, case when lead(kind) over w <> 'purchase' then lead(v) over w > v end as verdict from rec window w as (partition by sid order by at_ms, n)),
+k as (select *, row_number() over (order by first_ms desc, sid desc) - 1 as slot from o)
+select sid, n, stalls, last_ms, at_stall, verdict, cast(case when slot < 2 then slot end as integer) as slot from k join seen using (sid, n)""")
+def t7(spark, sf_dir):
+    """What is kept of the first stall of each session, with the verdict of the record after it."""
+    r = records(spark, sf_dir)
+    kept = T.stall_records(r, T.stalls(r, **_frames()), clock=F.col("v"), recovered=F.col("kind") == "purchase")
+    return kept.select("sid", "n", "stalls", F.col("last_at").alias("last_ms"), "at_stall", "verdict", "slot")
+
+
 _KIND = "case when v > 45000 then 'stall' when v > 40000 then 'throttled' when v < 3000 then 'final' else 'sample' end"
 
 

@@ -7,6 +7,9 @@ import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_DIGEST = "n long, a string, b string"
 
 
 def key_of(inputs: dict, code: str, settings: dict, tables: dict, group: str) -> str:
@@ -15,8 +18,15 @@ def key_of(inputs: dict, code: str, settings: dict, tables: dict, group: str) ->
     return hashlib.sha256(json.dumps([inputs, code, settings, own], sort_keys=True, default=str).encode()).hexdigest()
 
 
+def digest_of(df: DataFrame) -> tuple[int, str, str]:
+    """Rows and two sums of hashes of them: the same for the same rows in any order."""
+    row = F.to_json(F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in df.columns)))
+    total = lambda h: F.coalesce(F.sum(h.cast("decimal(38,0)")), F.lit(0)).cast("string")
+    return tuple(df.select(F.xxhash64(row).alias("a"), F.xxhash64(F.lit(1), row).alias("b")).agg(F.count("*"), total(F.col("a")), total(F.col("b"))).first())
+
+
 class Results:
-    """Tables under root/group=.../key=...; Spark's commit marker tells whole results from broken ones."""
+    """Tables under root/group=.../key=..., each with a digest that is written after it and verified on reading."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -29,13 +39,15 @@ class Results:
         return hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
 
     def read(self, group: str, key: str) -> DataFrame | None:
-        """The stored table, or None if there is none that was written whole and can be read."""
+        """The stored table, or None if there is none that was written whole, can be read and has the rows of its digest."""
         path = self._path(group, key)
         if not self._exists(f"{path}/_SUCCESS"):
             return None
         try:
             stored = self.spark.read.parquet(path)
-            stored.limit(1).count()
+            kept = self.spark.read.schema(_DIGEST).json(f"{path}/_digest").first() if self._exists(f"{path}/_digest/_SUCCESS") else None
+            if kept is None or tuple(kept) != digest_of(stored):
+                return None
         except Exception as error:  # a defect of stored files is a miss, whatever it is
             if not any(s in str(error) for s in ("PARQUET", "parquet", "UNABLE_TO_INFER_SCHEMA", "FAILED_READ_FILE", "CANNOT_READ")):
                 raise
@@ -43,8 +55,11 @@ class Results:
         return stored
 
     def write(self, group: str, key: str, df: DataFrame) -> DataFrame:
-        df.write.mode("overwrite").parquet(self._path(group, key))
-        return self.spark.read.schema(df.schema).parquet(self._path(group, key))
+        path = self._path(group, key)
+        df.write.mode("overwrite").parquet(path)
+        stored = self.spark.read.schema(df.schema).parquet(path)
+        self.spark.createDataFrame([digest_of(stored)], _DIGEST).write.mode("overwrite").json(f"{path}/_digest")
+        return stored
 
     def get(self, group: str, key: str, make: Callable[[], DataFrame]) -> DataFrame:
         found = self.read(group, key)
