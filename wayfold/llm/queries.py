@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wayfold.llm import jaccard, lines, pivots, quality, secrets, suffixes, tiling
+from wayfold.llm import jaccard, lines, negatives, pivots, quality, secrets, suffixes, tiling
+from wayfold.llm.language_model import op12_lm_scores
 from wayfold.llm.packing import op6_packing
+from wayfold.llm.spelling import op11_spelling_variants
 from wayfold.llm.token_counts import op2_token_counts
 from wayfold.llm.token_orc import op5_token_orc
 
@@ -23,6 +25,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": quality.op9_quality,
     "op10_secret_scan": secrets.op10_secret_scan,
     "op10_conversation_ledger": secrets.op10_conversation_ledger,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_lm_scores": op12_lm_scores,
+    "op13_hard_negatives": negatives.op13_hard_negatives,
 }
 
 ORACLES: dict[str, str] = {
@@ -30,4 +35,5 @@ ORACLES: dict[str, str] = {
     "op7_near_vectors": pivots.ORACLE,
     "op8_line_dedup": lines.ORACLE,
     "op10_secret_scan": secrets.ORACLE,
+    "op13_hard_negatives": negatives.ORACLE,
 }
