@@ -27,6 +27,32 @@ def stalls(records: DataFrame, *, frame: Column, hidden: Column, visible: Column
     return v.withColumn("silent_ms", F.col("vis") - F.lag("vis").over(by_session())).withColumn("_frame", frame).where((F.col("silent_ms") >= limit_ms) & F.col("_frame")).select("sid", "n", "at", "silent_ms")
 
 
+def timed_stalls(records: DataFrame, *, frame: Column, hidden: Column, visible: Column, limit_ms: int, until: int) -> DataFrame:
+    """(sid, what, at, n, ms): a `stall` where a session's visible silence since its last frame (n) reaches `limit_ms` by `until`,
+    with no other record needed, and the `resume` by the frame or showing (n) that ends it, with the visible time since.
+
+    Windows over each session; a session's last record counts on to `until`.
+    """
+    w, after = by_session(), by_session().rowsBetween(1, Window.unboundedFollowing)
+    upto = by_session().rowsBetween(Window.unboundedPreceding, 0)
+    known = visible_clock(records.where(F.col("at") <= until), hidden, visible)
+    known = known.withColumn("shown", F.coalesce(F.last(F.when(hidden, False).when(visible, True), ignorenulls=True).over(upto), F.lit(True)))
+    known = known.withColumn("frame", frame).withColumn("showing", visible & ~F.coalesce(F.lag("shown").over(w), F.lit(True)))
+    seen = F.coalesce(F.max(F.col("frame").cast("int")).over(upto), F.lit(0)) == 1
+    known = known.withColumn("reset", F.col("frame") | (F.col("showing") & seen))
+    at_reset = lambda c: F.when(F.col("reset"), F.col(c))
+    known = known.withColumn("silent", F.col("vis") - F.last(at_reset("vis"), ignorenulls=True).over(upto))
+    known = known.withColumn("next_at", F.coalesce(F.lead("at").over(w), F.lit(until))).withColumn("last_n", F.last(F.when(F.col("frame"), F.col("n")), ignorenulls=True).over(upto))
+    end = F.first(F.when(F.col("reset"), F.struct("at", "n", "vis")), ignorenulls=True).over(after)
+    ripe = F.col("at") + limit_ms - F.col("silent")
+    stalls = known.withColumn("end", end).withColumn("ripe", ripe).where(F.col("shown") & (F.col("silent") < limit_ms) & (F.col("ripe") <= F.col("next_at")) & (F.col("end").isNull() | (F.col("end.at") > F.col("ripe"))))
+    told = F.array(
+        F.struct(F.lit("stall").alias("what"), F.col("ripe").alias("at"), F.col("last_n").alias("n"), F.lit(limit_ms).cast("long").alias("ms")),
+        F.struct(F.lit("resume").alias("what"), F.col("end.at").alias("at"), F.col("end.n").alias("n"), (F.col("end.vis") - F.col("vis") - (limit_ms - F.col("silent"))).cast("long").alias("ms")),
+    )
+    return stalls.select("sid", F.explode(told).alias("t")).select("sid", "t.what", "t.at", "t.n", "t.ms").where("at is not null")
+
+
 def coalesce_events(records: DataFrame, *, join_ms: int, keep: int) -> DataFrame:
     """(sid, run, kind, n, t0, t1): records of one kind in a row, each within `join_ms` of the one before; the last `keep`."""
     w = by_session()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from wayfold.operators import relations as R
 from wayfold.operators import telemetry as T
 from wayfold.plans.registry import query
 from wayfold.streaming import telemetry as stream
+from wayfold.streaming import watch
 
 HOUR = 3_600_000
 _REC = "rec as (select user_id as sid, event_id as n, event_type as kind, epoch_us(ts) // 1000 as at_ms, cast(round(value * 100) as bigint) as v from events)"
@@ -86,6 +89,69 @@ def t2_stream(spark, sf_dir):
     return stream.run_available(stream.watchdog(stream.records_stream(spark, f"{sf_dir}/events.parque[t]"), limit_ms=24 * HOUR), "watchdog").select("sid", "n", "silent_ms")
 
 
+_LATE = 6 * HOUR
+_UNTIL = f"(select max(at_ms) from rec) - {_LATE}"
+#: Visible silence of a day, told when it is a day long: z has one row for each record up to the last six hours.
+_T2_TIMER = f"""with {_REC}, r as (select *, coalesce(last_value(case when kind = 'error' then false when kind = 'signup' then true end ignore nulls) over (partition by sid order by at_ms, n rows between unbounded preceding and current row), true) as shown from rec where at_ms <= {_UNTIL}),
+c as (select *, coalesce(lag(shown) over w, true) as was, coalesce(case when coalesce(lag(shown) over w, true) then at_ms - lag(at_ms) over w end, 0) as step, kind in ('view', 'click') as frame, max(kind in ('view', 'click')) over (partition by sid order by at_ms, n rows between unbounded preceding and current row) as seen from r window w as (partition by sid order by at_ms, n)),
+v as (select *, sum(step) over (partition by sid order by at_ms, n rows between unbounded preceding and current row) as vis, frame or (kind = 'signup' and not was and seen) as reset from c),
+z as (select *, vis - last_value(case when reset then vis end ignore nulls) over (partition by sid order by at_ms, n rows between unbounded preceding and current row) as silent,
+  coalesce(lead(at_ms) over (partition by sid order by at_ms, n), {_UNTIL}) as next_at, last_value(case when frame then n end ignore nulls) over (partition by sid order by at_ms, n rows between unbounded preceding and current row) as last_n,
+  first_value(case when reset then struct_pack(a := at_ms, n := n, v := vis) end ignore nulls) over (partition by sid order by at_ms, n rows between 1 following and unbounded following) as fin from v),
+s as (select *, at_ms + {24 * HOUR} - silent as ripe from z where shown and silent < {24 * HOUR} and at_ms + {24 * HOUR} - silent <= next_at and (fin is null or fin.a > at_ms + {24 * HOUR} - silent))
+select sid, 'stall' as what, cast(ripe as bigint) as at_ms, last_n as n, cast({24 * HOUR} as bigint) as ms from s union all select sid, 'resume', fin.a, fin.n, cast(fin.v - vis - ({24 * HOUR} - silent) as bigint) from s where fin is not null"""
+
+
+@query("t2_timer_stalls", _T2_TIMER)
+def t2_timer(spark, sf_dir):
+    """Stalls at the moment when a visible session has been silent for a day, also of sessions that never speak again."""
+    r = records(spark, sf_dir)
+    kind, until = F.col("kind"), (r.agg(F.max("at")).first()[0] or 0) - _LATE
+    return T.timed_stalls(r, frame=kind.isin("view", "click"), hidden=kind == "error", visible=kind == "signup", limit_ms=24 * HOUR, until=until).withColumnRenamed("at", "at_ms")
+
+
+@query("t2_timer_stalls_stream", _T2_TIMER)
+def t2_timer_stream(spark, sf_dir):
+    """The same by timers in keyed state, from a stream of the records."""
+    source = stream.records_stream(spark, f"{sf_dir}/events.parque[t]").withColumn("up", F.lit(None).cast("long"))
+    rule = watch.StallRule(limit=24 * HOUR, tick=1, frames=("view", "click"), beats=(), hidden="error", visible="signup")
+    return watch.run_watch(watch.watched(source, rule, late_ms=_LATE), "stalls").where("what <> 'verdict'").select("sid", "what", F.col("at").alias("at_ms"), "n", "ms")
+
+
+_QUIET, _FORGET = 12 * HOUR, 72 * HOUR
+#: Silences of half a day in a history that ends six hours before the last record; after three days a session is gone.
+_HEARTBEAT = f"""with {_REC}, r as (select *, lead(at_ms) over w as next_at, lead(n) over w as next_n, lead(v) over w - v as own, {_UNTIL} as fin from rec where at_ms <= {_UNTIL} window w as (partition by sid order by at_ms, n)),
+s as (select *, coalesce(next_at, fin + 1) - at_ms as gap from r)
+select sid, 'stall' as what, at_ms + {_QUIET + 1} as at_ms, n, cast({_QUIET + 1} as bigint) as ms, cast(null as boolean) as slept from s where gap > {_QUIET + 1}
+union all select sid, 'gone', at_ms + {_FORGET}, n, cast({_FORGET} as bigint), null from s where gap > {_FORGET}
+union all select sid, 'resume', next_at, next_n, gap, gap - own >= {24 * HOUR} from s where next_at is not null and gap > {_QUIET + 1} and gap <= {_FORGET}"""
+
+
+@query("t3_heartbeat_stream", _HEARTBEAT)
+def t3_stream(spark, sf_dir):
+    """Silent sessions by timers: stall, resume (and whether the session's own clock stood still meanwhile), gone."""
+    source = stream.records_stream(spark, f"{sf_dir}/events.parque[t]", own_clock=True)
+    rule = watch.HeartbeatRule(quiet=_QUIET, forget=_FORGET, suspended=24 * HOUR)
+    return watch.run_watch(watch.watched(source, rule, late_ms=_LATE), "heartbeat").select("sid", "what", F.col("at").alias("at_ms"), "n", "ms", F.col("flag").alias("slept"))
+
+
+@query("t13_late_records_stream", _HEARTBEAT)
+def t13_stream(spark, sf_dir):
+    """The same from a stream whose records come up to five hours late, in any order, some of them twice."""
+    r = records(spark, sf_dir).select("sid", "n", "kind", "at", F.col("v").alias("up"))
+    jitter = lambda seed: F.pmod(F.xxhash64("n", F.lit(seed)), F.lit(5 * HOUR))
+    sent = r.withColumn("sent", F.col("at") + jitter(1)).union(r.where("n % 5 = 0").withColumn("sent", F.col("at") + jitter(2)))
+    ends = sent.agg(F.min("sent"), F.max("sent")).first()
+    folder = f"{stream.shared_folder(spark)}/wayfold-sent-{uuid.uuid4().hex}"
+    slices = 4
+    for k in range(slices if ends[0] is not None else 1):
+        part = F.least(F.floor((F.col("sent") - (ends[0] or 0)) * slices / (((ends[1] or 0) - (ends[0] or 0)) or 1)), F.lit(slices - 1))
+        sent.where(part == k).drop("sent").coalesce(1).write.mode("append").parquet(folder)
+    rule = watch.HeartbeatRule(quiet=_QUIET, forget=_FORGET, suspended=24 * HOUR)
+    told = watch.run_watch(watch.watched(watch.file_stream(spark, folder), rule, late_ms=_LATE), "late")
+    return told.select("sid", "what", F.col("at").alias("at_ms"), "n", "ms", F.col("flag").alias("slept"))
+
+
 _T4 = f"""with {_REC}, f as (select *, case when kind <> lag(kind) over w or at_ms - lag(at_ms) over w > {24 * HOUR} or lag(kind) over w is null then 1 else 0 end as fresh from rec window w as (partition by sid order by at_ms, n)),
 g as (select *, sum(fresh) over (partition by sid order by at_ms, n) as run from f),
 r as (select sid, cast(run as bigint) as run, min(kind) as kind, count(*) as n, min(at_ms) as t0, max(at_ms) as t1 from g group by sid, run), k as (select *, row_number() over (partition by sid order by run desc) as back from r)

@@ -21,10 +21,11 @@ def shared_folder(spark: SparkSession) -> str:
     return (where or f"file://{tempfile.mkdtemp(prefix='spark-')}").rstrip("/")
 
 
-def records_stream(spark: SparkSession, path: str) -> DataFrame:
-    """(sid, n, kind, at) from event files; at in milliseconds."""
+def records_stream(spark: SparkSession, path: str, *, own_clock: bool = False) -> DataFrame:
+    """(sid, n, kind, at) from event files, on request with up, a clock of the session's own; both in milliseconds."""
     at = F.expr("datediff(cast(ts as date), date '1970-01-01') * 86400000L + (hour(ts) * 3600L + minute(ts) * 60L) * 1000L + cast(floor(extract(second from ts) * 1000) as bigint)")
-    return spark.readStream.schema(EVENTS).parquet(path).select(F.col("user_id").alias("sid"), F.col("event_id").alias("n"), F.col("event_type").alias("kind"), at.alias("at"))
+    up = [F.round(F.col("value") * 100).cast("long").alias("up")] if own_clock else []
+    return spark.readStream.schema(EVENTS).parquet(path).select(F.col("user_id").alias("sid"), F.col("event_id").alias("n"), F.col("event_type").alias("kind"), at.alias("at"), *up)
 
 
 def ingest(spark: SparkSession, folder: str, *, most_files: int = 1000) -> DataFrame:
