@@ -12,6 +12,7 @@ from wayfold.operators import telemetry as T
 from wayfold.plans.registry import query
 from wayfold.streaming import telemetry as stream
 from wayfold.streaming import watch
+from wayfold.streaming.records import RecordStore
 
 HOUR = 3_600_000
 _REC = "rec as (select user_id as sid, event_id as n, event_type as kind, epoch_us(ts) // 1000 as at_ms, cast(round(value * 100) as bigint) as v from events)"
@@ -118,6 +119,31 @@ def t2_timer_stream(spark, sf_dir):
     return watch.run_watch(watch.watched(source, rule, late_ms=_LATE), "stalls").where("what <> 'verdict'").select("sid", "what", F.col("at").alias("at_ms"), "n", "ms")
 
 
+_WEEK = 168 * HOUR
+
+
+@query("s15_record_store", f"""with t as ({_T2_TIMER}), r as (select sid as owner, at_ms // {_WEEK} as session, * from t),
+f as (select owner, session, min(at_ms) as first_at, arg_min(n, at_ms) as n, count(*) as stalls, max(at_ms) as last_at from r where what = 'stall' group by owner, session),
+g as (select f.owner, f.session, max(r.at_ms) as recovered_at, arg_max(r.ms, r.at_ms) as recovered_ms from f join r on r.owner = f.owner and r.session = f.session and r.what = 'resume' and r.at_ms >= f.first_at group by f.owner, f.session),
+k as (select f.*, recovered_at, recovered_ms, cast(row_number() over (partition by f.owner order by first_at desc, f.session desc) - 1 as integer) as slot from f left join g on g.owner = f.owner and g.session = f.session)
+select owner, cast(session as bigint) as session, first_at, n, stalls, last_at, cast(recovered_at as bigint) as recovered_at, recovered_ms, slot from k where slot < 2""")
+def s15(spark, sf_dir):
+    """A session's first stall of each week, amended by its later reports in four batches, the last of them run twice."""
+    r = records(spark, sf_dir)
+    kind, until = F.col("kind"), (r.agg(F.max("at")).first()[0] or 0) - _LATE
+    told = T.timed_stalls(r, frame=kind.isin("view", "click"), hidden=kind == "error", visible=kind == "signup", limit_ms=24 * HOUR, until=until)
+    reports = told.select(F.col("sid").alias("owner"), F.floor(F.col("at") / _WEEK).alias("session"), "what", "at", "n", "ms", F.lit(None).cast("boolean").alias("flag"))
+    folder = f"{stream.shared_folder(spark)}/wayfold-records-{uuid.uuid4().hex}"
+    reports.write.parquet(f"{folder}/reports")
+    reports = spark.read.parquet(f"{folder}/reports")
+    ends = reports.agg(F.min("at"), F.max("at")).first()
+    low, width = ends[0] or 0, max(((ends[1] or 0) - (ends[0] or 0)) // 4 + 1, 1)
+    store = RecordStore(spark, f"{folder}/store")
+    for k in (0, 1, 2, 3, 3):
+        store.upsert(reports.where(F.floor((F.col("at") - low) / width) == k), k)
+    return store.read().select("owner", "session", F.col("first.at").alias("first_at"), "first.n", "stalls", "last_at", F.col("recovered.at").alias("recovered_at"), F.col("recovered.ms").alias("recovered_ms"), "slot")
+
+
 _QUIET, _FORGET = 12 * HOUR, 72 * HOUR
 #: Silences of half a day in a history that ends six hours before the last record; after three days a session is gone.
 _HEARTBEAT = f"""with {_REC}, r as (select *, lead(at_ms) over w as next_at, lead(n) over w as next_n, lead(v) over w - v as own, {_UNTIL} as fin from rec where at_ms <= {_UNTIL} window w as (partition by sid order by at_ms, n)),
