@@ -70,7 +70,8 @@ def _blocks(most: int):
             texts = [t.lower().split() for t in batch.column("text").cast(pa.binary()).to_pylist()]
             slots = np.fromiter(chain.from_iterable(map(slot_of.__getitem__, t) for t in texts), np.int64)
             kept.append((batch.column("doc_id").to_pylist(), np.array([len(t) for t in texts], np.int64), slots))
-            held += batch.column("text").nbytes
+            # Texts of very short words have more tokens than their bytes tell.
+            held += max(batch.column("text").nbytes, 6 * len(slots))
             if held >= most:
                 yield from flush()
         if kept:
@@ -84,7 +85,7 @@ class Tokens:
 
     def __init__(self, row: dict, order: int, buckets: int):
         planes = spread(row["slots"]).reshape(4, -1)
-        slots = np.ascontiguousarray(planes.T).view("<i4").ravel().astype(np.int64)
+        slots = np.ascontiguousarray(planes.T).view("<i4").ravel()
         self.sizes = spread(row["sizes"], np.int64)
         edges = spread(row["edges"], np.int32)
         self.n_words = n = int(edges[-1])
@@ -93,25 +94,25 @@ class Tokens:
         self.first = ends - self.sizes - 1
         at = np.ones(int(ends[-1]) + 1 if len(ends) else 0, bool)
         at[self.first], at[ends] = False, False
-        self.token = np.full(len(at), self.begin, np.int64)
+        self.token = np.full(len(at), self.begin, np.int32)
         self.token[ends] = self.end
         self.token[at] = slots
         #: A word's class; begin and end have the first.
         class_of = np.concatenate([np.repeat(np.arange(CLASSES), np.diff(edges)), [0, 0]])
-        self.offset = np.arange(len(at)) - np.repeat(self.first, self.sizes + 2)
+        self.offset = (np.arange(len(at)) - np.repeat(self.first, self.sizes + 2)).astype(np.int32)
         #: Of each order from 2 on: places whose token ends an n-gram, its number among the distinct ones, and their parts.
         self.grams: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         self.bucket: list[np.ndarray] = []
         last, bucket = self.token, class_of
         for k in range(2, order + 1):
             places = np.flatnonzero(self.offset >= k - 1)
-            pairs = last[places - 1] * (n + 2) + self.token[places]
-            distinct, number = np.unique(pairs, return_inverse=True)
+            distinct, number = np.unique(last[places - 1].astype(np.int64) * (n + 2) + self.token[places], return_inverse=True)
+            number = number.astype(np.int32)
             head, tail = distinct // (n + 2), distinct % (n + 2)
             self.grams.append((places, number, head, tail))
             bucket = (bucket[head] * 0x9E3B + class_of[tail] * 0x7F4D + k) % buckets
             self.bucket.append(bucket)
-            last = np.zeros(len(self.token), np.int64)
+            last = np.zeros(len(self.token), np.int32)
             last[places] = number
 
     def by_bucket(self) -> tuple[np.ndarray, np.ndarray]:
@@ -279,7 +280,7 @@ def walk(tokens: Tokens, arcs: list[np.ndarray], failures: list[np.ndarray]) ->
 _SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def lm_scores(docs: DataFrame, *, order: int = 2, modulus: int = 7, rest: int = 2, block_bytes: int = 16 << 20, buckets: int | None = None) -> DataFrame:
+def lm_scores(docs: DataFrame, *, order: int = 2, modulus: int = 7, rest: int = 2, block_bytes: int = 6 << 20, buckets: int | None = None) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
     The model learns from all documents whose crc32(doc_id) % modulus is not `rest`. Tokens are the words of the lower-cased
