@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import scalars as S
 from wayfold.operators import geometry as G
-from wayfold.operators import joins, relations as R
+from wayfold.operators import joins, overrides, relations as R
 from wayfold.plans.registry import query
 
 EDGES = R.POINTS + """,
@@ -311,6 +311,18 @@ def j13_all(spark, sf_dir):
     return met.select("a", "b", F.round((F.col("m") * F.col("e") + F.col("c")) / (1 - F.col("m") * F.col("n")), 3).alias("y"))
 
 
+@query("k27_override_path", f"""with {EDGES},
+run as (select s, min(k) as lo, max(k) as hi from cums where x between -150 and 150 and y between -150 and 150 group by s),
+c as (select c.s, c.k, c.x, c.y, k between lo and hi as inside, cum - min(cum) filter (k between lo and hi) over (partition by c.s) as a, max(cum) filter (k between lo and hi) over (partition by c.s) - min(cum) filter (k between lo and hi) over (partition by c.s) as total from cums c left join run on run.s = c.s),
+p as (select *, case when total > 0 then a / total * 800 else 0 end as way from c)
+select s, k, round(case when not coalesce(inside, false) then x when way <= 400 then -200 else least(way, 800) - 600 end, 3) as x, round(case when not coalesce(inside, false) then y when way <= 400 then way - 200 else 200 end, 3) as y from p""")
+def k27(spark, sf_dir):
+    """What every shape has in a box, from its first to its last vertex there, redrawn along two sides of a square."""
+    pts = R.shape_points(spark, sf_dir).select("s", "k", "x", "y", F.col("x").cast("double").alias("wx"), F.col("y").cast("double").alias("wy"), F.lit(1).alias("route"))
+    spec = spark.createDataFrame([(1, 1, (-150.0, -150.0, 150.0, 150.0), [(-200.0, -200.0), (-200.0, 200.0), (200.0, 200.0)], None, None, None, True, False)], "route int, " + overrides.SPEC)
+    return overrides.override_paths(pts, spec, "route").select("s", "k", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
 @query("k14_change_boxes")
 def k14(spark, sf_dir):
     """Boxes of moved vertices for each shape between two versions; one shape is one group."""
