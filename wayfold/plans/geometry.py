@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import scalars as S
 from wayfold.operators import geometry as G
-from wayfold.operators import joins, overrides, relations as R
+from wayfold.operators import grids, joins, overrides, relations as R
 from wayfold.plans.registry import query
 
 EDGES = R.POINTS + """,
@@ -311,6 +311,27 @@ def j13_all(spark, sf_dir):
     return met.select("a", "b", F.round((F.col("m") * F.col("e") + F.col("c")) / (1 - F.col("m") * F.col("n")), 3).alias("y"))
 
 
+_CELLS = f"with recursive {R.POINTS}, cells as (select distinct cast(floor(x / 20) as bigint) as x, cast(floor(y / 20) as bigint) as y from points)"
+
+
+@query("a19_large_components", f"""{_CELLS}, l as (select a.x, a.y, b.x as bx, b.y as by from cells a join cells b on abs(a.x - b.x) <= 1 and abs(a.y - b.y) <= 1),
+r(x, y, rx, ry) using key (x, y) as (select x, y, x, y from cells union select l.x, l.y, arg_min(r.rx, (r.ry, r.rx)), min((r.ry, r.rx))[1] from r join l on l.bx = r.x and l.by = r.y join recurring.r o on o.x = l.x and o.y = l.y where (r.ry, r.rx) < (o.ry, o.rx) group by l.x, l.y)
+select count(*) over (partition by rx, ry) as size, x, y from r qualify size >= 64""")
+def a19(spark, sf_dir):
+    """Cells that shapes touch, in connected components of 64 cells or more."""
+    cells = R.shape_points(spark, sf_dir).select(F.floor(F.col("x") / 20).alias("x"), F.floor(F.col("y") / 20).alias("y"))
+    return grids.large_components(cells).select("x", "y", "size")
+
+
+@query("k20_distances", f"""with {R.POINTS}, cells as (select distinct cast(floor(x / 20) as bigint) as x, cast(floor(y / 20) as bigint) as y from points),
+near as (select px.x, py.y, (select min((c.x - px.x) * (c.x - px.x) + (c.y - py.y) * (c.y - py.y)) from cells c) as d2 from (select unnest(range(-20, 21)) as x) px, (select unnest(range(-20, 21)) as y) py)
+select x, y, d2 from near""")
+def k20(spark, sf_dir):
+    """How far every cell round the origin is from the nearest cell that any shape touches."""
+    cells = R.shape_points(spark, sf_dir).select(F.floor(F.col("x") / 20).alias("x"), F.floor(F.col("y") / 20).alias("y"))
+    return grids.distances(cells, (-20, -20, 20, 20))
+
+
 @query("k27_override_path", f"""with {EDGES},
 run as (select s, min(k) as lo, max(k) as hi from cums where x between -150 and 150 and y between -150 and 150 group by s),
 c as (select c.s, c.k, c.x, c.y, k between lo and hi as inside, cum - min(cum) filter (k between lo and hi) over (partition by c.s) as a, max(cum) filter (k between lo and hi) over (partition by c.s) - min(cum) filter (k between lo and hi) over (partition by c.s) as total from cums c left join run on run.s = c.s),
