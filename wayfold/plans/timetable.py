@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import scalars as S
 from wayfold.functions import timing
-from wayfold.operators import joins, relations as R
+from wayfold.operators import chaining, joins, relations as R
 from wayfold.plans.registry import query
 
 TICK_US, FIRST_TICK_US = 300_000_000, 7_000_000
@@ -253,3 +253,23 @@ def k23(spark, sf_dir):
     fresh = F.when(gap.between(0, 43_200_000_000), 0).otherwise(1)
     g = b.withColumn("fresh", fresh).withColumn("chain", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return g.groupBy("block", "days", "chain").agg(F.min("trip").alias("trip"), F.count("*").alias("merged"), F.min("t0").alias("t0"), F.max("t1").alias("t1"))
+
+
+@query("k23_chain_workings", f"""with {R.STOPS}, n as (select trip, max(i) as last from stops group by trip having max(i) >= 1),
+legs as (select trip, j, 2 * j as a, least(2 * j + 2, last) as b from n, unnest(range(0, (last + 1) // 2)) as r(j)),
+e as (select l.*, p.kind <> q.kind and p.us < q.us as goes from legs l join stops p on p.trip = l.trip and p.i = l.a join stops q on q.trip = l.trip and q.i = l.b),
+f as (select *, case when goes and coalesce(lag(goes) over (partition by trip order by j), false) then 0 else 1 end as fresh from e),
+c as (select *, sum(fresh) over (partition by trip order by j) as chain from f), h as (select *, min(j) over (partition by trip, chain) as root from c),
+s as (select distinct h.trip * 1000 + h.root as trip, t.i, t.us, t.kind as stop from h join stops t on t.trip = h.trip and t.i between h.a and h.b)
+select cast(trip as bigint) as trip, cast(row_number() over (partition by trip order by i) as integer) as seq, us, stop from s""")
+def k23_workings(spark, sf_dir):
+    """Trips that were cut at every second stop, put together again by place and time; round workings stand alone."""
+    s = R.stops(spark, sf_dir).select("trip", "i", "us", "kind")
+    # A stop at which a trip was cut ends one working and begins the next.
+    s = s.withColumn("last", F.max("i").over(Window.partitionBy("trip"))).where("last >= 1")
+    leg = F.expr("filter(array((i - 2) div 2, i div 2), j -> j >= 0 and j < (last + 1) div 2 and i between 2 * j and 2 * j + 2)")
+    cut = s.withColumn("leg", F.explode(F.array_distinct(leg)))
+    stops = cut.select((F.col("trip") * 1000 + F.col("leg")).alias("trip"), F.col("i").cast("long").alias("seq"), F.col("us").alias("arr"), F.col("us").alias("dep"), F.col("kind").alias("stop"), F.lit(0.0).alias("measure"), F.col("trip").alias("block"))
+    workings = stops.select("trip", "block").distinct().select("trip", F.lit("all").alias("service"), "block", F.lit("r").alias("route"), F.lit("s").alias("shape"))
+    chained, _ = chaining.chain_workings(workings, stops.drop("block"))
+    return chained.select("trip", "seq", F.col("arr").alias("us"), "stop")
