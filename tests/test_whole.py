@@ -55,7 +55,7 @@ def test_all_shapes_and_records_take_part(spark):
     con = duckdb.connect()
     for f in os.listdir(SF):
         con.execute(f"create view {f.split('.')[0]} as select * from '{SF}/{f}'")
-    for name in ("w7_turns_all", "p12_occlusion_all", "t15_triage_all", "j13_crossings_all"):
+    for name in ("w7_turns", "p12_occlusion", "t15_triage", "j13_crossings", "k10_corridor_score"):
         want = con.sql(entry.oracle_sql()[name])
         got = entry.queries()[name](spark, SF).select([d[0] for d in want.description])
         assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
@@ -70,10 +70,22 @@ def test_corridor_windows():
     assert G.corridor_error(route[::-1], corridor, gate=10, step=1) == pytest.approx((off, uncovered))
     assert G.corridor_error(route + [0, 50], corridor, gate=10, step=1) == (None, None)
     assert G.corridor_error(np.array([(0, 0), (40, 0)], float), corridor, gate=10, step=1) == (None, None)
-    dense = G.sample_line(route, 2)
-    n, _, _, mx, cover = G.corridor_score(dense, G.sample_line(corridor, 2), reach=150, cover=3)
-    assert n < len(dense) / 4 and 29 < mx < 31 and 0.8 < cover < 1
-    assert G.corridor_score(dense + [0, 5000], G.sample_line(corridor, 2), reach=150, cover=3) == (None,) * 5
+
+
+def test_corridor_scores(spark):
+    """The same route in samples, one far away, and one that meets both ends with one sample."""
+    corridor = np.array([(0, 0), (100, 0)], float)
+    route = np.array([(0, 300), (0, 2), (50, 2), (50, 30), (60, 30), (60, 2), (100, 2), (100, 400)], float)
+    lines = {1: G.sample_line(route, 2), 2: G.sample_line(corridor, 2), 3: G.sample_line(route, 2) + [0, 5000], 4: np.array([(50.0, 9.0)])}
+    samples = spark.createDataFrame([(s, k, float(x), float(y)) for s, p in lines.items() for k, (x, y) in enumerate(p)], "s long, k long, x double, y double").repartition(3)
+    pairs = spark.createDataFrame([(1, 2), (3, 2), (4, 2), (2, 2)], "s long, other long")
+    got = {r.s: r for r in G.corridor_scores(samples, pairs, reach=150, cover=3).collect()}
+    d = np.hypot(*np.moveaxis(lines[1][:, None] - lines[2][None], 2, 0))
+    lo, hi = sorted((d[:, 0].argmin(), d[:, -1].argmin()))
+    own = d[lo : hi + 1]
+    assert got[1].n == hi - lo + 1 < len(d) / 4 and 29 < got[1].mx < 31 and 0.8 < got[1].cover < 1
+    assert np.allclose([got[1].p50, got[1].p90, got[1].mx], np.quantile(own.min(axis=1), [0.5, 0.9, 1])) and abs(got[1].cover - (own.min(axis=0) < 3).mean()) < 1e-12
+    assert tuple(got[3])[2:] == tuple(got[4])[2:] == (None,) * 5 and (got[2].mx, got[2].cover) == (0, 1)
 
 
 def test_feet_of_lines_are_the_joins(spark):
@@ -91,7 +103,7 @@ def test_corridors_of_all_shapes(spark):
         pytest.skip("no test data")
     q = entry.queries()
     n = q["k22_fly_to"](spark, SF).count()
-    for name in ("k9_corridor_error_all", "k10_corridor_score_all"):
+    for name in ("k9_corridor_error", "k10_corridor_score"):
         assert q[name](spark, SF).select("s").distinct().count() == n
     assert q["k17_fit_robust"](spark, SF).count() == 6
 
@@ -109,7 +121,7 @@ def test_cheapest_way_is_the_least_of_all(spark):
         assert abs(G.cheapest_way(p, long=150, times=3) - min(sum(map(hop, w, w[1:])) for w in ways)) < 1e-6
     if os.path.isdir(SF):
         q = entry.queries()
-        assert q["k15_shortest_path_all"](spark, SF).count() == q["k22_fly_to"](spark, SF).count()
+        assert q["k15_shortest_path"](spark, SF).count() == q["k22_fly_to"](spark, SF).count()
 
 
 def test_matches_of_all_shapes_are_brute_force(spark):
@@ -119,4 +131,7 @@ def test_matches_of_all_shapes_are_brute_force(spark):
     for s, p in lines.items():
         score, other = min((G.match_score(p.astype(float), q.astype(float), step=30)[1], o) for o, q in lines.items() if o != s)
         assert got[s][0] == other and abs(got[s][1] - score) < 1e-9
+    odd = spark.createDataFrame([(70, 0, None, 0.0), (70, 1, 1.0, 1.0), (71, 0, float("nan"), 0.0), (71, 1, 1.0, 1.0)], "s long, k long, x double, y double")
+    some = pts.where("s < 3").select(F.col("s").cast("long"), F.col("k").cast("long"), F.col("x").cast("double"), F.col("y").cast("double"))
+    assert {r.s for r in G.match_shapes(some.union(odd), step=30, radius=20).collect()} == {s for s in lines if s < 3}
     assert G.match_shapes(pts.where("s = 1"), step=30, radius=20).count() == 0

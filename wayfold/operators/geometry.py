@@ -180,17 +180,23 @@ def corridor_error(line: np.ndarray, corridor: np.ndarray, *, gate: float, step:
     return float(line_feet(window, corridor)[0].max()), float(line_feet(sample_line(corridor, step, ends=(0.0, length)), window)[0].max())
 
 
-def corridor_score(line: np.ndarray, corridor: np.ndarray, *, reach: float, cover: float) -> tuple:
-    """(n, p50, p90, mx, cover) of the points of a line between its closest ones to the corridor's ends; nulls where both
-    ends are beyond reach, or where there are not two points."""
-    way = np.hypot(line[:, None, 0] - corridor[None, [0, -1], 0], line[:, None, 1] - corridor[None, [0, -1], 1])
-    lo, hi = sorted(way.argmin(axis=0).tolist()) if len(line) else (0, 0)
-    if hi == lo or way.min() > reach:
-        return (None,) * 5
-    own = line[lo : hi + 1]
-    d = np.hypot(own[:, None, 0] - corridor[None, :, 0], own[:, None, 1] - corridor[None, :, 1])
-    off = d.min(axis=1)
-    return len(own), *np.quantile(off, [0.5, 0.9]).tolist(), float(off.max()), float((d.min(axis=0) < cover).mean())
+def corridor_scores(samples: DataFrame, pairs: DataFrame, *, reach: float, cover: float) -> DataFrame:
+    """(s, other, n, p50, p90, mx, cover) of pairs (s, other): distances of a line's samples (s, k, x, y) from its corridor's, over
+    the samples between the closest ones to the corridor's two ends (the first of equals), and the share of the corridor's
+    samples that have one of these nearer than `cover`. Nulls where both ends are beyond `reach` or meet one sample.
+
+    Joins by line and by corridor, of which only minima by sample go on: no line stands in memory whole.
+    """
+    tips = samples.groupBy("s").agg(F.min_by(F.struct("x", "y"), "k").alias("_head"), F.max_by(F.struct("x", "y"), "k").alias("_tail"))
+    near = lambda tip: F.min(F.struct(F.hypot(F.col("x") - F.col(f"{tip}.x"), F.col("y") - F.col(f"{tip}.y")).alias("d"), "k"))
+    met = pairs.join(tips.withColumnRenamed("s", "other"), "other").join(samples, "s").groupBy("s", "other").agg(near("_head").alias("h"), near("_tail").alias("t"))
+    stretch = met.where((F.least("h.d", "t.d") <= reach) & (F.col("h.k") != F.col("t.k"))).select("s", "other", F.least("h.k", "t.k").alias("_lo"), F.greatest("h.k", "t.k").alias("_hi"))
+    own = samples.join(stretch, "s").where(F.col("k").between(F.col("_lo"), F.col("_hi"))).select("s", "other", "k", "x", "y")
+    theirs = samples.select(F.col("s").alias("other"), F.col("k").alias("_k"), F.col("x").alias("_x"), F.col("y").alias("_y"))
+    apart = own.join(theirs, "other").select("s", "other", "k", "_k", F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")).alias("d"))
+    off = apart.groupBy("s", "other", "k").agg(F.min("d").alias("d")).groupBy("s", "other").agg(F.count("*").alias("n"), F.percentile("d", 0.5).alias("p50"), F.percentile("d", 0.9).alias("p90"), F.max("d").alias("mx"))
+    covered = apart.groupBy("s", "other", "_k").agg(F.min("d").alias("d")).groupBy("s", "other").agg(F.avg((F.col("d") < cover).cast("double")).alias("cover"))
+    return pairs.join(off, ["s", "other"], "left").join(covered, ["s", "other"], "left").select("s", "other", "n", "p50", "p90", "mx", "cover")
 
 
 def match_score(line: np.ndarray, other: np.ndarray, *, step: float) -> tuple[float, float]:
@@ -205,8 +211,10 @@ def match_shapes(points: DataFrame, *, step: float, radius: float) -> DataFrame:
 
     Candidates share grid cells of their first vertices and have ends no farther apart, in sum, than the radius. As a score
     is never below that sum, a best score within the radius is the least of all; other shapes go on with a wider radius.
+    Shapes of which an end is missing or no number match nothing and are left out.
     """
-    end = points.groupBy("s").agg(F.min(F.struct("k", "x", "y")).alias("p"), F.max(F.struct("k", "x", "y")).alias("q")).select("s", *[F.col(f"{e}.{c}").alias(f"{e}{c}") for e in "pq" for c in "xy"]).persist()
+    end = points.groupBy("s").agg(F.min(F.struct("k", "x", "y")).alias("p"), F.max(F.struct("k", "x", "y")).alias("q")).select("s", *[F.col(f"{e}.{c}").alias(f"{e}{c}") for e in "pq" for c in "xy"])
+    end = end.where(" and ".join(f"{e}{c} is not null and abs({e}{c}) < 1e300" for e in "pq" for c in "xy")).persist()
     done, left = None, end
     if end.count() < 2:
         left = end.limit(0)

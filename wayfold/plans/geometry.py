@@ -63,21 +63,7 @@ def k8(spark, sf_dir):
     return G.feet(probes, G.edges(R.shape_points(spark, sf_dir))).select("id", "s", F.round("dist", 3).alias("dist"))
 
 
-_K9 = f"""with {samples_sql(100)}, q as (select s, k, x, y, s + 1 as other from samples where s % 5 = 0),
-f as (select q.s, q.k, x, y, x0, y0, x1, y1, case when (x1-x0)*(x1-x0)+(y1-y0)*(y1-y0) > 0 then least(greatest(((x-x0)*(x1-x0)+(y-y0)*(y1-y0)) / ((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0)), 0), 1) else 0 end as f from q join edges e on q.other = e.s),
-d as (select s, k, min(sqrt((x-x0-f*(x1-x0))**2 + (y-y0-f*(y1-y0))**2)) as d from f group by s, k)
-select s, round(max(d), 3) as off, count(*) as n from d group by s"""
-
-
-@query("k9_corridor_error", _K9)
-def k9(spark, sf_dir):
-    """The largest distance of each fifth shape's samples from the next shape's line."""
-    pts = R.shape_points(spark, sf_dir)
-    q = G.resample(pts, 100).where("s % 5 = 0").select(F.struct("s", "k").alias("id"), (F.col("s") + 1).alias("s"), "x", "y")
-    return G.feet(q, G.edges(pts)).groupBy(F.col("id.s").alias("s")).agg(F.round(F.max("dist"), 3).alias("off"), F.count("*").alias("n"))
-
-
-@query("k9_corridor_error_all")
+@query("k9_corridor_error")
 def k9_all(spark, sf_dir):
     """Every shape against the next one as its corridor, over the stretch between the feet of the corridor's ends."""
     pts = R.shape_points(spark, sf_dir)
@@ -91,12 +77,7 @@ t as (select s, k, x - lag(x, 6) over w as ax, y - lag(y, 6) over w as ay, lead(
 u as (select s, k, coalesce(case when sqrt(ax*ax+ay*ay) >= 1e-6 and sqrt(bx*bx+qy*qy) >= 1e-6 then degrees(atan2(ax*qy-ay*bx, ax*bx+ay*qy)) else 0 end, 0) as theta, sqrt(gx*gx+gy*gy) as back from t)"""
 
 
-@query("w7_turns", f"with {_TURNS} select s, k, round(theta, 3) as theta from u where s % 7 = 0")
-def w7(spark, sf_dir):
-    return G.turns(G.resample(R.shape_points(spark, sf_dir).where("s % 7 = 0"), 20), 6).select("s", "k", F.round("theta", 3).alias("theta"))
-
-
-@query("w7_turns_all", f"with {_TURNS} select s, k, round(theta, 3) as theta from u")
+@query("w7_turns", f"with {_TURNS} select s, k, round(theta, 3) as theta from u")
 def w7_all(spark, sf_dir):
     """Of every shape; `w7_turns` is a sample of it."""
     return G.turns(G.resample(R.shape_points(spark, sf_dir), 20), 6).select("s", "k", F.round("theta", 3).alias("theta"))
@@ -117,21 +98,7 @@ def k11(spark, sf_dir):
     return r.select("s", F.round("score", 2).alias("score"), "kinks", F.round("worst", 2).alias("worst"))
 
 
-_K12 = f"""with {samples_sql(40)}, ink as (select x, y from points where s % 10 = 0),
-d as (select p.s, p.k, case when min((p.x-i.x)**2 + (p.y-i.y)**2) <= 3600 then sqrt(min((p.x-i.x)**2 + (p.y-i.y)**2)) end as d from samples p, ink i where p.s % 10 = 1 group by p.s, p.k)
-select s, (count(*) - 1) * 40 as arc, count(*) filter (d > 12) * 40 as drift, count(*) filter (d is null) * 40 as beyond, round(quantile_cont(d, 0.9), 3) as p90, round(median(d), 3) as median, round(max(d), 3) as worst
-from d group by s having count(d) >= 2 and (count(*) - 1) * 40 >= 80"""
-
-
-@query("k12_drift", _K12)
-def k12(spark, sf_dir):
-    pts = R.shape_points(spark, sf_dir)
-    ink = pts.where("s % 10 = 0").select(F.struct("s", "k").alias("id"), "x", "y")
-    d = G.drift(G.resample(pts.where("s % 10 = 1"), 40), ink, step=40, off=12, far=60)
-    return d.select("s", F.col("arc").cast("long").alias("arc"), F.col("drift").cast("long").alias("drift"), F.col("beyond").cast("long").alias("beyond"), *[F.round(c, 3).alias(c) for c in ("p90", "median", "worst")])
-
-
-@query("k12_drift_all")
+@query("k12_drift")
 def k12_all(spark, sf_dir):
     """The drift of every shape from the vertices of the next one; `k12_drift` takes a tenth against another tenth."""
     pts = R.shape_points(spark, sf_dir)
@@ -143,35 +110,22 @@ def k12_all(spark, sf_dir):
     return d.select("s", *[F.col(c).cast("long").alias(c) for c in ("arc", "drift", "beyond")], *[F.round(c, 3).alias(c) for c in ("p90", "median", "worst")])
 
 
-_K10 = f"""with {samples_sql(40)}, q as (select * from samples where s % 10 = 1), o as (select s - 1 as s, x, y from samples where s % 10 = 2),
-a as (select q.s, q.k, sqrt(min((q.x-o.x)**2+(q.y-o.y)**2)) as d from q join o on q.s = o.s group by all),
-b as (select o.s, o.x, o.y, sqrt(min((q.x-o.x)**2+(q.y-o.y)**2)) as d from q join o on q.s = o.s group by all)
-select a.s, p50, p90, mx, cover from (select s, round(median(d), 3) as p50, round(quantile_cont(d, 0.9), 3) as p90, round(max(d), 3) as mx from a group by s) a
-join (select s, round(avg(case when d < 60 then 1.0 else 0.0 end), 4) as cover from b group by s) b on a.s = b.s"""
+_K10 = f"""with {samples_sql(40)}, own as (select distinct s from samples), pr as (select o.s, coalesce(n.s, (select min(s) from own)) as other from own o left join own n on n.s = o.s + 1),
+ends as (select s, arg_min(x, k) as hx, arg_min(y, k) as hy, arg_max(x, k) as tx, arg_max(y, k) as ty from samples group by s),
+far as (select pr.s, pr.other, k, sqrt((x - hx)**2 + (y - hy)**2) as da, sqrt((x - tx)**2 + (y - ty)**2) as db from pr join samples p on p.s = pr.s join ends e on e.s = pr.other),
+win as (select s, other, least(arg_min(k, (da, k)), arg_min(k, (db, k))) as lo, greatest(arg_min(k, (da, k)), arg_min(k, (db, k))) as hi, least(min(da), min(db)) as near from far group by s, other),
+d as (select w.s, p.k, o.k as ok, sqrt((p.x - o.x)**2 + (p.y - o.y)**2) as d from win w join samples p on p.s = w.s and p.k between lo and hi join samples o on o.s = w.other where lo < hi and near <= 150),
+a as (select s, count(*) as n, quantile_cont(d, 0.5) as p50, quantile_cont(d, 0.9) as p90, max(d) as mx from (select s, k, min(d) as d from d group by s, k) group by s),
+b as (select s, avg(case when d < 60 then 1.0 else 0 end) as cover from (select s, ok, min(d) as d from d group by s, ok) group by s)
+select pr.s, n, round(p50, 3) as p50, round(p90, 3) as p90, round(mx, 3) as mx, round(cover, 4) as cover from pr left join a on a.s = pr.s left join b on b.s = pr.s"""
 
 
 @query("k10_corridor_score", _K10)
 def k10(spark, sf_dir):
-    """Samples of each tenth shape against the next shape's: an equi-join on the pair, bounded by two shapes' samples."""
-    r = G.resample(R.shape_points(spark, sf_dir), 40)
-    q = r.where("s % 10 = 1")
-    o = r.where("s % 10 = 2").select((F.col("s") - 1).alias("s"), F.col("k").alias("ok"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    d = q.join(o, "s").select("s", "k", "ok", F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")).alias("d"))
-    a = d.groupBy("s", "k").agg(F.min("d").alias("d")).groupBy("s").agg(F.round(F.expr("percentile(d, 0.5)"), 3).alias("p50"), F.round(F.expr("percentile(d, 0.9)"), 3).alias("p90"), F.round(F.max("d"), 3).alias("mx"))
-    b = d.groupBy("s", "ok").agg(F.min("d").alias("d")).groupBy("s").agg(F.round(F.avg((F.col("d") < 60).cast("double")), 4).alias("cover"))
-    return a.join(b, "s")
-
-
-@query("k10_corridor_score_all")
-def k10_all(spark, sf_dir):
     """Samples of every shape against the next one's, between the closest ones to its ends."""
     pts = R.shape_points(spark, sf_dir)
-
-    def of(a, b):
-        return G.corridor_score(G.sample_line(a, 40), G.sample_line(b, 40), reach=150, cover=60)
-
-    c = G.by_pair(pts, G.next_shapes(pts), of, "n double, p50 double, p90 double, mx double, cover double")
-    return c.select("s", F.col("n").cast("long").alias("n"), *[F.round(x, 3).alias(x) for x in ("p50", "p90", "mx")], F.round("cover", 4).alias("cover"))
+    c = G.corridor_scores(G.resample(pts, 40), G.next_shapes(pts), reach=150, cover=60)
+    return c.select("s", "n", *[F.round(x, 3).alias(x) for x in ("p50", "p90", "mx")], F.round("cover", 4).alias("cover"))
 
 
 @query("a4_bbox", f"with {R.POINTS} select s, min(x) as x0, min(y) as y0, max(x) as x1, max(y) as y1 from points group by s")
@@ -291,16 +245,7 @@ def f21(spark, sf_dir):
     return b.select("s", first.cast("double").alias("first"), last.cast("double").alias("last"))
 
 
-@query("j13_crossings", f"with {SPOTS} select a.id as a, b.id as b, round((a.x / 100.0 * b.y + a.y) / (1 - a.x / 100.0 * b.x / 100.0), 3) as y from spots a, spots b where a.id < 20 and b.id between 20 and 38 and abs(1 - a.x / 100.0 * b.x / 100.0) > 0.01")
-def j13(spark, sf_dir):
-    """Where a street y = m x + c and an avenue x = n y + e cross, in closed form; both sides are short lists of names."""
-    p = spots(spark, sf_dir)
-    a = p.where("id < 20").select(F.col("id").alias("a"), (F.col("x") / 100).alias("m"), F.col("y").alias("c"))
-    b = p.where("id between 20 and 38").select(F.col("id").alias("b"), (F.col("x") / 100).alias("n"), F.col("y").alias("e"))
-    return a.join(F.broadcast(b)).where(F.abs(1 - F.col("m") * F.col("n")) > 0.01).select("a", "b", F.round((F.col("m") * F.col("e") + F.col("c")) / (1 - F.col("m") * F.col("n")), 3).alias("y"))
-
-
-@query("j13_crossings_all", f"with {SPOTS}, g as (select *, floor(x / 10.0) as gx, floor(y / 10.0) as gy from spots) select a.id as a, b.id as b, round((a.x / 100.0 * b.y + a.y) / (1 - a.x / 100.0 * b.x / 100.0), 3) as y from g a join g b on a.gx = b.gx and a.gy = b.gy and a.id <> b.id and abs(1 - a.x / 100.0 * b.x / 100.0) > 0.01")
+@query("j13_crossings", f"with {SPOTS}, g as (select *, floor(x / 10.0) as gx, floor(y / 10.0) as gy from spots) select a.id as a, b.id as b, round((a.x / 100.0 * b.y + a.y) / (1 - a.x / 100.0 * b.x / 100.0), 3) as y from g a join g b on a.gx = b.gx and a.gy = b.gy and a.id <> b.id and abs(1 - a.x / 100.0 * b.x / 100.0) > 0.01")
 def j13_all(spark, sf_dir):
     """Every spot as a street and as an avenue, joined within grid cells of ten units."""
     cell = [F.floor(F.col(c) / 10).alias(f"g{c}") for c in "xy"]
@@ -358,28 +303,7 @@ def k14(spark, sf_dir):
     return moved.groupBy("s").applyInPandas(boxes, "s long, rank long, x0 double, y0 double, x1 double, y1 double")
 
 
-_K15 = f"""with recursive {R.POINTS}, e as (select a.s, a.k as a, b.k as b, sqrt(cast((a.x-b.x)**2 + (a.y-b.y)**2 as double)) * case when sqrt(cast((a.x-b.x)**2 + (a.y-b.y)**2 as double)) > 150 then 3 else 1 end as cost
-  from points a join points b on a.s = b.s and a.k <> b.k where a.s % 20 = 0 and a.k < 8 and b.k < 8),
-w(s, k, cost, seen) as (select distinct s, 0::bigint, 0::double, [0::bigint] from e union all select w.s, e.b, w.cost + e.cost, list_append(w.seen, e.b) from w join e on w.s = e.s and w.k = e.a where not list_contains(w.seen, e.b))
-select s, round(min(cost), 3) as cost from w where k = 7 group by s"""
-
-
-@query("k15_shortest_path", _K15)
-def k15(spark, sf_dir):
-    """The cheapest way from the first to the eighth vertex of each twentieth shape, long hops three times as dear."""
-    pts = R.shape_points(spark, sf_dir).where("s % 20 = 0 and k < 8")
-
-    def path(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        e = rows.merge(rows, how="cross", suffixes=("", "_b"))
-        e = e[e["k"] < e["k_b"]]
-        way = ((e["x"] - e["x_b"]) ** 2 + (e["y"] - e["y_b"]) ** 2) ** 0.5
-        found = G.shortest_path(pd.DataFrame({"a": e["k"], "b": e["k_b"], "cost": way.where(way <= 150, 3 * way)}), 0, 7)
-        return pd.DataFrame({"s": [key[0]], "cost": [round(found[0], 3) if found else None]})
-
-    return pts.groupBy("s").applyInPandas(path, "s long, cost double")
-
-
-@query("k15_shortest_path_all")
+@query("k15_shortest_path")
 def k15_all(spark, sf_dir):
     """The cheapest way from the first to the last vertex of every shape over all its vertices."""
     pts = R.shape_points(spark, sf_dir)

@@ -45,29 +45,13 @@ def k13(spark, sf_dir):
     return placement.rejoins(samples, ink, step=10, contact=30, ride=20, leave=40, rejoin=400, pairs=G.next_shapes(pts).withColumnRenamed("other", "sid"))
 
 
-_J14 = f"""with {samples_sql(100)}, a as (select * from samples where s % 25 = 1), b as (select s as other, k as j, x, y from samples where s % 25 = 2),
-d as (select a.s, b.other, a.k, min(sqrt((a.x-b.x)**2 + (a.y-b.y)**2)) as d from a, b group by all), m as (select s, other, avg(d) as mean from d group by all),
-r as (select *, row_number() over (partition by s order by mean, other) as rn from m) select s, other, round(mean, 3) as mean from r where rn = 1"""
-
-
-@query("j14_shape_match", _J14)
-def j14(spark, sf_dir):
-    """The candidate shape with the least mean distance; candidates are a list of some twenty shapes for each group."""
-    r = G.resample(R.shape_points(spark, sf_dir), 100)
-    a = r.where("s % 25 = 1")
-    b = r.where("s % 25 = 2").select(F.col("s").alias("other"), F.struct("x", "y").alias("p")).groupBy("other").agg(F.collect_list("p").alias("ps"))
-    d = F.array_min(F.transform("ps", lambda p: F.hypot(F.col("x") - p["x"], F.col("y") - p["y"])))
-    means = a.join(F.broadcast(b)).select("s", "other", d.alias("d")).groupBy("s", "other").agg(F.avg("d").alias("mean"))
-    return means.groupBy("s").agg(F.min(F.struct("mean", "other")).alias("m")).select("s", "m.other", F.round("m.mean", 3).alias("mean"))
-
-
 def _behind(spark, sf_dir):
     w = Window.partitionBy("s").orderBy("k")
     p = R.shape_points(spark, sf_dir).withColumns({"tx": F.lead("x").over(w), "ty": F.lead("y").over(w)}).where("tx is not null")
     return p.select((F.col("x") / 100).alias("lon"), (F.col("y") / 100).alias("lat"), "tx", "ty")
 
 
-@query("j14_shape_match_all")
+@query("j14_shape_match")
 def j14_all(spark, sf_dir):
     """Every shape with the other one that is least away by mean distance and both ends; `j14_shape_match` takes a sample."""
     m = G.match_shapes(R.shape_points(spark, sf_dir), step=100, radius=64)
@@ -126,13 +110,7 @@ def p5(spark, sf_dir):
     )
 
 
-@query("p12_occlusion", f"with {R.POINTS}, b as (select s, k, x - 12 as x0, x + 12 as x1, y - 12 as y0, y + 12 as y1 from points) select s, k, x0 < 100 and x1 > -100 and y0 < 50 and y1 > -50 as overlaps, x0 >= -100 and x1 <= 100 and y0 >= -50 and y1 <= 50 as inside from b where s % 5 = 0")
-def p12(spark, sf_dir):
-    b = R.shape_points(spark, sf_dir).where("s % 5 = 0").select("s", F.col("k").cast("long").alias("k"), (F.col("x") - 12).alias("x0"), (F.col("x") + 12).alias("x1"), (F.col("y") - 12).alias("y0"), (F.col("y") + 12).alias("y1"))
-    return b.select("s", "k", F.expr("x0 < 100 and x1 > -100 and y0 < 50 and y1 > -50").alias("overlaps"), F.expr("x0 >= -100 and x1 <= 100 and y0 >= -50 and y1 <= 50").alias("inside"))
-
-
-@query("p12_occlusion_all", f"with {R.POINTS}, b as (select s, k, x - 12 as x0, x + 12 as x1, y - 12 as y0, y + 12 as y1 from points) select s, k, x0 < 100 and x1 > -100 and y0 < 50 and y1 > -50 as overlaps, x0 >= -100 and x1 <= 100 and y0 >= -50 and y1 <= 50 as inside from b")
+@query("p12_occlusion", f"with {R.POINTS}, b as (select s, k, x - 12 as x0, x + 12 as x1, y - 12 as y0, y + 12 as y1 from points) select s, k, x0 < 100 and x1 > -100 and y0 < 50 and y1 > -50 as overlaps, x0 >= -100 and x1 <= 100 and y0 >= -50 and y1 <= 50 as inside from b")
 def p12_all(spark, sf_dir):
     """Of every shape; `p12_occlusion` is a sample of it."""
     b = R.shape_points(spark, sf_dir).select("s", F.col("k").cast("long").alias("k"), (F.col("x") - 12).alias("x0"), (F.col("x") + 12).alias("x1"), (F.col("y") - 12).alias("y0"), (F.col("y") + 12).alias("y1"))

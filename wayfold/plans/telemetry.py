@@ -213,14 +213,7 @@ def t7(spark, sf_dir):
 _KIND = "case when v > 45000 then 'stall' when v > 40000 then 'throttled' when v < 3000 then 'final' else 'sample' end"
 
 
-@query("t15_triage", f"with {_REC}, k as (select sid, n, at_ms, {_KIND} as kind from rec), s as (select sid, count(*) filter (kind = 'stall') as stall, count(*) filter (kind = 'throttled') as thr, arg_max(kind, struct_pack(a := at_ms, n := n)) as last, max(at_ms) as at_last from k where n % 7 = 0 group by sid) select sid, case when stall > 0 then 'stalls' when thr > 0 then 'throttled' when last = 'final' then 'clean' when (select max(at_ms) from rec) - at_last < {72 * HOUR} then 'arriving' else 'died' end as verdict from s")
-def t15(spark, sf_dir):
-    r = records(spark, sf_dir)
-    now = r.agg(F.max("at")).first()[0] or 0
-    return T.triage(r.where("n % 7 = 0").select("sid", "n", "at", F.expr(_KIND).alias("kind")), now=now, alive_ms=72 * HOUR)
-
-
-@query("t15_triage_all", f"with {_REC}, k as (select sid, n, at_ms, {_KIND} as kind from rec), s as (select sid, count(*) filter (kind = 'stall') as stall, count(*) filter (kind = 'throttled') as thr, arg_max(kind, struct_pack(a := at_ms, n := n)) as last, max(at_ms) as at_last from k group by sid) select sid, case when stall > 0 then 'stalls' when thr > 0 then 'throttled' when last = 'final' then 'clean' when (select max(at_ms) from rec) - at_last < {72 * HOUR} then 'arriving' else 'died' end as verdict from s")
+@query("t15_triage", f"with {_REC}, k as (select sid, n, at_ms, {_KIND} as kind from rec), s as (select sid, count(*) filter (kind = 'stall') as stall, count(*) filter (kind = 'throttled') as thr, arg_max(kind, struct_pack(a := at_ms, n := n)) as last, max(at_ms) as at_last from k group by sid) select sid, case when stall > 0 then 'stalls' when thr > 0 then 'throttled' when last = 'final' then 'clean' when (select max(at_ms) from rec) - at_last < {72 * HOUR} then 'arriving' else 'died' end as verdict from s")
 def t15_all(spark, sf_dir):
     """Verdicts on all records of each session; `t15_triage` sees each seventh."""
     r = records(spark, sf_dir)
