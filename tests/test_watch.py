@@ -116,6 +116,13 @@ def test_heartbeat_out_of_view_is_throttled():
     assert c.told[-1][:2] == ("stall", c.now - 1)
 
 
+def test_rates_restart_where_a_counter_falls():
+    c = Clock(watch.RateRule())
+    for wait, up in ((0, 10), (1000, 30), (500, None), (500, 130), (2000, 8), (0, 9), (1000, 9)):
+        c.wait(wait).say("sample", up)
+    assert [(r[3], r[4]) for r in c.told] == [(20_000, False), (100_000, False), (4000, True), (0, False), (0, False)]
+
+
 def history(seed, sessions=5, n=60):
     rng = random.Random(seed)
     out, number = [], 0
@@ -137,7 +144,7 @@ def folded(rule, rows, until):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("rule", [watch.StallRule(), watch.HeartbeatRule(forget=300_000), watch.StallRule(limit=2500, tick=1)])
+@pytest.mark.parametrize("rule", [watch.StallRule(), watch.HeartbeatRule(forget=300_000), watch.StallRule(limit=2500, tick=1), watch.RateRule()])
 def test_stream_of_late_doubled_and_mixed_records_is_the_ordered_fold(spark, tmp_path, rule):
     rows = history(3)
     rng = random.Random(1)

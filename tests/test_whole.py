@@ -135,3 +135,13 @@ def test_matches_of_all_shapes_are_brute_force(spark):
     some = pts.where("s < 3").select(F.col("s").cast("long"), F.col("k").cast("long"), F.col("x").cast("double"), F.col("y").cast("double"))
     assert {r.s for r in G.match_shapes(some.union(odd), step=30, radius=20).collect()} == {s for s in lines if s < 3}
     assert G.match_shapes(pts.where("s = 1"), step=30, radius=20).count() == 0
+
+
+def test_a_fit_that_matches_anew_finds_the_planted_transform(spark):
+    from wayfold.plans import placement as plans
+    from wayfold.plans.registry import QUERIES
+
+    if not os.path.isdir(SF):
+        pytest.skip("no test data")
+    got = QUERIES["k17_fit_nearest"](spark, SF).orderBy("term").collect()
+    assert np.allclose([[r.cx for r in got], [r.cy for r in got]], plans.PLANTED, atol=0.01)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from wayfold.functions.scalars import poly2
 from wayfold.operators import fitting, placement
 from wayfold.operators import geometry as G
 from wayfold.operators import relations as R
 from wayfold.operators import telemetry as T
-from wayfold.plans.geometry import samples_sql
 from wayfold.plans.registry import query
 from wayfold.plans.telemetry import _REC, records
 
@@ -65,6 +65,21 @@ def k17_robust(spark, sf_dir):
     return spark.createDataFrame([(i, round(a, 6), round(b, 6)) for i, (a, b) in enumerate(zip(cx, cy))], "term int, cx double, cy double")
 
 
+#: The transform that `k17_fit_nearest` draws its targets by.
+PLANTED = ([40.0, 2000.0, 5.0, 0.3, -0.2, 0.1], [-10.0, -4.0, 2100.0, 0.1, 0.2, -0.3])
+
+
+@query("k17_fit_nearest")
+def k17_nearest(spark, sf_dir):
+    """Every spot matched anew in each round to the nearest of the spots drawn by a planted transform, which the fit finds."""
+    p = R.shape_points(spark, sf_dir).where("k = 0").select(F.col("s").alias("id"), (F.col("x") / 100).alias("lon"), (F.col("y") / 100).alias("lat"))
+    x, y = poly2(F.col("lon"), F.col("lat"), 0.0, 0.0, *PLANTED)
+    drawn = p.select((-F.col("id") - 1).alias("id"), x.alias("x"), y.alias("y"))
+    near = [[c[0] + 3.0, *c[1:]] for c in PLANTED]
+    cx, cy = fitting.fit_nearest(p, drawn, 0.0, 0.0, *near, cap=20.0, rounds=8)
+    return spark.createDataFrame([(i, round(a, 4), round(b, 4)) for i, (a, b) in enumerate(zip(cx, cy))], "term int, cx double, cy double")
+
+
 @query("k17_fit")
 def k17(spark, sf_dir):
     """Second-order fit of each vertex to the one behind it: sums over all vertices, one small solve."""

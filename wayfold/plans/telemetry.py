@@ -161,6 +161,15 @@ def t3_stream(spark, sf_dir):
     return watch.run_watch(watch.watched(source, rule, late_ms=_LATE), "heartbeat").select("sid", "what", F.col("at").alias("at_ms"), "n", "ms", F.col("flag").alias("slept"))
 
 
+@query("t6_rates_stream", f"""with {_REC}, r as (select sid, n, at_ms, v, v - lag(v) over w as grew, at_ms - lag(at_ms) over w as passed from rec where at_ms <= {_UNTIL} window w as (partition by sid order by at_ms, n))
+select sid, n, at_ms, cast(case when passed > 0 then (case when grew < 0 then v else grew end) * 1000000 // passed else 0 end as bigint) as rate, grew < 0 as reset from r where grew is not null""")
+def t6_stream(spark, sf_dir):
+    """Rates of each session's counter by a state of baselines that restarts where the counter falls."""
+    source = stream.records_stream(spark, f"{sf_dir}/events.parque[t]", own_clock=True)
+    told = watch.run_watch(watch.watched(source, watch.RateRule(), late_ms=_LATE), "rates")
+    return told.select("sid", "n", F.col("at").alias("at_ms"), F.col("ms").alias("rate"), F.col("flag").alias("reset"))
+
+
 @query("t13_late_records_stream", _HEARTBEAT)
 def t13_stream(spark, sf_dir):
     """The same from a stream whose records come up to five hours late, in any order, some of them twice."""

@@ -131,7 +131,37 @@ class HeartbeatRule:
         return s["last"] is None and s["shown"]
 
 
-def fold(rule: StallRule | HeartbeatRule, state: dict, records: list[tuple], until: int) -> list[Report]:
+class RateRule:
+    """How fast a session's counter (up) grows since the last record that had one: `rate` reports of n, with ms as thousandths a
+    second, rounded down (0 where no time passed). Where the counter fell it was reset: it counts from 0, and flag tells so."""
+
+    def begin(self) -> dict:
+        return {"at": None, "up": None}
+
+    def due(self, s: dict) -> int | None:
+        return None
+
+    def fire(self, s: dict, at: int) -> list[Report]:
+        return []
+
+    def take(self, s: dict, n: int, kind: str, at: int, up: int | None) -> list[Report]:
+        if up is None:
+            return []
+        out: list[Report] = []
+        if s["at"] is not None:
+            fell, passed = up < s["up"], at - s["at"]
+            out.append(("rate", at, n, (up if fell else up - s["up"]) * 1_000_000 // passed if passed else 0, fell))
+        s.update(at=at, up=up)
+        return out
+
+    def ends(self, s: dict) -> bool:
+        return False
+
+
+Rule = StallRule | HeartbeatRule | RateRule
+
+
+def fold(rule: Rule, state: dict, records: list[tuple], until: int) -> list[Report]:
     """Take records (n, kind, at, up) in order of time, and tell everything that is due before each of them and by `until`."""
     out = []
     for n, kind, at, up in records:
@@ -148,7 +178,7 @@ class Watch(StatefulProcessor):
     doubles, and timers stand where the next of them or the next report is due. What comes behind the watermark is late and
     dropped. State is what the rule holds and the records that wait."""
 
-    def __init__(self, rule: StallRule | HeartbeatRule):
+    def __init__(self, rule: Rule):
         self.rule = rule
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -194,7 +224,7 @@ class Watch(StatefulProcessor):
         pass
 
 
-def watched(records: DataFrame, rule: StallRule | HeartbeatRule, *, late_ms: int = 10_000) -> DataFrame:
+def watched(records: DataFrame, rule: Rule, *, late_ms: int = 10_000) -> DataFrame:
     """Reports (sid, what, at, n, ms, flag) of a stream (sid, n, kind, at, up) by a rule, times in milliseconds.
 
     Records may come in any order and more than once within `late_ms` of the newest one. Null sids, kinds or times are left
