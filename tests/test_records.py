@@ -92,7 +92,9 @@ def test_reports_of_a_watch_reach_the_store_through_a_stream(spark, tmp_path):
     rows = [(s, k, "frame", 1_000_000 + 700 * k + (9000 if k > 5 else 0) + (9000 if k > 12 else 0), None) for s in (1, 2, 3) for k in range(20)]
     spark.createDataFrame(rows, watch.RECORD).coalesce(1).write.parquet(str(tmp_path / "in"))
     told = watch.run_watch(watch.watched(watch.file_stream(spark, str(tmp_path / "in")), watch.StallRule(), late_ms=1000), "store")
-    told.selectExpr("sid as owner", "7L as session", "what", "at", "n", "ms", "flag").repartition(4).write.parquet(str(tmp_path / "told"))
+    # Files in order of time, as a watch tells its reports.
+    for half in ("at < 1010000", "at >= 1010000"):
+        told.where(half).selectExpr("sid as owner", "7L as session", "what", "at", "n", "ms", "flag").coalesce(1).write.mode("append").parquet(str(tmp_path / "told"))
     store = records.RecordStore(spark, str(tmp_path / "store"))
     source = spark.readStream.schema(ROW).option("maxFilesPerTrigger", "1").parquet(str(tmp_path / "told"))
     source.writeStream.foreachBatch(store.upsert).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()

@@ -69,7 +69,8 @@ class RecordStore:
         return self._read(self._index(None))
 
     def upsert(self, batch: DataFrame, number: int) -> None:
-        """Amend the store by a batch of reports; the signature is that of foreachBatch. Reports without an owner or a session are left out."""
+        """Amend the store by a batch of reports; the signature is that of foreachBatch. Batches come in order of time: a verdict or a
+        recovery amends what is kept by then. Reports without an owner or a session are left out."""
         bucket = F.pmod(F.xxhash64("owner"), F.lit(self.buckets)).cast("int")
         path = f"{self.path}/data/batch={number}"
         fresh = session_records(batch.where("owner is not null and session is not null"))
