@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -373,6 +374,22 @@ def test_vectors_recall_at_the_threshold(spark):
     assert sum(r.n_links for r in got) >= 0.9 * 3000
 
 
+def test_vectors_of_groups_leave_most_pairs_out(spark):
+    """12,000 vectors in 1,000 groups: the lists hold few of all pairs, and two of one first list meet there alone."""
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.normal(size=(1000, 64)), 12, axis=0) + 0.3 * rng.normal(size=(12000, 64))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    _, classes = pivots.vector_classes(df)
+    found = pivots.choose_pivots(classes, 12000, 0.9)
+    assert max((found[64] @ found[64].T - np.eye(len(found[64]))).max(axis=1)) < 0.9
+    posts = pivots.post_vectors(pivots.place_vectors(classes, found))
+    counts = np.array([r["count"] for r in posts.groupBy("pivot").count().collect()])
+    assert counts.sum() == 12000 * (pivots.NEAREST - pivots.SHARED + 1) and (counts * counts).sum() < 0.35 * 12000**2
+    lists = pivots.deal_lists(posts, 200)
+    met = pivots.tile_pairs(posts, lists).where("first < pivot").groupBy("pivot", "i", "j").agg(F.min("first").alias("a"), F.max("first").alias("b"), F.count("*").alias("n"))
+    assert lists.where("total > 1").count() and met.where("a = b and n > 400").count() == 0
+
+
 @pytest.mark.parametrize(("n", "tile"), [(600, 100), (2000, 500), (6000, 6000)])
 def test_vectors_of_a_dense_group_are_brute_force(spark, monkeypatch, n, tile):
     """A third of all rows in one group about the threshold, the others without a group, and a second small dimension."""
@@ -571,13 +588,24 @@ def test_secrets(spark, empty):
     assert secrets.scan_secrets(empty)[0].count() == 0
 
 
+@pytest.mark.parametrize("n", [0, 1, 63, 64, 65, 1000, 100_000])
+def test_secrets_of_a_text_with_many(spark, n):
+    """Runs of matches are laid end to end; a list of 100,000 isn't copied for each of them."""
+    word = lambda i: f"é{i:x} {i:032x}" if i % 3 else f"token={i:08d}{'abcdef' * (i % 2)}"
+    text = "\n".join(map(word, range(n)))
+    want = sorted((m.start(), rank, kind, m.end()) for rank, (kind, pattern, group, least) in enumerate(secrets.RULES) for m in re.finditer(pattern, text) if len(m[group]) >= least)
+    began = time.monotonic()
+    got = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"))[0].first()
+    assert [tuple(s) for s in got.spans] == want and time.monotonic() - began < 60
+
+
 def test_ledger_versions(spark, tmp_path):
     """Old blobs are not scanned again, new ones are, and a new rule version scans all; copies of a ledger row change nothing."""
-    turns = [(1, 0, "password=ABCDEFGHIJKLMNO"), (1, 1, "deadbeefdeadbeef"), (2, 0, None), (2, 1, "password=ABCDEFGHIJKLMNO"), (2, 2, "plain")]
+    turns = [(1, 0, "password=ABCDEFGHIJKLMNO"), (1, 1, "deadbeefdeadbeef"), (2, 0, None), (2, 1, "password=ABCDEFGHIJKLMNO"), (2, 2, "plain"), (None, 1, "plain"), (None, None, "token=ABCDEFGHIJKL"), (3, None, None)]
     spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
-    got = sorted(map(tuple, secrets.op10_conversation_ledger(spark, str(tmp_path)).collect()))
-    spans = {"password=ABCDEFGHIJKLMNO": "assign:0:24", "deadbeefdeadbeef": "hex:0:16"}
-    assert got == sorted((c, t, v, spans.get(x, ""), n) for c, t, x in turns for v, n in (("base-1", 2), ("base-2", 4)))
+    got = sorted(map(tuple, secrets.op10_conversation_ledger(spark, str(tmp_path)).collect()), key=str)
+    spans = {"password=ABCDEFGHIJKLMNO": "assign:0:24", "deadbeefdeadbeef": "hex:0:16", "token=ABCDEFGHIJKL": "assign:0:18"}
+    assert got == sorted(((c, t, v, spans.get(x, ""), n) for c, t, x in turns for v, n in (("base-1", 2), ("base-2", 5))), key=str)
     df = spark.createDataFrame(turns, "conv_id long, doc_id long, text string")
     _, ledger = secrets.scan_secrets(df)
     assert secrets.scan_secrets(df, ledger.union(ledger))[0].count() == len(turns)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm.common import cut
@@ -19,6 +19,8 @@ RULE_VERSION = "base-1"
 #: Where a whole maximal run is one match, runs under the least length can be passed over by the pattern itself.
 _LONG = {"access": r"AKIA[A-Z0-9]{14,}", "hex": r"[0-9a-f]{16,}"}
 
+#: Matches whose lengths are summed one by one; longer lists are summed by runs.
+RUN = 64
 SPAN = "array<struct<start:bigint,rank:int,kind:string,stop:bigint>>"
 
 
@@ -26,23 +28,33 @@ def spans_of(text: Column, kind: str, pattern: str, group: int, least: int, rank
     """Leftmost non-overlapping matches with code-point places.
 
     Split and extraction see the same matches, so the pieces between them and the matches, laid one after another, give
-    every start.
+    every start. Lengths are summed in runs of RUN matches, so no list is copied for each match of a text with many.
     """
     pattern = _LONG.get(kind, pattern)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
     tail = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    rows = F.arrays_zip(whole.alias("whole"), tail.alias("tail"), F.slice(pieces, F.lit(1), F.size(whole)).alias("gap"))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("out"))
-
-    def step(acc: Column, row: Column) -> Column:
-        begin = acc["at"] + F.char_length(row["gap"])
-        stop = begin + F.char_length(row["whole"])
-        span = F.struct(begin.cast("bigint").alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), stop.cast("bigint").alias("stop"))
-        grown = F.when(F.char_length(row["tail"]) >= least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(stop.cast("bigint").alias("at"), grown.cast(SPAN).alias("out"))
-
-    found = F.aggregate(rows, start, step)["out"]
+    zipped = F.arrays_zip(whole.alias("whole"), tail.alias("tail"), F.slice(pieces, F.lit(1), F.size(whole)).alias("gap"))
+    length = lambda x: F.char_length(x).cast("bigint")
+    rows = F.transform(zipped, lambda r: F.struct((length(r["gap"]) + length(r["whole"])).alias("step"), length(r["whole"]).alias("length"), (length(r["tail"]) >= least).alias("kept")))
+
+    def spans(rows: Column) -> Column:
+        run = lambda k: F.slice(rows, k * RUN + 1, F.lit(RUN))
+        total = lambda own: F.aggregate(own, F.lit(0).cast("bigint"), lambda n, r: n + r["step"])
+        grow = lambda acc, at, new: F.struct(at.alias("at"), F.concat(acc["out"], F.array(new)).alias("out"))
+        none = lambda at, kind: F.struct(at.alias("at"), F.array().cast(kind).alias("out"))
+        last = F.floor((F.greatest(F.size(rows), F.lit(1)) - 1) / RUN).cast("int")
+        begins = F.aggregate(F.sequence(F.lit(0), last), none(F.lit(0).cast("bigint"), "array<struct<k:int,at:bigint>>"), lambda acc, k: grow(acc, acc["at"] + total(run(k)), F.struct(k.alias("k"), acc["at"].alias("at"))))["out"]
+
+        def step(acc: Column, row: Column) -> Column:
+            stop = acc["at"] + row["step"]
+            return grow(acc, stop, F.struct((stop - row["length"]).alias("start"), stop.alias("stop"), row["kept"].alias("kept")))
+
+        return F.flatten(F.transform(begins, lambda b: F.aggregate(run(b["k"]), none(b["at"], "array<struct<start:bigint,stop:bigint,kept:boolean>>"), step)["out"]))
+
+    # As the only element of an array, the rows are made once and not for each run of them.
+    placed = F.flatten(F.transform(F.array(rows), spans))
+    found = F.transform(F.filter(placed, lambda s: s["kept"]), lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), s["stop"].alias("stop"))).cast(SPAN)
     return F.when(text.rlike(SCREENS[kind]), found).otherwise(F.array().cast(SPAN))
 
 
@@ -56,8 +68,8 @@ def scan_unseen(paths: DataFrame, ledger: DataFrame | None = None, *, rule_versi
     """New ledger entries (blob, rule_version, spans) for blobs that this rule version has not seen.
 
     One text of each blob is scanned: of all rows with one address the least doc_id stands for it, which is found on
-    addresses alone (pre-aggregated before the shuffle), so a blob with a third of all rows costs one scan and no text of
-    the others moves or is kept in a group.
+    addresses alone (pre-aggregated before the shuffle), so a blob with a third of all rows costs one scan. The join on
+    (address, id) that leaves the others out moves every row's text once; no group of texts is kept.
     """
     reps = paths.groupBy("blob").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("rep"))
     if ledger is not None:
@@ -99,10 +111,12 @@ def op10_conversation_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(conv_id, turn, rule_version, spans, n_new): a conversation's turns as versions that come in one after another.
 
     First every conversation's first turn is scanned; then all turns against that ledger, so only unseen blobs are; then
-    all of them by a new rule version. spans are the findings at each path by each version, n_new the blobs its last scan took.
+    all of them by a new rule version. Turns of no conversation are those of one; a turn without a number is never a first one. spans are the findings at each path by each version, n_new the blobs its last scan took.
     """
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").where("conv_id is not null and turn is not null")
-    paths = cut(turns.select(F.struct("conv_id", "turn").alias("path"), (F.col("turn") == F.min("turn").over(Window.partitionBy("conv_id"))).alias("is_first"), "text"), "turns")
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    firsts = turns.groupBy("conv_id").agg(F.min("turn").alias("first")).select(F.col("conv_id").alias("of"), "first")
+    is_first = F.coalesce(F.col("turn") == F.col("first"), F.lit(False)).alias("is_first")
+    paths = cut(turns.join(firsts, F.col("conv_id").eqNullSafe(F.col("of"))).select(F.struct("conv_id", "turn").alias("path"), is_first, "text"), "turns")
     number = F.xxhash64("path.conv_id", "path.turn")
     rows = paths.select(number.alias("doc_id"), "text", "path", "is_first")
     _, ledger = scan_secrets(rows.where("is_first"))
