@@ -221,7 +221,7 @@ def test_leaks(spark, docs, empty):
     got = tiling.benchmark_leaks(docs, bench)
     rows = sorted(map(tuple, got.collect()), key=key)
     assert {(7 + 3 * 21, 1), (7 + 3 * 22, 2)} <= {r[:2] for r in rows} and not {r[1] for r in rows} & {3, 4}
-    # An item of fewer than five words leaks where it is the whole document.
+    # An item of fewer than five words leaks where all of it stands.
     assert {r[0] for r in rows if r[1] == 5} == {d for d, t, _ in ROWS if (t or "").lower().split() == ["two", "words"]}
     assert sorted(map(tuple, tiling.benchmark_leaks(docs, bench, most_broadcast_words=0).collect()), key=key) == rows
     assert tiling.benchmark_leaks(empty, bench).count() == 0 and tiling.benchmark_leaks(docs, bench.limit(0)).count() == 0
@@ -253,7 +253,7 @@ def test_leaks_are_brute_force(spark, most_broadcast_words):
 
     rng = random.Random(31)
     word = lambda: "".join(rng.choices("abcdefghij", k=2))
-    items = [(i, [word() for _ in range(rng.randrange(1, 40))]) for i in range(12)]
+    items = [(i, [word() for _ in range(rng.randrange(1, 40))]) for i in range(12)] + [(12 + k, [word() for _ in range(k)]) for k in range(1, 6)]
     docs = []
     for d in range(60):
         words = [word() for _ in range(rng.randrange(0, 30))]
@@ -267,7 +267,8 @@ def test_leaks_are_brute_force(spark, most_broadcast_words):
     want = []
     for d, words in docs:
         for i, item in items:
-            covered = tiles(item, words, 5) if any(words[k : k + 5] == item[j : j + 5] and len(words[k : k + 5]) == 5 for k in range(len(words)) for j in range(len(item))) or (words == item and len(item) < 5) else 0
+            n = min(5, len(item))
+            covered = tiles(item, words, 5) if any(words[k : k + n] == item[j : j + n] and len(words[k : k + n]) == n for k in range(len(words)) for j in range(len(item))) else 0
             if covered and covered >= 0.5 * len(item):
                 want.append((d, i, covered))
     mixed = lambda w: " ".join(x.upper() if k % 3 else x + "," for k, x in enumerate(w))
@@ -275,6 +276,7 @@ def test_leaks_are_brute_force(spark, most_broadcast_words):
     b = spark.createDataFrame([(k, mixed(w)) for k, w in items], "item_id long, text string")
     got = tiling.benchmark_leaks(d, b, most_broadcast_words=most_broadcast_words)
     assert sorted(((r.doc_id, r.item_id, r.covered) for r in got.collect()), key=key) == sorted(want, key=key) and len(want) > 20
+    assert {i for d, i, _ in want if len(dict(docs)[d]) > 5} >= {13, 14, 15, 16}
 
 
 # --- 4: Jaccard join ---

@@ -82,14 +82,14 @@ def greedy_tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[in
 
 
 def item_words(benchmark: DataFrame, least: int) -> DataFrame:
-    """(item_id, words binary, seeds array<long>) of the items that have words; a shorter item is one seed."""
+    """(item_id, words binary, seeds array<long>) of the items that have words; seeds of a shorter item have its own length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
             words, counts = alnum_hashes(*utf8(batch.column("text")))
             end = np.cumsum(counts)
             rows = [words[e - c : e] for e, c in zip(end, counts)]
-            seeds = [np.unique(shingle_hashes(w, np.array([len(w)]), least)[0]).view(np.int64) for w in rows]
+            seeds = [np.unique(shingle_hashes(w, np.array([len(w)]), max(1, min(least, len(w))))[0]).view(np.int64) for w in rows]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([w.tobytes() for w in rows], pa.binary()), pa.array(seeds, pa.list_(pa.int64()))], names=["item_id", "words", "seeds"])
 
     return benchmark.mapInArrow(run, "item_id long, words binary, seeds array<long>").where(F.size("seeds") > 0)
@@ -100,25 +100,29 @@ def _leaks_by_broadcast(docs: DataFrame, items: DataFrame, least: int) -> DataFr
     ids = got.column("item_id").to_pylist()
     words = [np.frombuffer(w, np.uint64) for w in got.column("words").to_pylist()]
     seeds = [np.array(s, np.int64).view(np.uint64) for s in got.column("seeds").to_pylist()]
-    flat = np.concatenate([np.empty(0, np.uint64), *seeds])
-    owner = np.repeat(np.arange(len(ids)), [len(s) for s in seeds])
-    order = np.argsort(flat, kind="stable")
-    held = docs.sparkSession.sparkContext.broadcast((ids, words, flat[order], owner[order]))
+    by_width = []
+    for width in sorted({min(least, len(w)) for w in words}):
+        own = [i for i, w in enumerate(words) if min(least, len(w)) == width]
+        flat, owner = np.concatenate([seeds[i] for i in own]), np.repeat(own, [len(seeds[i]) for i in own])
+        order = np.argsort(flat, kind="stable")
+        by_width.append((width, flat[order], owner[order]))
+    held = docs.sparkSession.sparkContext.broadcast((ids, words, by_width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, items, flat, owner = held.value
+        ids, items, by_width = held.value
         for batch in slices(batches, "text", 2 << 20):
             words, counts = alnum_hashes(*utf8(batch.column("text")))
-            shingles, runs = shingle_hashes(words, counts, least)
-            rows = []
-            if len(flat) and len(shingles):
+            end, doc_ids, rows = np.cumsum(counts), batch.column("doc_id").to_pylist(), []
+            for width, flat, owner in by_width:
+                shingles, runs = shingle_hashes(words, counts, width)
+                if not len(shingles):
+                    continue
                 left = np.searchsorted(flat, shingles, "left")
                 hit = np.flatnonzero(flat[np.minimum(left, len(flat) - 1)] == shingles)
                 right = np.searchsorted(flat, shingles[hit], "right")
                 text = np.repeat(np.arange(len(runs)), runs)[hit]
                 n = right - left[hit]
                 pair = np.unique(np.stack([np.repeat(text, n), owner[np.repeat(left[hit], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]], 1), axis=0)
-                end, doc_ids = np.cumsum(counts), batch.column("doc_id").to_pylist()
                 for t, i in pair.tolist():
                     tiles = greedy_tiles(items[i], words[end[t] - counts[t] : end[t]], least)
                     rows.append((doc_ids[t], ids[i], len(tiles), sum(x[0] for x in tiles), len(items[i])))
@@ -131,12 +135,14 @@ def _leaks_by_broadcast(docs: DataFrame, items: DataFrame, least: int) -> DataFr
 def _leaks_by_join(docs: DataFrame, items: DataFrame, least: int) -> DataFrame:
     """The same by shuffles: seeds meet on their hash, pairs are made distinct, and each pair is tiled on its own."""
 
+    widths = sorted(r[0] for r in items.select(F.least(F.octet_length("words") / 8, F.lit(least)).cast("int")).distinct().collect())
+
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             words, counts = alnum_hashes(*utf8(batch.column("text")))
             end = np.cumsum(counts)
             own = [words[e - c : e] for e, c in zip(end.tolist(), counts.tolist())]
-            got = [np.unique(shingle_hashes(w, np.array([len(w)]), least)[0]).view(np.int64) for w in own]
+            got = [np.unique(np.concatenate([shingle_hashes(w, np.array([len(w)]), k)[0] for k in widths] or [w[:0]])).view(np.int64) for w in own]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([w.tobytes() for w in own], pa.binary()), pa.array(got, pa.list_(pa.int64()))], names=["doc_id", "words", "seeds"])
 
     def tile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +168,8 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, *, least_words: int =
     Words are runs of ASCII letters and digits and of any non-ASCII characters, A-Z in lower case. Documents and items
     that share a run of `least_words` words are tiled: the longest common runs that are still free are marked again and
     again, so passages that were put in another order still count, and no word counts twice. A document leaks an item if
-    tiles cover `coverage` of its words. An item of fewer than `least_words` words leaks where it is all that a document holds.
+    tiles cover `coverage` of its words. An item of fewer than `least_words` words leaks where the whole of it stands in a
+    document; so an item of one common word leaks nearly everywhere, and such items are to be left out before.
 
     Benchmarks of up to `most_broadcast_words` words are broadcast; larger ones are joined by a shuffle, with the same
     result. Null texts count as empty; rows with null ids are compared too; repeated rows give repeated rows; empty
