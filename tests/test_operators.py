@@ -194,6 +194,33 @@ def test_gtfs_tables(spark, tmp_path):
     (tmp_path / "shapes.txt").write_text("shape_id,shape_pt_sequence,shape_pt_lon,shape_pt_lat\n" + "".join(f"s,{k},{k}.123456,1\n" for k in range(12)))
     assert rows(shape_points(spark, str(tmp_path))) == [("r", 0.12346, 1.0), ("r", 4.12346, 1.0), ("r", 8.12346, 1.0)]
     assert read_table(spark, str(tmp_path), "none.txt", ["a"]).count() == 0
+    # A shape of several routes is that of the last row.
+    (tmp_path / "trips.txt").write_text("route_id,shape_id\nz,s\na,s\nm,s\n")
+    assert {r[0] for r in shape_points(spark, str(tmp_path)).collect()} == {"m"}
+
+
+def test_stop_places(spark, tmp_path):
+    from wayfold.sources.schedule import stop_places
+
+    box = {"west": 1.0, "south": 1.0, "east": 3.0, "north": 3.0}
+    assert stop_places(spark, str(tmp_path), **box).count() == 0
+    lines = ["1,Main / 7th & Main,2,2", "2,edge,1,2", "3,,2.5,2", "4,nowhere,,2", "5,odd,x,2", "6,out,2,9"]
+    (tmp_path / "stops.txt").write_text("﻿stop_id,stop_name,stop_lon,stop_lat\n" + "\n".join(lines) + "\n")
+    assert rows(stop_places(spark, str(tmp_path), **box).select("stop_id", "lon", "lat", "tokens")) == [("1", 2.0, 2.0, ["MAIN", "7TH"]), ("3", 2.5, 2.0, [])]
+
+
+def test_live_clock(spark):
+    """Midnight moves the day on by one; the hour that is gone or comes twice with the season doesn't."""
+    from wayfold.operators.telemetry import live_clock
+
+    zone = "America/Los_Angeles"
+    at = ["2026-03-08 09:59:00", "2026-03-08 10:00:00", "2026-03-09 06:59:59", "2026-03-09 07:00:00", "2026-11-01 08:59:00", "2026-11-01 09:00:00", "2026-11-04 07:00:00"]
+    df = spark.createDataFrame([("s", i, a, 0) for i, a in enumerate(at)] + [("q", 0, at[3], 0), ("n", 0, None, 0)], "sid string, n long, a string, day int").withColumn("ts", F.to_timestamp_ntz("a"))
+    got = {(r.sid, r.n): (r.t, r.day) for r in live_clock(df, zone=zone).collect()}
+    hm = lambda h, m=0, s=0: h * 3600 + m * 60 + s
+    assert [got["s", i] for i in range(7)] == [(hm(1, 59), 0), (hm(3), 0), (hm(23, 59, 59), 0), (0, 1), (hm(1, 59), 1), (hm(1), 1), (hm(23), 1)]
+    assert got["q", 0] == (0, 1) and got["n", 0] == (None, None)
+    assert live_clock(df.limit(0), zone=zone).count() == 0
 
 
 def test_json_is_replaced_whole_or_not_at_all(tmp_path):
@@ -243,7 +270,7 @@ def test_ingest_stream(spark, tmp_path):
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["k3_positions", "j2_as_of", "a2_fastest_segment", "k4_detie", "k11_roughness", "j4_nearest", "u3_merge_rebase", "t2_watchdog_stream", "w6b_pile", "t7_stall_verdicts", "k25_trim_lead", "f10_speed", "f23_getters"])
+@pytest.mark.parametrize("name", ["k3_positions", "j2_as_of", "a2_fastest_segment", "k4_detie", "k11_roughness", "j4_nearest", "u3_merge_rebase", "t2_watchdog_stream", "w6b_pile", "t7_stall_verdicts", "k25_trim_lead", "f10_speed", "f23_getters", "t9_live_clock"])
 def test_oracles(spark, name):
     import os
 

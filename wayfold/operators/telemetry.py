@@ -93,3 +93,21 @@ def triage(records: DataFrame, *, now: int, alive_ms: int) -> DataFrame:
     s = records.groupBy("sid").agg(F.count_if(F.col("kind") == "stall").alias("stall"), F.count_if(F.col("kind") == "throttled").alias("throttled"), F.max(F.struct("at", "n", "kind")).alias("last"))
     verdict = F.when(F.col("stall") > 0, "stalls").when(F.col("throttled") > 0, "throttled").when(F.col("last.kind") == "final", "clean").when(F.lit(now) - F.col("last.at") < alive_ms, "arriving").otherwise("died")
     return s.select("sid", verdict.alias("verdict"))
+
+
+def live_clock(samples: DataFrame, *, zone: str, fall_s: int = 3600) -> DataFrame:
+    """(sid, n, t, day): what a live clock shows at each sample (sid, n, ts) of a session, ts in UTC without a zone.
+
+    t is the second of the day in the zone. The weekday (0 for Sunday) is that of the session's first sample, moved on by one
+    at each sample whose t is more than `fall_s` less than the one before: at midnight, but not in the hour that the season
+    repeats. A session that sleeps for days moves on by one at most. Samples without ts have neither and move nothing;
+    samples of no session are those of one. An empty table gives no rows; other columns are ignored.
+    """
+    local = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col("ts"))
+    own = samples.select("sid", "n", "ts", local.alias("l"))
+    own = own.withColumn("t", (F.hour("l") * 3600 + F.minute("l") * 60 + F.floor(F.expr("extract(second from l)"))).cast("long"))
+    by = Window.partitionBy("sid").orderBy("ts", "n")
+    fell = F.coalesce(F.col("t") < F.lag("t").over(by) - fall_s, F.lit(False)).cast("int")
+    first = F.first("l", ignorenulls=True).over(by)
+    own = own.withColumns({"fell": fell, "first": first})
+    return own.select("sid", "n", "t", F.when(F.col("t").isNotNull(), (F.dayofweek("first") - 1 + F.sum("fell").over(by)) % 7).cast("int").alias("day"))

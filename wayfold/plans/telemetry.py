@@ -237,3 +237,13 @@ def s6(spark, sf_dir):
     parsed = R.load(spark, sf_dir, "events").select(F.trim(line).alias("line")).withColumn("r", F.from_json("line", "k int, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     good = (F.col("line") != "") & F.col("r").isNotNull() & F.col("r._bad").isNull()
     return parsed.agg(F.count_if(good).alias("kept"), F.count_if(~good).alias("dropped"))
+
+
+@query("t9_live_clock", """with l as (select user_id as sid, event_id as n, ts, timezone('America/Los_Angeles', timezone('UTC', ts)) as l from events),
+s as (select sid, n, ts, l, epoch_us(l) % 86400000000 // 1000000 as t from l),
+f as (select *, coalesce(t < lag(t) over w - 3600, false)::int as fell, dayofweek(first_value(l ignore nulls) over w) as d from s window w as (partition by sid order by ts, n))
+select sid, n, t, cast((d + sum(fell) over (partition by sid order by ts, n)) % 7 as integer) as day from f""")
+def t9(spark, sf_dir):
+    """What the live clock of each user shows at each record."""
+    e = R.load(spark, sf_dir, "events").select(F.col("user_id").alias("sid"), F.col("event_id").alias("n"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return T.live_clock(e, zone="America/Los_Angeles")

@@ -10,6 +10,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wayfold.functions.scalars import word_tokens
+
 #: Fixed layout of a schedule document.
 SCHEDULE = """
 systems array<string>, groups array<struct<n:string,sy:array<int>>>,
@@ -37,14 +39,29 @@ def read_table(spark: SparkSession, folder: str, name: str, columns: list[str] |
 
 
 def shape_points(spark: SparkSession, folder: str, *, every: int = 4, places: int = 5) -> DataFrame:
-    """(route_id, lon, lat): each route's distinct points, every n-th of each shape in order, rounded."""
-    trips = read_table(spark, folder, "trips.txt", ["shape_id", "route_id"]).groupBy("shape_id").agg(F.min("route_id").alias("route_id"))
+    """(route_id, lon, lat): each route's distinct points, every n-th of each shape in order, rounded.
+
+    A shape that trips of several routes have goes to the route of the last of these rows in the file.
+    """
+    trips = read_table(spark, folder, "trips.txt", ["shape_id", "route_id"]).withColumn("_at", F.monotonically_increasing_id())
+    trips = trips.groupBy("shape_id").agg(F.max_by("route_id", "_at").alias("route_id"))
     pts = read_table(spark, folder, "shapes.txt", ["shape_id", "shape_pt_sequence", "shape_pt_lon", "shape_pt_lat"])
     n = F.row_number().over(Window.partitionBy("shape_id").orderBy(F.col("shape_pt_sequence").cast("int"))) - 1
     kept = pts.withColumn("_n", n).where(F.col("_n") % every == 0).join(trips, "shape_id")
     return kept.select("route_id", F.round(F.col("shape_pt_lon").cast("double"), places).alias("lon"), F.round(F.col("shape_pt_lat").cast("double"), places).alias("lat")).distinct()
 
 
+def stop_places(spark: SparkSession, folder: str, *, west: float, south: float, east: float, north: float) -> DataFrame:
+    """(stop_id, stop_name, lon, lat, tokens): the stops strictly within a box, with the distinct words of their names.
+
+    A stop without a place, or with one that is no number, is in no box; one without a name has no words.
+    """
+    stops = read_table(spark, folder, "stops.txt", ["stop_id", "stop_name", "stop_lon", "stop_lat"])
+    stops = stops.withColumns({"lon": F.expr("try_cast(stop_lon as double)"), "lat": F.expr("try_cast(stop_lat as double)")})
+    inside = (F.col("lon") > west) & (F.col("lon") < east) & (F.col("lat") > south) & (F.col("lat") < north)
+    return stops.where(inside).select("stop_id", "stop_name", "lon", "lat", word_tokens(F.coalesce("stop_name", F.lit(""))).alias("tokens"))
+
+
 def read_schedule(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """The tables of schedule documents, with ids that are places in the document; `version` is the file's path.
 
