@@ -418,23 +418,31 @@ def test_vectors_of_a_dense_group_are_brute_force(spark, monkeypatch, n, tile):
 
 
 def line_templates(texts):
-    """Brute force: the template of every line, with the words in which eight templates of a leaf differ alone left out."""
+    """Brute force: (words, template) of every line, with the fields in which eight templates of a leaf differ alone left out."""
     mask = lambda s: re.sub(r"[ \t\r]+", " ", re.sub(r"[^ \t\r]*[0-9][^ \t\r]*", "<*>", s)).strip(" ")
+    variable = lambda s: not s.replace("<*>", "").replace(" ", "")
+
+    def split(m):
+        w = m.split(" ")
+        n, k = len(w) - 2, min(len(w) - 2, lines.FIELDS)
+        rest = [" ".join(w[2 + i * n // k : 2 + (i + 1) * n // k]) for i in range(k)]
+        return (len(w), *w[:2]), tuple("<*>" if variable(x) else x for x in rest)
+
     masked = {mask(s) for t in texts for s in (t or "").split("\n")}
     forms = defaultdict(set)
-    leave = lambda w, ks: " ".join("<*>" if k in ks else x for k, x in enumerate(w))
+    leave = lambda f, ks: tuple("<*>" if k in ks else x for k, x in enumerate(f))
     for m in masked:
-        w = m.split(" ")
-        if len(w) <= lines.MOST_WORDS and sum(x != "<*>" for x in w) >= lines.FEWEST_FIXED:
-            for k in range(2, len(w)):
-                if w[k] != "<*>":
-                    forms[leave(w, {k})].add((m, k))
+        path, f = split(m)
+        if sum(not variable(x) for x in (*path[1:], *f)) >= 3:
+            for k in range(len(f)):
+                if f[k] != "<*>":
+                    forms[path, k, leave(f, {k})].add((path, f))
     found = defaultdict(set)
-    for members in forms.values():
-        if len({m for m, _ in members}) >= 8:
-            for m, k in members:
-                found[m].add(k)
-    merged = {m: leave(m.split(" "), found[m]) for m in masked}
+    for (_, k, _), members in forms.items():
+        if len(members) >= 8:
+            for one in members:
+                found[one].add(k)
+    merged = {m: (split(m)[0], leave(split(m)[1], found[split(m)])) if m else None for m in masked}
     return lambda s: merged[mask(s)]
 
 
@@ -448,9 +456,10 @@ def without_lines(rows, least):
                 texts[template(s)].add(t)
                 at = (d is not None, d or 0, k)
                 first[template(s)] = min(first.get(template(s), at), at)
+    need = lambda m: min([least] + [n for words, n in lines.LONG_WORDS if m[0][0] >= words])
     out = []
     for d, t, *_ in rows:
-        keep = [s for k, s in enumerate((t or "").split("\n")) if not template(s) or len(texts[template(s)]) < least or first[template(s)] == (d is not None, d or 0, k)]
+        keep = [s for k, s in enumerate((t or "").split("\n")) if not (m := template(s)) or len(texts[m]) < need(m) or first[m] == (d is not None, d or 0, k)]
         out.append((d, "\n".join(keep), len((t or "").split("\n")) - len(keep)))
     return sorted(out, key=key)
 
@@ -464,7 +473,10 @@ def test_lines(docs, empty):
 
 
 def test_lines_of_a_leaf_become_one_template(spark):
-    """Lines that share all but a name, or a name and a place, are one template; few of them, or with another start, aren't."""
+    """Lines that share all but a name, or a name and a place, are one template; few of them, or with another start, aren't.
+
+    So are short ones, and ones of more words than fields; lines of numbers with one word are not.
+    """
     names = ["Ada", "Bea", "Cyd", "Dan", "Eve", "Fay", "Gus", "Hal", "Ida"]
     rows = []
     for i, n in enumerate(names):
@@ -474,13 +486,18 @@ def test_lines_of_a_leaf_become_one_template(spark):
         rows.append((100 + i, f"{n} {names[i // 9]}\nSeen near the bridge with {n} and the dog of {names[i // 9]} at night"))
     rows += [(300, "of the town\nPosted by 1234 in the old town hall of Rome\r"), (300, "x\n\nPosted by Zoe in the old town hall of Rome"), (None, "Posted by Zoe in the old town hall of Rome"), (301, None)]
     rows.append((302, "\n".join(f"line {i}" if i % 2 else f"a b c d e f {'xyz'[i % 3]}" for i in range(3000))))
+    frame = "the council of the old harbor town meets on the first day of every month in the great hall and hears {} before all others are heard too, says the clerk"
+    for i, n in enumerate(names + ["Jon", "Kit", "Lou"]):
+        rows.append((400 + i, f"mine {n * 2} x\nBy {n}\nPosted by {n}\n{frame.format(n)}\n{n} 1 2 3\n1 2 {n}\nNow in town {n} with me and {names[i % 9]} who {n}"))
     d = spark.createDataFrame([(*r, 1, 2, 3) for r in rows], "doc_id long, text string, _gone int, of int, found int")
     got = lines.drop_recurring_lines(d)
     want = without_lines(rows, 8)
     assert sorted(((r.doc_id, r.text_kept, r.n_dropped) for r in got.collect()), key=key) == want
-    assert got.columns[:5] == d.columns and sum(w[2] for w in want if w[0] is not None and w[0] < 20) == 9 and sum(w[2] for w in want if w[0] is not None and 100 <= w[0] < 200) == 80
+    assert got.columns[:5] == d.columns and sum(w[2] for w in want if w[0] is not None and w[0] < 20) == 9 + 8 and sum(w[2] for w in want if w[0] is not None and 100 <= w[0] < 200) == 80
+    # From the first of the twelve nothing goes, from the others the short line and the long one.
+    assert sorted(w[2] for w in want if w[0] is not None and w[0] >= 400) == [0] + [2] * 11
     plain = lines.drop_recurring_lines(d, least_values=1 << 30)
-    assert plain.where("doc_id < 20 or doc_id between 100 and 200").agg(F.sum("n_dropped")).first()[0] == 0
+    assert plain.where("doc_id < 20 or doc_id between 100 and 200 or doc_id >= 400").agg(F.sum("n_dropped")).first()[0] == 0
 
 
 # --- 9: quality ---
@@ -615,7 +632,7 @@ def test_ledger_versions(spark, tmp_path):
 
 @pytest.mark.parametrize("texts", [2, 3, 7])
 def test_long_lines_of_few_texts(spark, texts):
-    """A line of 50 words goes from two texts on, a short one only from eight; the pipeline's stage does so."""
+    """A line of 50 words goes from two texts on, a short one only from eight; without `long_words` both only from eight."""
     import random
 
     import corpus_pipeline as pipe
@@ -627,7 +644,8 @@ def test_long_lines_of_few_texts(spark, texts):
     df = spark.createDataFrame([(i, f"{o}\n{long}\n{short}", 0) for i, o in enumerate(own)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: r.text for r in pipe.drop_lines(spark, df, "").collect()}
     assert got == {i: f"{o}\n{long}\n{short}" if i == 0 else f"{o}\n{short}" for i, o in enumerate(own)}
-    assert lines.drop_recurring_lines(df).agg(F.sum("n_dropped")).first()[0] == 0
+    assert lines.drop_recurring_lines(df).agg(F.sum("n_dropped")).first()[0] == texts - 1
+    assert lines.drop_recurring_lines(df, long_words=()).agg(F.sum("n_dropped")).first()[0] == 0
 
 
 @pytest.mark.parametrize("name", ["op4_jaccard_join", "op7_near_vectors", "op8_line_dedup", "op10_secret_scan"])

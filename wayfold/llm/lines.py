@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import cut
+from wayfold.llm.common import cut, parallelism
 
 #: Words that hold a digit are variable fields: numbers, dates, times, addresses, versions, ids.
 VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 FIELD = "<*>"
 #: Lines that do not meet by chance: from so many words on, so many different texts suffice.
 LONG_WORDS = ((10, 4), (20, 2))
-#: Other variable fields are looked for in lines of so many words without digits at least, and of so many words at most.
-FEWEST_FIXED, MOST_WORDS = 6, 24
-#: Parts in which the lines of a template meet what was found about it.
-SALTS = 8
+#: A line's words after the two leading ones are compared in so many fields at most, of equal numbers of words (give or take one).
+FIELDS = 16
+#: A field varies among lines that share so many fixed fields, leading words included, beside it.
+LEAST_SHARED = 2
 
 
 def _template(line: Column) -> Column:
@@ -34,54 +34,91 @@ def _keys(text: Column, doc_id: Column) -> list[Column]:
     return [doc_id.cast("long").alias("doc_id"), F.xxhash64(text).alias("content"), F.xxhash64(F.lit(1), text).alias("content_2")]
 
 
+def _variable(words: Column) -> Column:
+    """Whether these words are variable fields alone."""
+    return F.replace(F.replace(words, F.lit(FIELD), F.lit("")), F.lit(" "), F.lit("")) == ""
+
+
 def line_templates(docs: DataFrame) -> DataFrame:
-    """(doc_id, content, content_2, line_no, n_chars, n_words, fixed, path, words array<long>, rest) of every line with a word.
+    """(doc_id, content, content_2, line_no, n_chars, n_words, fixed, path, fields array<long>, half, leaf) of every line with a word.
 
-    path is the hash of the line's place in the tree: number of words and two leading words. words holds one hash for each
-    other word of a line of MOST_WORDS words or fewer (null else), 0 for variable ones. Such a line's template in its leaf is
-    the exclusive or of them, so a word is made variable by leaving it out; rest is the hash of a longer line's template.
-    fixed is the number of words without a digit.
+    path is the hash of the line's place in the tree: number of words and two leading words. fields holds a hash of each
+    field of the other words and its place, 0 for those of variable words alone. A line's template in its leaf group is
+    their exclusive or, leaf, so a field is made variable by leaving it out; half is that of the first half of them.
+    fixed is the number of fields, leading words included, that are not variable.
     """
     own = docs.select(*_keys(_text(docs), docs["doc_id"]), _text(docs).alias("text"))
     lines = own.select("doc_id", "content", "content_2", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     lines = lines.select("doc_id", "content", "content_2", "line_no", F.char_length("line").alias("n_chars"), _template(F.col("line")).alias("template")).where("template <> ''")
     n = F.octet_length("template") - F.octet_length(F.replace(F.col("template"), F.lit(" "), F.lit(""))) + 1
-    lines = lines.withColumn("n_words", n).withColumn("w", F.when(F.col("n_words") <= MOST_WORDS, F.split("template", " ")))
-    each = F.transform(F.slice("w", 3, MOST_WORDS), lambda x, i: F.when(x == FIELD, F.lit(0).cast("long")).otherwise(F.xxhash64(x, i)))
+    lines = lines.withColumn("n_words", n).withColumn("lead", F.substring_index("template", " ", 2)).withColumn("w", F.split("template", " "))
+    rest = F.col("n_words") - 2
+    count = F.least(rest, F.lit(FIELDS))
+    start, end = (lambda i: F.floor(i * rest / count).cast("int")), (lambda i: F.floor((i + 1) * rest / count).cast("int"))
+    words = F.when(rest <= 0, F.array().cast("array<string>")).when(rest <= FIELDS, F.slice("w", 3, FIELDS)).otherwise(
+        F.transform(F.sequence(F.lit(0), F.lit(FIELDS - 1)), lambda i: F.array_join(F.slice("w", start(i) + 3, end(i) - start(i)), " "))
+    )
+    lines = lines.withColumn("f", words)
+    each = F.transform("f", lambda x, i: F.when(_variable(x), F.lit(0).cast("long")).otherwise(F.xxhash64(x, i)))
+    lines = lines.select(
+        "doc_id", "content", "content_2", "line_no", "n_chars", "n_words",
+        F.size(F.filter(F.split("lead", " "), lambda x: ~_variable(x))).alias("leading"), F.xxhash64("n_words", "lead").alias("path"), each.alias("fields"),
+    )
+    first = F.ceil(F.size("fields") / 2).cast("int")
     return lines.select(
-        "doc_id", "content", "content_2", "line_no", "n_chars", "n_words", F.size(F.filter("w", lambda x: x != FIELD)).alias("fixed"),
-        F.xxhash64("n_words", F.substring_index("template", " ", 2)).alias("path"),
-        each.alias("words"), F.when(F.col("w").isNull(), F.xxhash64("template")).alias("rest"),
+        "doc_id", "content", "content_2", "line_no", "n_chars", "n_words", (F.col("leading") + F.size(F.filter("fields", lambda x: x != 0))).alias("fixed"),
+        "path", "fields", _xor(F.slice("fields", F.lit(1), first)).alias("half"), _xor(F.col("fields")).alias("leaf"),
     )
 
 
-def variable_fields(lines: DataFrame, least_values: int) -> DataFrame:
-    """(path, leaf, merged): templates of short lines (leaf, in the leaf group of path) with their variable fields left out.
+def _xor(hashes: Column) -> Column:
+    return F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
 
-    A word is a variable field if `least_values` templates of its leaf group differ from each other in this word alone.
-    Distinct pairs and counts are pre-aggregated, so that neither a frequent line nor a field of many values is one group.
-    """
-    # A form is a leaf without one of its words; with the path in it, it is the same for templates of one leaf group alone.
-    whole = F.col("path").bitwiseXOR(F.col("leaf"))
-    short = lines.where(F.col("words").isNotNull() & (F.col("fixed") >= FEWEST_FIXED)).select("path", _leaf("words").alias("leaf"), F.explode("words").alias("word")).where("word <> 0")
-    short = short.select("path", "leaf", whole.bitwiseXOR(F.col("word")).alias("form"))
-    many = cut(short.select("form", "leaf").distinct().groupBy("form").agg(F.count("*").alias("c")).where(F.col("c") >= least_values).select("form"), "forms")
-    found = short.join(many, "form").distinct()
-    return found.groupBy("path", "leaf").agg(F.bit_xor(whole.bitwiseXOR(F.col("form"))).alias("left")).select("path", "leaf", F.col("leaf").bitwiseXOR(F.col("left")).alias("merged"))
 
+def _met(rows: DataFrame, found: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with found, which holds each key once and n, the number of rows that have it.
 
-def _leaf(words: str) -> Column:
-    return F.aggregate(words, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x))
+    Keys of more rows than a task's fair share are broadcast, and their rows stay where they are; these keys are fewer than
+    there are shuffle partitions, since their rows are. The others meet in a join by key, where none is hot.
+    """
+    parts = parallelism(found.sparkSession)
+    fair = (found.agg(F.sum("n")).first()[0] or 0) / parts
+    hot, rest = found.where(F.col("n") > fair).drop("n"), found.where(F.col("n") <= fair).drop("n")
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)
 
 
-def recurring_lines(docs: DataFrame, *, least_texts: int = 8, least_values: int = 8, long_words: tuple[tuple[int, int], ...] = ()) -> DataFrame:
+def variable_fields(lines: DataFrame, least_values: int) -> DataFrame:
+    """(path, leaf, merged, n): templates (leaf, in the leaf group of path) with their variable fields left out, n lines each.
+
+    A field is variable if `least_values` templates of its leaf group differ from each other in this field alone. Such
+    templates share one whole half of their fields, so only those of a half that as many share are looked at field by field:
+    two keys a line decide. Distinct pairs and counts are pre-aggregated, so that neither a frequent line nor a field of
+    many values is one group.
+    """
+    other = F.col("half").bitwiseXOR(F.col("leaf"))
+    wide = lines.where((F.col("fixed") > LEAST_SHARED) & (F.size("fields") > 0))
+    sides = wide.select("path", "leaf", F.explode(F.array(F.xxhash64("path", F.lit(0), "half"), F.xxhash64("path", F.lit(1), other))).alias("side"))
+    sides = cut(sides.groupBy("side", "path", "leaf").agg(F.count("*").alias("rows")), "sides")
+    shared = cut(sides.groupBy("side").agg(F.count("*").alias("n")).where(F.col("n") >= least_values), "halves")
+    asked = cut(_met(sides, shared, ["side"]).groupBy("path", "leaf").agg(F.max("rows").alias("n")), "asked")
+    # A form is a leaf without one of its fields; with path and place in it, it is the same for templates of one leaf group alone.
+    form = F.col("path").bitwiseXOR(F.col("leaf")).bitwiseXOR(F.col("field")).bitwiseXOR(F.xxhash64("place"))
+    forms = _met(wide.select("path", "leaf", "fields"), asked, ["path", "leaf"]).select("path", "leaf", F.posexplode("fields").alias("place", "field")).where("field <> 0")
+    forms = cut(forms.select("path", "leaf", "field", form.alias("form")).distinct(), "forms")
+    many = cut(forms.groupBy("form").agg(F.count("*").alias("n")).where(F.col("n") >= least_values), "many")
+    left = _met(forms, many, ["form"]).groupBy("path", "leaf").agg(F.bit_xor("field").alias("left"))
+    return left.join(asked, ["path", "leaf"]).select("path", "leaf", F.col("leaf").bitwiseXOR(F.col("left")).alias("merged"), "n")
+
+
+def recurring_lines(docs: DataFrame, *, least_texts: int = 8, least_values: int = 8, long_words: tuple[tuple[int, int], ...] = LONG_WORDS) -> DataFrame:
     """(doc_id, content, content_2, line_no, n_chars) of the lines to drop; content and content_2 are hashes of the text.
 
     A template recurs when it stands in `least_texts` different texts at least, or in fewer where it is long: (words, texts)
     of `long_words` are the least words of a template and the texts that suffice then. Exact copies of a document count once, so
     that copies alone make no boilerplate. Its first place stays: the least (doc_id, line_no). Only hashes of the tree's
     paths and templates are grouped and joined; the minimum and the count of texts are pre-aggregated, and the lines of a
-    template that a third of all lines have are dealt in parts to the join with the recurring templates.
+    template that a third of all lines have stay where they are.
     """
     need = F.lit(least_texts)
     for words, texts in long_words:
@@ -89,26 +126,22 @@ def recurring_lines(docs: DataFrame, *, least_texts: int = 8, least_values: int
     parsed = cut(line_templates(docs), "lines")
     fields = cut(variable_fields(parsed, least_values), "fields")
     own = ["doc_id", "content", "content_2", "line_no", "n_chars", "n_words", "path"]
-    lines = parsed.select(*own, F.coalesce(_leaf("words"), F.col("rest")).alias("leaf"), F.col("words").isNotNull().alias("short"))
+    lines = parsed.select(*own, "leaf")
     if not fields.isEmpty():
-        salt = F.pmod(F.xxhash64("doc_id", "content"), F.lit(SALTS))
-        parts = fields.select("path", "leaf", "merged", F.lit(True).alias("short"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt"))
-        lines = lines.withColumn("salt", salt).join(parts, ["path", "leaf", "short", "salt"], "left").select(*own, F.coalesce("merged", "leaf").alias("leaf"))
-    by_text = lines.groupBy("path", "leaf", "content", "content_2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first(need).alias("need"))
-    nodes = by_text.groupBy("path", "leaf").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.first("need").alias("need")).where("texts >= need")
-    nodes = nodes.select("path", "leaf", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")).alias("salt"))
-    dealt = lines.withColumn("salt", F.pmod(F.xxhash64("doc_id", "content"), F.lit(SALTS)))
-    dropped = dealt.join(nodes, ["path", "leaf", "salt"]).where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("first")))
+        lines = _met(lines, fields, ["path", "leaf"], "left").select(*own, F.coalesce("merged", "leaf").alias("leaf"))
+    by_text = lines.groupBy("path", "leaf", "content", "content_2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.first(need).alias("need"), F.count("*").alias("n"))
+    nodes = by_text.groupBy("path", "leaf").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.first("need").alias("need"), F.sum("n").alias("n")).where("texts >= need")
+    dropped = _met(lines, cut(nodes.select("path", "leaf", "first", "n"), "nodes"), ["path", "leaf"]).where(~F.struct("doc_id", "line_no").eqNullSafe(F.col("first")))
     return dropped.select("doc_id", "content", "content_2", "line_no", "n_chars")
 
 
-def drop_recurring_lines(docs: DataFrame, *, least_texts: int = 8, least_values: int = 8, long_words: tuple[tuple[int, int], ...] = ()) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, *, least_texts: int = 8, least_values: int = 8, long_words: tuple[tuple[int, int], ...] = LONG_WORDS) -> DataFrame:
     """docs with text_kept, n_lines, n_dropped and dropped_chars.
 
     Fixed-depth tree: number of words, two leading words, then the line's template in the leaf, where words with digits
-    are variable fields, and so are words in which `least_values` templates of the leaf differ alone (lines of FEWEST_FIXED
-    words without digits to MOST_WORDS words; of longer lines only the digits vary). Lines of recurring templates go from every
-    document but the first (see `recurring_lines`).
+    are variable fields, and so are fields in which `least_values` templates of the leaf differ alone, where two fixed ones are
+    left beside it. A field is a word in lines of up to FIELDS + 2 words, a stretch of words in longer ones: there are FIELDS
+    of them at most. Lines of recurring templates go from every document but the first (see `recurring_lines`).
     Blank lines have no template and stay. Null texts count as empty (text_kept is empty); null ids and repeated rows are
     kept, rows with one doc_id each by its own text; an empty table stays empty; other columns pass through under any
     name, but for own columns with the names of the four results, which are replaced.
@@ -142,13 +175,17 @@ ORACLE = r"""
 with d as (select doc_id, coalesce(text, '') as text from documents),
 l as (select doc_id, text, unnest(range(0, len(string_split(text, chr(10))))) as line_no, unnest(string_split(text, chr(10))) as line from d),
 m as (select doc_id, text, line_no, line, trim(regexp_replace(regexp_replace(line, '[^ \t\r]*[0-9][^ \t\r]*', '<*>', 'g'), '[ \t\r]+', ' ', 'g')) as masked from l),
-u as (select distinct masked, string_split(masked, ' ') as w from m where masked <> ''),
-p as (select masked, w, unnest(range(3, len(w) + 1)) as k from u where len(w) <= 24 and len(list_filter(w, lambda x: x <> '<*>')) >= 6),
-f as (select masked, k, array_to_string(list_concat(w[1:k - 1], ['<*>'], w[k + 1:]), ' ') as form from p where w[k] <> '<*>'),
-v as (select masked, list(k) as ks from f join (select form from f group by form having count(distinct masked) >= 8) using (form) group by masked),
-g as (select u.masked, case when ks is null then u.masked else array_to_string(list_transform(range(1, len(w) + 1), lambda k: case when list_contains(ks, k) then '<*>' else w[k] end), ' ') end as template from u left join v on u.masked = v.masked),
-t as (select m.*, coalesce(g.template, '') as template from m left join g on m.masked = g.masked),
-n as (select template, count(distinct text) as texts, min(struct_pack(a := doc_id, b := line_no)) as first from t where template <> '' group by template having count(distinct text) >= 8),
+u as (select masked, string_split(masked, ' ') as w from (select distinct masked from m where masked <> '')),
+c as (select *, len(w) - 2 as rest, least(len(w) - 2, 16) as parts from u),
+x as (select masked, w, list_transform(range(0, parts), lambda i: array_to_string(w[3 + (i * rest) // parts:2 + ((i + 1) * rest) // parts], ' ')) as chunks from c),
+y as (select masked, w, len(w) || ' ' || w[1] || ' ' || coalesce(w[2], '') as path, list_transform(chunks, lambda s: case when replace(replace(s, '<*>', ''), ' ', '') = '' then '<*>' else s end) as f from x),
+z as (select *, path || chr(9) || array_to_string(f, chr(9)) as whole, len(list_filter(f, lambda s: s <> '<*>')) + len(list_filter(w[1:2], lambda s: replace(s, '<*>', '') <> '')) as fixed from y),
+p as (select distinct whole, path, f, unnest(range(1, len(f) + 1)) as k from z where fixed >= 3),
+e as (select whole, k, path || chr(9) || k || chr(9) || array_to_string(list_concat(f[1:k - 1], ['<*>'], f[k + 1:]), chr(9)) as form from p where f[k] <> '<*>'),
+v as (select whole, list(k) as ks from e join (select form from e group by form having count(distinct whole) >= 8) using (form) group by whole),
+g as (select z.masked, len(w) as n_words, case when ks is null then z.whole else path || chr(9) || array_to_string(list_transform(range(1, len(f) + 1), lambda k: case when list_contains(ks, k) then '<*>' else f[k] end), chr(9)) end as template from z left join v on z.whole = v.whole),
+t as (select m.*, coalesce(g.template, '') as template, n_words from m left join g on m.masked = g.masked),
+n as (select template, count(distinct text) as texts, min(struct_pack(a := doc_id, b := line_no)) as first from t where template <> '' group by template having count(distinct text) >= case when min(n_words) >= 20 then 2 when min(n_words) >= 10 then 4 else 8 end),
 r as (select t.*, n.template is not null and struct_pack(a := doc_id, b := line_no) <> n.first as gone from t left join n on t.template = n.template and t.template <> '')
 select doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped, cast(coalesce(sum(length(line)) filter (gone), 0) as bigint) as dropped_chars,
        sha256(coalesce(string_agg(line, chr(10) order by line_no) filter (not gone), '')) as kept_sha256
