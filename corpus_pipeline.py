@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.common import cut, free_name, table
 from wayfold.llm.jaccard import jaccard_components
-from wayfold.llm.lines import LONG_WORDS, drop_recurring_lines
+from wayfold.llm.lines import drop_recurring_lines
 from wayfold.llm.packing import pack
 from wayfold.llm.quality import fit_quality, score_quality
 from wayfold.llm.tiling import benchmark_leaks
@@ -31,7 +31,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Texts that lose nothing stay as they are, null ones too; n_chars, where there is one, follows the text.
     """
-    out = drop_recurring_lines(_keyed(docs).select("row", "doc_id", "text"), long_words=LONG_WORDS)
+    out = drop_recurring_lines(_keyed(docs).select("row", "doc_id", "text"))
     cleared = F.col("n_dropped") > 0
     row = F.col("row").withField("text", F.col("text_kept"))
     row = row.withField("n_chars", F.char_length("text_kept").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else row
