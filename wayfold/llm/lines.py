@@ -12,7 +12,7 @@ VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
 FIELD = "<*>"
 #: Lines that do not meet by chance: from so many words on, so many different texts suffice.
 LONG_WORDS = ((10, 4), (20, 2))
-#: A line's words after the two leading ones are compared in so many fields at most, of equal numbers of words (give or take one).
+#: A line's words after the two leading ones are compared in so many fields at most (a power of two), of equal numbers of words (give or take one).
 FIELDS = 16
 #: A field varies among lines that share so many fixed fields, leading words included, beside it.
 LEAST_SHARED = 2
@@ -49,26 +49,29 @@ def line_templates(docs: DataFrame) -> DataFrame:
     """
     own = docs.select(*_keys(_text(docs), docs["doc_id"]), _text(docs).alias("text"))
     lines = own.select("doc_id", "content", "content_2", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.select("doc_id", "content", "content_2", "line_no", F.char_length("line").alias("n_chars"), _template(F.col("line")).alias("template")).where("template <> ''")
+    # Asked of the line, so that templates are made once.
+    lines = lines.where(F.trim(F.col("line"), F.lit(" \t\r")) != "")
+    lines = lines.select("doc_id", "content", "content_2", "line_no", F.char_length("line").alias("n_chars"), _template(F.col("line")).alias("template"))
     n = F.octet_length("template") - F.octet_length(F.replace(F.col("template"), F.lit(" "), F.lit(""))) + 1
     lines = lines.withColumn("n_words", n).withColumn("lead", F.substring_index("template", " ", 2)).withColumn("w", F.split("template", " "))
-    rest = F.col("n_words") - 2
-    count = F.least(rest, F.lit(FIELDS))
-    start, end = (lambda i: F.floor(i * rest / count).cast("int")), (lambda i: F.floor((i + 1) * rest / count).cast("int"))
-    words = F.when(rest <= 0, F.array().cast("array<string>")).when(rest <= FIELDS, F.slice("w", 3, FIELDS)).otherwise(
-        F.transform(F.sequence(F.lit(0), F.lit(FIELDS - 1)), lambda i: F.array_join(F.slice("w", start(i) + 3, end(i) - start(i)), " "))
-    )
-    lines = lines.withColumn("f", words)
-    each = F.transform("f", lambda x, i: F.when(_variable(x), F.lit(0).cast("long")).otherwise(F.xxhash64(x, i)))
+    # Most lines hold no variable word: then nothing is looked for in their fields.
+    plain = ~F.col("template").contains(FIELD)
+    edge = lambda i: F.shiftright(i * (F.col("n_words") - 2), FIELDS.bit_length() - 1)
+    stretch = lambda i: F.slice("w", edge(i) + 3, edge(i + 1) - edge(i))
+    blank = lambda words: ~F.col("plain") & _variable(words)
+    none = F.lit(0).cast("long")
+    word = F.transform(F.slice("w", 3, FIELDS), lambda x, i: F.when(blank(x), none).otherwise(F.xxhash64(x, i)))
+    words = F.transform(F.sequence(F.lit(0), F.lit(FIELDS - 1)), lambda i: F.when(blank(F.array_join(stretch(i), " ")), none).otherwise(F.xxhash64(stretch(i), i)))
+    each = F.when(F.col("n_words") <= 2, F.array().cast("array<bigint>")).when(F.col("n_words") <= FIELDS + 2, word).otherwise(words)
+    lines = lines.withColumn("plain", plain).withColumn("fields", each)
+    first = F.shiftright(F.size("fields") + 1, 1)
+    leading = F.size(F.filter(F.split("lead", " "), lambda x: ~_variable(x)))
+    fixed = F.when(F.col("plain"), F.least("n_words", F.lit(2)) + F.size("fields")).otherwise(leading + F.size(F.filter("fields", lambda x: x != 0)))
     lines = lines.select(
-        "doc_id", "content", "content_2", "line_no", "n_chars", "n_words",
-        F.size(F.filter(F.split("lead", " "), lambda x: ~_variable(x))).alias("leading"), F.xxhash64("n_words", "lead").alias("path"), each.alias("fields"),
-    )
-    first = F.ceil(F.size("fields") / 2).cast("int")
-    return lines.select(
-        "doc_id", "content", "content_2", "line_no", "n_chars", "n_words", (F.col("leading") + F.size(F.filter("fields", lambda x: x != 0))).alias("fixed"),
-        "path", "fields", _xor(F.slice("fields", F.lit(1), first)).alias("half"), _xor(F.col("fields")).alias("leaf"),
+        "doc_id", "content", "content_2", "line_no", "n_chars", "n_words", fixed.alias("fixed"), F.xxhash64("n_words", "lead").alias("path"), "fields",
+        _xor(F.slice("fields", F.lit(1), first)).alias("half"), _xor(F.slice("fields", first + 1, F.lit(FIELDS))).alias("other"),
     )
+    return lines.withColumn("leaf", F.col("half").bitwiseXOR(F.col("other"))).drop("other")
 
 
 def _xor(hashes: Column) -> Column:
