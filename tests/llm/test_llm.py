@@ -500,6 +500,42 @@ def test_lines_of_a_leaf_become_one_template(spark):
     assert plain.where("doc_id < 20 or doc_id between 100 and 200 or doc_id >= 400").agg(F.sum("n_dropped")).first()[0] == 0
 
 
+def rows_of(spark, names, work):
+    """(work(), [(operator, rows)]): the rows that operators of these names made or sent meanwhile, as Spark counts them."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    out = work()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found = []
+    for at in range(before, store.executionsCount()):
+        run = store.executionsList(at, 1).head()
+        values, nodes = store.executionMetrics(run.executionId()), store.planGraph(run.executionId()).allNodes().iterator()
+        while nodes.hasNext():
+            node = nodes.next()
+            metrics = node.metrics().iterator() if node.name() in names else None
+            while metrics is not None and metrics.hasNext():
+                m = metrics.next()
+                value = values.get(m.accumulatorId())
+                if m.name() in ("number of output rows", "shuffle records written") and value.isDefined():
+                    found.append((node.desc(), int(value.get().replace(",", ""))))
+    return out, found
+
+
+def test_a_frequent_line_is_looked_at_once(spark):
+    """Fields are taken apart once for each template, in the half that others don't share, not once for each line that has it."""
+    one = "the harbor office of this town is closed on {} as it has been in all other weeks of that long year"
+    names = ["Monday", "Tuesday", "Friday", "holidays", "Sunday", "feasts", "strikes", "Easter", "leave"]
+    rows = [(i, f"own {i}\n" + one.format(names[0] if i < 400 else names[i % 9])) for i in range(409)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    parsed = lines.cut(lines.line_templates(docs), "lines")
+    fields, made = rows_of(spark, ["Generate"], lambda: lines.variable_fields(parsed, 8).collect())
+    # Of each template the eight fields of one half; two keys for each line.
+    assert sorted(n for what, n in made if "xxhash64" not in what) == [9 * 8]
+    assert len(fields) == 9 and len({r.merged for r in fields}) == 1 and max(r.n for r in fields) >= 400
+    got = lines.drop_recurring_lines(docs)
+    assert sorted(((r.doc_id, r.text_kept, r.n_dropped) for r in got.collect()), key=key) == without_lines(rows, 8)
+
+
 # --- 9: quality ---
 
 

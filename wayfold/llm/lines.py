@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import cut, parallelism
+from wayfold.llm.common import cut, may_have, meet, parallelism
 
 #: Words that hold a digit are variable fields: numbers, dates, times, addresses, versions, ids.
 VARIABLE = r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+"
@@ -82,12 +82,13 @@ def _met(rows: DataFrame, found: DataFrame, keys: list[str], how: str = "inner")
     """rows joined with found, which holds each key once and n, the number of rows that have it.
 
     Keys of more rows than a task's fair share are broadcast, and their rows stay where they are; these keys are fewer than
-    there are shuffle partitions, since their rows are. The others meet in a join by key, where none is hot.
+    there are shuffle partitions, since their rows are. The others meet in a join by key, where none is hot, and of rows
+    only those that may have a key of found are moved.
     """
     parts = parallelism(found.sparkSession)
     fair = (found.agg(F.sum("n")).first()[0] or 0) / parts
     hot, rest = found.where(F.col("n") > fair).drop("n"), found.where(F.col("n") <= fair).drop("n")
-    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(rest, keys, how)
+    cold = meet(rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti"), rest, keys, how)
     return rows.join(F.broadcast(hot), keys).unionByName(cold)
 
 
@@ -101,17 +102,21 @@ def variable_fields(lines: DataFrame, least_values: int) -> DataFrame:
     """
     other = F.col("half").bitwiseXOR(F.col("leaf"))
     wide = lines.where((F.col("fixed") > LEAST_SHARED) & (F.size("fields") > 0))
-    sides = wide.select("path", "leaf", F.explode(F.array(F.xxhash64("path", F.lit(0), "half"), F.xxhash64("path", F.lit(1), other))).alias("side"))
-    sides = cut(sides.groupBy("side", "path", "leaf").agg(F.count("*").alias("rows")), "sides")
+    sides = wide.select("path", "leaf", F.posexplode(F.array(F.xxhash64("path", F.lit(0), "half"), F.xxhash64("path", F.lit(1), other))).alias("part", "side"))
+    sides = cut(sides.groupBy("side", "part", "path", "leaf").agg(F.count("*").alias("rows")), "sides")
     shared = cut(sides.groupBy("side").agg(F.count("*").alias("n")).where(F.col("n") >= least_values), "halves")
-    asked = cut(_met(sides, shared, ["side"]).groupBy("path", "leaf").agg(F.max("rows").alias("n")), "asked")
+    asked = cut(_met(sides, shared, ["side"]).groupBy("path", "leaf").agg(F.max("rows").alias("n"), F.max(F.col("part") == 0).alias("front"), F.max(F.col("part") == 1).alias("back")), "asked")
+    # Each template once, however many lines have it; of a template whose one half is shared the fields of the other one.
+    once = _met(wide.select("path", "leaf", "fields"), asked, ["path", "leaf"]).select("path", "leaf", "fields", "front", "back").distinct()
+    first = F.shiftright(F.size("fields") + 1, 1)
+    looked_at = lambda x: (x["field"] != 0) & F.when(x["place"] < first, F.col("back")).otherwise(F.col("front"))
+    places = F.filter(F.transform("fields", lambda x, i: F.struct(i.alias("place"), x.alias("field"))), looked_at)
     # A form is a leaf without one of its fields; with path and place in it, it is the same for templates of one leaf group alone.
     form = F.col("path").bitwiseXOR(F.col("leaf")).bitwiseXOR(F.col("field")).bitwiseXOR(F.xxhash64("place"))
-    forms = _met(wide.select("path", "leaf", "fields"), asked, ["path", "leaf"]).select("path", "leaf", F.posexplode("fields").alias("place", "field")).where("field <> 0")
-    forms = cut(forms.select("path", "leaf", "field", form.alias("form")).distinct(), "forms")
+    forms = cut(once.select("path", "leaf", F.inline(places)).select("path", "leaf", "field", form.alias("form")), "forms")
     many = cut(forms.groupBy("form").agg(F.count("*").alias("n")).where(F.col("n") >= least_values), "many")
     left = _met(forms, many, ["form"]).groupBy("path", "leaf").agg(F.bit_xor("field").alias("left"))
-    return left.join(asked, ["path", "leaf"]).select("path", "leaf", F.col("leaf").bitwiseXOR(F.col("left")).alias("merged"), "n")
+    return left.join(asked.select("path", "leaf", "n"), ["path", "leaf"]).select("path", "leaf", F.col("leaf").bitwiseXOR(F.col("left")).alias("merged"), "n")
 
 
 def recurring_lines(docs: DataFrame, *, least_texts: int = 8, least_values: int = 8, long_words: tuple[tuple[int, int], ...] = LONG_WORDS) -> DataFrame:
@@ -159,7 +164,12 @@ def drop_recurring_lines(docs: DataFrame, *, least_texts: int = 8, least_values:
     # What lies between the lines to drop, so that each line is looked at once.
     edge = F.concat(F.array(F.lit(-1)), F.col("found.gone"), F.array(F.size(lines)))
     between = F.transform(F.sequence(F.lit(1), F.size("found.gone") + 1), lambda k: F.slice(F.col("lines"), F.get(F.col("edge"), k - 1) + 2, F.get(F.col("edge"), k) - F.get(F.col("edge"), k - 1) - 1))
-    joined = own.join(per_doc.hint("shuffle_hash"), same, "left").select("row", "text", "found", F.when(F.col("found").isNotNull(), lines).alias("lines"), F.when(F.col("found").isNotNull(), edge).alias("edge"))
+    # Only texts that lose lines meet these; the others stay where they are.
+    key = lambda of: F.xxhash64(*(F.col(f"{of}.{c}") for c in ("doc_id", "content", "content_2")))
+    own = may_have(own, per_doc, key("key"), key("of"))
+    lost = own.where("maybe").join(per_doc.hint("shuffle_hash"), same, "left").select("row", "text", "found")
+    joined = lost.unionByName(own.where("not maybe").select("row", "text"), allowMissingColumns=True)
+    joined = joined.select("row", "text", "found", F.when(F.col("found").isNotNull(), lines).alias("lines"), F.when(F.col("found").isNotNull(), edge).alias("edge"))
     return joined.select(
         "row.*",
         F.when(F.col("found").isNull(), F.col("text")).otherwise(F.array_join(F.flatten(between), "\n")).alias("text_kept"),
