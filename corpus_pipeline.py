@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import cut, free_name, table
+from wayfold.llm.common import cut, free_name, meet, table
 from wayfold.llm.jaccard import jaccard_components
 from wayfold.llm.lines import drop_recurring_lines
 from wayfold.llm.packing import pack
@@ -52,14 +52,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     if shared.isEmpty():
         named = jaccard_components(docs, width=5, percent=80)
         copies = cut(named.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-        return own.join(copies.hint("shuffle_hash"), "doc_id", "left_anti").select("row.*").select(docs.columns)
+        return meet(own.select("row", "doc_id"), copies.hint("shuffle_hash"), ["doc_id"], "left_anti").select("row.*").select(docs.columns)
     last = own.agg(F.max("doc_id")).first()[0]
     numbers = by_text.join(shared, "doc_id").select("doc_id", "print", F.when(F.col("print") == F.col("least"), F.col("doc_id")).otherwise(F.monotonically_increasing_id() + last + 1).alias("number"))
     numbers = cut(numbers, "numbers")
     numbered = own.join(numbers, ["doc_id", "print"], "left").select("row", "text", "number", F.coalesce("number", "doc_id").alias("id"))
     named = jaccard_components(numbered.select(F.col("id").alias("doc_id"), "text"), width=5, percent=80)
     copies = cut(named.where("doc_id <> component_id").select(F.col("doc_id").alias("id")).distinct(), "copies")
-    left = numbered.join(copies.hint("shuffle_hash"), "id", "left_anti")
+    left = meet(numbered, copies.hint("shuffle_hash"), ["id"], "left_anti")
     once = left.where("number is not null").dropDuplicates(["number"])
     return left.where("number is null").select("row").union(once.select("row")).select("row.*").select(docs.columns)
 
@@ -69,7 +69,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = _keyed(docs).withColumn("key", F.xxhash64("doc_id", "text", "print"))
     found = benchmark_leaks(own.select(F.col("key").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     leaks = cut(found.select(F.col("doc_id").alias("key")).distinct(), "leaks")
-    return own.join(leaks, "key", "left_anti").select("row.*").select(docs.columns)
+    return meet(own.select("row", "key"), leaks, ["key"], "left_anti").select("row.*").select(docs.columns)
 
 
 def pack_along_curve(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -704,6 +704,49 @@ def test_oracles(spark, name):
 # --- the pipeline ---
 
 
+def test_rows_that_meet_nothing_stay_where_they_are(spark):
+    """`meet` gives what a join gives, with null and repeated keys, and sends few of the rows that have no partner."""
+    from wayfold.llm.common import may_have, meet
+
+    rows = spark.range(20000).selectExpr("if(id % 100 = 7, null, id % 15000) as k", "id as v").repartition(5)
+    found = spark.createDataFrame([(i * 37, f"x{i}") for i in range(500)] + [(74, "again"), (None, "null")], "k long, w string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for some in (found, found.limit(0)):
+            for how in ("inner", "left", "left_anti"):
+                want = sorted(map(tuple, rows.join(some, "k", how).collect()), key=key)
+                assert sorted(map(tuple, meet(rows, some, ["k"], how).collect()), key=key) == want
+        marked = may_have(rows, found, F.xxhash64("k"), F.xxhash64("k"))
+        assert marked.where("not maybe").join(found, "k").isEmpty()
+        assert marked.where("maybe").count() < rows.join(found.select("k").distinct(), "k").count() + 20000 / 8
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_near_copies_move_few_texts(spark):
+    """Of texts that are nobody's copies almost none goes through a shuffle, even if nothing is small enough for Spark to broadcast."""
+    import random
+
+    import corpus_pipeline as pipe
+
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(30)) for _ in range(600)]
+    texts += [f"{t} end" for t in texts[:20]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = pipe.cut(docs, "documents")
+        kept, sent = rows_of(spark, ["Exchange"], lambda: {r.doc_id for r in pipe.drop_near_copies(spark, docs, "").collect()})
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert kept == set(range(600))
+    # All ids are sent twice, to be counted with and without hashes; few whole rows and texts of classes, to be joined.
+    by_id = [n for what, n in sent if re.search(r"hashpartitioning\(doc_id#\d+L?, ", what)]
+    assert sorted(n for n in by_id if n > 150) == [620, 620] and len(by_id) >= 4, by_id
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Each stage against what it must drop and keep, on its own input."""
     import corpus_pipeline as pipe

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import components, cut, parallelism, slices, texts_of, utf8
+from wayfold.llm.common import components, cut, meet, parallelism, slices, texts_of, utf8
 from wayfold.llm.keyblocks import buckets_for, level_of_each, spread, squeeze, with_levels
 from wayfold.llm.shingles import distinct_in_text, mix, shingle_hashes, word_hashes
 
@@ -159,8 +159,8 @@ def class_texts(docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
             row = [base + number, int(n[same].sum()), batch.column("set").to_numpy()[same].tobytes(), sizes[same].tobytes(), squeeze(raw[np.repeat(same, sizes)])]
             yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, (pa.int64(), pa.int64(), *[pa.binary()] * 3))], names=[c.split()[0] for c in TEXTS.split(", ")])
 
-    # Spark broadcasts the classes only if their table is under its own threshold.
-    return docs.where("doc_id is not null").join(classes, "doc_id").select("set", "n", "h1", "h2", "text").mapInArrow(run, TEXTS)
+    # Most texts stand for no class: these stay where they are.
+    return meet(docs.where("doc_id is not null"), classes, ["doc_id"]).select("set", "n", "h1", "h2", "text").mapInArrow(run, TEXTS)
 
 
 ROUTES = "set long, n long, keys array<long>, hashes binary, bits binary"
