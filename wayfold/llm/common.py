@@ -56,31 +56,26 @@ def parallelism(spark: SparkSession) -> int:
 
 
 #: Bits of a map for each key that it holds, and of a map at most; with fewer bits it tells fewer rows apart.
-MAP_BITS, MOST_MAP_BITS = 16, 1 << 28
-#: Bits of one row of a map, as `bitmap_construct_agg` makes them.
-_ROW_BITS = 15
+MAP_BITS, MOST_MAP_BITS = 8, 1 << 26
 
 
 def may_have(rows: DataFrame, found: DataFrame, key: Column, found_key: Column) -> DataFrame:
     """rows with maybe: false only where no row of found has this key (64-bit hashes of what is compared).
 
-    A bitmap of the keys is broadcast: two bytes for each key, and MOST_MAP_BITS at most. So of rows that are joined with a
-    few keys only those that may meet one, and one in sixteen others, need to be moved.
+    A bitmap of the keys is broadcast, as words of 64 bits: a word for eight keys, a million words at most. So of rows that
+    are joined with a few keys only those that may meet one, and an eighth of the others, need to be moved.
     """
-    bits = 1 << min(MOST_MAP_BITS.bit_length() - 1, max(_ROW_BITS, (MAP_BITS * found.count() - 1).bit_length()))
-    place = found.select(F.pmod(found_key, F.lit(bits)).alias("place"))
-    place = place.select(F.shiftright("place", _ROW_BITS).alias("map_row"), F.col("place").bitwiseAND((1 << _ROW_BITS) - 1).alias("bit")).distinct()
-    # Sent as numbers: a task that has one key of a map's row need not send the whole row.
-    maps = place.repartition("map_row").groupBy("map_row").agg(F.bitmap_construct_agg("bit").alias("map"))
-    at = F.pmod(key, F.lit(bits))
-    known = rows.withColumns({"map_row": F.shiftright(at, _ROW_BITS), "bit": at.bitwiseAND((1 << _ROW_BITS) - 1).cast("int")}).join(F.broadcast(maps), "map_row", "left")
-    byte = F.conv(F.hex(F.substring("map", F.shiftright("bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
-    set_ = F.getbit(byte, F.col("bit").bitwiseAND(7)) == 1
-    return known.withColumn("maybe", F.coalesce(set_, F.lit(False))).drop("map_row", "bit", "map")
+    bits = 1 << min(MOST_MAP_BITS.bit_length() - 1, max(10, (MAP_BITS * found.count() - 1).bit_length()))
+    # Words are numbers, which rows are held against without a copy.
+    word, bit = lambda x: F.shiftright(F.pmod(x, F.lit(bits)), 6), lambda x: x.bitwiseAND(63).cast("int")
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit(found_key))
+    words = found.select(word(found_key).alias("map_word"), one.alias("one")).groupBy("map_word").agg(F.bit_or("one").alias("map"))
+    known = rows.withColumns({"map_word": word(key), "map_bit": bit(key)}).join(F.broadcast(words), "map_word", "left")
+    return known.withColumn("maybe", F.coalesce(F.getbit("map", F.col("map_bit")) == 1, F.lit(False))).drop("map_word", "map_bit", "map")
 
 
 def meet(rows: DataFrame, found: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """rows.join(found, keys, how) for inner, left and left_anti, where rows whose keys found lacks stay where they are."""
+    """rows.join(found, keys, how) for inner, left and left_anti; rows whose keys found lacks stay where they are. Keys have one type on both sides."""
     marked = may_have(rows, found, F.xxhash64(*keys), F.xxhash64(*keys))
     met = marked.where("maybe").drop("maybe").join(found, keys, how)
     return met if how == "inner" else met.unionByName(marked.where("not maybe").drop("maybe"), allowMissingColumns=True)
