@@ -71,6 +71,24 @@ def test_interval_classes_are_shared_prefixes():
     assert len(by) == len({text[p : p + 12].tobytes() for p in range(len(text) - 11)})
 
 
+def test_word_hashes_of_long_texts_and_words():
+    """The same hash wherever a word stands; what a worker keeps does not grow with its longest text."""
+    from wayfold.llm import shingles
+
+    rng = np.random.default_rng(8)
+    words = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (1, 2, 7, 65535, 65536, 65537, 300_000, 3, 5)]
+    order = rng.integers(0, len(words), 60)
+    for texts in ([b" ".join(words[i] for i in order)], [words[i] for i in order], [b"", b" \n", words[6].upper() + b"\t" + words[0], b""]):
+        raw, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        got, n = shingles.word_hashes(raw, off)
+        own = [w.lower() for t in texts for w in t.split()]
+        assert n.tolist() == [len(t.split()) for t in texts]
+        alone = {w: shingles.word_hashes(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0] for w in set(own)}
+        assert got.tolist() == [alone[w] for w in own] and len(set(alone.values())) == len(alone)
+    kept = shingles._POWERS.values() if isinstance(shingles._POWERS, dict) else shingles._POWERS
+    assert sum(p.nbytes for p in kept) <= 2 << 20
+
+
 # --- 2, 5, 6: tokens ---
 
 ODD = ["a\x1cb c\x85d e\xa0f", "<|endoftext|>x <|endoftext|> y<|startoftext|>", "<|ENDOFTEXT|> A", "İstanbul ΣΑΣ ς", "it's I'LL we'VE'S 's", "á ẹ́ ́x", "１２３ ½ ² Ⅷ 12a3", "A\r\nB\tC\x0bD\x0cE", "ﬁ Å Å", "가나 각", "ªº µ ¼ ×÷ ß ÿ Ÿ", "''''s !!'s!! a'b'c", "H\u0331 T\u0308 W\u030a Y\u030a J\u030c", "xH\u0331y \u212b A\u030aB \u0344", "x" * 3000, "", " "]
@@ -99,6 +117,18 @@ def test_word_pieces_of_random_letters(tokenizer):
     assert counts == [len(w) // 2 for w in want]
 
 
+def test_word_pieces_are_kept_within_bounds(tokenizer):
+    """Not even a text of many words, or of long ones, fills a worker's memory."""
+    letters = "abcdefghij"
+    word = lambda i: "".join(letters[int(d)] for d in str(i))
+    pieces = PieceCache(tokenizer_path(), most=1000)
+    texts = [" ".join(word(i) + ("", ",", "?!", ".x", "'s", "'", "é", "7")[i % 8] for i in range(5000)), " ".join(word(i) * 50 for i in range(10000, 10100)), "a, a. A!? it's, 'A .a b.c, <|x|>, ,"]
+    want = [np.array(e.ids, np.uint16).tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert pieces.encode([t.encode() for t in texts]) == want
+    held = [x for x in vars(pieces).values() if isinstance(x, dict) and any(isinstance(v, bytes) for v in x.values())]
+    assert sum(map(len, held)) <= 1000 and max(len(k) for x in held for k in x) <= 64
+
+
 def test_other_tokenizers_are_refused():
     with pytest.raises(ValueError):
         PieceCache(tokenizer_path("byte_bpe_50k.json"))

@@ -78,7 +78,7 @@ def encode_for_packing(docs: DataFrame, *, tokenizer: str | None = None, end_id:
         pieces = cache(name)
         signs = projection(pieces.tokenizer.get_vocab_size())
         end = np.array([end_id], "<u2").tobytes()
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 19):
             raw, off = utf8(batch.column("text"))
             data = raw.tobytes()
             ids = pieces.encode([data[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist())])

@@ -25,20 +25,24 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Bytes between words that are made of letters and digits.
 _SIGN = np.ones(256, bool)
 _SIGN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-_POWERS: dict[str, np.ndarray] = {}
+#: Bytes of text whose words are hashed at once; only a longer word takes more.
+_WINDOW = 1 << 16
+_POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number and of its inverse modulo 2^64."""
-    if len(_POWERS.get("up", ())) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        base = 0xC2B2AE3D27D4EB4F
-        for name, b in (("up", base), ("down", pow(base, -1, 1 << 64))):
-            steps = np.full(size, b, np.uint64)
+def _powers(n: int) -> list[np.ndarray]:
+    """n powers of an odd number and of its inverse modulo 2^64; those of a window are kept."""
+    if not _POWERS or n > _WINDOW:
+        base, made = 0xC2B2AE3D27D4EB4F, []
+        for b in (base, pow(base, -1, 1 << 64)):
+            steps = np.full(max(n, _WINDOW), b, np.uint64)
             steps[0] = 1
             with np.errstate(over="ignore"):
-                _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+                made.append(np.cumprod(steps, dtype=np.uint64))
+        if n > _WINDOW:
+            return made
+        _POWERS[:] = made
+    return [p[:n] for p in _POWERS]
 
 
 def alnum_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,10 +64,16 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPA
     stop = word.copy()
     stop[:-1] &= ~word[1:] | begin[1:]
     ends = np.flatnonzero(stop) + 1
-    up, down = _powers(len(raw))
-    with np.errstate(over="ignore"):
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LOWER[raw] * up, dtype=np.uint64)])
-        hashes = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _ODD)
+    hashes, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        base = starts[at]
+        to = max(at + 1, int(np.searchsorted(ends, base + _WINDOW, "right")))
+        a, z = starts[at:to] - base, ends[at:to] - base
+        up, down = _powers(int(z[-1]))
+        with np.errstate(over="ignore"):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LOWER[raw[base : base + z[-1]]] * up, dtype=np.uint64)])
+            hashes[at:to] = mix((total[z] - total[a]) * down[a] + (z - a).astype(np.uint64) * _ODD)
+        at = to
     return hashes, np.searchsorted(starts, offsets[1:], "left") - np.searchsorted(starts, offsets[:-1], "left")
 
 

@@ -15,6 +15,8 @@ _LATIN = "a-zß-öø-ÿ"
 _PLAIN = re.compile(r"[\x21-\x7eÀ-ÖØ-öø-ÿ]*")
 #: The pre-tokens of word_bpe_49k.json, for text of the characters above.
 _PRE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^{_LATIN}0-9]+")
+#: Signs that are one pre-token after a word of letters. Bytes of a word up to which its ids are kept: longer ones seldom come again.
+_SIGNS, _LONGEST = b".,;:!?", 64
 
 
 def _byte_letters() -> dict[int, str]:
@@ -25,13 +27,17 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Filled(dict):
-    """A dictionary that makes what it lacks."""
+    """A dictionary that makes what it lacks; it keeps `most` short keys at most and is emptied when it is full."""
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, most: int):
+        self.make, self.most = make, most
 
     def __missing__(self, key):
-        value = self[key] = self.make(key)
+        value = self.make(key)
+        if len(key) <= _LONGEST:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
         return value
 
 
@@ -50,11 +56,12 @@ class PieceCache:
 
     The tokenizer's pre-tokens never contain white space, composition never joins a character to white space, and the
     special strings contain none, so a text's ids are those of its words one after another. Words of plain Latin text go
-    to the model by pre-token; all others go through the whole library. Both caches are emptied when they are full.
+    to the model by pre-token; all others go through the whole library. Words and their pre-tokens are kept in one cache,
+    within bounds that neither a long text nor long words pass.
     A file with another normaliser or pre-tokenizer is refused: its words might not stand alone.
     """
 
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -69,29 +76,27 @@ class PieceCache:
         self.tokenizer.no_truncation()
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of over 16 bits")
-        self.model, self.most, self.letters = self.tokenizer.model, most, _byte_letters()
-        self.words: dict[bytes, bytes] = _Filled(self.word)
-        self.pieces: dict[str, bytes] = _Filled(self._piece)
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.words: dict[bytes, bytes] = _Filled(self.word, most)
 
     def _level(self, piece: str) -> str:
         return piece.encode().decode("latin-1").translate(self.letters)
 
     def _piece(self, piece: str) -> bytes:
-        return array.array("H", [t.id for t in self.model.tokenize(self._level(piece))]).tobytes()
+        """The ids of a pre-token in the byte-level alphabet."""
+        return array.array("H", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def word(self, word: bytes) -> bytes:
+        letters = word.rstrip(_SIGNS)
+        if letters.isalpha():  # of ASCII alone
+            return self._piece(word.decode().lower()) if letters == word else self.words[letters] + self.words[word[len(letters) :]]
         text = word.decode("utf-8", "replace")
         if b"<|" not in word and _PLAIN.fullmatch(text):
-            return b"".join(map(self.pieces.__getitem__, _PRE.findall(text.lower())))
+            parts = _PRE.findall(text.lower())
+            return self._piece(self._level(parts[0])) if len(parts) == 1 else b"".join([self.words[p.encode()] for p in parts])
         return array.array("H", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _trim(self) -> None:
-        for held in (self.words, self.pieces):
-            if len(held) >= self.most:
-                held.clear()
-
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        self._trim()
         get = self.words.__getitem__
         return [b"".join(map(get, words_of(t))) for t in texts]
 
