@@ -145,3 +145,23 @@ def test_a_fit_that_matches_anew_finds_the_planted_transform(spark):
         pytest.skip("no test data")
     got = QUERIES["k17_fit_nearest"](spark, SF).orderBy("term").collect()
     assert np.allclose([[r.cx for r in got], [r.cy for r in got]], plans.PLANTED, atol=0.01)
+
+
+def same_as_sql(spark, folder, name):
+    """Rows of a query that its SQL hasn't, and the other way round, over the Parquet tables of a folder."""
+    import __spark_entry__ as entry
+
+    con = duckdb.connect()
+    for f in os.listdir(folder):
+        con.execute(f"create view {f.split('.')[0]} as select * from '{folder}/{f}'")
+    want = con.sql(entry.oracle_sql()[name])
+    got = set(map(tuple, entry.queries()[name](spark, str(folder)).select([d[0] for d in want.description]).collect()))
+    want = set(want.fetchall())
+    assert want
+    return got - want, want - got
+
+
+def test_ratios_near_the_pole_are_rounded_as_in_sql(spark, tmp_path):
+    value = "case when i % 7 = 0 then i / 100.0 when i < 4000 then 5 + pow(10, -9 + i / 500.0) end"
+    duckdb.sql(f"copy (select i as event_id, timestamp '2024-01-01' as ts, i as user_id, 'view' as event_type, {value} as value, '{{}}' as props from range(6000) t(i)) to '{tmp_path}/events.parquet'")
+    assert same_as_sql(spark, tmp_path, "f9_safe_ratio") == (set(), set())

@@ -46,6 +46,13 @@ def safe_ratio(a: Column, b: Column) -> Column:
     return F.when(b <= 1e-9, F.lit(float("inf"))).otherwise(a / b)
 
 
+def round_scaled(x: Column, places: int) -> Column:
+    """x rounded as DuckDB does it: the double x * 10^places to the next whole number, halves away from zero. Spark's `round` goes
+    by decimal digits, which differ from it in the last place of large numbers."""
+    scaled = F.round(x * float(10**places)) / float(10**places)
+    return F.when(F.abs(scaled) == float("inf"), x).otherwise(scaled)
+
+
 def ease(u: Column) -> Column:
     """Cubic ease in and out."""
     return F.when(u < 0.5, 4 * F.pow(u, 3)).otherwise(1 - F.pow(-2 * u + 2, 3) / 2)

@@ -256,7 +256,7 @@ def f6(spark, sf_dir):
 @query("f9_safe_ratio", "select event_id, case when value - 5 <= 1e-9 then 'inf'::double else round(100 / (value - 5), 5) end as ratio, least(greatest(value, 10), 200) as held from events where true")
 def f9(spark, sf_dir):
     e = R.load(spark, sf_dir, "events")
-    return e.select("event_id", F.round(S.safe_ratio(F.lit(100), F.col("value") - 5), 5).alias("ratio"), S.clamp(F.col("value"), 10, 200).alias("held"))
+    return e.select("event_id", S.round_scaled(S.safe_ratio(F.lit(100), F.col("value") - 5), 5).alias("ratio"), S.clamp(F.col("value"), 10, 200).alias("held"))
 
 
 @query("f17_digest", "select p_partkey, left(sha256(p_name || '|' || p_brand), 10) as digest from part")
