@@ -90,7 +90,7 @@ def w7_all(spark, sf_dir):
 
 @query("w7b_zigzag", f"with {_TURNS}, z as (select s, theta, lag(theta) over (partition by s order by k) as b from u) select s, round(sum(case when abs(theta) > 45 and abs(b) > 45 and sign(theta) <> sign(b) then least(abs(theta), abs(b)) - 45 else 0 end), 2) as zig from z group by s")
 def w7b(spark, sf_dir):
-    t = G.turns(G.resample(R.shape_points(spark, sf_dir), 20), 6).withColumn("b", F.lag("theta").over(G.by_shape()))
+    t = turns(spark, sf_dir).withColumn("b", F.lag("theta").over(G.by_shape()))
     pay = F.when((F.abs("theta") > 45) & (F.abs("b") > 45) & (F.sign("theta") != F.sign("b")), F.least(F.abs("theta"), F.abs("b")) - 45).otherwise(0.0)
     return t.groupBy("s").agg(F.round(F.sum(pay), 2).alias("zig"))
 
