@@ -182,7 +182,7 @@ def folded(path, n=400):
     pq.write_table(pa.table({"vec_id": pa.array(range(n), pa.int64()), "embedding": pa.array((points / 1000).tolist(), pa.list_(pa.float32())), "label": pa.array([0] * n, pa.int32())}), path)
 
 
-@pytest.mark.parametrize("name", ["w7_turns", "w7b_zigzag"])
+@pytest.mark.parametrize("name", ["w7_turns", "w7b_zigzag", "k11_roughness"])
 def test_turns_of_lines_that_double_back_are_those_of_sql(spark, tmp_path, name):
     folded(tmp_path / "embeddings.parquet")
     assert same_as_sql(spark, tmp_path, name) == (set(), set())

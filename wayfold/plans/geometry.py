@@ -99,7 +99,7 @@ def w7b(spark, sf_dir):
   case when abs(theta) > 45 and abs(b) > 45 and sign(theta) <> sign(b) then least(abs(theta), abs(b)) - 45 else 0 end as zig from (select *, lag(theta) over (partition by s order by k) as b from u))
 select s, round(sum(excess) + sum(zig), 2) as score, count(*) filter (excess > 0) as kinks, round(coalesce(max(m) filter (excess > 0), 0), 2) as worst from z group by s""")
 def k11(spark, sf_dir):
-    r = G.roughness(G.resample(R.shape_points(spark, sf_dir), 20), retrace=120.0)
+    r = G.roughness(G.resample(R.shape_points(spark, sf_dir), 20, block=16), retrace=120.0)
     return r.select("s", F.round("score", 2).alias("score"), "kinks", F.round("worst", 2).alias("worst"))
 
 
