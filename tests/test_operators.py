@@ -1,4 +1,5 @@
 import json
+import re
 
 import duckdb
 import numpy as np
@@ -141,6 +142,33 @@ def test_sound_schedule_has_no_violations(spark):
     assert {r[0] for r in rows(schedule.violations(d))} == {"V7", "V8", "V9"}
 
 
+def broadcast_scans(df):
+    """What a plan reads from files below its broadcasts."""
+    found, depth = set(), None
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        at = len(line) - len(line.lstrip(" :+-"))
+        if depth is None or at <= depth:
+            depth = at if "BroadcastExchange" in line else None
+        elif depth is not None:
+            found |= set(re.findall(r"ReadSchema: (.*)", line))
+    return found
+
+
+def test_no_large_table_of_a_schedule_is_broadcast(spark, tmp_path):
+    """150,000 patterns are a file of less than a MB, far below Spark's threshold, but some 10 MB as a broadcast relation."""
+    n, mk = 150_000, spark.createDataFrame
+    spark.range(n).selectExpr("id as p", "id % 2 as s").write.parquet(f"{tmp_path}/patterns.parquet")
+    spark.range(2 * n).selectExpr("id div 2 as p", "id % 2 as i", "if(id = 7, -1, id % 2) * 50.0D as d").write.parquet(f"{tmp_path}/stops.parquet")
+    spark.range(n).selectExpr("id as trip", "0 as r", "if(id = 5, -1, id) as p", "if(id = 9, 128, 127) as days").write.parquet(f"{tmp_path}/trips.parquet")
+    spark.range(2 * n).selectExpr("id div 2 as trip", "id % 2 as i", "if(id = 7, -9D, 60D * (id % 2)) as t").where("trip <> 8 or i = 0").write.parquet(f"{tmp_path}/times.parquet")
+    patterns, stops, trips, times = (spark.read.parquet(f"{tmp_path}/{f}.parquet") for f in ("patterns", "stops", "trips", "times"))
+    shapes = mk([(s, k, 100.0 * k, 0.0) for s in (0, 1) for k in (0, 1)], "s long, k int, x double, y double")
+    found = schedule.violations(schedule.Schedule(mk([(0,)], "sy int"), mk([(0, 0)], "r int, sy int"), shapes, patterns, stops, trips, times))
+    assert broadcast_scans(found) == set()
+    want = [("V7", 3, "backward"), ("V7", 3, "outside shape"), ("V10", 3, "backward times"), ("V10", 5, "pattern"), ("V10", 8, "stop count"), ("V10", 9, "days")]
+    assert rows(found) == sorted(want)
+
+
 def test_counts_of_a_document(spark):
     mk = spark.createDataFrame
     ok = dict(systems=mk([(0,)], "sy int"), routes=mk([(0, 0)], "r int, sy int"), shapes=mk([(0, 0, 0.0, 0.0), (0, 1, 100.0, 0.0)], "s int, k int, x double, y double"), patterns=mk([(0, 0)], "p int, s int"), pattern_stops=mk([(0, 0, 0.0), (0, 1, 50.0)], "p int, i int, d double"), trips=mk([(0, 0, 0, 127)], "trip int, r int, p int, days int"), stop_times=mk([(0, 0, 0.0), (0, 1, 9.0)], "trip int, i int, t double"), inset_runs=mk([(0, 0, 10.0, 0.1, 0.7)], "s int, run int, length double, u0 double, u1 double"))

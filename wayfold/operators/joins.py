@@ -95,6 +95,8 @@ def radius_pairs(points: DataFrame, radius: float) -> DataFrame:
     return within_radius(points, points, radius).where("id < t_id").select(F.col("id").alias("a"), F.col("t_id").alias("b"), "d2")
 
 
-def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """A broadcast hint where a bounded count shows that df is small; no hint beyond it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS, *, otherwise: str | None = None) -> DataFrame:
+    """A broadcast hint where a bounded count shows that df is small; beyond it no hint, or the one that `otherwise` names."""
+    if df.limit(rows + 1).count() <= rows:
+        return F.broadcast(df)
+    return df if otherwise is None else df.hint(otherwise)

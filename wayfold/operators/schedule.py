@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.operators.joins import broadcast_if_small
 
 @dataclass
 class Schedule:
@@ -33,6 +34,12 @@ def _lines(df: DataFrame, rule: str, idx: Column, detail: str) -> DataFrame:
     return df.select(F.lit(rule).alias("rule"), idx.cast("long").alias("idx"), F.lit(detail).alias("detail"))
 
 
+def _found(df: DataFrame, rule: str, idx: Column, details: dict[str, str]) -> DataFrame:
+    """A line for each detail whose condition holds, from one reading of df."""
+    hits = F.array_compact(F.array(*[F.when(F.expr(condition), detail) for detail, condition in details.items()]))
+    return df.select(F.lit(rule).alias("rule"), idx.cast("long").alias("idx"), F.explode(hits).alias("detail"))
+
+
 def _finite(c: str) -> Column:
     return F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(c) < F.lit(float("inf")))
 
@@ -45,31 +52,29 @@ def shape_lengths(points: DataFrame) -> DataFrame:
 
 
 def violations(d: Schedule) -> DataFrame:
-    """(rule, idx, detail): every violation, none for a sound schedule; each rule is a filter, anti-join or window."""
+    """(rule, idx, detail): every violation, none for a sound schedule; each rule is a filter, anti-join or window.
+
+    Patterns, their stops and shapes grow with the schedule, so they are only broadcast where they were counted: Spark's estimate by
+    the size of compressed files is far too low for them.
+    """
     lengths = shape_lengths(d.shapes)
     order = Window.partitionBy("p").orderBy("i")
     stops = d.pattern_stops.withColumn("_b", F.lag("d").over(order))
     per = stops.groupBy("p").agg(F.count("*").alias("n"), F.count_if(~_finite("d")).alias("bad"), F.count_if(F.col("d") < F.col("_b")).alias("back"), F.min("d").alias("lo"), F.max("d").alias("hi"))
-    pat = d.patterns.where("s is not null").join(lengths.select("s", "length"), "s", "left").join(per, "p", "left")
-    counts = d.stop_times.groupBy("trip").agg(F.count("*").alias("n"), F.count_if(~_finite("t")).alias("bad"))
-    behind = d.stop_times.withColumn("_b", F.lag("t").over(Window.partitionBy("trip").orderBy("i"))).where("t < _b").select("trip").distinct()
-    trip = d.trips.join(d.routes.select("r", F.lit(True).alias("_r")), "r", "left").join(d.patterns.select("p", "s", F.lit(True).alias("_p")), "p", "left").join(counts, "trip", "left").join(per.select("p", F.col("n").alias("pn")), "p", "left")
+    pat = d.patterns.where("s is not null").join(broadcast_if_small(lengths.select("s", "length"), otherwise="merge"), "s", "left").join(per.hint("merge"), "p", "left")
+    stop_times = d.stop_times.withColumn("_b", F.lag("t").over(Window.partitionBy("trip").orderBy("i")))
+    counts = stop_times.groupBy("trip").agg(F.count("*").alias("n"), F.count_if(~_finite("t")).alias("bad"), F.count_if(F.col("t") < F.col("_b")).alias("back"))
+    known = d.patterns.select("p", "s", F.lit(True).alias("_p")).join(per.select("p", F.col("n").alias("pn")).hint("merge"), "p", "full")
+    trip = d.trips.join(d.routes.select("r", F.lit(True).alias("_r")), "r", "left").join(counts.hint("merge"), "trip", "left").join(broadcast_if_small(known, otherwise="merge"), "p", "left")
     empty = lambda t, name: t.limit(1).agg(F.count("*").alias("c")).where("c = 0").select(F.lit("V1").alias("rule"), F.lit(0).cast("long").alias("idx"), F.lit(f"no {name}").alias("detail"))
     found = [
         empty(d.routes, "routes"),
         empty(d.trips, "trips"),
         _lines(lengths.where("n < 2 or bad > 0"), "V2", F.col("s"), "polyline"),
         _lines(d.routes.join(d.systems, "sy", "left_anti"), "V6", F.col("r"), "system"),
-        _lines(pat.where("length is null"), "V7", F.col("p"), "shape"),
-        _lines(pat.where("n is null or n < 2 or bad > 0"), "V7", F.col("p"), "distances"),
-        _lines(pat.where("lo < 0 or hi > length + 1"), "V7", F.col("p"), "outside shape"),
-        _lines(pat.where("back > 0"), "V7", F.col("p"), "backward"),
-        _lines(trip.where("_r is null"), "V10", F.col("trip"), "route"),
-        _lines(trip.where("_p is null or s is null"), "V10", F.col("trip"), "pattern"),
-        _lines(trip.where("_p and s is not null and not (n <=> pn)"), "V10", F.col("trip"), "stop count"),
-        _lines(trip.where("bad > 0"), "V10", F.col("trip"), "times"),
-        _lines(behind, "V10", F.col("trip"), "backward times"),
-        _lines(d.trips.where("days is null or days <= 0 or days >= 128"), "V10", F.col("trip"), "days"),
+        _found(pat, "V7", F.col("p"), {"shape": "length is null", "distances": "n is null or n < 2 or bad > 0", "outside shape": "lo < 0 or hi > length + 1", "backward": "back > 0"}),
+        _found(trip, "V10", F.col("trip"), {"route": "_r is null", "pattern": "_p is null or s is null", "stop count": "_p and s is not null and not (n <=> pn)", "times": "bad > 0", "days": "days is null or days <= 0 or days >= 128"}),
+        _lines(counts.where("back > 0"), "V10", F.col("trip"), "backward times"),
     ]
     if d.document is not None:
         sizes = d.document.crossJoin(F.broadcast(lengths.agg(F.count("*").alias("n_shapes"))))
