@@ -186,3 +186,23 @@ def folded(path, n=400):
 def test_turns_of_lines_that_double_back_are_those_of_sql(spark, tmp_path, name):
     folded(tmp_path / "embeddings.parquet")
     assert same_as_sql(spark, tmp_path, name) == (set(), set())
+
+
+def test_rejoins_by_pair_are_those_of_the_joins(spark, tmp_path, monkeypatch):
+    """Both ways of the join of lines; beyond the bound no line is broadcast."""
+    from wayfold.operators import relations as R
+    from wayfold.plans.catalogue import QUERIES
+
+    folded(tmp_path / "embeddings.parquet", n=60)
+    pts = R.shape_points(spark, str(tmp_path))
+    samples = G.resample(pts, 10)
+    ink = samples.select(F.col("s").alias("sid"), F.col("k").alias("n"), (F.col("k") * 10.0).alias("arc"), "x", "y")
+    want = placement.rejoins(samples, ink, step=10, contact=30, ride=20, leave=40, rejoin=400, pairs=G.next_shapes(pts).withColumnRenamed("other", "sid"))
+    want = sorted((r.s, r.sid, r.k0, r.k1, r.off) for r in want.collect())
+    for bound in (10**6, 100):
+        monkeypatch.setattr(G, "SMALL_VERTICES", bound, raising=False)
+        monkeypatch.setattr(placement, "_TILE", bound, raising=False)
+        found = QUERIES["k13_rejoins"](spark, str(tmp_path))
+        got = sorted((r.s, r.sid, r.k0, r.k1, r.off) for r in found.collect())
+        assert want and [g[:4] for g in got] == [w[:4] for w in want] and np.allclose([g[4] for g in got], [w[4] for w in want], rtol=1e-12)
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,3 +105,51 @@ def rejoins(samples: DataFrame, ink: DataFrame, *, step: float, contact: float =
     end = lambda c: F.max(F.when(F.col("k") == F.col(c), F.col("m.arc")))
     out = foot.groupBy("s", "sid", "k0", "k1").agg(F.max("m.d").alias("off"), F.abs(end("k1") - end("k0")).alias("_apart"))
     return out.where((F.col("off") >= leave) & (F.col("_apart") <= 3 * (F.col("k1") - F.col("k0")) * step + 40)).drop("_apart")
+
+
+#: Distances that `line_rejoins` holds at once.
+_TILE = 1_000_000
+
+
+def _touching(points: np.ndarray, ink: np.ndarray, contact: float) -> np.ndarray:
+    """Which points have ink nearer than `contact`, by grid cells of that width: three stretches of sorted ink for each point."""
+    low = ink.min(axis=0)
+    own, theirs = (np.floor((p - low) / contact).astype(np.int64) + 1 for p in (points, ink))
+    wide = max(own[:, 0].max(), theirs[:, 0].max()) + 3
+    cells = theirs[:, 1] * wide + theirs[:, 0]
+    order = np.argsort(cells, kind="stable")
+    cells, ink = cells[order], ink[order]
+    out = np.zeros(len(points), bool)
+    near = np.flatnonzero((own[:, 0] >= 0) & (own[:, 0] <= theirs[:, 0].max() + 1))
+    for row in (-1, 0, 1):
+        middle = (own[near, 1] + row) * wide + own[near, 0]
+        first, last = np.searchsorted(cells, middle - 1, "left"), np.searchsorted(cells, middle + 1, "right")
+        each = last - first
+        start = 0
+        for stop in [*np.flatnonzero(np.diff(np.cumsum(each) // _TILE)) + 1, len(near)]:
+            n, who = each[start:stop], np.repeat(near[start:stop], each[start:stop])
+            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[start:stop], n)
+            out[who[((points[who] - ink[at]) ** 2).sum(axis=1) < contact * contact]] = True
+            start = stop
+    return out
+
+
+def line_rejoins(line: np.ndarray, stroke: np.ndarray, *, step: float, contact: float = 2.0, ride: float = 12.0, leave: float = 7.0, rejoin: float = 400.0) -> list[tuple[int, int, float]]:
+    """(k0, k1, off) of `rejoins` for the samples of one path (n, 2) and those of one stroke, both every `step`."""
+    if not len(line) or not len(stroke):
+        return []
+    on = np.flatnonzero(_touching(line, stroke, contact))
+    runs = [r for r in np.split(on, np.flatnonzero(np.diff(on) > 1) + 1) if len(r) >= math.ceil(ride / step)]
+    out = []
+    for k0, k1 in ((int(a[-1]), int(b[0])) for a, b in zip(runs, runs[1:])):
+        if (k1 - k0) * step > rejoin:
+            continue
+        off, foot, rows = 0.0, {}, max(1, _TILE // len(stroke))
+        for k in range(k0, k1 + 1, rows):
+            part = line[k : min(k + rows, k1 + 1)]
+            d = np.hypot(part[:, None, 0] - stroke[None, :, 0], part[:, None, 1] - stroke[None, :, 1])
+            off = max(off, float(d.min(axis=1).max()))
+            foot |= {e: int(d[e - k].argmin()) * step for e in (k0, k1) if k <= e < k + len(part)}
+        if off >= leave and abs(foot[k1] - foot[k0]) <= 3 * (k1 - k0) * step + 40:
+            out.append((k0, k1, off))
+    return out

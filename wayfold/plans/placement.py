@@ -38,11 +38,13 @@ def k7(spark, sf_dir):
 
 @query("k13_rejoins")
 def k13(spark, sf_dir):
-    """Stretches where a shape leaves the line of the next one and comes back, for every shape."""
+    """Stretches where a shape leaves the line of the next one and comes back, for every shape: vertices move, samples are made in the tasks."""
     pts = R.shape_points(spark, sf_dir)
-    samples = G.resample(pts, 10)
-    ink = samples.select(F.col("s").alias("sid"), F.col("k").alias("n"), (F.col("k") * 10.0).alias("arc"), "x", "y")
-    return placement.rejoins(samples, ink, step=10, contact=30, ride=20, leave=40, rejoin=400, pairs=G.next_shapes(pts).withColumnRenamed("other", "sid"))
+
+    def of(a, b):
+        return placement.line_rejoins(G.line_samples(a, 10), G.line_samples(b, 10), step=10, contact=30, ride=20, leave=40, rejoin=400)
+
+    return G.by_pair(pts, G.next_shapes(pts), of, "k0 long, k1 long, off double").withColumnRenamed("other", "sid")
 
 
 def _behind(spark, sf_dir):
