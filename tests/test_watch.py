@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +176,44 @@ def test_batch_twin_is_the_fold(spark):
     want = [(sid, what, at, n, ms) for sid, what, at, n, ms, _ in folded(watch.StallRule(tick=1), rows, until) if what != "verdict"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and len(want) > 20
     assert T.timed_stalls(df.limit(0), frame=kind == "frame", hidden=kind == "hidden", visible=kind == "visible", limit_ms=4000, until=0).count() == 0
+
+
+def test_few_calls_to_the_state():
+    """A group's call is one value read, one written and timers only where the next one changes: each is a message to the JVM."""
+    from wayfold.streaming import watch
+
+    class Handle:
+        value, timers, calls = None, set(), []
+
+        def getValueState(self, *_):
+            return self
+
+        def get(self):
+            self.calls.append("get")
+            return self.value
+
+        def update(self, value):
+            self.calls.append("update")
+            self.value = value
+
+        def registerTimer(self, t):
+            self.calls.append("register")
+            self.timers.add(t)
+
+        def deleteTimer(self, t):
+            self.calls.append("delete")
+            self.timers.remove(t)
+
+    class Times:
+        def __init__(self, watermark):
+            self.getCurrentWatermarkInMs = lambda: watermark
+
+    handle = Handle()
+    w = watch.Watch(watch.HeartbeatRule(quiet=100, forget=1000))
+    w.init(handle)
+    part = lambda *at: iter([pd.DataFrame({"n": at, "kind": ["beat"] * len(at), "at": at, "up": [None] * len(at)})])
+    assert list(w.handleInputRows((7,), part(10, 30), Times(0))) == [] and handle.calls == ["get", "register", "update"] and handle.timers == {10}
+    handle.calls.clear()
+    assert list(w.handleInputRows((7,), part(20, 30), Times(0))) == [] and handle.calls == ["get", "update"]
+    (out,) = w.handleInputRows((7,), part(300, 40, 5), Times(200))
+    assert out.to_dict("records") == [{"sid": 7, "what": "stall", "at": 131, "n": 30, "ms": 101, "flag": None}] and handle.timers == {300}

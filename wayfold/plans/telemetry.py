@@ -181,7 +181,7 @@ def t13_stream(spark, sf_dir):
     slices = 4
     for k in range(slices if ends[0] is not None else 1):
         part = F.least(F.floor((F.col("sent") - (ends[0] or 0)) * slices / (((ends[1] or 0) - (ends[0] or 0)) or 1)), F.lit(slices - 1))
-        sent.where(part == k).drop("sent").coalesce(1).write.mode("append").parquet(folder)
+        sent.where(part == k).drop("sent").repartition(1).write.mode("append").parquet(folder)
     rule = watch.HeartbeatRule(quiet=_QUIET, forget=_FORGET, suspended=24 * HOUR)
     told = watch.run_watch(watch.watched(watch.file_stream(spark, folder), rule, late_ms=_LATE), "late")
     return told.select("sid", "what", F.col("at").alias("at_ms"), "n", "ms", F.col("flag").alias("slept"))
